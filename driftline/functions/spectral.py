@@ -30,12 +30,16 @@ def top_eigenvalues(cells: Sequence[Column | str], size: int, top: int = 5) -> C
     return values(F.array(*[F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(0.0)) for c in cells]))
 
 
-@F.pandas_udf("array<double>")
-def band_energies(signal: pd.Series) -> pd.Series:
+def band_energies(signal: Column, bands: int = BANDS) -> Column:
     """log10(energy + 1) in equal-width bands of the one-sided spectrum."""
-    out = []
-    for v in signal:
-        power = np.abs(np.fft.rfft(np.asarray(v, dtype=float))) ** 2
-        edges = np.linspace(0, len(power), BANDS + 1, dtype=int)
-        out.append(np.log10(np.array([power[a:b].sum() for a, b in zip(edges[:-1], edges[1:])]) + 1.0))
-    return pd.Series(out)
+
+    @F.pandas_udf("array<double>")
+    def energies(batch: pd.Series) -> pd.Series:
+        out = []
+        for v in batch:
+            power = np.abs(np.fft.rfft(np.asarray(v, dtype=float))) ** 2
+            edges = np.linspace(0, len(power), bands + 1, dtype=int)
+            out.append(np.log10(np.array([power[a:b].sum() for a, b in zip(edges[:-1], edges[1:])]) + 1.0))
+        return pd.Series(out)
+
+    return energies(signal)
