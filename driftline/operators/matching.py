@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftline.operators.knn import BROADCAST_VALUES, neighbours
-from driftline.operators.ordering import ROWS_PER_TASK, with_position
-from driftline.operators.windows import assign_windows, smooth, tail_rows
+from driftline.operators.ordering import ROWS_PER_TASK
+from driftline.operators.windows import assign_windows, smooth
 
 
 def _flatten(rows: Column, channels: Sequence[str]) -> Column:
@@ -24,40 +24,44 @@ def _vectors(df: DataFrame, key: Sequence[str], by: Sequence[str], channels: Seq
     return df.groupBy(*key, *by).agg(_flatten(rows, channels).alias("vec"), *extra)
 
 
-def match_remaining_life(test: DataFrame, train: DataFrame, key: str, order: Sequence[str],
-                         channels: Sequence[str], rul: str, *, window: int = 30, top: int = 5,
-                         smoothing: int = 5, limit: int = ROWS_PER_TASK, rows: int | None = None,
-                         bound: int = BROADCAST_VALUES) -> DataFrame:
-    """Predict each test object's remaining life from its `top` nearest training segments.
+def segment_matches(test: DataFrame, train: DataFrame, key: str, order: Sequence[str], channels: Sequence[str], rul: str, *,
+                    window: int = 30, top: int = 5, smoothing: int = 5, limit: int = ROWS_PER_TASK,
+                    rows: int | None = None, bound: int = BROADCAST_VALUES) -> DataFrame:
+    """The `top` nearest training segments of each test object's smoothed tail.
 
-    A segment is any run of `window` smoothed training records. Distance is the
-    root mean square over records and channels; the prediction weighs the
-    segments' remaining life by inverse distance. Objects shorter than the window
-    match segments of their own length. Objects without a match get NULL.
+    A segment is any run of `window` smoothed training records; distance is the
+    root mean square over records and channels. Objects shorter than the window
+    match segments of their own length. Exact, through the neighbour search.
     """
     opts = {"limit": limit, "rows": rows}
-    keys = [key]
-    library = smooth(train, keys, order, channels, smoothing, **opts).drop("pos", "n")
-    library = with_position(library, keys, order, **opts)
-    tails = tail_rows(smooth(test, keys, order, channels, smoothing, **opts).drop("pos", "n"),
-                      keys, order, window, **opts)
-    tails = tails.withColumn("m", F.least(F.col("n"), F.lit(window)))
-    tails = tails.withColumn("off", F.col("pos") - (F.col("n") - F.col("m")))
-    probes = _vectors(tails, keys, ["m"], channels)
+    library = smooth(train, [key], order, channels, smoothing, **opts)
+    tails = smooth(test, [key], order, channels, smoothing, **opts).withColumn("m", F.least(F.col("n"), F.lit(window)))
+    tails = tails.withColumn("off", F.col("pos") - (F.col("n") - F.col("m"))).where("off >= 0")
+    probes = _vectors(tails, [key], ["m"], channels)
     found = None
     lengths = [r["m"] for r in probes.select("m").distinct().collect()]      # at most `window` values
     for m in sorted(lengths):
         spread = assign_windows(library, m, 1)
         ends = F.max(F.when(F.col("off") == m - 1, F.col(rul))).alias("rul_at_match")
-        segments = _vectors(spread, keys, ["win"], channels, [ends]).withColumn("segment", F.xxhash64(*keys, "win"))
+        segments = _vectors(spread, [key], ["win"], channels, [ends]).withColumn("segment", F.xxhash64(key, "win"))
         queries = probes.where(F.col("m") == m).select(F.col(key).alias("id"), "vec")
         near = neighbours(queries, segments.select(F.col("segment").alias("id"), "vec"), top, bound=bound)
-        near = near.withColumn("distance", F.col("distance") / math.sqrt(m * len(channels)))
         lookup = segments.select(F.col("segment").alias("neighbour"), F.col(key).alias("match_id"),
                                  (F.col("win") + m - 1).alias("position"), "rul_at_match")
         near = near.join(lookup, "neighbour").select(
-            F.col("id").alias(key), "rank", "match_id", "position", "distance", "rul_at_match")
+            F.col("id").alias(key), "rank", "match_id", "position",
+            (F.col("distance") / math.sqrt(m * len(channels))).alias("distance"), "rul_at_match")
         found = near if found is None else found.unionByName(near)
+    return found
+
+
+def match_remaining_life(test: DataFrame, train: DataFrame, key: str, order: Sequence[str], channels: Sequence[str],
+                         rul: str, **kw) -> DataFrame:
+    """Predict each test object's remaining life from its nearest training segments, by inverse distance.
+
+    When every match is exact the plain mean is taken; objects without a match get NULL.
+    """
+    found = segment_matches(test, train, key, order, channels, rul, **kw)
     weight = F.lit(1.0) / (F.col("distance") + F.lit(1e-10))
     best = found.groupBy(key).agg(
         F.max("distance").alias("_far"), F.min("distance").alias("min_distance"),
@@ -65,7 +69,7 @@ def match_remaining_life(test: DataFrame, train: DataFrame, key: str, order: Seq
         (F.sum(F.col("rul_at_match") * weight) / F.sum(weight)).alias("_weighted"))
     best = best.select(key, "min_distance",
                        F.when(F.col("_far") == 0, F.col("_plain")).otherwise(F.col("_weighted")).alias("predicted_rul"))
-    return probes.select(key).join(best, key, "left")
+    return test.select(key).distinct().join(best, key, "left")
 
 
 def errors(df: DataFrame, predicted: str = "predicted_rul", true: str = "true_rul",
