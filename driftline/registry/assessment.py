@@ -1 +1,258 @@
-"""Placeholder."""
+"""Evaluation statistics on scored windows, detections and whole tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from driftline.functions.stats import mann_whitney_p, spearman_p, wilson
+from driftline.models import evaluate as Ev
+from driftline.operators import matching
+from driftline.plans.monitoring import frozen
+from driftline.registry.base import EV, LI, R, SUPPLY_ORDER, Tables, big, query, r
+from driftline.registry.records import MESSAGE_TIE, MSG, messages
+from driftline.registry.scoring import (COEF, FIRED, MATCH, P5, SD, WEIGHTS, fired, flow, predictions, scored)
+from driftline.operators import detect
+from driftline.operators.ordering import average_ranks, quantiles
+from driftline.operators.windows import prefix_stats
+from driftline.session import materialise
+
+
+@query("A1_separation", f"""
+WITH {SD}, m AS (SELECT median(d_mean) FILTER (label = 1) AS p, median(d_mean) FILTER (label = 0 AND rul > 12) AS n FROM sd)
+SELECT {R('p', 8)} AS median_precursor, {R('n', 8)} AS median_nominal, {R('n / (p + 1e-10)', 3)} AS separation FROM m""")
+def _(t: Tables):
+    out = Ev.separation(scored(t), "d_mean", F.col("label") == 1, (F.col("label") == 0) & (F.col("rul") > 12), rows=t.rows("events"))
+    return out.select(r("median_precursor", 8).alias("median_precursor"), r("median_nominal", 8).alias("median_nominal"), r("separation", 3).alias("separation"))
+
+
+@query("A2_mann_whitney", f"""
+WITH {SD}, k AS (SELECT label, d_mean, rank() OVER (ORDER BY round(d_mean, 9)) + (count(*) OVER (PARTITION BY round(d_mean, 9)) - 1) / 2.0 AS rk FROM sd)
+SELECT {R('sum(rk) FILTER (label = 1) - count(*) FILTER (label = 1) * (count(*) FILTER (label = 1) + 1) / 2.0', 2)} AS u, count(*) FILTER (label = 1) AS n1, count(*) FILTER (label = 0) AS n2 FROM k""")
+def _(t: Tables):
+    s = scored(t).withColumn("d", F.round("d_mean", 9))
+    out = Ev.mann_whitney(s, "d", F.col("label") == 1, rows=t.rows("events"))
+    return out.select(r("u", 2).alias("u"), "n1", "n2")
+
+
+@query("A2_mann_whitney_p")
+def _(t: Tables):
+    s = scored(t).withColumn("d", F.round("d_mean", 9))
+    row = Ev.mann_whitney(s, "d", F.col("label") == 1, rows=t.rows("events")).first()
+    p = mann_whitney_p(row["u"], row["n1"], row["n2"], row["ties"], less=True)
+    return t.spark.createDataFrame([(row["u"], row["n1"], row["n2"], p)], "u double, n1 long, n2 long, p double")
+
+
+
+
+@query("A3_spearman", f"""
+WITH {SD}, k AS (SELECT rank() OVER (ORDER BY rul) + (count(*) OVER (PARTITION BY rul) - 1) / 2.0 AS a, rank() OVER (ORDER BY round(d_mean, 9)) + (count(*) OVER (PARTITION BY round(d_mean, 9)) - 1) / 2.0 AS b FROM sd WHERE rul < 20)
+SELECT {R('corr(a, b)')} AS rho, count(*) AS n FROM k""")
+def _(t: Tables):
+    s = scored(t).where("rul < 20").withColumn("d", F.round("d_mean", 9))
+    return Ev.spearman(s, "rul", "d", rows=t.rows("events")).select(r("rho").alias("rho"), "n")
+
+
+@query("A3_spearman_p")
+def _(t: Tables):
+    s = scored(t).where("rul < 20").withColumn("d", F.round("d_mean", 9))
+    row = Ev.spearman(s, "rul", "d", rows=t.rows("events")).first()
+    return t.spark.createDataFrame([(row["rho"], row["n"], spearman_p(row["rho"], row["n"]))], "rho double, n long, p double")
+
+
+@query("A4_per_object_spearman", f"""
+WITH {SD}, k AS (SELECT obj, rank() OVER (PARTITION BY obj ORDER BY rul) AS a, rank() OVER (PARTITION BY obj ORDER BY round(d_mean, 9)) + (count(*) OVER (PARTITION BY obj, round(d_mean, 9)) - 1) / 2.0 AS b FROM sd)
+SELECT obj, {R('coalesce(covar_pop(a, b) / nullif(stddev_pop(a) * stddev_pop(b), 0), 0)')} AS rho, count(*) AS n FROM k GROUP BY obj HAVING count(*) >= 5""")
+def _(t: Tables):
+    s = scored(t).withColumn("d", F.round("d_mean", 9))
+    return Ev.spearman(s, "rul", "d", ["obj"], min_rows=5, rows=t.rows("events")).select("obj", r("rho").alias("rho"), "n")
+
+
+A5 = f"""{EV}, st AS (SELECT avg(v) AS m, stddev_pop(v) AS s, avg(k) AS mk, stddev_pop(k) AS sk FROM ev),
+pf AS (SELECT user_id AS obj, pos, n, avg(v) OVER w AS vm, max(k) OVER w AS kx, v FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+ps AS (SELECT obj, n - 1 - pos AS left_over, round(abs(0.6 * (vm - m) / s + 0.4 * (kx - mk) / sk + 0.2 * (v - m) / s), 9) AS d FROM pf, st WHERE n >= 5 AND pos >= 1),
+k AS (SELECT obj, rank() OVER (PARTITION BY obj ORDER BY left_over) AS a, rank() OVER (PARTITION BY obj ORDER BY d) + (count(*) OVER (PARTITION BY obj, d) - 1) / 2.0 AS b FROM ps),
+rh AS (SELECT obj, coalesce(covar_pop(a, b) / nullif(stddev_pop(a) * stddev_pop(b), 0), 0) AS rho, count(*) AS n FROM k GROUP BY obj)"""
+
+
+def _prefix_rho(t: Tables):
+    from driftline.models.scale import fit_stats, zscore
+    h = t.history()
+    n = t.rows("events")
+    st = fit_stats(h, ["v", "k"])
+    p = prefix_stats(h, ["user_id"], ["t", "event_id"], ["v", "k"], rows=n).where("n >= 5 AND step >= 2")
+    score = F.lit(0.6) * zscore("v_mean", *st["v"]) + F.lit(0.4) * zscore("k_max", *st["k"]) + F.lit(0.2) * zscore("v", *st["v"])
+    d = p.select(F.col("user_id").alias("obj"), (F.col("n") - F.col("step")).alias("left_over"), F.round(F.abs(score), 9).alias("d"))
+    return Ev.spearman(d, "left_over", "d", ["obj"], rows=n)
+
+
+@query("A5_prefix_approach", f"WITH {A5} SELECT obj, {R('rho')} AS rho, n FROM rh")
+def _(t: Tables):
+    return _prefix_rho(t).select("obj", r("rho").alias("rho"), "n")
+
+
+@query("A5_prefix_summary", f"""
+WITH {A5} SELECT {R('avg(rho)')} AS mean, {R('median(rho)')} AS median, count(*) FILTER (rho > 0) AS n_positive, {R('avg(CASE WHEN rho > 0 THEN 1 ELSE 0 END)')} AS share_positive, count(*) AS n_objects FROM rh""")
+def _(t: Tables):
+    out = Ev.summary_of(_prefix_rho(t), "rho", rows=t.rows("events"))
+    return out.select(r("mean").alias("mean"), r("median").alias("median"), "n_positive", r("share_positive").alias("share_positive"), "n_objects")
+
+
+def _ablated(drop: list[str]) -> str:
+    terms = " + ".join(f"CAST({COEF[f] * WEIGHTS.get(f, 1.0)!r} AS DOUBLE) * ({f} - m_{f}) / s_{f}" for f in COEF if f not in drop)
+    return f"""(SELECT avg(d) FROM (SELECT s.obj, s.win, abs(s.p - b.p) AS d, row_number() OVER (PARTITION BY s.obj, s.win ORDER BY abs(s.p - b.p)) AS rk
+      FROM (SELECT obj, win, {terms} AS p FROM lf, st) s, (SELECT {terms} AS p FROM lf, st WHERE label = 1) b) WHERE rk <= 5)"""
+
+
+CLASSES = {"time_domain": ["v_mean", "v_std", "v_min", "k_mean", "k_std"], "rate": ["v_slope"], "ratio": ["k_ratio"]}
+
+
+@query("A6_class_ablation", f"""
+WITH {SD}, b AS (SELECT {_ablated([])} AS base) """ + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature_class, {R(f'({_ablated(f)} - base) / (base + 1e-10)', 5)} AS change FROM b" for c, f in CLASSES.items()))
+def _(t: Tables):
+    windows = materialise(flow(t).windows(t.history()).select("label", *COEF))
+    model = frozen(windows, COEF, WEIGHTS)
+    out = Ev.ablation(windows, CLASSES, model.column, F.col("label") == 1, 5)
+    return out.select("feature_class", r("change", 5).alias("change"))
+
+
+CONF = f"{FIRED}, ob AS (SELECT obj, bool_or(fired) AS f, obj % 3 = 0 AS due FROM fr GROUP BY obj), cf AS (SELECT count(*) FILTER (f AND due) AS tp, count(*) FILTER (f AND NOT due) AS fp, count(*) FILTER (NOT f AND due) AS fn, count(*) FILTER (NOT f AND NOT due) AS tn FROM ob)"
+
+
+def _confusion(t: Tables):
+    s, eps = fired(t)
+    ob = s.groupBy("obj").agg(F.max(detect.fire("d_mean", eps)).alias("f"))
+    return Ev.confusion(ob, F.col("f"), F.col("obj") % 3 == 0)
+
+
+@query("A7_confusion", f"""
+WITH {CONF} SELECT tp, fp, fn, tn, {R('tp / greatest(1, tp + fp)')} AS precision, {R('tp / greatest(1, tp + fn)')} AS recall,
+  {R('2 * tp / greatest(1, 2 * tp + fp + fn)')} AS f1, {R('tn / greatest(1, tn + fp)')} AS specificity FROM cf""")
+def _(t: Tables):
+    out = Ev.with_rates(_confusion(t))
+    return out.select("tp", "fp", "fn", "tn", *[r(c).alias(c) for c in ("precision", "recall", "f1", "specificity")])
+
+
+@query("A7_window_level_by_fold", f"""
+WITH {FIRED} SELECT obj, count(*) FILTER (fired AND label = 1) AS tp, count(*) FILTER (fired AND label = 0) AS fp, count(*) FILTER (NOT fired AND label = 1) AS fn, count(*) FILTER (NOT fired AND label = 0) AS tn FROM fr GROUP BY obj""")
+def _(t: Tables):
+    s, eps = fired(t)
+    return Ev.confusion(s, detect.fire("d_mean", eps), F.col("label") == 1, ["obj"])
+
+
+_w = lambda s, n: (f"CASE WHEN {n} = 0 THEN 0 ELSE greatest(0, ({s} / {n} + 3.8416 / (2 * {n}) - 1.96 * sqrt({s} / {n} * (1 - {s} / {n}) / {n} + 3.8416 / (4 * {n} * {n}))) / (1 + 3.8416 / {n})) END",
+                   f"CASE WHEN {n} = 0 THEN 0 ELSE least(1, ({s} / {n} + 3.8416 / (2 * {n}) + 1.96 * sqrt({s} / {n} * (1 - {s} / {n}) / {n} + 3.8416 / (4 * {n} * {n}))) / (1 + 3.8416 / {n})) END")
+
+
+@query("A8_wilson", f"""
+WITH c AS (SELECT l_suppkey, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (l_tax > 0.07) AS DOUBLE) AS s FROM lineitem GROUP BY l_suppkey)
+SELECT l_suppkey, {R(_w('s', 'n')[0])} AS low, {R(_w('s', 'n')[1])} AS high FROM c""")
+def _(t: Tables):
+    c = t.lineitem.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("l_tax") > 0.07).alias("s"))
+    low, high = wilson(F.col("s"), F.col("n"))
+    return c.select("l_suppkey", r(low).alias("low"), r(high).alias("high"))
+
+
+@query("A9_f1_interval", f"""
+WITH {CONF}, d AS (SELECT CAST(tp AS DOUBLE) AS tp, CAST(tp + fp AS DOUBLE) AS a, CAST(tp + fn AS DOUBLE) AS b FROM cf),
+w AS (SELECT {_w('tp', 'a')[0]} AS pl, {_w('tp', 'a')[1]} AS ph, {_w('tp', 'b')[0]} AS rl, {_w('tp', 'b')[1]} AS rh FROM d)
+SELECT {R('pl')} AS precision_lo, {R('ph')} AS precision_hi, {R('rl')} AS recall_lo, {R('rh')} AS recall_hi,
+  {R('CASE WHEN pl > 0 AND rl > 0 THEN 2 * pl * rl / (pl + rl) ELSE 0 END')} AS f1_lo, {R('CASE WHEN ph > 0 AND rh > 0 THEN 2 * ph * rh / (ph + rh) ELSE 0 END')} AS f1_hi FROM w""")
+def _(t: Tables):
+    out = Ev.with_intervals(_confusion(t))
+    return out.select(*[r(c).alias(c) for c in ("precision_lo", "precision_hi", "recall_lo", "recall_hi", "f1_lo", "f1_hi")])
+
+
+@query("A10_lead_times", f"""
+WITH {FIRED}, ld AS (SELECT obj, arg_min(rul, win) FILTER (fired) AS lead FROM fr GROUP BY obj)
+SELECT {R('avg(lead)')} AS mean, {R('median(lead)')} AS median, {R('min(lead)')} AS min, {R('max(lead)')} AS max, {R('quantile_cont(lead, CAST(0.25 AS DOUBLE))')} AS p25, {R('quantile_cont(lead, CAST(0.75 AS DOUBLE))')} AS p75, count(lead) AS n FROM ld""")
+def _(t: Tables):
+    s, eps = fired(t)
+    ld = detect.first_fire(s, ["obj"], "win", "rul", detect.fire("d_mean", eps))
+    out = Ev.five_numbers(ld, "lead", rows=t.rows("events"))
+    return out.select(*[r(c).alias(c) for c in ("mean", "median", "min", "max", "p25", "p75")], "n")
+
+
+@query("A11_prediction_errors", f"""
+WITH {MATCH}, e AS (SELECT predicted_rul, obj % 40 AS true_rul, predicted_rul - obj % 40 AS e FROM pred)
+SELECT {R('sqrt(avg(e * e))', 5)} AS rmse, {R('avg(abs(e))', 5)} AS mae, {R('sum(CASE WHEN e < 0 THEN exp(-e / 13) - 1 ELSE exp(e / 10) - 1 END)', 3)} AS score,
+  count(*) FILTER (predicted_rul <= 25 AND true_rul <= 25) AS tp, count(*) FILTER (predicted_rul <= 25 AND true_rul > 25) AS fp,
+  count(*) FILTER (predicted_rul > 25 AND true_rul <= 25) AS fn, count(*) FILTER (predicted_rul > 25 AND true_rul > 25) AS tn FROM e""")
+def _(t: Tables):
+    p = predictions(t).withColumn("true_rul", F.col("user_id") % 40)
+    out = matching.errors(p, warning=25.0)
+    return out.select(r("rmse", 5).alias("rmse"), r("mae", 5).alias("mae"), r("score", 3).alias("score"), "tp", "fp", "fn", "tn")
+
+
+@query("A12_error_margins", f"""
+WITH {SD}, f AS (SELECT obj, arg_max(d_mean, win) AS d FROM sd GROUP BY obj), ep AS (SELECT {P5} AS eps)
+SELECT obj, CASE WHEN d < eps THEN 'false alarm' ELSE 'missed' END AS error, {R('100 * (d - eps) / eps', 3)} AS margin_pct FROM f, ep WHERE (d < eps) <> (obj % 3 = 0)""")
+def _(t: Tables):
+    s, eps = fired(t)
+    f = detect.distance_profile(s, ["obj"], "win", "d_mean")
+    hit = F.col("d_final") < eps
+    wrong = f.where(hit != (F.col("obj") % 3 == 0))
+    return wrong.select("obj", F.when(hit, "false alarm").otherwise("missed").alias("error"), r(100 * (F.col("d_final") - eps) / eps, 3).alias("margin_pct"))
+
+
+@query("A13_profile", f"""
+WITH {MSG} SELECT 'mahalanobis_distance' AS feature, count(*) FILTER (mahalanobis_distance IS NULL) AS missing, {R('min(mahalanobis_distance)')} AS min, {R('max(mahalanobis_distance)')} AS max FROM msg
+UNION ALL SELECT 'c_sigma_r', count(*) FILTER (c_sigma_r IS NULL), {R('min(c_sigma_r)')}, {R('max(c_sigma_r)')} FROM msg UNION ALL SELECT 'risk', count(*) FILTER (risk IS NULL), {R('min(risk)')}, {R('max(risk)')} FROM msg""")
+def _(t: Tables):
+    out = Ev.profile(messages(t), ["mahalanobis_distance", "c_sigma_r", "risk"])
+    return out.select("feature", "missing", r("min").alias("min"), r("max").alias("max"))
+
+
+@query("A14_sequence_lengths", f"""
+WITH a AS (SELECT user_id, count(*) AS n FROM events WHERE event_id % 3 = 0 GROUP BY user_id), b AS (SELECT user_id, count(*) AS n FROM events WHERE event_id % 3 <> 0 GROUP BY user_id)
+SELECT (SELECT min(n) FROM a) AS min_first, (SELECT max(n) FROM a) AS max_first, {R('(SELECT avg(n) FROM a)')} AS mean_first, {R('(SELECT avg(n) FROM b) / (SELECT avg(n) FROM a)')} AS density_ratio""")
+def _(t: Tables):
+    first = F.col("event_id") % 3 == 0
+    per = t.events.groupBy("user_id").agg(F.count_if(first).alias("a"), F.count_if(~first).alias("b"))
+    a, b = F.when(F.col("a") > 0, F.col("a")), F.when(F.col("b") > 0, F.col("b"))
+    return per.agg(F.min(a).alias("min_first"), F.max(a).alias("max_first"), r(F.avg(a)).alias("mean_first"), r(F.avg(b) / F.avg(a)).alias("density_ratio"))
+
+
+@query("A15_label_distribution", f"""
+WITH {MSG}, f AS (SELECT event_id, arg_min(risk, (time_to_tca, -l_linenumber, -l_partkey, -price, -qty)) AS risk FROM msg GROUP BY event_id)
+SELECT CASE WHEN event_id % 4 = 0 THEN 'test' ELSE 'train' END AS split, count(*) AS n, count(*) FILTER (risk >= -5) AS n_high FROM f GROUP BY 1""")
+def _(t: Tables):
+    at = F.struct("time_to_tca", *[(-F.col(c)).alias(c) for c in MESSAGE_TIE])
+    f = messages(t).groupBy("event_id").agg(F.min_by("risk", at).alias("risk"))
+    split = F.when(F.col("event_id") % 4 == 0, "test").otherwise("train")
+    return f.groupBy(split.alias("split")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("risk") >= -5).alias("n_high"))
+
+
+def _ks(c: str) -> str:
+    return f"""SELECT '{c}' AS feature, {R('max(abs(cx / nx - cy / ny))')} AS ks FROM (SELECT DISTINCT x, count(*) FILTER (f) OVER (ORDER BY x) AS cx, count(*) FILTER (NOT f) OVER (ORDER BY x) AS cy,
+      count(*) FILTER (f) OVER () AS nx, count(*) FILTER (NOT f) OVER () AS ny FROM (SELECT {c} AS x, l_suppkey % 4 = 0 AS f FROM lineitem))"""
+
+
+@query("A16_two_sample_ks", " UNION ALL ".join(_ks(c) for c in ("l_quantity", "l_discount", "l_extendedprice")))
+def _(t: Tables):
+    out = Ev.two_sample_ks(t.lineitem, ["l_quantity", "l_discount", "l_extendedprice"], F.col("l_suppkey") % 4 == 0, rows=t.rows("lineitem"))
+    return out.select("feature", r("ks").alias("ks"))
+
+
+@query("A17_log_histogram", """
+WITH b AS (SELECT log10(o_totalprice) AS x FROM orders WHERE o_totalprice > 0)
+SELECT CAST(CASE WHEN x < 3 THEN 0 WHEN x >= 6 THEN 61 ELSE floor((x - 3) / (CAST(3 AS DOUBLE) / 60)) + 1 END AS BIGINT) AS bin, count(*) AS n FROM b GROUP BY 1""")
+def _(t: Tables):
+    return Ev.log_histogram(t.orders, "o_totalprice", 3.0, 6.0, 60)
+
+
+@query("A17_lead_histogram", """
+SELECT CAST(CASE WHEN p_size >= 50 THEN 26 ELSE floor(p_size / CAST(2 AS DOUBLE)) + 1 END AS BIGINT) AS bin, count(*) AS n FROM part GROUP BY 1""")
+def _(t: Tables):
+    return Ev.histogram(t.part.withColumn("x", F.col("p_size").cast("double")), "x", 0.0, 50.0, 25)
+
+
+@query("A18_yearly_onset", f"""
+WITH y AS (SELECT year(o_orderdate) AS yr, month(o_orderdate) AS mo, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY ALL), e AS (SELECT year(l_shipdate) AS yr, month(l_shipdate) AS mo, round(avg(l_quantity), 9) AS x FROM lineitem GROUP BY ALL),
+k AS (SELECT rank() OVER (ORDER BY n) + (count(*) OVER (PARTITION BY n) - 1) / 2.0 AS a, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS b FROM y JOIN e USING (yr, mo))
+SELECT {R('corr(a, b)')} AS rho, count(*) AS n FROM k""")
+def _(t: Tables):
+    onset = t.orders.where("o_orderstatus = 'F'").groupBy(F.year("o_orderdate").alias("yr"), F.month("o_orderdate").alias("mo")).agg(F.count(F.lit(1)).alias("n"))
+    other = t.lineitem.groupBy(F.year("l_shipdate").alias("yr"), F.month("l_shipdate").alias("mo")).agg(F.round(F.avg("l_quantity"), 9).alias("x"))
+    # one row per calendar month on both sides
+    return Ev.spearman(onset.withColumnRenamed("n", "cnt").join(other, ["yr", "mo"]), "cnt", "x", rows=0).select(r("rho").alias("rho"), "n")
