@@ -130,6 +130,8 @@ def fit_buckets(df: DataFrame, features: Sequence[str], label: str, weights: Map
     within = np.zeros((d, d))
     for c, m in zip(labels, sizes):
         part = z.where(F.col(label) == c)
+        if m < 2:
+            continue                                    # a single row has no scatter
         own = fit_stats(part, features)
         dev = np.array([own[f][1] or 1.0 for f in features])
         cov = _covariance(part, features) / np.outer(dev, dev)

@@ -80,12 +80,12 @@ def layout_of(df: DataFrame, key: Sequence[str], order: Sequence[str],
             return Layout(key, limit=limit)
         hot, subset = None, df
     n_slices = min(_MAX_SLICES, 2 * math.ceil(n_hot / limit))
-    value = subset.select(as_double(df, order[0]).alias("_o")).where("_o IS NOT NULL")
+    value = subset.select(as_double(df, order[0]).alias("_slice_at")).where("_slice_at IS NOT NULL")
     # the sample only places the edges; every row is then assigned to a slice
     share = min(1.0, _EDGE_SAMPLE / max(n_hot, 1))
     probe = value if share >= 1.0 else value.sample(False, share, seed=7)
     probs = [i / n_slices for i in range(1, n_slices)]
-    cuts = probe.approxQuantile("_o", probs, 0.2 / n_slices) if probs else []
+    cuts = probe.approxQuantile("_slice_at", probs, 0.2 / n_slices) if probs else []
     edges = sorted({c for c in cuts if math.isfinite(c)})
     return Layout(key, edges or [0.0], hot, limit)
 
@@ -95,15 +95,15 @@ def with_slice(df: DataFrame, layout: Layout, order: Sequence[str]) -> DataFrame
     if not layout.sliced:
         return df.withColumn("_slice", F.lit(0))
     splits = [-math.inf, *layout.edges, math.inf]
-    out = df.withColumn("_o", F.coalesce(as_double(df, order[0]), F.lit(-math.inf)))
-    out = Bucketizer(splits=splits, inputCol="_o", outputCol="_b").transform(out)
-    index = F.col("_b").cast("int")
+    out = df.withColumn("_slice_at", F.coalesce(as_double(df, order[0]), F.lit(-math.inf)))
+    out = Bucketizer(splits=splits, inputCol="_slice_at", outputCol="_slice_bin").transform(out)
+    index = F.col("_slice_bin").cast("int")
     if layout.hot is not None:
-        marks = layout.hot.withColumn("_hot", F.lit(True))
+        marks = layout.hot.withColumn("_slice_hot", F.lit(True))
         out = out.join(F.broadcast(marks), layout.key, "left")
-        index = F.when(F.col("_hot"), index).otherwise(F.lit(0))
-        return out.withColumn("_slice", index).drop("_o", "_b", "_hot")
-    return out.withColumn("_slice", index).drop("_o", "_b")
+        index = F.when(F.col("_slice_hot"), index).otherwise(F.lit(0))
+        return out.withColumn("_slice", index).drop("_slice_at", "_slice_bin", "_slice_hot")
+    return out.withColumn("_slice", index).drop("_slice_at", "_slice_bin")
 
 
 def _ordered(key: Sequence[str], order: Sequence[str]) -> WindowSpec:

@@ -29,10 +29,11 @@ FLIGHT_KEYS = ["unit", "cycle", "Fc", "h_s"]
 def split_fields(lines: DataFrame, columns: Sequence[str], pattern: str = r"\s+", value: str = "value",
                  ints: Sequence[str] = (), places: Sequence[int] | None = None) -> DataFrame:
     """Fields of a text line as typed columns; blank lines are skipped."""
-    parts = F.split(F.trim(F.col(value)), pattern)
+    line = F.btrim(F.col(value), F.lit(" \t\r\n"))
+    parts = F.split(line, pattern)
     places = list(places) if places is not None else list(range(len(columns)))
     rest = [F.col(c) for c in lines.columns if c != value]
-    kept = lines.where(F.trim(F.col(value)) != "")
+    kept = lines.where(line != "")
     return kept.select(*rest, *[F.get(parts, F.lit(i)).try_cast("int" if c in ints else "double").alias(c)
                                 for i, c in zip(places, columns)])
 
@@ -43,7 +44,7 @@ def read_sensor_text(spark: SparkSession, path: str) -> DataFrame:
 
 def read_life_truth(spark: SparkSession, path: str) -> DataFrame:
     """One number per line; line i belongs to unit i. A truth file has one line per object."""
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.trim("value"), r"\r?\n")))
+    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.btrim(F.col("value"), F.lit(" \t\r\n")), r"\r?\n")))
     return rows.select((F.col("pos") + 1).cast("int").alias("unit_id"),
                        F.trim("col").try_cast("double").cast("int").alias("true_rul"))
 
