@@ -1,7 +1,7 @@
 """Supervised projection to one dimension.
 
-The data-sized part is one pass of means per class and the class covariance
-matrices, computed by Spark; the driver only sees d × d matrices.
+The data-sized part is one pass that reduces every class to its count, mean and
+covariance; the driver only sees d × d matrices.
 """
 
 from __future__ import annotations
@@ -10,8 +10,8 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import PCA, PCAModel, VectorAssembler
-from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,17 +51,103 @@ class Projection:
         return spark.createDataFrame(rows, "idx int, feature string, mean double, std double, weight double, coef double")
 
 
-def _vectors(df: DataFrame, columns: Sequence[str], centre: Mapping[str, float] | None = None) -> DataFrame:
+_FAN = 64
+
+
+def _vectors(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(columns), outputCol="v").transform(df).select("v")
 
 
-def _covariance(df: DataFrame, columns: Sequence[str]) -> np.ndarray:
-    """Population covariance. Columns should be standardised, which keeps the sums well conditioned."""
-    dev = np.array([fit_stats(df, columns)[c][1] for c in columns])
-    corr = np.asarray(Correlation.corr(_vectors(df, columns), "v").first()[0].toArray())
-    corr = np.nan_to_num(corr, nan=0.0)
-    np.fill_diagonal(corr, 1.0)
-    return corr * np.outer(dev, dev)
+@dataclass
+class Moments:
+    """Row count, mean and covariance (population) of one class."""
+
+    n: int
+    mean: np.ndarray
+    cov: np.ndarray
+
+
+def _add(total: dict, label: int, n: int, sums: np.ndarray, gram: np.ndarray) -> None:
+    if label in total:
+        m, s, g = total[label]
+        total[label] = (m + n, s + sums, g + gram)
+    else:
+        total[label] = (n, sums, gram)
+
+
+def _batch(total: dict) -> pa.RecordBatch:
+    rows = [(int(c), int(n), s.tolist(), g.ravel().tolist()) for c, (n, s, g) in total.items()]
+    cols = list(zip(*rows)) if rows else [[], [], [], []]
+    kinds = [pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64())]
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=["label", "n", "s", "g"])
+
+
+def class_moments(z: DataFrame, features: Sequence[str], label: str) -> dict[int, Moments]:
+    """Moments of every class in one pass.
+
+    Each task reduces its rows to one d × d matrix per class, a second round adds
+    those up in a few tasks, and the driver receives at most `_FAN` of them.
+    Columns should be standardised, which keeps the sums well conditioned.
+    """
+    d = len(features)
+
+    def reduce_rows(batches):
+        total: dict = {}
+        for b in batches:
+            x = np.column_stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(d)])
+            y = b.column(d).to_numpy(zero_copy_only=False)
+            for c in np.unique(y):
+                part = x[y == c]
+                _add(total, int(c), len(part), part.sum(axis=0), part.T @ part)
+        yield _batch(total)
+
+    def add_up(batches):
+        total: dict = {}
+        for b in batches:
+            for c, n, s, g in zip(*[b.column(i).to_pylist() for i in range(4)]):
+                _add(total, c, n, np.array(s), np.array(g))
+        yield _batch(total)
+
+    schema = "label int, n bigint, s array<double>, g array<double>"
+    rows = z.select(*features, F.col(label).cast("int").alias("_label")).where("_label IS NOT NULL")
+    fan = min(_FAN, z.sparkSession.sparkContext.defaultParallelism)
+    parts = rows.mapInArrow(reduce_rows, schema).repartition(fan).mapInArrow(add_up, schema).collect()
+    total: dict = {}
+    for r in parts:
+        _add(total, r["label"], r["n"], np.array(r["s"]), np.array(r["g"]))
+    out = {}
+    for c in sorted(total):
+        n, s, g = total[c]
+        mean = s / n
+        out[c] = Moments(n, mean, g.reshape(d, d) / n - np.outer(mean, mean))
+    return out
+
+
+def _fourth_moments(z: DataFrame, features: Sequence[str], label: str, of: dict[int, Moments]) -> dict[int, float]:
+    """Mean squared squared norm of the rows, each standardised within its class."""
+    d = len(features)
+    shift = {c: m.mean for c, m in of.items()}
+    stretch = {c: _deviations(m) for c, m in of.items()}
+
+    def norms(batches):
+        total: dict = {}
+        for b in batches:
+            x = np.column_stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(d)])
+            y = b.column(d).to_numpy(zero_copy_only=False)
+            for c in np.unique(y):
+                u = (x[y == c] - shift[int(c)]) / stretch[int(c)]
+                total[int(c)] = total.get(int(c), 0.0) + float(((u * u).sum(axis=1) ** 2).sum())
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(list(total.values()), pa.float64())],
+                                         names=["label", "q"])
+
+    rows = z.select(*features, F.col(label).cast("int").alias("_label")).where("_label IS NOT NULL")
+    sums = rows.mapInArrow(norms, "label int, q double").groupBy("label").agg(F.sum("q").alias("q")).collect()
+    return {r["label"]: r["q"] / of[r["label"]].n for r in sums}
+
+
+def _deviations(m: Moments) -> np.ndarray:
+    dev = np.sqrt(np.maximum(np.diag(m.cov), 0.0))
+    return np.where(dev > 1e-12, dev, 1.0)
 
 
 def shrinkage_intensity(second: np.ndarray, fourth: float, n: int) -> float:
@@ -85,12 +171,6 @@ def prepare(df: DataFrame, features: Sequence[str], stats: Stats, weights: Mappi
     return df.withColumns(out)
 
 
-def _class_means(z: DataFrame, features: Sequence[str], label: str):
-    rows = z.groupBy(label).agg(F.count(F.lit(1)).alias("_n"), *[F.avg(f).alias(f) for f in features]).orderBy(label).collect()
-    sizes = np.array([r["_n"] for r in rows], dtype=float)
-    return [r[label] for r in rows], sizes, np.array([[r[f] for f in features] for r in rows])
-
-
 def fit_two_class(df: DataFrame, features: Sequence[str], label: str, weights: Mapping[str, float] | None = None,
                   stats: Stats | None = None) -> Projection:
     """Two-class discriminant: pseudo-inverse of the within-class scatter times the mean difference.
@@ -100,20 +180,17 @@ def fit_two_class(df: DataFrame, features: Sequence[str], label: str, weights: M
     """
     weights = dict(weights or {})
     stats = stats or fit_stats(df, features)
-    z = prepare(df.select(*features, label), features, stats, weights)
-    _, sizes, means = _class_means(z, features, label)
-    pick = lambda i: F.when(F.col(label) == 1, F.lit(float(means[1][i]))).otherwise(F.lit(float(means[0][i])))
-    centred = z.withColumns({f: F.col(f) - pick(i) for i, f in enumerate(features)})
-    n = sizes.sum()
-    within = _covariance(centred, features) * n / (n - 2)
-    diff = means[1] - means[0]
+    of = class_moments(prepare(df, features, stats, weights), features, label)
+    n = of[0].n + of[1].n
+    within = (of[0].n * of[0].cov + of[1].n * of[1].cov) / (n - 2)
+    diff = of[1].mean - of[0].mean
     coef = np.linalg.pinv(within, rcond=1e-9, hermitian=True) @ diff
     norm = float(np.sqrt(coef @ within @ coef)) or 1.0
     coef = coef / norm
-    centre = float((sizes @ means) / n @ coef)
+    centre = float((of[0].n * of[0].mean + of[1].n * of[1].mean) / n @ coef)
     eig = np.linalg.eigvalsh(within)
     cond = float(eig[-1] / max(eig[0], 1e-300))
-    return Projection(list(features), stats, weights, dict(zip(features, coef)), centre, cond)
+    return Projection(list(features), stats, weights, dict(zip(features, map(float, coef))), centre, cond)
 
 
 def fit_buckets(df: DataFrame, features: Sequence[str], label: str, weights: Mapping[str, float] | None = None,
@@ -124,31 +201,28 @@ def fit_buckets(df: DataFrame, features: Sequence[str], label: str, weights: Map
     """
     weights = dict(weights or {})
     stats = stats or fit_stats(df, features)
-    z = prepare(df.select(*features, label), features, stats, weights)
-    labels, sizes, means = _class_means(z, features, label)
-    n, d = sizes.sum(), len(features)
-    within = np.zeros((d, d))
-    for c, m in zip(labels, sizes):
-        part = z.where(F.col(label) == c)
-        if m < 2:
+    z = prepare(df, features, stats, weights)
+    of = class_moments(z, features, label)
+    fourth = _fourth_moments(z, features, label, of)
+    d, n = len(features), sum(m.n for m in of.values())
+    grand = sum(m.n * m.mean for m in of.values()) / n
+    within, between = np.zeros((d, d)), np.zeros((d, d))
+    for c, m in of.items():
+        away = m.mean - grand
+        between += m.n / n * np.outer(away, away)
+        if m.n < 2:
             continue                                    # a single row has no scatter
-        own = fit_stats(part, features)
-        dev = np.array([own[f][1] or 1.0 for f in features])
-        cov = _covariance(part, features) / np.outer(dev, dev)
-        squares = sum((zscore(f, own[f][0], own[f][1]) ** 2 for f in features), F.lit(0.0))
-        fourth = part.agg(F.avg(squares * squares)).first()[0]
-        s = shrinkage_intensity(cov, fourth, int(m))
-        shrunk = (1 - s) * cov + s * np.trace(cov) / d * np.eye(d)
-        within += m / n * shrunk * np.outer(dev, dev)
-    grand = sizes @ means / n
-    between = (means - grand).T @ np.diag(sizes / n) @ (means - grand)
+        dev = _deviations(m)
+        unit = m.cov / np.outer(dev, dev)
+        s = shrinkage_intensity(unit, fourth[c], m.n)
+        within += m.n / n * ((1 - s) * unit + s * np.trace(unit) / d * np.eye(d)) * np.outer(dev, dev)
     low = np.linalg.cholesky(within + 1e-12 * np.trace(within) / d * np.eye(d))
     half = np.linalg.solve(low, np.linalg.solve(low, between).T)
     vec = np.linalg.solve(low.T, np.linalg.eigh((half + half.T) / 2)[1][:, -1])
-    at = labels.index(basin_class) if basin_class in labels else 0
-    if (means[at] - grand) @ vec < 0:
+    at = basin_class if basin_class in of else min(of)
+    if (of[at].mean - grand) @ vec < 0:
         vec = -vec
-    return Projection(list(features), stats, weights, dict(zip(features, vec)), float(grand @ vec))
+    return Projection(list(features), stats, weights, dict(zip(features, map(float, vec))), float(grand @ vec))
 
 
 def loadings(model: Projection, spark: SparkSession) -> DataFrame:

@@ -86,6 +86,15 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("event_id", clean_double("true_risk").alias("true_risk"))
 
 
+def _once(df: DataFrame, keep: Sequence[str], values: Mapping[str, Column]) -> DataFrame:
+    """Columns that later filters and columns share, computed a single time.
+
+    A filter on a computed column is pushed below it together with a copy of its
+    expression; rows that come out of a generator are not recomputed.
+    """
+    return df.select(*keep, F.inline(F.array(F.struct(*[v.alias(n) for n, v in values.items()]))))
+
+
 # ---- two-line orbit text ------------------------------------------------------
 
 def read_orbit_pairs(spark: SparkSession, path: str) -> DataFrame:
@@ -114,26 +123,24 @@ def parse_orbits(pairs: DataFrame, at_least: int | None = None, wanted: DataFram
     both act before the remaining fields are parsed.
     """
     cut = lambda c, a, b: F.substring(F.col(c), a + 1, b - a)
-    rest = [F.col(c) for c in pairs.columns if c not in ("line1", "line2")]
-    base = pairs.select(*rest, strip_line_end("line1").alias("line1"), strip_line_end("line2").alias("line2"))
+    num = lambda c, a, b: F.trim(cut(c, a, b)).try_cast("double")
+    rest = [c for c in pairs.columns if c not in ("line1", "line2")]
+    base = _once(pairs, rest, {"line1": strip_line_end("line1"), "line2": strip_line_end("line2")})
     base = base.withColumn("norad_id", F.trim(cut("line1", 2, 7)))
     if at_least is not None:
         base = base.where(F.col("norad_id").try_cast("int") >= at_least)
     if wanted is not None:
         base = base.join(wanted.select("norad_id").distinct(), "norad_id", "left_semi")
-    num = lambda c, a, b: F.trim(cut(c, a, b)).try_cast("double")
-    out = base.select(
-        *rest, "norad_id", cut("line1", 7, 8).alias("classification"), F.trim(cut("line1", 9, 17)).alias("object_id"),
-        F.trim(cut("line1", 18, 20)).try_cast("int").alias("_yr"), num("line1", 20, 32).alias("_day"),
-        num("line1", 33, 43).alias("mean_motion_dot"), pseudo_exponent(cut("line1", 53, 61)).alias("bstar"),
-        num("line2", 8, 16).alias("inclination"), num("line2", 17, 25).alias("raan"),
-        implied_decimal(cut("line2", 26, 33)).alias("eccentricity"), num("line2", 34, 42).alias("arg_pericenter"),
-        num("line2", 43, 51).alias("mean_anomaly"), num("line2", 52, 63).alias("mean_motion"))
-    out = out.withColumn("epoch", two_digit_year_epoch("_yr", "_day")).drop("_yr", "_day")
-    out = out.withColumns(orbit_from_mean_motion("mean_motion", "eccentricity"))
-    need = ["epoch", "mean_motion_dot", "bstar", "inclination", "raan", "eccentricity", "arg_pericenter", "mean_anomaly",
-            "mean_motion", "semimajor_axis"]
-    return out.dropna(subset=need)
+    out = _once(base, [*rest, "norad_id"], {
+        "classification": cut("line1", 7, 8), "object_id": F.trim(cut("line1", 9, 17)),
+        "epoch": two_digit_year_epoch(F.trim(cut("line1", 18, 20)).try_cast("int"), num("line1", 20, 32)),
+        "mean_motion_dot": num("line1", 33, 43), "bstar": pseudo_exponent(cut("line1", 53, 61)),
+        "inclination": num("line2", 8, 16), "raan": num("line2", 17, 25),
+        "eccentricity": implied_decimal(cut("line2", 26, 33)), "arg_pericenter": num("line2", 34, 42),
+        "mean_anomaly": num("line2", 43, 51), "mean_motion": num("line2", 52, 63)})
+    need = ["epoch", "mean_motion_dot", "bstar", "inclination", "raan", "eccentricity", "arg_pericenter", "mean_anomaly"]
+    out = out.dropna(subset=need).where(F.col("mean_motion") > 0)
+    return out.withColumns(orbit_from_mean_motion("mean_motion", "eccentricity"))
 
 
 # ---- ephemeris text -----------------------------------------------------------
