@@ -47,7 +47,7 @@ def write_ordered(df: DataFrame, path: str, key: str, time: str) -> None:
 
 
 def write_results(df: DataFrame, path: str, form: str = "json") -> None:
-    df.coalesce(1).write.mode("overwrite").option("header", True).format(form).save(path)
+    df.write.mode("overwrite").option("header", True).format(form).save(path)
 
 
 def save_model(spark: SparkSession, path: str, model: Projection, basin: DataFrame, epsilon: float,
