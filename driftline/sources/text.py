@@ -201,6 +201,15 @@ def read_whitelisted(spark: SparkSession, path: str, columns: Sequence[str],
     return whitelist(spark.read.parquet(path), columns, forbidden)
 
 
+def read_variants(spark: SparkSession, path: str, pattern: str, name: str) -> DataFrame:
+    """Staged files whose names match a glob, with the data set's name taken from the file name.
+
+    `name` is a regular expression with one group, e.g. `(DS\\d+[a-z]?)`.
+    """
+    files = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", True).parquet(path)
+    return files.select("*", F.regexp_extract(F.col("_metadata.file_path"), name, 1).alias("dataset"))
+
+
 def whitelist(df: DataFrame, columns: Sequence[str], forbidden: str = r"(?i)^(x_v|t_.*health|theta).*") -> DataFrame:
     import re
     bad = [c for c in columns if re.match(forbidden, c)]

@@ -92,6 +92,13 @@ def test_leaking_columns_are_refused(spark, tmp_path):
     assert S.same_columns(df, ["a", "c"]) and not S.same_columns(df, ["c", "a"])
 
 
+def test_file_name_variants(spark, tmp_path):
+    for d in ("N-DS01-005", "DS08a", "other"):
+        spark.createDataFrame([(1.0,)], "T24 double").coalesce(1).write.parquet(str(tmp_path / d))
+    df = S.read_variants(spark, str(tmp_path), "*.parquet", r"(DS\d+[a-z]?)")
+    assert sorted(r["dataset"] for r in df.collect()) == ["", "DS01", "DS08a"]
+
+
 @pytest.mark.parametrize("n", [49, 50, 51, 200])
 def test_cruise_mask_fallbacks(spark, n):
     import numpy as np
