@@ -267,7 +267,7 @@ def _(t: Tables):
 
 
 @query("X12_array_steps", f"""
-SELECT vec_id, {R('embedding[4] - embedding[3]')} AS d4, {R('list_sum(embedding[1:8])')} AS head, len(embedding) AS n FROM embeddings""")
+SELECT vec_id, {R('embedding[4]::DOUBLE - embedding[3]::DOUBLE')} AS d4, {R('list_sum(embedding[1:8]::DOUBLE[])')} AS head, len(embedding) AS n FROM embeddings""")
 def _(t: Tables):
     e = F.col("embedding").cast("array<double>")
     diff = F.zip_with(F.slice(e, 2, F.size(e) - 1), F.slice(e, 1, F.size(e) - 1), lambda a, b: a - b)
