@@ -84,7 +84,7 @@ def summary_of(df: DataFrame, value: str, **kw) -> DataFrame:
 
 def _beside(a: DataFrame, b: DataFrame) -> DataFrame:
     """Two one-row results in one row."""
-    return a.withColumn("_one", F.lit(1)).join(b.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    return a.withColumn("_one", F.lit(1)).join(F.broadcast(b.withColumn("_one", F.lit(1))), "_one").drop("_one")
 
 
 def five_numbers(df: DataFrame, value: str, key: Sequence[str] = (), **kw) -> DataFrame:

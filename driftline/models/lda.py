@@ -234,7 +234,7 @@ def loading_shares(coefs: DataFrame, catalogue: DataFrame, by: str) -> DataFrame
     sums = coefs.join(F.broadcast(catalogue), "feature").groupBy(F.coalesce(F.col(by), F.lit("_covariance")).alias(by)).agg(
         F.sum(F.abs("coef")).alias("loading"))
     total = sums.agg(F.sum("loading").alias("_t")).withColumn("_one", F.lit(1))
-    out = sums.withColumn("_one", F.lit(1)).join(total, "_one")
+    out = sums.withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one")
     return out.select(by, "loading", (F.lit(100.0) * F.col("loading") / F.greatest("_t", F.lit(1e-10))).alias("pct"))
 
 

@@ -119,7 +119,7 @@ def leave_out_means(df: DataFrame, fold: str, columns: Sequence[str]) -> DataFra
 
     total = sums("t", df).withColumn("_one", F.lit(1))
     own = sums("o", df.groupBy(fold)).withColumn("_one", F.lit(1))
-    both = own.join(total, "_one")
+    both = own.join(F.broadcast(total), "_one")          # the total is one row
     n = (F.col("t_n") - F.col("o_n")).cast("double")
     out = {"n_train": F.col("t_n") - F.col("o_n"), "n_test": F.col("o_n")}
     for c in columns:
