@@ -18,8 +18,6 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from driftline.functions import features as Ft  # noqa: E402
-from driftline.operators import windows as W  # noqa: E402
 from driftline.registry import QUERIES  # noqa: E402
 from driftline.registry.base import SUPPLY_ORDER, Tables  # noqa: E402
 from driftline.registry.scoring import COEF, WEIGHTS  # noqa: E402

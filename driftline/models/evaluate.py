@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from driftline.functions.stats import f1_interval, precision_recall_f1, wilson
 from driftline.operators.knn import distance_on_line
-from driftline.operators.ordering import ROWS_PER_TASK, average_ranks, layout_of, quantiles, running
+from driftline.operators.ordering import ROWS_PER_TASK, average_ranks, layout_of, per_group, quantiles, running
 
 
 def separation(df: DataFrame, d: str, precursor: Column, nominal: Column, *, guard: str = "add",
@@ -145,11 +145,12 @@ def two_sample_ks(df: DataFrame, features: Sequence[str], in_first: Column, *, l
             .unpivot(["_a"], [F.col(f).cast("double").alias(f) for f in features], "feature", "_v")
             .where("_v IS NOT NULL"))
     tally = long.groupBy("feature", "_v").agg(F.count_if("_a").alias("_x"), F.count_if(~F.col("_a")).alias("_y"))
+    most = None if rows is None else rows * len(features)
     cum = running(tally, ["feature"], ["_v"], {"_cx": ("sum", F.col("_x")), "_cy": ("sum", F.col("_y"))},
-                  limit=limit, rows=None if rows is None else rows * len(features))
-    sizes = tally.groupBy("feature").agg(F.sum("_x").alias("_nx"), F.sum("_y").alias("_ny"))
+                  limit=limit, rows=most)
+    cum = per_group(cum, ["feature"], {"_nx": F.sum("_x"), "_ny": F.sum("_y")}, limit=limit, rows=most)
     gap = F.abs(F.col("_cx") / F.col("_nx") - F.col("_cy") / F.col("_ny"))
-    return cum.join(sizes, "feature").groupBy("feature").agg(F.max(gap).alias("ks"))
+    return cum.groupBy("feature").agg(F.max(gap).alias("ks"))
 
 
 def profile(df: DataFrame, features: Sequence[str]) -> DataFrame:

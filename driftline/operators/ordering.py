@@ -228,7 +228,8 @@ def per_group(df: DataFrame, key: Sequence[str], aggs: Mapping[str, Column], *,
     pre-aggregated and joined back, where skewed join splitting applies.
     """
     key = list(key)
-    if not layout_of(df, key, key, limit, rows).sliced:
+    small = rows is not None and rows <= limit
+    if small or df.groupBy(*key).count().where(F.col("count") > limit).isEmpty():
         whole = Window.partitionBy(*key)
         return df.withColumns({n: a.over(whole) for n, a in aggs.items()})
     return df.join(df.groupBy(*key).agg(*[a.alias(n) for n, a in aggs.items()]), key)

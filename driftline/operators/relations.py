@@ -54,7 +54,7 @@ def interleaving(a: DataFrame, b: DataFrame, key: str, time: str) -> DataFrame:
     return left.join(right, key).withColumn("pattern", kind)
 
 
-def monotonicity(df: DataFrame, key: str, time: str, tie: Sequence[str], order: Sequence[str], *,
+def monotonicity(df: DataFrame, key: str, time: str, order: Sequence[str], *,
                  limit: int = ROWS_PER_TASK, rows: int | None = None) -> DataFrame:
     """First record per object whose time does not exceed the one before, by file order."""
     frames = framed(df, [key], order, 1, limit=limit, rows=rows)

@@ -8,11 +8,10 @@ from driftline.functions.stats import mann_whitney_p, spearman_p, wilson
 from driftline.models import evaluate as Ev
 from driftline.operators import matching
 from driftline.plans.monitoring import frozen
-from driftline.registry.base import EV, LI, R, SUPPLY_ORDER, Tables, big, query, r
+from driftline.registry.base import EV, R, Tables, query, r
 from driftline.registry.records import MESSAGE_TIE, MSG, messages
 from driftline.registry.scoring import (COEF, FIRED, MATCH, P5, SD, WEIGHTS, fired, flow, predictions, scored)
 from driftline.operators import detect
-from driftline.operators.ordering import average_ranks, quantiles
 from driftline.operators.windows import prefix_stats
 from driftline.session import materialise
 

@@ -413,7 +413,7 @@ WITH {LI}, g AS (SELECT *, lag(day) OVER (PARTITION BY l_suppkey ORDER BY l_orde
   row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity) - 1 AS p FROM li)
 SELECT l_suppkey, min(p) FILTER (day <= b) AS violation_pos, arg_min(CASE WHEN day = b THEN 'duplicate' ELSE 'reversal' END, p) FILTER (day <= b) AS violation FROM g GROUP BY l_suppkey""")
 def _(t: Tables):
-    return Rl.monotonicity(t.supply(), "l_suppkey", "day", [], ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity"],
+    return Rl.monotonicity(t.supply(), "l_suppkey", "day", ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity"],
                            rows=t.rows("lineitem"))
 
 

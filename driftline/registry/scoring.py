@@ -14,7 +14,7 @@ from driftline.operators.ordering import with_position
 from driftline.operators.windows import window_features
 from driftline.plans.monitoring import Flow, fit_monitor, frozen, measure
 from driftline.plans.orbits import tightened_basin
-from driftline.registry.base import EV, LI, R, SUPPLY_ORDER, Tables, big, query, r, windows_sql
+from driftline.registry.base import EV, LI, R, SUPPLY_ORDER, Tables, query, r, windows_sql
 from driftline.session import materialise
 
 # coefficients of the frozen stand-in model, applied to standardised features
@@ -313,9 +313,6 @@ def _(t: Tables):
 
 # ---- C: calibration -----------------------------------------------------------
 
-C1 = f"""{SD}, g AS (SELECT i AS idx, (SELECT quantile_cont(d_mean, (5 + 90 * i / CAST(39 AS DOUBLE)) / 100) FROM sd) AS eps FROM range(40) x(i))"""
-
-
 @query("C1_percentile_sweep", f"""
 WITH {SD}, q AS (SELECT quantile_cont(d_mean, [{', '.join(f'CAST({p!r} AS DOUBLE)' for p in calibrate.percentile_grid())}]) AS qs FROM sd),
 g AS (SELECT unnest(qs) AS eps, generate_subscripts(qs, 1) - 1 AS idx FROM q),

@@ -14,7 +14,7 @@ from driftline.models.evaluate import spearman
 from driftline.operators import windows as W
 from driftline.operators.ordering import framed
 from driftline.plans import conjunction, orbits, signals
-from driftline.registry.base import EV, LI, R, SUPPLY_ORDER, Tables, big, query, r, windows_sql
+from driftline.registry.base import EV, LI, R, SUPPLY_ORDER, Tables, query, r, windows_sql
 from driftline.registry.records import MESSAGE_TIE, MSG, messages
 
 WIDTH, STRIDE = 30, 7

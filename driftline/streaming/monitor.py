@@ -14,7 +14,6 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -55,10 +54,6 @@ def _window_values(x: np.ndarray) -> list[float]:
 WINDOW_NAMES = ["mean", "std", "min", "max", "d1_mean", "d1_std", "d2_mean", "slope", "ratio"]
 
 
-def _scalars(row, key_size: int) -> tuple:
-    return tuple(row[:key_size])
-
-
 class _Windows(StatefulProcessor):
     """Last `width` records per object, in time order."""
 

@@ -5,7 +5,6 @@ import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from driftline.functions import features as Ft
 from driftline.functions.spectral import top_eigenvalues
