@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftline.llm import shards, warc
+from driftline.llm import decontaminate, shards, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -33,3 +33,13 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_sharding")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return shards.sharded_documents(table(spark, folder, "documents"))
+
+
+@query("op8_simhash")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.groups(table(spark, folder, "documents"))
+
+
+@query("op9_decontamination")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
