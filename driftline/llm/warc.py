@@ -36,10 +36,9 @@ def write_archive(pages: DataFrame, folder: str, page: str = "page_id", url: str
     rows = pages.select(F.col(page).cast("long").alias("page"), F.col(url).cast("string").alias("url"),
                         F.coalesce(F.col(body).cast("string"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumns({"key": F.sha2("payload", 256), "size": F.octet_length("payload").cast("long"), "order": F.coalesce("page", F.lit(MISSING_ID))})
-    # only digests are grouped, with partial sums before the shuffle: a payload a third of the pages share is one row
+    # both groupings combine before the shuffle: a payload that a third of the pages share moves once per task
     keepers = rows.groupBy("key").agg(F.max("order").alias("keep"))
-    (rows.select("key", "order", "payload").join(keepers.select(F.col("key").alias("k"), "keep"), (F.col("key") == F.col("k")) & (F.col("order") == F.col("keep")))
-     .select("key", "payload").dropDuplicates(["key"]).write.parquet(f"{folder}/payloads"))
+    rows.groupBy("key").agg(F.first("payload").alias("payload")).write.parquet(f"{folder}/payloads")
     records = rows.withColumn("digest", base32_sha1(F.col("payload"))).drop("payload").join(keepers, "key")
     response = (F.col("order") == F.col("keep")) | (F.col("size") < min_bytes)
     target = F.when(F.col("url").isNotNull(), F.concat(F.lit("WARC-Target-URI: "), F.regexp_replace(F.url_encode("url"), "\\+", "%20"), F.lit("\r\n"))).otherwise("")
