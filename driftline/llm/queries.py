@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftline.llm import bytes_dedup, decontaminate, shards, simhash, substrings, warc
+from driftline.llm import bpe, bytes_dedup, decontaminate, shards, simhash, substrings, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -53,3 +53,10 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 @query("op1_suffix_array_dedup")
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     return bytes_dedup.report(table(spark, folder, "documents"))
+
+
+@query("op4_bpe")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.round_trip(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
