@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftline.llm import bpe, bytes_dedup, decontaminate, shards, simhash, substrings, warc
+from driftline.llm import bpe, bytes_dedup, decontaminate, lines, near_vectors, quality, shards, simhash, substrings, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -60,3 +60,18 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
     return bpe.round_trip(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query("op2_embedding_dedup")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return near_vectors.near_duplicates(table(spark, folder, "embeddings"))
+
+
+@query("op6_quality")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.report(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op10_line_dedup", lines.SQL)
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return lines.report(table(spark, folder, "documents"))
