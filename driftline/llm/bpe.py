@@ -272,3 +272,22 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                      pa.array([hashlib.sha256(x).hexdigest() for x in own.decode(ids, n)])], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def tokenized(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """The columns of `docs` other than text, with ids, n_tokens and round_trip (the ids decode to the text's bytes)."""
+    shared, keep = docs.sparkSession.sparkContext.broadcast(read_ranks(path)), [c for c in docs.columns if c != "text"]
+    types = dict(docs.dtypes)
+    added = [n if n not in keep else f"_{n}" for n in ("ids", "n_tokens", "round_trip")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(shared.value, pattern)
+        for batch in batches:
+            for part in pieces(batch, size=SLICE):
+                texts = part.column("text").to_pylist()
+                ids, n = own.encode(texts)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(ids))
+                same = [x == (t or "").encode() for x, t in zip(own.decode(ids, n), texts)]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), lists, pa.array(n.astype(np.int64)), pa.array(same, pa.bool_())], [*keep, *added])
+
+    return map_arrow(docs, run, ", ".join(f"`{c}` {types[c]}" for c in keep) + f", {added[0]} array<int>, {added[1]} long, {added[2]} boolean")

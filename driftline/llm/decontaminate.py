@@ -120,6 +120,17 @@ def _count(block: Block):
     return run
 
 
+def _tables(block: Block) -> dict:
+    """Per shingle size: the prefix shingles, and the rows of the block that each one has."""
+    tables = {}
+    for s in np.unique(block.gram_size).tolist():
+        rows = np.flatnonzero(block.gram_size == s)
+        look = Lookup(block.gram[rows])
+        look.rows = rows                                                                  # sorted by shingle
+        tables[s] = (look, np.searchsorted(block.gram[rows], look.keys), np.searchsorted(block.gram[rows], look.keys, "right"))
+    return tables
+
+
 def _occurrences(block: Block, tables: dict, data, starts, ends, first, hashes) -> tuple[np.ndarray, np.ndarray]:
     """(first word, window) of every verified occurrence in a slice of texts."""
     begin, window = [], []
@@ -165,12 +176,7 @@ def _occurrences(block: Block, tables: dict, data, starts, ends, first, hashes)
 def _hits(block: Block):
     """Per document: number of words, hit word ranges, items."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = {}
-        for s in np.unique(block.gram_size).tolist():
-            rows = np.flatnonzero(block.gram_size == s)
-            look = Lookup(block.gram[rows])
-            look.rows = rows                                                              # sorted by shingle
-            tables[s] = (look, np.searchsorted(block.gram[rows], look.keys), np.searchsorted(block.gram[rows], look.keys, "right"))
+        tables = _tables(block)
         for batch in batches:
             for part in pieces(batch):
                 data, starts, ends, first, hashes = _words(part.column("text"))
@@ -206,20 +212,42 @@ def _covered(spans: list[int]) -> list[tuple[int, int]]:
     return out
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_bytes: int = 8_000_000) -> DataFrame:
-    """doc_id, n_words, spans (hit word ranges: start, end, start, end, ...), items (sorted ids as strings) of every document."""
-    spark, sc = docs.sparkSession, docs.sparkSession.sparkContext
-    docs = docs.select(F.col("doc_id").cast("long"), "text", row_id()[1])
+def _blocks(docs: DataFrame, benchmark: DataFrame, width: int, block_bytes: int) -> Iterator[Block]:
+    """The benchmark in blocks of about `block_bytes`, each with its rarest shingles chosen by counts over all of `docs`."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), "text")
     blocks = max(1, -(-text_size(items)[1] // block_bytes))
-    parts = []
     for b in range(blocks):
         some = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) if blocks > 1 else items
         block = Block([(r[0], r[1]) for r in some.collect()], width)                      # at most about block_bytes
         counts = map_arrow(docs.select("text"), _count(block), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
         block.choose({r[0]: r[1] for r in counts.collect()})                              # one number per shingle of the block
-        parts.append(map_arrow(docs, _hits(block), "doc_id long, _txt long, n_words long, spans array<long>, items array<string>"))
-    if blocks == 1:
+        yield block
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_bytes: int = 8_000_000) -> DataFrame:
+    """The rows of `docs` whose text holds no window of any item, with their columns unchanged."""
+    own = docs.columns
+    schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
+    for block in _blocks(docs, benchmark, width, block_bytes):
+        def run(batches: Iterator[pa.RecordBatch], block: Block = block) -> Iterator[pa.RecordBatch]:
+            tables = _tables(block)
+            for batch in batches:
+                for part in pieces(batch):
+                    data, starts, ends, first, hashes = _words(part.column("text"))
+                    begin, _ = _occurrences(block, tables, data, starts, ends, first, hashes)
+                    good = np.ones(part.num_rows, bool)
+                    good[np.searchsorted(first, begin, "right") - 1] = False
+                    yield part.select(own).filter(pa.array(good))
+
+        docs = map_arrow(docs, run, schema)
+    return docs
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_bytes: int = 8_000_000) -> DataFrame:
+    """doc_id, n_words, spans (hit word ranges: start, end, start, end, ...), items (sorted ids as strings) of every document."""
+    docs = docs.select(F.col("doc_id").cast("long"), "text", row_id()[1])
+    parts = [map_arrow(docs, _hits(b), "doc_id long, _txt long, n_words long, spans array<long>, items array<string>") for b in _blocks(docs, benchmark, width, block_bytes)]
+    if len(parts) == 1:
         return parts[0].drop("_txt")
     rows = parts[0].withColumn("_first", F.lit(1))
     for p in parts[1:]:

@@ -14,6 +14,7 @@ others and are returned as null; equal rows fall together; an empty table gives
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,20 +22,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import LOWER, MISSING_ID, NOT_SPACE, components, discard, find_words, flat, map_arrow, pieces, ragged, store, union_find
+from driftline.llm.common import LOWER, MISSING_ID, NOT_SPACE, components, find_words, flat, map_arrow, mix, pieces, ragged, store, union_find
 
 SHINGLE, RADIUS, BLOCKS, SEED = 4, 4, 6, 42
 
 
-def _fingerprints(data: np.ndarray, at: np.ndarray, shingle: int) -> np.ndarray:
+def _fingerprints(data: np.ndarray, at: np.ndarray, shingle: int, bands: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The fingerprint of every text, and `bands` keys of two minimum shingle hashes each."""
     from xxhash import xxh64_intdigest
 
     data = LOWER[data]
     starts, ends, first = find_words(data, at, NOT_SPACE)
     n_docs, n_words = len(at) - 1, np.diff(first)
-    out = np.zeros(n_docs, np.uint64)
+    out, keys = np.zeros(n_docs, np.uint64), np.zeros((n_docs, bands), np.uint64)
     if not len(starts):
-        return out
+        return out, keys
     lengths = ends - starts
     joined = np.full(int(lengths.sum()) + len(starts), 32, np.uint8)            # words, each followed by one space
     ws = np.cumsum(lengths + 1) - (lengths + 1)
@@ -55,18 +57,24 @@ def _fingerprints(data: np.ndarray, at: np.ndarray, shingle: int) -> np.ndarray:
             s = int(edge[d]) - a
             ones = bits[s:s + int(count[d])].sum(axis=0, dtype=np.int32)
             out[d] = np.packbits(ones * 2 > int(count[d]), bitorder="little").view(np.uint64)[0]
-    return out
+    for k in range(bands):
+        low = [np.minimum.reduceat(mix(hashes + np.uint64((2 * k + m + 1) * 0x9E3779B97F4A7C15 % 2 ** 64)), edge[have]) for m in (0, 1)]
+        keys[have, k] = mix(low[0] * np.uint64(31) + low[1])
+    return out, keys
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) of every text."""
+def fingerprints(docs: DataFrame, keep: list[str], shingle: int = SHINGLE, bands: int = 0) -> DataFrame:
+    """Columns `keep` of docs, the fingerprint `fp` of every text, and `keys` (array of `bands` longs)."""
+    types = dict(docs.dtypes)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch):
-                fp = _fingerprints(*flat(part.column("text")), shingle)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+                fp, keys = _fingerprints(*flat(part.column("text")), shingle, bands)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * bands), pa.array(keys.view(np.int64).ravel()))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(fp.view(np.int64)), lists], [*keep, "fp", "keys"])
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, fp long")
+    return map_arrow(docs.select(*keep, "text"), run, ", ".join(f"`{c}` {types[c]}" for c in keep) + ", fp long, keys array<long>")
 
 
 # ---------------------------------------------------------------- BK-trees (many at once)
@@ -148,34 +156,60 @@ def _link_units(radius: int):
     return run
 
 
-def near_links(classes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, tree_rows: int = 16_384) -> DataFrame:
-    """Links (src, dst) between `classes` (cls, fp; fp distinct) whose components are those of all pairs within the radius."""
-    spark = classes.sparkSession
+def _sharded(classes: DataFrame, radius: int, blocks: int) -> DataFrame:
+    """Rows (cls, fp, tab, key): every choice of `blocks - radius` parts of the 64 bits is a table, those bits the shard's key."""
     edges = [64 * k // blocks for k in range(blocks + 1)]
     masks = [sum(((1 << (edges[k + 1] - edges[k])) - 1) << edges[k] for k in chosen) for chosen in itertools.combinations(range(blocks), blocks - radius)]
     signed = [m - 2 ** 64 if m >= 2 ** 63 else m for m in masks]
     tables = F.array(*[F.struct(F.lit(t).alias("tab"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(signed)])
-    rows = classes.select("cls", "fp", F.explode(tables).alias("t")).select("cls", "fp", "t.tab", "t.key")
+    return classes.select("cls", "fp", F.explode(tables).alias("t")).select("cls", "fp", "t.tab", "t.key")
+
+
+def near_links(rows: DataFrame, n: int, radius: int = RADIUS, tree_rows: int = 16_384) -> DataFrame:
+    """Links (src, dst) between the classes of `rows` (cls, fp, tab, key; about n rows; fp names cls) whose components are those of all
+    pairs within the radius that share a shard (tab, key)."""
+    spark = rows.sparkSession
     sizes = rows.groupBy("tab", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     split = F.ceil(F.col("n") / tree_rows).cast("int")
     shared = rows.join(sizes, ["tab", "key"]).withColumn("nb", split)
     shared = shared.withColumn("b", F.when(F.col("nb") > 1, F.pmod(F.xxhash64("fp"), F.col("nb")).cast("int")).otherwise(0))
     pair = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda o: F.struct(F.least(F.col("b"), o).alias("i"), F.greatest(F.col("b"), o).alias("j")))
     units = shared.withColumn("p", F.explode(pair)).select("tab", "key", "p.i", "p.j", "b", "cls", "fp")
-    n = classes.count() * len(masks)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // 400_000))
     return map_arrow(units.repartition(parts, "tab", "key", "i", "j"), _link_units(radius), "src long, dst long")
 
 
+def _components(fp: DataFrame, shards: DataFrame, n: int, classes: DataFrame, radius: int, tree_rows: int) -> DataFrame:
+    """(f, component) of every fingerprint in fp (doc, fp): component is the smallest doc reachable."""
+    # a document id may carry several texts: their fingerprints share the id, and so the component
+    shared = fp.groupBy("doc").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a != b")
+    own = fp.join(shared.select("doc"), "doc").select("doc", "fp").distinct().join(classes, "fp").select(F.col("doc").alias("src"), F.col("cls").alias("dst"))
+    comp = components(near_links(shards, n, radius, tree_rows).unionByName(own))
+    return classes.join(comp, F.col("cls") == F.col("node"), "left").select(F.col("fp").alias("f"), F.coalesce("component", "cls").alias("component"))
+
+
 def groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, blocks: int = BLOCKS, tree_rows: int = 16_384) -> DataFrame:
-    """doc_id, fingerprint (hex), component_id of every document."""
-    fp = store(fingerprints(docs, shingle).withColumn("doc", F.coalesce("doc_id", F.lit(MISSING_ID))), "fingerprints")
+    """doc_id, fingerprint (hex), component_id of every document; all fingerprints within the radius are linked."""
+    rows = docs.select(F.col("doc_id").cast("long"), "text").withColumn("doc", F.coalesce("doc_id", F.lit(MISSING_ID)))
+    fp = store(fingerprints(rows, ["doc_id", "doc"], shingle).drop("keys"), "fingerprints")
     classes = store(fp.groupBy("fp").agg(F.min("doc").alias("cls")), "classes")
-    # a document id may carry several texts: such fingerprints share the id, and so the component
-    shared = fp.groupBy("doc").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a != b")
-    own = (fp.join(shared.select("doc"), "doc").select("doc", "fp").distinct().join(classes, "fp").select(F.col("doc").alias("src"), F.col("cls").alias("dst")))
-    comp = components(near_links(classes, radius, blocks, tree_rows).unionByName(own))
-    named = classes.join(comp, F.col("cls") == F.col("node"), "left").select(F.col("fp").alias("f"), F.coalesce("component", "cls").alias("component"))
+    tables = math.comb(blocks, blocks - radius)
+    named = _components(fp, _sharded(classes, radius, blocks), classes.count() * tables, classes, radius, tree_rows)
     value = F.col("component")
     return fp.join(named, F.col("fp") == F.col("f")).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.when(value != MISSING_ID, value).alias("component_id"))
+
+
+def representatives(docs: DataFrame, shingle: int = 5, radius: int = 12, bands: int = 5, tree_rows: int = 16_384) -> DataFrame:
+    """(doc, txt) of one text of each group, the smallest, for docs with `_doc` and `_txt`.
+
+    Two texts are linked if their fingerprints agree in 0.8 of 64 bits (radius 12) and they share a shard. So wide a radius leaves
+    bits no use as shard keys; here a shard is a pair of minimum shingle hashes, and each text is in `bands` of them. Texts that have 0.8 of
+    their shingles in common share one with probability 1 - (1 - 0.64) ** 5 = 0.994.
+    """
+    named = docs.withColumnRenamed("_doc", "doc").withColumnRenamed("_txt", "txt")
+    fp = store(fingerprints(named, ["doc", "txt"], shingle, bands), "fingerprints")
+    classes = store(fp.groupBy("fp").agg(F.min("doc").alias("cls")), "classes")
+    shards = fp.select("fp", F.posexplode("keys").alias("tab", "key")).distinct().join(classes, "fp").select("cls", "fp", "tab", "key")
+    comp = _components(fp.select("doc", "fp"), shards, fp.count() * bands, classes, radius, tree_rows)
+    return fp.join(comp, F.col("fp") == F.col("f")).groupBy("component").agg(F.min(F.struct("doc", "txt")).alias("first")).select("first.doc", "first.txt")
