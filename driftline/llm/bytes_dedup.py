@@ -1,12 +1,13 @@
 """Exact substring dedup on bytes with suffix arrays, over shards that hold all possible matches of their text.
 
-Every `width`-byte window has an anchor: the smallest of the half-window hashes inside it, the leftmost of equals. Equal
+Every `width`-byte window has an anchor: the smallest of the hashes of the strings of 3/8 its length inside it, the leftmost of equals. Equal
 windows have equal anchors at equal places, and neighbouring windows share theirs: the windows of one anchor are one segment of
 text. Segments go to shards by anchor, so equal windows always meet. A sketch (`sketch`) of all anchors goes first and drops
 segments whose anchor is proven unique. Each shard of segments gets a suffix array by induced sorting and permuted common prefixes
 (`sais`); neighbours in the array that share `width` bytes are equal windows, the first in (doc_id, position) order stays.
 
-A task sends equal segments once, from their first place; its other copies are repeats already. An anchor that stands in many
+Equal segments are combined before the shuffle and again before the arrays: the one of the smallest document stays, the others are
+repeats already. An anchor with one segment left has nothing to compare (the windows of one segment all differ). An anchor that stands in many
 different contexts (a line that a third of the documents share) would fill one shard; once a task holds
 `hot_segments` of one anchor its segments are sent on as single windows, spread by their own hash, where equal ones combine again.
 
@@ -26,40 +27,35 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import _TABLES, anchors, binary, flat, map_arrow, mix, pieces, ragged, row_id, runs, span_hash, text_size
+from driftline.llm.common import BASES, _TABLES, anchors, binary, flat, map_arrow, mix, pieces, powers, ragged, row_id, runs, span_hash, text_size
 from driftline.llm.sais import common_prefixes, suffix_array
 from driftline.llm.sketch import Repeats, repeats
 
 WIDTH = 100
-FLUSH = 8_000_000                   # segment bytes a task holds before it sends them
-SHARD = 2_000_000                   # bytes of one suffix array
+FLUSH = 3_000_000                   # segment bytes a task holds before it sends them
+SHARD = 1_500_000                   # bytes of one suffix array
 FIELDS = (("key", np.uint64), ("doc", np.int64), ("txt", np.int64), ("start", np.int64), ("size", np.int64))
 ROW = "bucket int, _doc long, _txt long, spans binary, " + ", ".join(f"{n} binary" for n, _ in FIELDS) + ", body binary"
 NAMES = ["bucket", "_doc", "_txt", "spans", *(n for n, _ in FIELDS), "body"]
 
 
-def _grams(data: np.ndarray, width: int) -> np.ndarray:
-    """Hashes of all half windows: prefixes double, so each byte costs a few array steps."""
-    half, h, have = width // 2, _TABLES[0][data], 1
-    base = np.uint64(0x9E3779B97F4A7C15)
+def _grams(data: np.ndarray, half: int) -> np.ndarray:
+    """Hashes of all strings of `half` bytes."""
+    up, down = powers(BASES[0], len(data) + 1)
+    v = _TABLES[0][data]
+    v *= up[:len(v)]
+    total = np.zeros(len(v) + 1, np.uint64)
+    np.cumsum(v, out=total[1:])
+    h = total[half:] - total[:-half]
+    h *= down[:len(h)]
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0x94D049BB133111EB)
+    return h
 
-    def power(k: int) -> np.uint64:
-        return np.uint64(pow(int(base), k, 2 ** 64))
 
-    parts: list[tuple[int, np.ndarray]] = []
-    while have <= half:
-        if half & have:
-            parts.append((have, h))
-        if have * 2 <= half:
-            h = h[:-have] * power(have) + h[have:] if len(h) > have else h[:0]
-        have *= 2
-    out, used = None, 0
-    n = max(0, len(data) - half + 1)
-    for size, h in parts:
-        piece = h[used:used + n]
-        out = piece.copy() if out is None else out * power(size) + piece
-        used += size
-    return mix(out[:n])
+def gram_bytes(width: int) -> int:
+    """Long enough to be rare by chance, short enough that a segment has many windows."""
+    return max(1, width * 3 // 8)
 
 
 def _segments(column: pa.Array, width: int):
@@ -68,8 +64,8 @@ def _segments(column: pa.Array, width: int):
     many = np.maximum(np.diff(at) - width + 1, 0)
     if not many.any():
         return data, *(np.zeros(0, np.int64) for _ in range(3)), np.zeros(0, np.uint64), at
-    grams = _grams(data, width)
-    mark = anchors(grams, width - width // 2 + 1)                   # of every window of the slice, crossing ones too
+    grams = _grams(data, gram_bytes(width))
+    mark = anchors(grams, width - gram_bytes(width) + 1)                   # of every window of the slice, crossing ones too
     new = np.ones(len(mark), bool)
     new[1:] = mark[1:] != mark[:-1]
     inside = np.zeros(len(mark) + 1, np.int32)
@@ -92,29 +88,26 @@ def _bucket(key: np.ndarray, parts: int) -> np.ndarray:
     return (mix(key.copy()) % np.uint64(parts)).astype(np.int32)
 
 
-def _span_rows(bucket, doc, txt, start, size) -> Iterator[pa.RecordBatch]:
+def _span_rows(doc, txt, start, size, parts: int) -> Iterator[pa.RecordBatch]:
     """Known repeats: per document its runs of windows (first window, number of windows)."""
     if not len(doc):
         return
     order = np.lexsort((start, txt, doc))
-    bucket, doc, txt = bucket[order], doc[order], txt[order]
+    doc, txt = doc[order], txt[order]
     pairs = np.stack([start[order], size[order]], axis=1)
     owner = np.ones(len(doc), bool)
     owner[1:] = (doc[1:] != doc[:-1]) | (txt[1:] != txt[:-1])
     at = np.flatnonzero(owner)
     none = [None] * len(at)
-    yield pa.RecordBatch.from_arrays([pa.array(bucket[at], pa.int32()), pa.array(doc[at]), pa.array(txt[at]), binary([p.tobytes() for p in np.split(pairs, at[1:])]),
+    yield pa.RecordBatch.from_arrays([pa.array(_bucket(doc[at].view(np.uint64), parts)), pa.array(doc[at]), pa.array(txt[at]), binary([p.tobytes() for p in np.split(pairs, at[1:])]),
                                       *(binary(none) for _ in FIELDS), binary(none)], NAMES)
 
 
-def _send(held: list, width: int, parts: int) -> Iterator[pa.RecordBatch]:
-    """Segments of one flush, equal ones once; a bucket's segments are one row of arrays."""
-    key, doc, txt, start, size = (np.concatenate([h[k] for h in held]) for k in range(5))
-    body = np.concatenate([h[5] for h in held])
+def _combine(bucket, key, doc, txt, start, size, body, width: int):
+    """Equal segments of an anchor once, from the smallest document; the rows that are copies of it, and the rest by bucket and key."""
     length = size + width - 1
     at = np.cumsum(length) - length
     h1, h2 = (span_hash(_TABLES[k][body], at, at + length, k) for k in (0, 1))
-    bucket = _bucket(key, parts)
     order = np.lexsort((start, txt, doc, size, h2, h1, key, bucket))
     bucket, key, doc, txt, start, size, length, at, h1, h2 = (x[order] for x in (bucket, key, doc, txt, start, size, length, at, h1, h2))
     new = np.ones(len(key), bool)
@@ -123,9 +116,16 @@ def _send(held: list, width: int, parts: int) -> Iterator[pa.RecordBatch]:
     again = np.zeros(len(key), bool)
     again[1:] = ~new[1:] & (doc[1:] == doc[:-1]) & (txt[1:] == txt[:-1])
     known = again | (doc > doc[lead])
-    yield from _span_rows(bucket[known], doc[known], txt[known], start[known], size[known])
     keep = ~known
-    bucket, key, doc, txt, start, size, length, at = (x[keep] for x in (bucket, key, doc, txt, start, size, length, at))
+    return (doc[known], txt[known], start[known], size[known]), tuple(x[keep] for x in (bucket, key, doc, txt, start, size, length, at))
+
+
+def _send(held: list, width: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """Segments of one flush, equal ones once; a bucket's segments are one row of arrays."""
+    key, doc, txt, start, size = (np.concatenate([h[k] for h in held]) for k in range(5))
+    body = np.concatenate([h[5] for h in held])
+    copies, (bucket, key, doc, txt, start, size, length, at) = _combine(_bucket(key, parts), key, doc, txt, start, size, body, width)
+    yield from _span_rows(*copies, parts)
     lo, hi = runs(bucket)
     if not len(lo):
         return
@@ -159,7 +159,7 @@ def _candidates(shared, width: int, parts: int):
     return run
 
 
-def _shard(key, doc, txt, start, size, body, width: int) -> Iterator[pa.RecordBatch]:
+def _shard(doc, txt, start, size, body, width: int, parts: int) -> Iterator[pa.RecordBatch]:
     """One suffix array over whole anchors: which windows start earlier elsewhere."""
     length = size + width - 1
     order = np.lexsort((start, txt, doc))
@@ -170,7 +170,7 @@ def _shard(key, doc, txt, start, size, body, width: int) -> Iterator[pa.RecordBa
     place = np.cumsum(room_in) - room_in
     text[np.arange(int(length.sum())) + np.repeat(np.arange(len(length)), length)] = ragged(body, at, length)
     room = np.repeat(place + length, room_in) - np.arange(len(text))
-    sa = suffix_array(text, width)
+    sa = suffix_array(text)
     same = common_prefixes(text, sa, room)[sa] >= width
     group = np.cumsum(~same)
     # only groups of two or more matter; inside one, text position is (doc_id, position) order
@@ -192,7 +192,7 @@ def _shard(key, doc, txt, start, size, body, width: int) -> Iterator[pa.RecordBa
     first = np.flatnonzero(cut)
     n = np.diff(np.append(first, len(hit)))
     seg = np.searchsorted(place, hit[first], "right") - 1
-    yield from _span_rows(np.zeros(len(first), np.int32), doc[seg], txt[seg], start[seg] + hit[first] - place[seg], n)
+    yield from _span_rows(doc[seg], txt[seg], start[seg] + hit[first] - place[seg], n, parts)
 
 
 def _group(width: int, parts: int, hot_segments: int | None):
@@ -208,6 +208,30 @@ def _group(width: int, parts: int, hot_segments: int | None):
             edge = np.arange(len(w)) * width
             yield from _send([(span_hash(_TABLES[0][text], edge, edge + width), doc[w], txt[w], start[w] + s, np.ones(len(w), np.int64), text)], width, parts)
 
+    def arrays(some) -> Iterator[pa.RecordBatch]:
+        """Lots of whole anchors: equal segments once, then suffix arrays of those anchors that still have several."""
+        key, size = some[0], some[4]
+        length = size + width - 1
+        at = np.cumsum(length) - length
+        order = np.argsort(key, kind="stable")
+        lo, hi = runs(key[order])
+        upto = np.append(0, np.cumsum(length[order]))
+        a, held, n = 0, [], 0
+        while a < len(lo):
+            b = max(a + 1, int(np.searchsorted(upto[hi + 1], upto[lo[a]] + SHARD, "right")))
+            s = order[lo[a]:hi[b - 1] + 1]
+            body = ragged(some[5], at[s], length[s])
+            copies, (_, k, doc, txt, start, m, long, place) = _combine(np.zeros(len(s), np.int32), key[s], some[1][s], some[2][s], some[3][s], size[s], body, width)
+            yield from _span_rows(*copies, parts)
+            first, last = runs(k)
+            several = np.repeat(last > first, last - first + 1)                # the windows of one segment all differ
+            held.append((doc[several], txt[several], start[several], m[several], ragged(body, place[several], long[several])))
+            n += len(held[-1][4])
+            a = b
+            if n >= SHARD or (a >= len(lo) and n):
+                yield from _shard(*(np.concatenate(x) for x in zip(*held)), width, parts)
+                held, n = [], 0
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n, hot = [], 0, np.zeros(0, np.uint64)
 
@@ -244,18 +268,7 @@ def _group(width: int, parts: int, hot_segments: int | None):
         if hot_segments:
             out, some = split(some)
             yield from single(*out)
-        key, size = some[0], some[4]
-        length = size + width - 1
-        at = np.cumsum(length) - length
-        order = np.argsort(key, kind="stable")
-        lo, hi = runs(key[order])
-        upto = np.append(0, np.cumsum(length[order]))
-        a = 0
-        while a < len(lo):
-            b = max(a + 1, int(np.searchsorted(upto[hi + 1], upto[lo[a]] + SHARD, "right")))
-            s = order[lo[a]:hi[b - 1] + 1]
-            yield from _shard(key[s], some[1][s], some[2][s], some[3][s], size[s], ragged(some[5], at[s], length[s]), width)
-            a = b
+        yield from arrays(some)
     return run
 
 
@@ -263,7 +276,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, max_bits: int = 2 ** 28,
     """(_doc, _txt, spans): runs (first window, number of windows) of windows that also start earlier."""
     size = text_size(docs)[1]
     rows = docs.select("text", *row_id())
-    shared = repeats(rows.select("text"), _anchor_keys(width), 2 * size // (width - width // 2 + 2) + 1, max_bits)
+    shared = repeats(rows.select("text"), _anchor_keys(width), 2 * size // (width - gram_bytes(width) + 2) + 1, max_bits)
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // 8_000_000))
     buckets = parts * 16
     found = map_arrow(rows, _candidates(shared, width, buckets), ROW)

@@ -11,7 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 2_000_000        # text handled at once inside a task
+CHUNK_BYTES = 250_000          # text handled at once inside a task: its arrays fit the cache
+KEPT_POWERS = 1 << 22
 MISSING_ID = -(2 ** 63)        # stands for a null id while ids are compared: before all others
 
 
@@ -45,8 +46,15 @@ def discard(df: DataFrame) -> None:
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def tasks_for(rows: int, per_task: int, least: int = 1) -> int:
-    return max(least, -(-int(rows) // per_task))
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as no column of `df` has it."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def text_size(df: DataFrame, column: str = "text") -> tuple[int, int]:
@@ -137,14 +145,14 @@ def find_words(data: np.ndarray, at: np.ndarray, keep: np.ndarray) -> tuple[np.n
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     have = _POWERS.get(base)
     if have is None or len(have[0]) < n:
-        size = max(n, 1 << 16)
+        size = max(n, min(2 * n, KEPT_POWERS), 1 << 18)
         up, down = np.full(size, base, np.uint64), np.full(size, pow(base, -1, 2 ** 64), np.uint64)
         up[0] = down[0] = 1
         have = (np.multiply.accumulate(up), np.multiply.accumulate(down))
-        if size > 4 * CHUNK_BYTES:         # not kept: one very long text should not stay in memory
+        if size > KEPT_POWERS:             # not kept: one very long text should not stay in memory
             return have
         _POWERS[base] = have
     return have
@@ -172,7 +180,7 @@ _TABLES = [byte_values(11), byte_values(12)]
 def span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
     """A 64-bit hash of values[start:end] (uint64 values) for many spans at once, by one running sum."""
     n = len(values)
-    up, down = _powers(BASES[which], n + 1)
+    up, down = powers(BASES[which], n + 1)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(values * up[:n], out=total[1:])
     return mix((total[ends] - total[starts]) * down[starts])

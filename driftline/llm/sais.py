@@ -76,8 +76,8 @@ def induce(t: np.ndarray, lms: np.ndarray) -> np.ndarray:
     return np.concatenate([x for c in range(256) for x in (large[c], small[c])])
 
 
-def _double(names: np.ndarray, depth: int) -> np.ndarray:
-    """Order of the suffixes of a string of names by their first `depth` names: the prefix known doubles each round."""
+def _double(names: np.ndarray) -> np.ndarray:
+    """Order of the suffixes of a string of names: the length of the prefix that is in order doubles each round."""
     m = len(names)
     order = np.argsort(names, kind="stable")
     held = names[order]
@@ -87,7 +87,7 @@ def _double(names: np.ndarray, depth: int) -> np.ndarray:
     rank[order] = np.maximum.accumulate(np.where(new, np.arange(m), 0)) + 1
     rank[m] = 0
     reach = 1
-    while reach < depth:
+    while True:
         tied = ~new | ~np.append(new[1:], True)
         if not tied.any():
             break
@@ -106,8 +106,8 @@ def _double(names: np.ndarray, depth: int) -> np.ndarray:
     return order
 
 
-def suffix_array(t: np.ndarray, depth: int | None = None) -> np.ndarray:
-    """The suffixes of the bytes `t` in order; with `depth`, at least by their first `depth` bytes."""
+def suffix_array(t: np.ndarray) -> np.ndarray:
+    """The suffixes of the bytes `t` in order."""
     n = len(t)
     if n < 2:
         return np.arange(n)
@@ -129,8 +129,8 @@ def suffix_array(t: np.ndarray, depth: int | None = None) -> np.ndarray:
         return induce(t, ordered)
     names = np.empty(len(lms), np.int64)
     names[at] = name
-    # the reduced string: the same method again while its letters fit a byte, else by doubling (each name spans two bytes or more)
-    order = suffix_array(names.astype(np.uint8), depth) if name[-1] < 256 else _double(names, len(names) if depth is None else depth // 2 + 2)
+    # the reduced string: the same method again while its letters fit a byte, else by doubling
+    order = suffix_array(names.astype(np.uint8)) if name[-1] < 256 else _double(names)
     return induce(t, lms[order])
 
 

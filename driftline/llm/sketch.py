@@ -24,8 +24,8 @@ FLUSH = 1_000_000                   # keys of one partition sketch
 
 
 def width_bits(keys: int, max_bits: int = 2 ** 28) -> int:
-    """log2 of the counters of one row: about four for each expected key."""
-    return int(min(np.log2(max_bits), max(RANGE_BITS, int(4 * max(keys, 1)).bit_length())))
+    """log2 of the counters of one row: about eight for each expected key."""
+    return int(min(np.log2(max_bits), max(RANGE_BITS, int(8 * max(keys, 1)).bit_length())))
 
 
 def _positions(h: np.ndarray, row: int, bits: int) -> np.ndarray:
