@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm.common import binary, map_arrow, pieces, ragged
+from driftline.llm.common import binary, fresh, map_arrow, pieces, ragged
 
 LONG, CACHE, SLICE, DECODE_TOKENS = 48, 1_500_000, 4_000_000, 1_000_000
 
@@ -278,7 +278,7 @@ def tokenized(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """The columns of `docs` other than text, with ids, n_tokens and round_trip (the ids decode to the text's bytes)."""
     shared, keep = docs.sparkSession.sparkContext.broadcast(read_ranks(path)), [c for c in docs.columns if c != "text"]
     types = dict(docs.dtypes)
-    added = [n if n not in keep else f"_{n}" for n in ("ids", "n_tokens", "round_trip")]
+    added = fresh(docs, "ids", "n_tokens", "round_trip")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(shared.value, pattern)

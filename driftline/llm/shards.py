@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from driftline.llm.common import fresh
+
 
 def communication_matrix(counts: list[int], shards: int, seed: int) -> list[list[int]]:
     """Rows of (partition -> shard) counts with the given row sums and column sums at most one apart."""
@@ -52,12 +54,17 @@ def _draw(rng: np.random.Generator, good: int, bad: int, take: int) -> int:
 
 def shuffle_into_shards(df: DataFrame, key: list[str], shards: int = 24, seed: int = 7, rows_per_task: int = 100_000,
                         max_partitions: int = 65_536) -> DataFrame:
-    """`df` with `shard` (0 to shards - 1, counts at most one apart) and `slot` (0, 1, ... in each shard).
+    """`df` with `shard` (0 to shards - 1, counts at most one apart) and `slot` (0, 1, ... in each shard), with underscores if taken.
 
     `key` are the columns whose hash deals and permutes. `max_partitions` bounds the matrix on the driver; beyond
     `max_partitions * rows_per_task` rows the partitions grow, and nothing else changes.
     """
+    names = fresh(df, "shard", "slot")
+    kept = df.columns
+    df = df.select(F.struct(*kept).alias("row"), *[F.col(c).alias(f"_key{k}") for k, c in enumerate(key)])
+    key = [f"_key{k}" for k in range(len(key))]
     spark, mark = df.sparkSession, [F.col(c) for c in key]
+    final = [*[F.col(f"row.`{c}`").alias(c) for c in kept], F.col("shard").alias(names[0]), F.col("slot").cast("long").alias(names[1])]
     n = df.count()
     parts = min(max_partitions, -(-n // rows_per_task) * 4 or 1)
 
@@ -73,16 +80,14 @@ def shuffle_into_shards(df: DataFrame, key: list[str], shards: int = 24, seed: i
             .withColumn("shard", F.size(F.filter("_upto", lambda x: x < F.col("_rn"))).cast("int")))
     # the second permutation: blocks are ranges of the random key, numbered on from one another
     blocks = max(1, -(-n // (shards * rows_per_task)))
-    width = (2 ** 64 - 1) // blocks + 1
-    block = F.floor((F.col("_two").cast("decimal(20,0)") + F.lit(2 ** 63).cast("decimal(20,0)")) / F.lit(width).cast("decimal(20,0)")).cast("int") if blocks > 1 else F.lit(0)
+    block = F.expr(f"shiftrightunsigned(_two, 1) div {(2 ** 63 - 1) // blocks + 1}").cast("int") if blocks > 1 else F.lit(0)
     sent = sent.withColumn("_block", block)
     slot = F.row_number().over(W.partitionBy("shard", "_block").orderBy("_two", *key)) - 1
     if blocks == 1:
-        return sent.withColumn("slot", slot.cast("long")).drop("_part", "_one", "_two", "_rn", "_upto", "_block")
+        return sent.withColumn("slot", slot).select(*final)
     sizes = sent.groupBy("shard", "_block").agg(F.count(F.lit(1)).alias("_n"))
     first = sizes.select("shard", "_block", (F.sum("_n").over(W.partitionBy("shard").orderBy("_block")) - F.col("_n")).alias("_first"))
-    return (sent.withColumn("slot", slot).join(first, ["shard", "_block"]).withColumn("slot", F.col("slot") + F.col("_first"))
-            .drop("_part", "_one", "_two", "_rn", "_upto", "_block", "_first"))
+    return (sent.withColumn("slot", slot).join(first, ["shard", "_block"]).withColumn("slot", F.col("slot") + F.col("_first")).select(*final))
 
 
 def sharded_documents(docs: DataFrame, shards: int = 24, seed: int = 7, rows_per_task: int = 100_000) -> DataFrame:

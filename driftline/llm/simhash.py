@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import LOWER, MISSING_ID, NOT_SPACE, components, find_words, flat, map_arrow, mix, pieces, ragged, store, union_find
+from driftline.llm.common import LOWER, MISSING_ID, NOT_SPACE, components, find_words, flat, map_arrow, mix, pieces, ragged, row_id, store, union_find
 
 SHINGLE, RADIUS, BLOCKS, SEED = 4, 4, 6, 42
 
@@ -201,13 +201,14 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, blocks
 
 
 def representatives(docs: DataFrame, shingle: int = 5, radius: int = 12, bands: int = 5, tree_rows: int = 16_384) -> DataFrame:
-    """(doc, txt) of one text of each group, the smallest, for docs with `_doc` and `_txt`.
+    """(doc, txt), as in `row_id`, of one text of each group, the smallest.
 
     Two texts are linked if their fingerprints agree in 0.8 of 64 bits (radius 12) and they share a shard. So wide a radius leaves
     bits no use as shard keys; here a shard is a pair of minimum shingle hashes, and each text is in `bands` of them. Texts that have 0.8 of
     their shingles in common share one with probability 1 - (1 - 0.64) ** 5 = 0.994.
     """
-    named = docs.withColumnRenamed("_doc", "doc").withColumnRenamed("_txt", "txt")
+    doc, txt = row_id()
+    named = docs.select(doc.alias("doc"), txt.alias("txt"), "text")
     fp = store(fingerprints(named, ["doc", "txt"], shingle, bands), "fingerprints")
     classes = store(fp.groupBy("fp").agg(F.min("doc").alias("cls")), "classes")
     shards = fp.select("fp", F.posexplode("keys").alias("tab", "key")).distinct().join(classes, "fp").select("cls", "fp", "tab", "key")
