@@ -13,19 +13,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.llm import bpe, decontaminate, lines, quality, simhash
-from driftline.llm.common import row_id, store
+from driftline.llm.common import fresh, row_id, store
 
 
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects (score below 0.7) go."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.scored(docs, model, "_score").where(F.col("_score") >= quality.THRESHOLD).select(*docs.columns)
+    score, = fresh(docs, "score")
+    return quality.scored(docs, model, score).where(F.col(score) >= quality.THRESHOLD).select(*docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated line runs are deleted from the texts; n_chars follows the text."""
     out = lines.deduplicated(docs).select(*docs.columns)
-    return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")))
+    return out.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,9 +34,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Five words a shingle; fingerprints that agree in 0.8 of their bits are linked.
     """
-    marked = docs.withColumn("_doc", row_id()[0]).withColumn("_txt", row_id()[1])
-    keep = simhash.representatives(marked).select(F.col("doc").alias("_doc"), F.col("txt").alias("_txt"))
-    return marked.join(keep, ["_doc", "_txt"], "left_semi").dropDuplicates(["_doc", "_txt"]).select(*docs.columns)
+    names = fresh(docs, "doc_key", "text_key")
+    keep = simhash.representatives(docs).select(F.col("doc").alias(names[0]), F.col("txt").alias(names[1]))
+    return docs.withColumns(dict(zip(names, row_id()))).join(keep, names, "left_semi").dropDuplicates(names).select(*docs.columns)
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
