@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from driftline.functions.stats import f1_interval, precision_recall_f1, wilson
 from driftline.operators.knn import distance_on_line
-from driftline.operators.ordering import ROWS_PER_TASK, average_ranks, layout_of, per_group, quantiles, running
+from driftline.operators.ordering import ROWS_PER_TASK, average_ranks, layout_of, per_group, quantiles, running, same_key
 
 
 def separation(df: DataFrame, d: str, precursor: Column, nominal: Column, *, guard: str = "add",
@@ -56,7 +56,7 @@ def spearman(df: DataFrame, x: str, y: str, key: Sequence[str] = (), *, min_rows
             tally = pairs.groupBy(*key, c).agg(F.count(F.lit(1)).alias("_m"))
             cum = running(tally, key, [c], {"_cum": ("sum", F.col("_m"))}, limit=limit)
             rank = (F.col("_cum") - (F.col("_m") - 1) / F.lit(2.0)).alias(f"rank_{c}")
-            ranked = ranked.join(cum.select(*key, c, rank), [*key, c])
+            ranked = same_key(ranked, cum.select(*key, c, rank), [*key, c])
         w, rx, ry = F.col("_w"), F.col(f"rank_{x}"), F.col(f"rank_{y}")
         # centred around the known mean rank
         sums = ranked.groupBy(*key).agg(

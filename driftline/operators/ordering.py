@@ -6,12 +6,16 @@ when a single object holds a large share of the table. The functions here look
 at the group sizes first (one narrow pre-aggregated count):
 
 * no group above `limit` rows: plain window functions, one shuffle by key;
-* otherwise: histories above the limit are cut into slices of the order column,
-  every slice is ordered on its own, and a small table of per-slice totals
-  carries running values from one slice to the next.
-
-Both ways give the same rows. `rows` is an upper bound on the row count that
-the caller may already know; when it is within the limit no count is run.
+* otherwise: the table is range-partitioned by key, all order columns and, last, a
+  hash of the row, so that equal order values are divided too. The pieces are
+  written once, every piece is ordered on its own, and a small table of totals
+  per piece carries running values from one to the next.
+
+Both ways give the same rows: NULL keys are a group, NULL and NaN are ordered as
+Spark orders them (NULL first, NaN last), any order type will do, and the number of pieces
+follows the table. `rows` is an upper bound on the row count that the
+caller may already know; when it is within the limit no count is run. A `layout`
+can be computed once and handed to several calls over the same rows.
 """
 
 from __future__ import annotations
@@ -20,90 +24,61 @@ import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-ROWS_PER_TASK = 2_000_000
-_MAX_LISTED = 5_000        # hot keys held as a broadcast list; above it every group is sliced
-_MAX_SLICES = 20_000
-_EDGE_SAMPLE = 500_000
 
+from driftline.session import materialise
 
-def as_double(df: DataFrame, name: str) -> Column:
-    """Order column as a double, monotone in the original."""
-    kind = df.schema[name].dataType
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(F.col(name).cast("timestamp")).cast("double")
-    if isinstance(kind, T.DateType):
-        return F.unix_date(name).cast("double")
-    return F.col(name).cast("double")
+ROWS_PER_TASK = 2_000_000
 
 
 @dataclass
 class Layout:
-    """How groups are cut: nothing, or slices of the first order column."""
+    """Whether groups are cut into pieces, and into how many in all."""
 
     key: list[str]
-    edges: list[float] = field(default_factory=list)
-    hot: DataFrame | None = None       # None with edges set: slice every group
+    pieces: int = 0
     limit: int = ROWS_PER_TASK
 
     @property
     def sliced(self) -> bool:
-        return self.hot is not None or bool(self.edges)
+        return self.pieces > 0
 
 
-def layout_of(df: DataFrame, key: Sequence[str], order: Sequence[str],
+def layout_of(df: DataFrame, key: Sequence[str], order: Sequence[str] = (),
               limit: int = ROWS_PER_TASK, rows: int | None = None) -> Layout:
-    """Look for groups above `limit` rows and choose slice edges for them."""
+    """Look for groups above `limit` rows. `order` does not matter any more and is kept for callers."""
     key = list(key)
     if rows is not None and rows <= limit:
         return Layout(key, limit=limit)
-    if key:
-        counts = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_m"))
-        large = counts.where(F.col("_m") > limit)
-        found = large.limit(_MAX_LISTED + 1).collect()
-        if not found:
-            return Layout(key, limit=limit)
-        if len(found) > _MAX_LISTED:
-            hot, subset = None, df
-            n_hot = df.count()
-        else:
-            hot = df.sparkSession.createDataFrame(found, counts.schema).drop("_m")
-            subset = df.join(F.broadcast(hot), key, "left_semi")
-            n_hot = sum(r["_m"] for r in found)
-    else:
-        n_hot = df.count()
-        if n_hot <= limit:
-            return Layout(key, limit=limit)
-        hot, subset = None, df
-    n_slices = min(_MAX_SLICES, 2 * math.ceil(n_hot / limit))
-    value = subset.select(as_double(df, order[0]).alias("_slice_at")).where("_slice_at IS NOT NULL")
-    # the sample only places the edges; every row is then assigned to a slice
-    share = min(1.0, _EDGE_SAMPLE / max(n_hot, 1))
-    probe = value if share >= 1.0 else value.sample(False, share, seed=7)
-    probs = [i / n_slices for i in range(1, n_slices)]
-    cuts = probe.approxQuantile("_slice_at", probs, 0.2 / n_slices) if probs else []
-    edges = sorted({c for c in cuts if math.isfinite(c)})
-    return Layout(key, edges or [0.0], hot, limit)
+    largest, total = (df.groupBy(*key).agg(F.count(F.lit(1)).alias("_m"))
+                      .agg(F.max("_m"), F.sum("_m")).first())
+    if (largest or 0) <= limit:
+        return Layout(key, limit=limit)
+    return Layout(key, 2 * math.ceil(total / limit), limit)
 
 
 def with_slice(df: DataFrame, layout: Layout, order: Sequence[str]) -> DataFrame:
-    """Add `_slice`: the index of the range the first order column falls into."""
+    """Add `_slice`: the piece of the range partitioning by key and order that a row falls into.
+
+    The pieces are written to the shared folder: their borders come from a sample, and every reader has to see the same ones.
+    """
     if not layout.sliced:
         return df.withColumn("_slice", F.lit(0))
-    splits = [-math.inf, *layout.edges, math.inf]
-    out = df.withColumn("_slice_at", F.coalesce(as_double(df, order[0]), F.lit(-math.inf)))
-    out = Bucketizer(splits=splits, inputCol="_slice_at", outputCol="_slice_bin").transform(out)
-    index = F.col("_slice_bin").cast("int")
-    if layout.hot is not None:
-        marks = layout.hot.withColumn("_slice_hot", F.lit(True))
-        out = out.join(F.broadcast(marks), layout.key, "left")
-        index = F.when(F.col("_slice_hot"), index).otherwise(F.lit(0))
-        return out.withColumn("_slice", index).drop("_slice_at", "_slice_bin", "_slice_hot")
-    return out.withColumn("_slice", index).drop("_slice_at", "_slice_bin")
+    hashable = [c for c, t in df.dtypes if not t.startswith("map")]
+    ranged = df.withColumn("_tie", F.xxhash64(*hashable)).repartitionByRange(
+        layout.pieces, *[F.col(c).asc() for c in [*layout.key, *order]], F.col("_tie").asc())
+    return materialise(ranged.withColumn("_slice", F.spark_partition_id()))
+
+
+def same_key(left: DataFrame, right: DataFrame, key: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on `key`, where NULL is a value like any other; the columns of `key` come from the left."""
+    if not key:
+        return left.crossJoin(F.broadcast(right)) if how == "inner" else left.join(F.broadcast(right), F.lit(True), how)
+    names = {c: f"_right_{c}" for c in key}
+    right = right.withColumnsRenamed(names)
+    on = [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()]
+    return left.join(right, on, how).drop(*names.values())
 
 
 def _ordered(key: Sequence[str], order: Sequence[str]) -> WindowSpec:
@@ -111,7 +86,7 @@ def _ordered(key: Sequence[str], order: Sequence[str]) -> WindowSpec:
 
 
 _COMBINE = {
-    "sum": (F.sum, lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))),
+    "sum": (F.sum, lambda a, b: F.coalesce(a + b, a, b)),
     "min": (F.min, lambda a, b: F.least(a, b)),
     "max": (F.max, lambda a, b: F.greatest(a, b)),
 }
@@ -136,7 +111,7 @@ def running(df: DataFrame, key: Sequence[str], order: Sequence[str],
     part = [*key, "_slice"]
     cut = with_slice(df, layout, order)
     cut = cut.withColumns({f"_x_{n}": e for n, (_, e) in measures.items()})
-    place = F.struct(*[F.col(c) for c in order])
+    place = F.struct(*[F.col(c) for c in order], F.col("_tie"))
     totals = cut.groupBy(*part).agg(*[
         (F.max_by(f"_x_{n}", F.when(F.col(f"_x_{n}").isNotNull(), place)) if kind == "last"
          else _COMBINE[kind][0](f"_x_{n}")).alias(f"_t_{n}")
@@ -146,9 +121,8 @@ def running(df: DataFrame, key: Sequence[str], order: Sequence[str],
         (F.last(f"_t_{n}", ignorenulls=True) if kind == "last"
          else _COMBINE[kind][0](f"_t_{n}")).over(earlier).alias(f"_c_{n}")
         for n, (kind, _) in measures.items()])
-    inside = _ordered(part, order).rowsBetween(Window.unboundedPreceding, 0)
-    joined = cut.join(carry, part)
-    out = joined
+    inside = _ordered(part, [*order, "_tie"]).rowsBetween(Window.unboundedPreceding, 0)
+    out = same_key(cut, carry, part)
     for n, (kind, _) in measures.items():
         here, before = F.col(f"_x_{n}"), F.col(f"_c_{n}")
         if kind == "last":
@@ -177,8 +151,8 @@ def with_position(df: DataFrame, key: Sequence[str], order: Sequence[str], *,
     earlier = _ordered(key, ["_slice"]).rowsBetween(Window.unboundedPreceding, -1)
     carry = totals.select(*part, F.coalesce(F.sum("_m").over(earlier), F.lit(0)).alias("_before"),
                           F.sum("_m").over(Window.partitionBy(*key)).alias(size or "_n"))
-    out = cut.join(carry, part).withColumn(
-        pos, F.row_number().over(_ordered(part, order)).cast("long") - 1 + F.col("_before"))
+    out = same_key(cut, carry, part).withColumn(
+        pos, F.row_number().over(_ordered(part, [*order, "_tie"])).cast("long") - 1 + F.col("_before"))
     return out.select(*df.columns, pos, *([size] if size else []))
 
 
@@ -189,13 +163,14 @@ class Frames:
     df: DataFrame
     part: list[str]
     own: Column | None
+    order: list[str] = field(default_factory=lambda: ["pos"])
 
     def rows(self, start: int, end: int) -> WindowSpec:
-        return Window.partitionBy(*self.part).orderBy("pos").rowsBetween(start, end)
+        return self.ordered.rowsBetween(start, end)
 
     @property
     def ordered(self) -> WindowSpec:
-        return Window.partitionBy(*self.part).orderBy("pos")
+        return _ordered(self.part, self.order)
 
     def finish(self, df: DataFrame) -> DataFrame:
         """Drop the copied border rows once the frame values are computed."""
@@ -205,10 +180,11 @@ class Frames:
 
 
 def framed(df: DataFrame, key: Sequence[str], order: Sequence[str], back: int, ahead: int = 0, *,
-           limit: int = ROWS_PER_TASK, rows: int | None = None) -> Frames:
+           limit: int = ROWS_PER_TASK, rows: int | None = None, layout: Layout | None = None) -> Frames:
     """Position rows and, for large groups, cut them into chunks with copied borders."""
     key = list(key)
-    layout = layout_of(df, key, order, limit, rows)
+    layout = layout or layout_of(df, key, order, limit, rows)
+    limit = layout.limit
     placed = with_position(df, key, order, layout=layout)
     if not layout.sliced:
         return Frames(placed, key, None)
@@ -221,18 +197,18 @@ def framed(df: DataFrame, key: Sequence[str], order: Sequence[str], back: int, a
 
 
 def per_group(df: DataFrame, key: Sequence[str], aggs: Mapping[str, Column], *,
-              limit: int = ROWS_PER_TASK, rows: int | None = None) -> DataFrame:
+              limit: int = ROWS_PER_TASK, rows: int | None = None, layout: Layout | None = None) -> DataFrame:
     """Attach whole-group aggregates to every row.
 
     Small groups share the window shuffle with later frames; large groups are
     pre-aggregated and joined back, where skewed join splitting applies.
     """
     key = list(key)
-    small = rows is not None and rows <= limit
-    if small or df.groupBy(*key).count().where(F.col("count") > limit).isEmpty():
+    layout = layout or layout_of(df, key, limit=limit, rows=rows)
+    if not layout.sliced:
         whole = Window.partitionBy(*key)
         return df.withColumns({n: a.over(whole) for n, a in aggs.items()})
-    return df.join(df.groupBy(*key).agg(*[a.alias(n) for n, a in aggs.items()]), key)
+    return same_key(df, df.groupBy(*key).agg(*[a.alias(n) for n, a in aggs.items()]), key)
 
 
 def average_ranks(df: DataFrame, key: Sequence[str], columns: Sequence[str], *,
@@ -251,7 +227,7 @@ def average_ranks(df: DataFrame, key: Sequence[str], columns: Sequence[str], *,
         distinct = df.groupBy(*key, c).agg(F.count(F.lit(1)).alias("_m"))
         placed = running(distinct, key, [c], {"_cum": ("sum", F.col("_m"))}, limit=limit)
         ranks = placed.select(*key, c, (F.col("_cum") - (F.col("_m") - 1) / F.lit(2.0)).alias(f"rank_{c}"))
-        out = out.join(ranks, [*key, c])
+        out = same_key(out, ranks, [*key, c])
     return out
 
 
@@ -277,7 +253,7 @@ def quantiles(df: DataFrame, value: str, probs: Mapping[str, float], key: Sequen
     cum = running(distinct, key, [value], {"_cum": ("sum", F.col("_m"))}, limit=limit)
     sizes = data.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
     if key:
-        ranked = cum.join(sizes, key)
+        ranked = same_key(cum, sizes, key)
         total = F.col("n")
     else:
         ranked = cum

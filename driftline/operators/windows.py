@@ -17,8 +17,8 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from driftline.operators.ordering import (ROWS_PER_TASK, Frames, framed, layout_of, running,
-                                          with_position)
+from driftline.operators.ordering import (ROWS_PER_TASK, Frames, Layout, framed, layout_of, running,
+                                          same_key, with_position)
 
 _FRAME_STRIDE = 2
 
@@ -176,16 +176,16 @@ def prefix_stats(df: DataFrame, key: Sequence[str], order: Sequence[str], column
 
 
 def fill_gaps(df: DataFrame, key: Sequence[str], order: Sequence[str], column: str, out: str, *,
-              limit: int = ROWS_PER_TASK, rows: int | None = None) -> DataFrame:
+              limit: int = ROWS_PER_TASK, rows: int | None = None, layout: Layout | None = None) -> DataFrame:
     """Forward-fill; leading gaps take the first known value of the object."""
-    layout = layout_of(df, key, order, limit, rows)
+    layout = layout or layout_of(df, key, order, limit, rows)
     if not layout.sliced:
         w = Window.partitionBy(*key).orderBy(*[F.col(c) for c in order])
         so_far = F.last(column, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
         first = F.first(column, ignorenulls=True).over(
             w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
         return df.withColumn(out, F.coalesce(so_far, first))
-    place = F.struct(*[F.col(c) for c in order])
+    place = F.struct(*[F.col(c) for c in order], F.xxhash64(*[c for c, t in df.dtypes if not t.startswith("map")]))
     filled = running(df, key, order, {"_f": ("last", F.col(column))}, layout=layout)
     first = df.groupBy(*key).agg(F.min_by(column, F.when(F.col(column).isNotNull(), place)).alias("_first"))
-    return filled.join(first, list(key)).withColumn(out, F.coalesce("_f", "_first")).drop("_f", "_first")
+    return same_key(filled, first, list(key)).withColumn(out, F.coalesce("_f", "_first")).drop("_f", "_first")

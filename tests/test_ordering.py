@@ -38,7 +38,7 @@ def same(a, b, by, digits=9):
 def test_layout_is_chosen_by_size(skewed):
     assert not O.layout_of(skewed, ["obj"], ["t"]).sliced
     cut = O.layout_of(skewed, ["obj"], ["t"], limit=100)
-    assert cut.sliced and cut.hot is not None
+    assert cut.sliced
     pieces = O.with_slice(skewed, cut, ["t"]).groupBy("obj", "_slice").count().agg(F.max("count")).first()[0]
     assert pieces <= 150
 
@@ -56,11 +56,33 @@ def test_running(skewed):
     same(O.running(skewed, ["obj"], ["t", "id"], m), O.running(skewed, ["obj"], ["t", "id"], m, **SMALL), "id", 7)
 
 
-def test_many_hot_groups(skewed, monkeypatch):
-    monkeypatch.setattr(O, "_MAX_LISTED", 1)
-    cut = O.layout_of(skewed, ["obj"], ["t"], limit=20)
-    assert cut.sliced and cut.hot is None
-    same(O.with_position(skewed, ["obj"], ["t", "id"]), O.with_position(skewed, ["obj"], ["t", "id"], layout=cut), "id")
+@pytest.fixture(scope="module")
+def rough(spark):
+    """NULL keys, NULL and NaN values, NULL and text orders, one date that most rows share."""
+    rng = np.random.default_rng(5)
+    rows = [(None if k % 5 == 0 else int(rng.integers(0, 3)), None if k % 11 == 0 else ("2020" if k % 4 else f"20{k % 90:02d}"), k,
+             None if k % 3 == 0 else float("nan") if k % 17 == 0 else float(rng.integers(0, 9)), float(k % 7)) for k in range(900)]
+    return spark.createDataFrame(rows, "obj int, day string, id int, x double, y double").repartition(5).cache()
+
+
+@pytest.mark.parametrize("limit", [10, 120])
+def test_missing_keys_and_values(rough, limit):
+    small = {"limit": limit}
+    m = {"s": ("sum", F.col("y")), "sx": ("sum", F.when(~F.isnan("x"), F.col("x"))), "hi": ("max", F.col("x")), "last": ("last", F.col("x"))}
+    for f in (lambda **k: O.with_position(rough, ["obj"], ["day", "id"], **k),
+              lambda **k: O.running(rough, ["obj"], ["day", "id"], m, **k),
+              lambda **k: O.per_group(rough, ["obj"], {"n": F.count("x"), "top": F.max("y")}, **k),
+              lambda **k: O.average_ranks(rough, ["obj"], ["x", "y"], **k),
+              lambda **k: W.fill_gaps(rough, ["obj"], ["day", "id"], "x", "filled", **k),
+              lambda **k: W.smooth(rough, ["obj"], ["day", "id"], ["y"], 5, **k)):
+        same(f(), f(**small), "id")
+    same(O.quantiles(rough, "x", {"a": 0.3, "b": 0.9}, ["obj"]), O.quantiles(rough, "x", {"a": 0.3, "b": 0.9}, ["obj"], **small), ["obj"])
+
+
+def test_equal_order_values_are_divided(rough):
+    one = rough.withColumn("obj", F.lit(1)).withColumn("day", F.lit("2020"))
+    cut = O.with_slice(one, O.layout_of(one, ["obj"], ["day"], limit=50), ["day"])
+    assert cut.groupBy("_slice").count().agg(F.max("count")).first()[0] <= 100
 
 
 def test_frames_cross_chunk_borders(skewed):
