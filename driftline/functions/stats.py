@@ -42,6 +42,12 @@ def f1_interval(tp: Column, fp: Column, fn: Column, z: float = Z95) -> tuple[Col
     return harmonic(p_lo, r_lo), harmonic(p_hi, r_hi)
 
 
+def f1_interval_from_recall(tp: Column, fn: Column, z: float = Z95) -> tuple[Column, Column]:
+    """F1 at both ends of the recall interval with precision 1: the form for evaluations that can have no false alarm."""
+    low, high = wilson(tp, tp + fn, z)
+    return 2 * low / (1 + low), 2 * high / (1 + high)
+
+
 # ---- p-values of single result rows (plain numbers) ---------------------------
 
 def normal_tail(z: float) -> float:

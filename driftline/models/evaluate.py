@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftline.functions.stats import f1_interval, precision_recall_f1, wilson
+from driftline.functions.stats import f1_interval, f1_interval_from_recall, precision_recall_f1, wilson
 from driftline.operators.knn import distance_on_line
 from driftline.operators.ordering import ROWS_PER_TASK, average_ranks, layout_of, per_group, quantiles, running, same_key
 
@@ -109,11 +109,14 @@ def with_rates(df: DataFrame, none_fired: float = 0.0) -> DataFrame:
     return df.withColumns({"precision": p, "recall": r, "f1": f1, "specificity": spec})
 
 
-def with_intervals(df: DataFrame) -> DataFrame:
+def with_intervals(df: DataFrame, form: str = "both") -> DataFrame:
+    """Intervals of precision, recall and F1; `form` is "both" (F1 from both intervals) or "recall" (precision 1, fp = 0)."""
+    if form not in ("both", "recall"):
+        raise ValueError(form)
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     p_lo, p_hi = wilson(tp, tp + fp)
     r_lo, r_hi = wilson(tp, tp + fn)
-    f_lo, f_hi = f1_interval(tp, fp, fn)
+    f_lo, f_hi = f1_interval(tp, fp, fn) if form == "both" else f1_interval_from_recall(tp, fn)
     return df.withColumns({"precision_lo": p_lo, "precision_hi": p_hi, "recall_lo": r_lo, "recall_hi": r_hi,
                            "f1_lo": f_lo, "f1_hi": f_hi})
 

@@ -33,12 +33,14 @@ def write_table(df: DataFrame, path: str, *, partition_by: Sequence[str] = (), m
     writer.parquet(path)
 
 
-def write_records(df: DataFrame, path: str, key: str, buckets: int = 64, mode: str = "append") -> None:
-    """Append records by id range: a bounded number of folders instead of one file per object."""
+def write_records(df: DataFrame, path: str, key: str, buckets: int = 64, mode: str = "append", rows: int | None = None,
+                  rows_per_file: int = 5_000_000) -> None:
+    """Append records by id range: a bounded number of folders instead of one file per object, as many files as the rows need."""
     bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).alias("id_bucket")
+    spread = max(1, -(-(df.count() if rows is None else rows) // (buckets * rows_per_file)))
     # a row hash next to the bucket keeps one large object from filling a single task
-    out = df.withColumn("id_bucket", bucket).withColumn("_spread", F.pmod(F.xxhash64(*df.columns), F.lit(8)))
-    out.repartition("id_bucket", "_spread").drop("_spread").write.mode(mode).partitionBy("id_bucket").parquet(path)
+    out = df.withColumn("id_bucket", bucket).withColumn("_spread", F.pmod(F.xxhash64(*df.columns), F.lit(spread)))
+    out.repartition(buckets * spread, "id_bucket", "_spread").drop("_spread").write.mode(mode).partitionBy("id_bucket").parquet(path)
 
 
 def write_ordered(df: DataFrame, path: str, key: str, time: str) -> None:

@@ -95,6 +95,9 @@ def rescale_windows(windows: DataFrame, channels: Sequence[str], mean: str = "m_
         for b in channels:
             if f"cov_{c}_{b}" in known:
                 out[f"cov_{c}_{b}"] = F.col(f"cov_{c}_{b}") / (s * F.col(std.format(b)))
+        left = [n for n in known if n.startswith(f"{c}_") and n not in out and n not in (mean.format(c), std.format(c))]
+        if left:
+            raise ValueError(f"features that cannot be standardised after aggregation: {sorted(left)}")
     return windows.withColumns(out)
 
 

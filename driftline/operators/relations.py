@@ -11,15 +11,15 @@ from driftline.functions.scalar import row_digest
 from driftline.operators.ordering import ROWS_PER_TASK, framed, with_position
 
 
-def dedupe(df: DataFrame, key: Sequence[str], load_no: str) -> DataFrame:
-    """One record per key, the earliest load winning; records with an incomplete key are dropped.
+def dedupe(df: DataFrame, key: Sequence[str], load_no: str, tie: Sequence[str]) -> DataFrame:
+    """One record per key, the earliest load winning and within it the first by `tie`; records with an incomplete key are dropped.
 
     A partial aggregate keeps one candidate per task, so a large group of copies
     collapses before the shuffle.
     """
     whole = F.struct(*[F.col(c) for c in df.columns])
     known = df.dropna(subset=list(key))
-    return known.groupBy(*key).agg(F.min_by(whole, F.col(load_no)).alias("_r")).select("_r.*")
+    return known.groupBy(*key).agg(F.min_by(whole, F.struct(load_no, *tie)).alias("_r")).select("_r.*")
 
 
 def set_relations(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
@@ -112,21 +112,24 @@ def holdout_folds(df: DataFrame, fold: str) -> DataFrame:
 
 
 def leave_out_means(df: DataFrame, fold: str, columns: Sequence[str]) -> DataFrame:
-    """Training mean and deviation per fold, as total minus the held-out group."""
-    def sums(prefix, frame):
-        return frame.agg(F.count(F.lit(1)).alias(f"{prefix}_n"), *[x for c in columns for x in (
-            F.sum(c).alias(f"{prefix}_s_{c}"), F.sum(F.col(c) * F.col(c)).alias(f"{prefix}_q_{c}"))])
-
-    total = sums("t", df).withColumn("_one", F.lit(1))
-    own = sums("o", df.groupBy(fold)).withColumn("_one", F.lit(1))
-    both = own.join(F.broadcast(total), "_one")          # the total is one row
-    n = (F.col("t_n") - F.col("o_n")).cast("double")
-    out = {"n_train": F.col("t_n") - F.col("o_n"), "n_test": F.col("o_n")}
+    """Training mean and deviation per fold, as total minus the held-out group.
+
+    Counts, means and centred squares are combined, so large means do not cancel.
+    """
+    def moments(prefix, frame):
+        return frame.agg(F.count(F.lit(1)).alias(f"{prefix}_rows"), *[x for c in columns for x in (
+            F.count(c).alias(f"{prefix}_n_{c}"), F.avg(c).alias(f"{prefix}_m_{c}"), F.var_pop(c).alias(f"{prefix}_v_{c}"))])
+
+    both = moments("o", df.groupBy(fold)).crossJoin(F.broadcast(moments("t", df)))          # the total is one row
+    out = {"n_train": F.col("t_rows") - F.col("o_rows"), "n_test": F.col("o_rows")}
     for c in columns:
-        mean = (F.col(f"t_s_{c}") - F.col(f"o_s_{c}")) / n
-        square = (F.col(f"t_q_{c}") - F.col(f"o_q_{c}")) / n
+        n_all, n_own = F.col(f"t_n_{c}"), F.col(f"o_n_{c}")
+        n = F.nullif((n_all - n_own).cast("double"), F.lit(0.0))
+        m_all, m_own = F.col(f"t_m_{c}"), F.coalesce(f"o_m_{c}", f"t_m_{c}")
+        mean = m_all + (m_all - m_own) * n_own / n
+        squares = F.col(f"t_v_{c}") * n_all - F.coalesce(F.col(f"o_v_{c}") * n_own, F.lit(0.0)) - (m_own - mean) * (m_own - mean) * n * n_own / n_all
         out[f"{c}_mean"] = mean
-        out[f"{c}_std"] = F.sqrt(F.greatest(square - mean * mean, F.lit(0.0)))
+        out[f"{c}_std"] = F.sqrt(F.greatest(squares / n, F.lit(0.0)))
     return both.select(fold, *[v.alias(k) for k, v in out.items()])
 
 

@@ -162,6 +162,16 @@ def _(t: Tables):
     return out.select(*[r(c).alias(c) for c in ("precision_lo", "precision_hi", "recall_lo", "recall_hi", "f1_lo", "f1_hi")])
 
 
+@query("A9_f1_without_false_alarms", f"""
+WITH {CONF}, d AS (SELECT CAST(tp + fp AS DOUBLE) AS tp, CAST(tp + fp + fn + tn AS DOUBLE) AS b FROM cf), w AS (SELECT {_w('tp', 'b')[0]} AS rl, {_w('tp', 'b')[1]} AS rh FROM d)
+SELECT {R('rl')} AS recall_lo, {R('rh')} AS recall_hi, {R('2 * rl / (1 + rl)')} AS f1_lo, {R('2 * rh / (1 + rh)')} AS f1_hi FROM w""")
+def _(t: Tables):
+    s, eps = fired(t)
+    ob = s.groupBy("obj").agg(F.max(detect.fire("d_mean", eps)).alias("f"))
+    out = Ev.with_intervals(Ev.confusion(ob, F.col("f"), F.lit(True)), "recall")
+    return out.select(*[r(c).alias(c) for c in ("recall_lo", "recall_hi", "f1_lo", "f1_hi")])
+
+
 @query("A10_lead_times", f"""
 WITH {FIRED}, ld AS (SELECT obj, arg_min(rul, win) FILTER (fired) AS lead FROM fr GROUP BY obj)
 SELECT {R('avg(lead)')} AS mean, {R('median(lead)')} AS median, {R('min(lead)')} AS min, {R('max(lead)')} AS max, {R('quantile_cont(lead, CAST(0.25 AS DOUBLE))')} AS p25, {R('quantile_cont(lead, CAST(0.75 AS DOUBLE))')} AS p75, count(lead) AS n FROM ld""")

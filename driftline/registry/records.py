@@ -341,12 +341,12 @@ def _(t: Tables):
 
 
 @query("J4_identity_sets", """
-WITH a AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'error' AND value > 150), b AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase' AND value > 150)
+WITH a AS (SELECT DISTINCT user_id FROM events WHERE event_id % 7 < 3 AND user_id % 3 > 0), b AS (SELECT DISTINCT user_id FROM events WHERE NOT (event_id % 7 < 3) AND user_id % 4 > 0)
 SELECT coalesce(a.user_id, b.user_id) AS user_id, CASE WHEN b.user_id IS NULL THEN 'first' WHEN a.user_id IS NULL THEN 'second' ELSE 'both' END AS side
 FROM a FULL JOIN b ON a.user_id = b.user_id""")
 def _(t: Tables):
-    e = t.events.where("value > 150")
-    return Rl.set_relations(e.where("event_type = 'error'"), e.where("event_type = 'purchase'"), "user_id")
+    first = F.col("event_id") % 7 < 3
+    return Rl.set_relations(t.events.where(first & (F.col("user_id") % 3 > 0)), t.events.where(~first & (F.col("user_id") % 4 > 0)), "user_id")
 
 
 def _two_sources(t: Tables):
@@ -362,11 +362,11 @@ def _(t: Tables):
 
 
 @query("J11_interleaving", f"""
-WITH {EV}, a AS (SELECT user_id, max(t) AS x FROM ev WHERE event_type = 'error' AND v > 60 GROUP BY user_id), b AS (SELECT user_id, min(t) AS y FROM ev WHERE event_type = 'signup' AND v > 60 GROUP BY user_id)
+WITH {EV}, a AS (SELECT user_id, max(t) AS x FROM ev WHERE event_type = 'error' GROUP BY user_id), b AS (SELECT user_id, min(t) AS y FROM ev WHERE event_type <> 'error' GROUP BY user_id)
 SELECT user_id, {R('x')} AS max_first, {R('y')} AS min_second, CASE WHEN x < y THEN 'clean' ELSE 'interleaved' END AS pattern FROM a JOIN b USING (user_id)""")
 def _(t: Tables):
-    h = t.history().where("v > 60")
-    out = Rl.interleaving(h.where("event_type = 'error'"), h.where("event_type = 'signup'"), "user_id", "t")
+    h = t.history()
+    out = Rl.interleaving(h.where("event_type = 'error'"), h.where("event_type <> 'error'"), "user_id", "t")
     return out.withColumns({c: r(c) for c in ("max_first", "min_second")})
 
 
@@ -394,10 +394,10 @@ def _(t: Tables):
 
 
 @query("T1_union_datasets", """
-SELECT 'error' AS dataset, event_id, value AS v FROM events WHERE event_type = 'error' UNION ALL SELECT 'click', event_id, value FROM events WHERE event_type = 'click'""")
+SELECT 'error' AS dataset, event_id, value AS v FROM events WHERE event_type = 'error' UNION ALL SELECT 'other', event_id, value FROM events WHERE event_type <> 'error'""")
 def _(t: Tables):
-    part = lambda k: t.events.where(F.col("event_type") == k).select(F.lit(k).alias("dataset"), "event_id", F.col("value").alias("v"))
-    return part("error").unionByName(part("click"))
+    part = lambda k, rows: rows.select(F.lit(k).alias("dataset"), "event_id", F.col("value").alias("v"))
+    return part("error", t.events.where("event_type = 'error'")).unionByName(part("other", t.events.where("event_type <> 'error'")))
 
 
 @query("T2_interleave_sources", """
@@ -423,7 +423,7 @@ SELECT user_id, event_id, load_no, round(value, 6) AS v FROM u QUALIFY row_numbe
 def _(t: Tables):
     old = t.events.where("event_id % 2 = 0").withColumn("load_no", F.lit(1))
     new = t.events.withColumn("value", F.col("value") + 1).withColumn("load_no", F.lit(2))
-    out = Rl.dedupe(old.unionByName(new), ["user_id", "ts"], "load_no")
+    out = Rl.dedupe(old.unionByName(new), ["user_id", "ts"], "load_no", ["event_id"])
     return out.select("user_id", "event_id", "load_no", F.round("value", 6).alias("v"))
 
 

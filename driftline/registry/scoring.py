@@ -301,14 +301,14 @@ def _(t: Tables):
     return knn.four_state(f.join(n, "id").join(c, "id"), 1.05, 0.9, 1.13).select("id", "state")
 
 
-@query("D10_similar_cases", f"WITH {knn_sql('vec_id >= 0', 'label < 5', 5)} SELECT id, CAST(rank AS INTEGER) AS rank, neighbour, {R('distance')} AS distance FROM nn")
+@query("D10_similar_cases", f"WITH {knn_sql('vec_id >= 0', 'vec_id >= 0', 5)} SELECT id, CAST(rank AS INTEGER) AS rank, neighbour, {R('distance')} AS distance FROM nn")
 def _(t: Tables):
-    return knn.neighbours(vectors(t), vectors(t, "label < 5"), 5).withColumn("distance", r("distance"))
+    return knn.neighbours(vectors(t), vectors(t), 5).withColumn("distance", r("distance"))
 
 
-@query("O4_k_smallest", f"WITH {knn_sql('true', 'label = 3', 3)} SELECT id, neighbour FROM nn")
+@query("O4_k_smallest", f"WITH {knn_sql('true', 'true', 3)} SELECT id, neighbour FROM nn")
 def _(t: Tables):
-    return knn.neighbours(vectors(t), vectors(t, "label = 3"), 3).select("id", "neighbour")
+    return knn.neighbours(vectors(t), vectors(t), 3).select("id", "neighbour")
 
 
 # ---- C: calibration -----------------------------------------------------------

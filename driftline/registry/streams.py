@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from driftline.models.scale import fit_stats, zscore
 from driftline.registry.base import EV, R, Tables, query, r, windows_sql
+from driftline.session import shared_path
 from driftline.streaming import monitor as M
 
 
@@ -61,6 +62,24 @@ def _(t: Tables):
     return out.groupBy("user_id", F.unix_micros("epoch").alias("micros")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("Z6_late_records", f"""
+WITH {EV}, b AS (SELECT user_id, t, event_id % 10 = 0 AS second FROM ev), f AS (SELECT *, max(t) FILTER (NOT second) OVER (PARTITION BY user_id) AS newest,
+  count(*) FILTER (NOT second) OVER (PARTITION BY user_id ORDER BY t DESC) >= 30 AS behind FROM b),
+c AS (SELECT user_id, count(*) FILTER (NOT second) AS n, count(*) FILTER (second AND NOT behind) AS inserted, count(*) FILTER (second AND NOT behind AND t < newest) AS n_late,
+  count(*) FILTER (second AND behind) AS dropped FROM f GROUP BY user_id)
+SELECT user_id, n - 29 + inserted AS n_windows, n_late, CASE WHEN inserted > 0 THEN dropped ELSE 0 END AS dropped FROM c WHERE n >= 30""")
+def _(t: Tables):
+    # two files: one record of ten comes a micro-batch late
+    folder = shared_path(t.spark, "late")
+    second = F.col("event_id") % 10 == 0
+    t.events.where(~second).coalesce(1).write.parquet(folder)
+    t.events.where(second).coalesce(1).write.mode("append").parquet(folder)
+    raw = M.new_files(M.stateful_session(t.spark), folder, t.events.schema, per_trigger=1)
+    s = raw.select("user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(86400000000.0)).alias("t"), F.col("value").alias("v"))
+    out = M.run_available(M.windowed(s, "user_id", "t", ["v"], 30), "late")
+    return out.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_windows"), F.count_if("late").alias("n_late"), F.max("dropped").alias("dropped"))
+
+
 @query("Z5_new_files", "SELECT count(*) AS n, count(DISTINCT event_id) AS n_events FROM events")
 def _(t: Tables):
     out = M.run_available(stream_of(t), "files")

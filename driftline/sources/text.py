@@ -116,6 +116,11 @@ def pair_blocks(blocks: DataFrame, value: str = "value") -> DataFrame:
     return out.where(F.col("line2").startswith("2 "))
 
 
+def strict_double(text: Column) -> Column:
+    """A decimal number, else NULL; casts alone would also take type suffixes such as 12.5f."""
+    return F.when(text.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), text.try_cast("double"))
+
+
 def parse_orbits(pairs: DataFrame, at_least: int | None = None, wanted: DataFrame | None = None) -> DataFrame:
     """Fixed-width fields of line pairs; pairs with a malformed field are dropped.
 
@@ -123,7 +128,7 @@ def parse_orbits(pairs: DataFrame, at_least: int | None = None, wanted: DataFram
     both act before the remaining fields are parsed.
     """
     cut = lambda c, a, b: F.substring(F.col(c), a + 1, b - a)
-    num = lambda c, a, b: F.trim(cut(c, a, b)).try_cast("double")
+    num = lambda c, a, b: strict_double(F.trim(cut(c, a, b)))
     rest = [c for c in pairs.columns if c not in ("line1", "line2")]
     base = _once(pairs, rest, {"line1": strip_line_end("line1"), "line2": strip_line_end("line2")})
     base = base.withColumn("norad_id", F.trim(cut("line1", 2, 7)))

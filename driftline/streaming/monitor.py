@@ -70,23 +70,23 @@ class _Windows(StatefulProcessor):
         held = [tuple(r) for r in self._buffer.get()] if self._buffer.exists() else []
         seen, dropped = self._counts.get() if self._counts.exists() else (0, 0)
         out = []
-        for pdf in rows:
-            pdf = pdf.sort_values(self._time, kind="stable")
-            for rec in pdf[[self._time, *self._channels]].itertuples(index=False, name=None):
-                late = bool(held) and rec[0] < held[-1][0]
-                if late and len(held) >= self._width and rec[0] < held[0][0]:
-                    dropped += 1                       # older than everything still held
-                    continue
-                seen += 1
-                held.append(tuple(float(v) for v in rec))
-                if late:
-                    held.sort(key=lambda h: h[0])
-                held = held[-self._width:]
-                if len(held) < self._width:
-                    continue
-                block = np.array(held)
-                values = [v for j in range(len(self._channels)) for v in _window_values(block[:, j + 1])]
-                out.append((key[0], seen - self._width, block[-1, 0], late, dropped, *values))
+        # an object's rows of one micro-batch come in several Arrow batches, in no order
+        new = pd.concat([pdf[[self._time, *self._channels]] for pdf in rows], ignore_index=True).sort_values(self._time, kind="stable")
+        for rec in new.itertuples(index=False, name=None):
+            late = bool(held) and rec[0] < held[-1][0]
+            if late and len(held) >= self._width and rec[0] < held[0][0]:
+                dropped += 1                           # older than everything still held
+                continue
+            seen += 1
+            held.append(tuple(float(v) for v in rec))
+            if late:
+                held.sort(key=lambda h: h[0])
+            held = held[-self._width:]
+            if len(held) < self._width:
+                continue
+            block = np.array(held)
+            values = [v for j in range(len(self._channels)) for v in _window_values(block[:, j + 1])]
+            out.append((key[0], seen - self._width, block[-1, 0], late, dropped, *values))
         self._buffer.put(held)
         self._counts.update((seen, dropped))
         if out:
@@ -122,12 +122,11 @@ class _Sustained(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         run = self._run.get()[0] if self._run.exists() else 0
         out = []
-        for pdf in rows:
-            pdf = pdf.sort_values(self._order, kind="stable")
-            for order, fired, lead in pdf[[self._order, self._fired, self._lead]].itertuples(index=False, name=None):
-                run = run + 1 if fired else 0
-                if run == self._k:
-                    out.append((key[0], order, lead))
+        new = pd.concat([pdf[[self._order, self._fired, self._lead]] for pdf in rows], ignore_index=True).sort_values(self._order, kind="stable")
+        for order, fired, lead in new.itertuples(index=False, name=None):
+            run = run + 1 if fired else 0
+            if run == self._k:
+                out.append((key[0], order, lead))
         self._run.update((run,))
         if out:
             yield pd.DataFrame(out, columns=self._names)
