@@ -52,7 +52,7 @@ def _draw(rng: np.random.Generator, good: int, bad: int, take: int) -> int:
     return got
 
 
-def shuffle_into_shards(df: DataFrame, key: list[str], shards: int = 24, seed: int = 7, rows_per_task: int = 100_000,
+def shuffle_into_shards(df: DataFrame, key: list[str], shards: int = 24, seed: int = 7, rows_per_task: int = 5_000,
                         max_partitions: int = 65_536) -> DataFrame:
     """`df` with `shard` (0 to shards - 1, counts at most one apart) and `slot` (0, 1, ... in each shard), with underscores if taken.
 
@@ -90,7 +90,7 @@ def shuffle_into_shards(df: DataFrame, key: list[str], shards: int = 24, seed: i
     return (sent.withColumn("slot", slot).join(first, ["shard", "_block"]).withColumn("slot", F.col("slot") + F.col("_first")).select(*final))
 
 
-def sharded_documents(docs: DataFrame, shards: int = 24, seed: int = 7, rows_per_task: int = 100_000) -> DataFrame:
+def sharded_documents(docs: DataFrame, shards: int = 24, seed: int = 7, rows_per_task: int = 5_000) -> DataFrame:
     rows = docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"),
                        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
     out = shuffle_into_shards(rows, ["doc_id", "text_crc32", "size"], shards, seed, rows_per_task)

@@ -4,7 +4,9 @@ First pass: a count-min sketch (`sketch`) over window marks. A mark is the small
 equal windows have equal marks, neighbouring windows share theirs, so there are about 26 windows to two marks and every window that
 repeats has a mark that repeats. Second pass: the windows of marks that the sketch calls repeated are grouped exactly, by
 a 128-bit hash of their words; all others are proven unique. A task sends each distinct window once, from its smallest
-document; its other copies are repeats already, so a passage that a third of the documents share moves once per task.
+document; its other copies are repeats already, so a passage that a third of the documents share moves once per task. A mark
+that stands in very many different windows could still fill one task: beyond `most` windows a task sends all it gets on to a second
+grouping, spread by the windows' own hashes.
 
 Defined cases: a null or empty text has no words; fewer words than `width` have no window; a null id counts as smaller than all
 others; rows that share an id never remove each other's words; equal rows are treated alike; very long texts are processed whole;
@@ -22,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import (NOT_SPACE, anchors, binary, find_words, flat, hash_bytes, map_arrow, pieces, ragged, row_id, runs, span_hash,
+from driftline.llm.common import (NOT_SPACE, anchors, binary, find_words, flat, hash_bytes, map_arrow, mix, pieces, ragged, row_id, runs, span_hash,
                                   text_size)
 from driftline.llm.sketch import Repeats, repeats
 
@@ -50,7 +52,7 @@ def _marks(width: int):
     return lambda part: _windows(part.column("text"), width)[-1]
 
 
-def _send(h1, h2, doc, txt, word, bucket) -> Iterator[pa.RecordBatch]:
+def _send(h1, h2, doc, txt, word, bucket, parts: int) -> Iterator[pa.RecordBatch]:
     """One flush of a task: each distinct window from its smallest document, the others as known repeats."""
     order = np.lexsort((word, txt, doc, h2, h1))
     h1, h2, doc, txt, word, bucket = (x[order] for x in (h1, h2, doc, txt, word, bucket))
@@ -58,7 +60,7 @@ def _send(h1, h2, doc, txt, word, bucket) -> Iterator[pa.RecordBatch]:
     new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
     least = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
     same = doc == least                                                        # copies in the smallest document still compete
-    yield from _repeats(doc[~same], txt[~same], word[~same], bucket[~same])
+    yield from _repeats(doc[~same], txt[~same], word[~same], parts)
     h1, h2, doc, txt, word, bucket = (x[same] for x in (h1, h2, doc, txt, word, bucket))
     order = np.argsort(bucket, kind="stable")
     lo, hi = runs(bucket[order])
@@ -72,7 +74,7 @@ def _send(h1, h2, doc, txt, word, bucket) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(key, pa.int32()), pa.array([None] * n, pa.int64()), pa.array([None] * n, pa.int64()), binary(payload)], ["bucket", "_doc", "_txt", "payload"])
 
 
-def _repeats(doc, txt, word, bucket=None) -> Iterator[pa.RecordBatch]:
+def _repeats(doc, txt, word, parts: int) -> Iterator[pa.RecordBatch]:
     """Rows (doc, txt, runs of first words: pairs first, last) of windows that are repeats."""
     if not len(doc):
         return
@@ -87,7 +89,7 @@ def _repeats(doc, txt, word, bucket=None) -> Iterator[pa.RecordBatch]:
     own = np.flatnonzero(owner[first])
     payload = [p.tobytes() for p in np.split(pairs, own[1:])]
     at = first[own]
-    key = np.zeros(len(at), np.int32) if bucket is None else bucket[order][at].astype(np.int32)
+    key = (mix(doc[at].view(np.uint64)) % np.uint64(parts)).astype(np.int32)
     yield pa.RecordBatch.from_arrays([pa.array(key, pa.int32()), pa.array(doc[at]), pa.array(txt[at]), binary(payload)], ["bucket", "_doc", "_txt", "payload"])
 
 
@@ -110,44 +112,65 @@ def _candidates(shared, width: int, parts: int):
                              np.repeat((key[keep] % np.uint64(parts)).astype(np.int64), length)))
                 n += len(at)
                 if n >= FLUSH:
-                    yield from _send(*(np.concatenate(x) for x in zip(*held)))
+                    yield from _send(*(np.concatenate(x) for x in zip(*held)), parts)
                     held, n = [], 0
         if n:
-            yield from _send(*(np.concatenate(x) for x in zip(*held)))
+            yield from _send(*(np.concatenate(x) for x in zip(*held)), parts)
     return run
 
 
-def _group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All windows of a bucket of marks: those whose smallest document is another one are repeats."""
-    held = []
-    for batch in batches:
-        done = batch.column("_doc").is_valid()
-        if done.true_count:
-            yield batch.filter(done)
-        for value in batch.filter(pc.invert(done)).column("payload"):
-            raw = np.frombuffer(value.as_buffer(), np.uint64).reshape(5, -1)
-            held.append(raw)
-    if not held:
-        return
+def _group(parts: int, most: int | None):
+    """Windows of whole buckets: those whose smallest document is another one are repeats.
+
+    With `most`, a task that holds more windows than that sends all of its buckets' windows on, spread by their own hash.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, full = [], 0, False
+        for batch in batches:
+            done = batch.column("_doc").is_valid()
+            if done.true_count:
+                yield batch.filter(done)
+            for value in batch.filter(pc.invert(done)).column("payload"):
+                held.append(np.frombuffer(value.as_buffer(), np.uint64).reshape(5, -1))
+                n += held[-1].shape[1]
+                full = full or (most is not None and n > most)
+                if full and n > FLUSH:
+                    yield from _send_on(held, parts)
+                    held, n = [], 0
+        if not held:
+            return
+        if full:
+            yield from _send_on(held, parts)
+            return
+        h1, h2, doc, txt, word = np.concatenate(held, axis=1)
+        doc, txt, word = doc.view(np.int64), txt.view(np.int64), word.view(np.int64)
+        order = np.lexsort((doc, h2, h1))
+        h1, h2, doc, txt, word = (x[order] for x in (h1, h2, doc, txt, word))
+        new = np.ones(len(h1), bool)
+        new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+        more = doc != doc[np.flatnonzero(new)][np.cumsum(new) - 1]
+        yield from _repeats(doc[more], txt[more], word[more], parts)
+    return run
+
+
+def _send_on(held: list[np.ndarray], parts: int) -> Iterator[pa.RecordBatch]:
     h1, h2, doc, txt, word = np.concatenate(held, axis=1)
-    doc, txt, word = doc.view(np.int64), txt.view(np.int64), word.view(np.int64)
-    order = np.lexsort((doc, h2, h1))
-    h1, h2, doc, txt, word = (x[order] for x in (h1, h2, doc, txt, word))
-    new = np.ones(len(h1), bool)
-    new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
-    more = doc != doc[np.flatnonzero(new)][np.cumsum(new) - 1]
-    yield from _repeats(doc[more], txt[more], word[more])
+    yield from _send(h1, h2, doc.view(np.int64), txt.view(np.int64), word.view(np.int64), (mix(h1) % np.uint64(parts)).astype(np.int64), parts)
 
 
-def repeated_windows(docs: DataFrame, width: int = WIDTH, max_bits: int = 2 ** 28) -> DataFrame:
+def repeated_windows(docs: DataFrame, width: int = WIDTH, max_bits: int = 2 ** 28, most: int = 2_000_000) -> DataFrame:
     """(_doc, _txt, payload): runs of first words of windows that start in a document with a smaller id."""
     n, size = text_size(docs)
     marks = size // 6 * 2 // (width - width // 2 + 2) + 1
     rows = docs.select("text", *row_id())
     shared = repeats(rows.select("text"), _marks(width), marks, max_bits)
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // 8_000_000))
-    found = map_arrow(rows, _candidates(shared, width, parts * 64), "bucket int, _doc long, _txt long, payload binary")
-    return map_arrow(found.repartition(parts, "bucket"), _group, "bucket int, _doc long, _txt long, payload binary").select("_doc", "_txt", "payload")
+    buckets, schema = parts * 64, "bucket int, _doc long, _txt long, payload binary"
+    found = map_arrow(rows, _candidates(shared, width, buckets), schema)
+    first = map_arrow(found.repartition(parts, "bucket"), _group(buckets, most), schema)
+    # nearly empty, unless some mark stands in very many different windows
+    second = map_arrow(first.repartition(parts, "bucket"), _group(buckets, None), schema)
+    return second.select("_doc", "_txt", "payload")
 
 
 def _removed(width: int, n: int, spans: list[bytes] | None) -> np.ndarray:
@@ -159,9 +182,9 @@ def _removed(width: int, n: int, spans: list[bytes] | None) -> np.ndarray:
     return np.cumsum(delta[:-1]) > 0
 
 
-def deduplicated(docs: DataFrame, width: int = WIDTH, max_bits: int = 2 ** 28, texts: bool = True) -> DataFrame:
+def deduplicated(docs: DataFrame, width: int = WIDTH, max_bits: int = 2 ** 28, texts: bool = True, most: int = 2_000_000) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and (with `texts`, else null) kept_text of every document."""
-    spans = repeated_windows(docs, width, max_bits).groupBy("_doc", "_txt").agg(F.collect_list("payload").alias("spans"))
+    spans = repeated_windows(docs, width, max_bits, most).groupBy("_doc", "_txt").agg(F.collect_list("payload").alias("spans"))
     joined = docs.select(F.col("doc_id").cast("long"), "text", *row_id()).join(spans.hint("shuffle_hash"), ["_doc", "_txt"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
