@@ -6,10 +6,15 @@ broadcast; beyond it the work is partitioned:
 * one dimension: reference values are ranked in slices and stored in blocks with
   `k` copied border values; each distinct query value finds its rank and reads
   one block;
-* many dimensions: points are assigned to the nearest of a fixed number of
-  pivots, the triangle inequality rules out cells that cannot hold a neighbour,
-  and the remaining (query, cell block) work is a co-grouped join of bounded
-  tiles. No bound on neighbours or candidates: the result is always exact.
+* many dimensions: points are assigned to the nearest of about sqrt(n) pivots. A
+  query searches its own cell first; the distance found there bounds the
+  answer, and the triangle inequality then rules out most other cells. Both
+  rounds are a co-grouped join of bounded tiles, and points are copied only
+  to tiles that queries visit. No bound on neighbours or candidates: the
+  result is always exact.
+
+NULL and NaN values, and vectors that hold some, are no neighbours and have none,
+whatever the size. Ids may be of any type that has an order.
 """
 
 from __future__ import annotations
@@ -23,10 +28,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftline.operators.ordering import ROWS_PER_TASK, running, with_position
+from driftline.session import materialise
 
 BROADCAST_VALUES = 2_000_000        # 16 MB of doubles
 _BLOCK = 1_024
-_PIVOTS = 256
+_PIVOTS = 4_096                     # at most; they are broadcast
 _TILE = 8_192
 
 
@@ -58,7 +64,7 @@ def distance_on_line(queries: DataFrame, points: DataFrame, x: str, px: str | No
     """
     px = px or x
     skip = 1 if exclude_self else 0
-    ref = points.select(F.col(px).cast("double").alias("_p")).where("_p IS NOT NULL")
+    ref = points.select(F.col(px).cast("double").alias("_p")).where("_p IS NOT NULL AND NOT isnan(_p)")
     local = ref.limit(bound + 1).toPandas()["_p"].to_numpy()
     if len(local) <= bound:
         values = queries.sparkSession.sparkContext.broadcast(np.sort(local))
@@ -88,7 +94,7 @@ def _distance_on_line_ranked(queries, ref, x, k, skip, mean, kth, limit):
     blocks = blocks.groupBy("_blk").agg(F.sort_array(F.collect_list("_p")).alias("_vals"),
                                         F.min("_r").alias("_first"))
     n_ref = ref.count()
-    asked = queries.select(F.col(x).cast("double").alias("_q")).where("_q IS NOT NULL").distinct()
+    asked = queries.select(F.col(x).cast("double").alias("_q")).where("_q IS NOT NULL AND NOT isnan(_q)").distinct()
     merged = (ref.groupBy(F.col("_p").alias("_q")).agg(F.count(F.lit(1)).alias("_c"))
               .unionByName(asked.select("_q", F.lit(0).cast("long").alias("_c"))))
     merged = merged.groupBy("_q").agg(F.sum("_c").alias("_c"), F.min("_c").alias("_asked"))
@@ -114,18 +120,30 @@ def _matrix(col: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=float) for v in col]) if len(col) else np.zeros((0, 1))
 
 
+def _squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Squared distances by one matrix product (rounded; exact ones are taken for the few that matter)."""
+    return np.einsum("ij,ij->i", x, x)[:, None] - 2.0 * x @ y.T + np.einsum("ij,ij->i", y, y)[None, :]
+
+
 def _top(q: np.ndarray, q_ids: np.ndarray, p: np.ndarray, p_ids: np.ndarray, k: int, exclude_self: bool):
     """(query index, rank, point id, distance) of the k nearest, ties by smaller id."""
     order = np.argsort(p_ids, kind="stable")
-    p, p_ids = p[order], p_ids[order]
-    norms = np.einsum("ij,ij->i", p, p)
-    want = min(k + (1 if exclude_self else 0), len(p))
+    p, p_ids = np.ascontiguousarray(p[order]), p_ids[order]
+    want = k + (1 if exclude_self else 0)
+    # of equal points only the first by id can be among the nearest
+    same = np.unique(p.view(f"V{p.shape[1] * 8}").ravel(), return_inverse=True)[1] if p.shape[1] else np.zeros(len(p), int)
+    by = np.argsort(same, kind="stable")
+    place = np.arange(len(p)) - np.searchsorted(same[by], same[by])
+    keep = np.sort(by[place < want])
+    p, p_ids = p[keep], p_ids[keep]
+    want = min(want, len(p))
+    most = np.einsum("ij,ij->i", p, p).max(initial=0.0)
     parts = []
     for lo in range(0, len(q), 512):
         block, ids = q[lo:lo + 512], q_ids[lo:lo + 512]
-        rough = norms[None, :] - 2.0 * block @ p.T + np.einsum("ij,ij->i", block, block)[:, None]
+        rough = _squares(block, p)
         edge = np.partition(rough, want - 1, axis=1)[:, want - 1] if want else np.zeros(len(block))
-        slack = 1e-9 * (1.0 + np.abs(edge) + norms.max(initial=0.0))
+        slack = 1e-9 * (1.0 + np.abs(edge) + most)
         qi, pi = np.nonzero(rough <= (edge + slack)[:, None])
         exact = np.sqrt(((block[qi] - p[pi]) ** 2).sum(axis=1))
         if exclude_self:
@@ -140,20 +158,27 @@ def _top(q: np.ndarray, q_ids: np.ndarray, p: np.ndarray, p_ids: np.ndarray, k:
     return [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0)] * 4
 
 
+def _usable(df: DataFrame) -> DataFrame:
+    return df.select("id", F.col("vec").cast("array<double>").alias("vec")).where(
+        F.col("vec").isNotNull() & F.forall("vec", lambda v: v.isNotNull() & ~F.isnan(v)))
+
+
 def neighbours(queries: DataFrame, points: DataFrame, k: int = 5, *, exclude_self: bool = False,
                bound: int = BROADCAST_VALUES, tile: int = _TILE, pivots: int = _PIVOTS) -> DataFrame:
     """The k nearest reference points of every query.
 
-    Both sides have columns `id BIGINT, vec ARRAY<DOUBLE>`. Returns
+    Both sides have columns `id` and `vec ARRAY<DOUBLE>`. Returns
     `id, rank, neighbour, distance`.
     """
     spark = queries.sparkSession
+    kind = lambda df: df.schema["id"].dataType.simpleString()
+    schema = f"id {kind(queries)}, rank int, neighbour {kind(points)}, distance double"
+    queries, points = _usable(queries), _usable(points)
     first = points.select(F.size("vec").alias("d")).first()
-    schema = "id bigint, rank int, neighbour bigint, distance double"
     if first is None:
         return spark.createDataFrame([], schema)
     most = max(1, bound // max(first["d"], 1))
-    local = points.select("id", "vec").limit(most + 1).toPandas()
+    local = points.limit(most + 1).toPandas()
     if len(local) <= most:
         shared = spark.sparkContext.broadcast((_matrix(local["vec"]), local["id"].to_numpy()))
 
@@ -166,61 +191,81 @@ def neighbours(queries: DataFrame, points: DataFrame, k: int = 5, *, exclude_sel
                     yield pd.DataFrame({"id": ids[qi.astype(int)], "rank": rank.astype("int32"),
                                         "neighbour": nid, "distance": d})
 
-        return queries.select("id", "vec").mapInPandas(near, schema)
+        return queries.mapInPandas(near, schema)
     return _neighbours_partitioned(queries, points, k, exclude_self, tile, pivots, schema)
 
 
 def _neighbours_partitioned(queries, points, k, exclude_self, tile, pivots, schema):
     spark = queries.sparkSession
     want = k + (1 if exclude_self else 0)
-    chosen = points.select("id", "vec").orderBy(F.md5(F.col("id").cast("string")), "id").limit(max(pivots, want))
-    anchor = spark.sparkContext.broadcast(_matrix(chosen.toPandas()["vec"]))
+    n_points = points.count()
+    n_pivots = max(want, min(pivots, math.ceil(math.sqrt(n_points))))
+    chosen = points.orderBy(F.md5(F.col("id").cast("string")), "id").limit(n_pivots).toPandas()
+    anchor = spark.sparkContext.broadcast(_matrix(chosen["vec"]))
+
+    def to_pivots(x: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+        for lo in range(0, len(x), 512):
+            rough = np.sqrt(np.maximum(_squares(x[lo:lo + 512], anchor.value), 0.0))
+            yield slice(lo, lo + 512), rough
 
     @F.pandas_udf("struct<cell int, gap double>")
     def assign(vec: pd.Series) -> pd.DataFrame:
-        d = np.sqrt(((_matrix(vec)[:, None, :] - anchor.value[None, :, :]) ** 2).sum(axis=2))
-        cell = d.argmin(axis=1)
-        return pd.DataFrame({"cell": cell.astype("int32"), "gap": d[np.arange(len(d)), cell]})
-
-    placed = points.select("id", "vec", assign("vec").alias("a")).select("id", "vec", "a.cell", "a.gap")
-    cells = placed.groupBy("cell").agg(F.max("gap").alias("radius"), F.count(F.lit(1)).alias("m")).collect()
-    radius = np.full(len(anchor.value), -np.inf)
-    for c in cells:
+        x = _matrix(vec)
+        cell = np.concatenate([d.argmin(axis=1) for _, d in to_pivots(x)]) if len(x) else np.zeros(0, int)
+        gap = np.sqrt(((x - anchor.value[cell]) ** 2).sum(axis=1))
+        return pd.DataFrame({"cell": cell.astype("int32"), "gap": gap})
+
+    placed = materialise(points.select("id", "vec", assign("vec").alias("a")).select("id", "vec", "a.cell", "a.gap"))
+    cells = placed.groupBy("cell").agg(F.max("gap").alias("radius"), F.count(F.lit(1)).alias("m"))
+    radius = np.full(n_pivots, -np.inf)
+    for c in cells.collect():                                                    # at most `pivots` rows
         radius[c["cell"]] = c["radius"]
-    pieces = {c["cell"]: math.ceil(c["m"] / tile) for c in cells}
-    n_queries = queries.count()
-    salts = max(1, math.ceil(n_queries / tile))
     reach = spark.sparkContext.broadcast(radius)
+    pieces = cells.select("cell", F.ceil(F.col("m") / tile).cast("int").alias("pieces"))
+
+    def search(asked: DataFrame) -> DataFrame:
+        """The best of each (query, cell) of `asked` (id, vec, cell), in tiles of both sides."""
+        visited = asked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("salts")).join(F.broadcast(pieces), "cell")
+        plan = F.broadcast(visited)                                              # at most `pivots` rows
+        q_side = (asked.join(plan, "cell").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))
+                  .withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).select("cell", "piece", "salt", "id", "vec"))
+        p_side = (placed.join(plan, "cell").withColumn("piece", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int"))
+                  .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+                  .select(F.col("cell").alias("p_cell"), F.col("piece").alias("p_piece"), F.col("salt").alias("p_salt"),
+                          F.col("id").alias("p_id"), F.col("vec").alias("p_vec")))
+
+        def tile_top(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+            if not len(q) or not len(p):
+                return pd.DataFrame({"id": [], "rank": [], "neighbour": [], "distance": []})
+            ids = q["id"].to_numpy()
+            qi, rank, nid, d = _top(_matrix(q["vec"]), ids, _matrix(p["p_vec"]), p["p_id"].to_numpy(), k, exclude_self)
+            return pd.DataFrame({"id": ids[qi.astype(int)], "rank": rank.astype("int32"), "neighbour": nid, "distance": d})
+
+        left, right = q_side.groupBy("cell", "piece", "salt"), p_side.groupBy("p_cell", "p_piece", "p_salt")
+        return left.cogroup(right).applyInPandas(tile_top, schema)
+
+    own = queries.select("id", "vec", assign("vec")["cell"].alias("cell"))
+    near = materialise(search(own))
+    kth = near.groupBy("id").agg(F.array_sort(F.collect_list("distance")).alias("d"))     # k distances per tile of one cell
+    kth = kth.select(F.col("id").alias("_id"), F.when(F.size("d") >= k, F.get("d", F.lit(k - 1))).alias("_kth"))
 
     @F.pandas_udf("array<int>")
-    def visits(vec: pd.Series) -> pd.Series:
-        d = np.sqrt(((_matrix(vec)[:, None, :] - anchor.value[None, :, :]) ** 2).sum(axis=2))
-        # the pivots are points themselves: their want-th distance bounds the answer from above
-        upper = np.partition(d, want - 1, axis=1)[:, want - 1] if want <= d.shape[1] else np.full(len(d), np.inf)
-        needed = d - reach.value[None, :] <= (upper * (1 + 1e-9) + 1e-12)[:, None]
-        return pd.Series([np.nonzero(row)[0].astype("int32") for row in needed])
-
-    parts = F.create_map(*[x for c, m in pieces.items() for x in (F.lit(c), F.lit(m))])
-    p_side = (placed.withColumn("piece", F.pmod(F.xxhash64("id"), F.element_at(parts, F.col("cell"))).cast("int"))
-              .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-              .select(F.col("cell").alias("p_cell"), F.col("piece").alias("p_piece"), F.col("salt").alias("p_salt"),
-                      F.col("id").alias("p_id"), F.col("vec").alias("p_vec")))
-    q_side = (queries.select("id", "vec", F.explode(visits("vec")).alias("cell"))
-              .withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
-              .withColumn("piece", F.explode(F.sequence(F.lit(0), F.element_at(parts, F.col("cell")) - 1)))
-              .select("cell", "piece", "salt", "id", "vec"))
-
-    def tile_top(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(p):
-            return pd.DataFrame({"id": [], "rank": [], "neighbour": [], "distance": []})
-        ids = q["id"].to_numpy()
-        qi, rank, nid, d = _top(_matrix(q["vec"]), ids, _matrix(p["p_vec"]), p["p_id"].to_numpy(), k, exclude_self)
-        return pd.DataFrame({"id": ids[qi.astype(int)], "rank": rank.astype("int32"), "neighbour": nid, "distance": d})
-
-    left, right = q_side.groupBy("cell", "piece", "salt"), p_side.groupBy("p_cell", "p_piece", "p_salt")
-    partial = left.cogroup(right).applyInPandas(tile_top, schema)
+    def visits(vec: pd.Series, cell: pd.Series, best: pd.Series) -> pd.Series:
+        known, home = best.to_numpy(dtype=float, na_value=np.inf), cell.to_numpy()
+        known = np.where(np.isnan(known), np.inf, known)
+        out = []
+        for at, d in to_pivots(_matrix(vec)):
+            # the pivots are points themselves: their want-th distance bounds the answer too
+            upper = np.minimum(known[at], np.partition(d, want - 1, axis=1)[:, want - 1])
+            needed = d - reach.value[None, :] <= (upper * (1 + 1e-6) + 1e-6)[:, None]
+            needed[np.arange(len(d)), home[at]] = False
+            out += [np.nonzero(row)[0].astype("int32") for row in needed]
+        return pd.Series(out)
+
+    more = own.join(kth, F.col("id") == F.col("_id"), "left")
+    rest = search(more.select("id", "vec", F.explode(visits("vec", "cell", "_kth")).alias("cell")))
     best = Window.partitionBy("id").orderBy("distance", "neighbour")
-    return (partial.drop("rank").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return (near.unionByName(rest).drop("rank").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
             .select("id", "rank", "neighbour", "distance"))
 
 

@@ -43,7 +43,7 @@ def segment_matches(test: DataFrame, train: DataFrame, key: str, order: Sequence
     for m in sorted(lengths):
         spread = assign_windows(library, m, 1)
         ends = F.max(F.when(F.col("off") == m - 1, F.col(rul))).alias("rul_at_match")
-        segments = _vectors(spread, [key], ["win"], channels, [ends]).withColumn("segment", F.xxhash64(key, "win"))
+        segments = _vectors(spread, [key], ["win"], channels, [ends]).withColumn("segment", F.concat_ws(":", F.col(key).cast("string"), "win"))
         queries = probes.where(F.col("m") == m).select(F.col(key).alias("id"), "vec")
         near = neighbours(queries, segments.select(F.col("segment").alias("id"), "vec"), top, bound=bound)
         lookup = segments.select(F.col("segment").alias("neighbour"), F.col(key).alias("match_id"),

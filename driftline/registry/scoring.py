@@ -311,6 +311,18 @@ def _(t: Tables):
     return knn.neighbours(vectors(t), vectors(t), 3).select("id", "neighbour")
 
 
+@query("D4_large_text_ids", f"""
+WITH e AS (SELECT 'v' || vec_id AS id, list_transform(embedding, lambda x: CASE WHEN vec_id % 9 = 0 THEN CAST(label AS DOUBLE) ELSE CAST(x AS DOUBLE) END) AS v FROM embeddings),
+ds AS (SELECT q.id, p.id AS neighbour, list_distance(q.v, p.v) AS distance FROM e q, e p WHERE q.id <> p.id)
+SELECT * FROM (SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY distance, neighbour) AS INTEGER) AS rank, neighbour, {R('distance', 5)} AS distance FROM ds) WHERE rank <= 4""")
+def _(t: Tables):
+    # the partitioned form, forced by a small bound, with text ids and many equal vectors
+    e = t.embeddings
+    same = F.transform("embedding", lambda x: F.when(F.col("vec_id") % 9 == 0, F.col("label").cast("double")).otherwise(x.cast("double")))
+    v = e.select(F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("id"), same.alias("vec"))
+    return knn.neighbours(v, v, 4, exclude_self=True, bound=640, tile=100).withColumn("distance", r("distance", 5))
+
+
 # ---- C: calibration -----------------------------------------------------------
 
 @query("C1_percentile_sweep", f"""
