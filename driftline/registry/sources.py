@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from driftline.functions import scalar as X
 from driftline.models import model_io
+from driftline.operators import relations as Rl
 from driftline.operators.ordering import with_position
 from driftline.registry.base import R, Tables, big, query, r
+from driftline.session import shared_path
 from driftline.sources import text as S
 
 # ---- S: scans -----------------------------------------------------------------
@@ -306,3 +308,50 @@ def _(t: Tables):
     return per.agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_objects"), F.sum("a").alias("n_first"),
                    (F.sum("n") - F.sum("a")).alias("n_second"), F.count_if(F.col("a") > 0).alias("objects_first"),
                    F.min("lo").alias("first_ts"), F.max("hi").alias("last_ts"))
+
+
+# ---- through shared storage ---------------------------------------------------
+
+@query("S9_record_lists", f"SELECT o_orderkey, o_custkey, {R('o_totalprice', 2)} AS o_totalprice FROM orders")
+def _(t: Tables):
+    # lists of the records of a thousand consecutive orders, one JSON document each
+    path = shared_path(t.spark, "lists")
+    record = F.struct("o_orderkey", "o_custkey", F.col("o_totalprice").cast("double").alias("o_totalprice"))
+    lists = t.orders.groupBy(F.floor(F.col("o_orderkey") / 1000).alias("part")).agg(F.to_json(F.collect_list(record)).alias("value"))
+    lists.repartition("part").write.partitionBy("part").text(path)
+    out = S.read_records(t.spark, path, "o_orderkey bigint, o_custkey bigint, o_totalprice double").drop("part")
+    return out.withColumn("o_totalprice", r("o_totalprice", 2))
+
+
+@query("S14_name_variants", f"SELECT event_id, {R('value')} AS value, event_type AS dataset FROM events")
+def _(t: Tables):
+    path = shared_path(t.spark, "variants")
+    t.events.select("event_id", "value", F.col("event_type").alias("kind")).write.partitionBy("kind").parquet(path)
+    return S.read_variants(t.spark, path, "*.parquet", r"/kind=(\w+)/").select("event_id", r("value").alias("value"), "dataset")
+
+
+@query("K1_record_cache", """
+WITH u AS (SELECT *, 1 AS load_no FROM events WHERE event_id % 3 = 0 UNION ALL SELECT event_id, ts, user_id, event_type, value + 1, props, 2 FROM events)
+SELECT user_id, event_id, load_no, round(value, 6) AS v FROM u QUALIFY row_number() OVER (PARTITION BY user_id, ts ORDER BY load_no, event_id) = 1""")
+def _(t: Tables):
+    path = shared_path(t.spark, "cache")
+    first = t.events.where("event_id % 3 = 0").withColumn("load_no", F.lit(1))
+    second = t.events.withColumn("value", F.col("value") + 1).withColumn("load_no", F.lit(2))
+    model_io.write_records(first, path, "user_id")
+    model_io.write_records(second, path, "user_id")
+    out = Rl.dedupe(t.spark.read.parquet(path), ["user_id", "ts"], "load_no", ["event_id"])
+    return out.select("user_id", "event_id", "load_no", F.round("value", 6).alias("v"))
+
+
+@query("K4_result_tables", f"""
+WITH s AS (SELECT l_suppkey, count(*) AS n, {R('sum(l_quantity)', 3)} AS total FROM lineitem GROUP BY l_suppkey)
+SELECT 'csv' AS form, * FROM s UNION ALL SELECT 'json', * FROM s UNION ALL SELECT 'parquet', * FROM s""")
+def _(t: Tables):
+    table = t.lineitem.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"), r(F.sum("l_quantity"), 3).alias("total"))
+    out = None
+    for form in ("csv", "json", "parquet"):
+        path = shared_path(t.spark, form)
+        model_io.write_results(table, path, form)
+        back = t.spark.read.schema(table.schema).option("header", True).format(form).load(path).select(F.lit(form).alias("form"), *table.columns)
+        out = back if out is None else out.unionByName(back)
+    return out
