@@ -537,3 +537,72 @@ def _(t: Tables):
 SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal, c_custkey LIMIT 5""")
 def _(t: Tables):
     return t.customer.orderBy("c_acctbal", "c_custkey").limit(5).select("c_custkey", "c_acctbal")
+
+
+# ---- fits per fold: closed form of two features --------------------------------
+
+def _fit_sql(rows: str, by: str) -> str:
+    """w and cut of the two-feature discriminant over `rows` (by, y, a, b)."""
+    return f"""mo AS (SELECT {by}, avg(a) FILTER (y = 0) AS a0, avg(a) FILTER (y = 1) AS a1, avg(b) FILTER (y = 0) AS b0, avg(b) FILTER (y = 1) AS b1,
+  (var_pop(a) FILTER (y = 0) * count(*) FILTER (y = 0) + var_pop(a) FILTER (y = 1) * count(*) FILTER (y = 1)) / count(*) AS saa,
+  (var_pop(b) FILTER (y = 0) * count(*) FILTER (y = 0) + var_pop(b) FILTER (y = 1) * count(*) FILTER (y = 1)) / count(*) AS sbb,
+  (covar_pop(a, b) FILTER (y = 0) * count(*) FILTER (y = 0) + covar_pop(a, b) FILTER (y = 1) * count(*) FILTER (y = 1)) / count(*) AS sab FROM {rows} GROUP BY {by}),
+u AS (SELECT *, sbb * (a1 - a0) - sab * (b1 - b0) AS ua, saa * (b1 - b0) - sab * (a1 - a0) AS ub, saa * sbb - sab * sab AS det FROM mo),
+fit AS (SELECT {by}, sign(det) * ua / sqrt(ua * ua + ub * ub) AS wa, sign(det) * ub / sqrt(ua * ua + ub * ub) AS wb,
+  sign(det) * (ua * (a0 + a1) + ub * (b0 + b1)) / 2 / sqrt(ua * ua + ub * ub) AS cut FROM u)"""
+
+
+_COUNTS = "count(*) FILTER (hit AND y = 1) AS tp, count(*) FILTER (hit AND y = 0) AS fp, count(*) FILTER (NOT hit AND y = 1) AS fn, count(*) FILTER (NOT hit AND y = 0) AS tn"
+
+
+def _fold_report(rows, fits, key: str, on: str, features, by):
+    from driftline.models import evaluate, folds
+
+    held = rows.join(fits.withColumnRenamed(on, "_f"), rows[key] == F.col("_f"))
+    return evaluate.confusion(held, folds.fired(features), F.col("y") == 1, by)
+
+
+@query("T9_fits_without_one_object", f"""
+WITH {EV}, e AS (SELECT user_id, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS y, v AS a, k AS b FROM ev), o AS (SELECT f.user_id AS fold, e.y, e.a, e.b FROM (SELECT DISTINCT user_id FROM e) f JOIN e ON e.user_id <> f.user_id),
+{_fit_sql('o', 'fold')}, s AS (SELECT fold, y, wa * a + wb * b > cut AS hit FROM fit JOIN e ON e.user_id = fold),
+c AS (SELECT fold, {_COUNTS} FROM s GROUP BY fold)
+SELECT fold AS user_id, {R('wa')} AS w_v, {R('wb')} AS w_k, {R('cut', 5)} AS cut, tp, fp, fn, tn FROM fit JOIN c USING (fold)""")
+def _(t: Tables):
+    from driftline.models import folds
+
+    e = t.history().select("user_id", F.when(F.col("event_type") == "error", 1).otherwise(0).alias("y"), "v", "k")
+    fits = folds.leave_one_out_fits(folds.fold_moments(e, "user_id", F.col("y"), ["v", "k"]), "user_id", 2)
+    counts = _fold_report(e, fits, "user_id", "user_id", ["v", "k"], ["user_id"])
+    return fits.join(counts, "user_id").select("user_id", r(F.get("w", F.lit(0))).alias("w_v"), r(F.get("w", F.lit(1))).alias("w_k"), r("cut", 5).alias("cut"), "tp", "fp", "fn", "tn")
+
+
+@query("T10_fits_without_one_group", f"""
+WITH e AS (SELECT l_linenumber AS g, CASE WHEN l_tax > 0.04 THEN 1 ELSE 0 END AS y, CAST(l_quantity AS DOUBLE) AS a, CAST(l_discount AS DOUBLE) AS b FROM lineitem),
+o AS (SELECT f.g AS fold, e.y, e.a, e.b FROM (SELECT DISTINCT g FROM e) f JOIN e ON e.g <> f.g),
+{_fit_sql('o', 'fold')}, s AS (SELECT fold, y, wa * a + wb * b > cut AS hit FROM fit JOIN e ON e.g = fold), c AS (SELECT fold, {_COUNTS} FROM s GROUP BY fold)
+SELECT fold AS g, {R('wa')} AS w_a, {R('wb')} AS w_b, {R('cut', 5)} AS cut, tp, fp, fn, tn FROM fit JOIN c USING (fold)""")
+def _(t: Tables):
+    from driftline.models import folds
+
+    e = t.lineitem.select(F.col("l_linenumber").alias("g"), F.when(F.col("l_tax") > 0.04, 1).otherwise(0).alias("y"), F.col("l_quantity").alias("a"), F.col("l_discount").alias("b"))
+    fits = folds.leave_one_out_fits(folds.fold_moments(e, "g", F.col("y"), ["a", "b"]), "g", 2)
+    counts = _fold_report(e, fits, "g", "g", ["a", "b"], ["g"])
+    return fits.join(counts, "g").select("g", r(F.get("w", F.lit(0))).alias("w_a"), r(F.get("w", F.lit(1))).alias("w_b"), r("cut", 5).alias("cut"), "tp", "fp", "fn", "tn")
+
+
+@query("T11_pair_fits", f"""
+WITH {EV}, e AS (SELECT event_type AS g, CASE WHEN user_id % 3 = 0 THEN 1 ELSE 0 END AS y, v AS a, k AS b FROM ev),
+p(pair, g) AS (VALUES ('error+click', 'error'), ('error+click', 'click'), ('view+purchase', 'view'), ('view+purchase', 'purchase')), o AS (SELECT pair, y, a, b FROM p JOIN e USING (g)),
+{_fit_sql('o', 'pair')}, s AS (SELECT pair, g, y, wa * a + wb * b > cut AS hit FROM fit JOIN e ON true)
+SELECT pair, g AS dataset, (pair, g) NOT IN (SELECT (pair, g) FROM p) AS held_out, {_COUNTS} FROM s GROUP BY pair, g""")
+def _(t: Tables):
+    from driftline.models import evaluate, folds
+
+    groups = {"+".join(p): p for p in _PAIRS}
+    e = t.history().select(F.col("event_type").alias("dataset"), F.when(F.col("user_id") % 3 == 0, 1).otherwise(0).alias("y"), "v", "k")
+    fits = folds.group_fits(folds.fold_moments(e, "dataset", F.col("y"), ["v", "k"]), "dataset", groups, 2)
+    both = e.crossJoin(F.broadcast(fits.withColumnRenamed("fit", "pair")))               # one row per group of data sets
+    inside = F.lit(False)
+    for g, of in groups.items():
+        inside = inside | ((F.col("pair") == g) & F.col("dataset").isin(*of))
+    return evaluate.confusion(both.withColumn("held_out", ~inside), folds.fired(["v", "k"]), F.col("y") == 1, ["pair", "dataset", "held_out"])

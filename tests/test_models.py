@@ -206,3 +206,23 @@ def test_summary_and_confusion(spark):
     df = spark.createDataFrame([(0.5,), (-0.1,), (0.2,)], "rho double")
     row = evaluate.summary_of(df, "rho").first()
     assert row["mean"] == pytest.approx(0.2) and row["median"] == 0.2 and row["n_positive"] == 2
+
+
+def test_fits_without_one_fold(spark):
+    """Fits from additive moments equal fits on the rows themselves."""
+    from driftline.models import folds
+
+    rng = np.random.default_rng(4)
+    n, d = 600, 5
+    y, fold = rng.integers(0, 2, n), rng.integers(0, 6, n)
+    x = rng.normal(size=(n, d)) @ rng.normal(size=(d, d)) + 1000.0 + y[:, None] * rng.normal(size=d)
+    df = spark.createDataFrame([(int(f), int(c), *map(float, v)) for f, c, v in zip(fold, y, x)], "fold int, y int, " + ", ".join(f"x{i} double" for i in range(d)))
+    names = [f"x{i}" for i in range(d)]
+    got = {r["fold"]: r for r in folds.leave_one_out_fits(folds.fold_moments(df, "fold", F.col("y"), names), "fold", d).collect()}
+    for f in range(6):
+        a, b = x[(fold != f) & (y == 0)], x[(fold != f) & (y == 1)]
+        within = (len(a) * np.cov(a.T, bias=True) + len(b) * np.cov(b.T, bias=True)) / (len(a) + len(b))
+        w = np.linalg.solve(within, b.mean(axis=0) - a.mean(axis=0))
+        w /= np.linalg.norm(w)
+        np.testing.assert_allclose(got[f]["w"], w, atol=1e-8)
+        assert abs(got[f]["cut"] - w @ (a.mean(axis=0) + b.mean(axis=0)) / 2) < 1e-6
