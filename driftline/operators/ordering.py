@@ -187,7 +187,7 @@ def framed(df: DataFrame, key: Sequence[str], order: Sequence[str], back: int, a
     limit = layout.limit
     placed = with_position(df, key, order, layout=layout)
     if not layout.sliced:
-        return Frames(placed, key, None)
+        return Frames(placed, key, None, list(order))          # the order of the positions: one sort serves all frames
     size = max(limit, 4 * (back + ahead), 1)
     first = F.floor(F.greatest(F.col("pos") - ahead, F.lit(0)) / size)
     last = F.floor(F.least(F.col("pos") + back, F.col("n") - 1) / size)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from driftline.catalog.features import CONJUNCTION_FEATURES
 from driftline.functions.scalar import is_valid, log10_magnitude
 from driftline.models.evaluate import spearman
-from driftline.operators.ordering import ROWS_PER_TASK, framed
+from driftline.operators.ordering import ROWS_PER_TASK, Layout, framed, layout_of
 from driftline.operators.windows import fill_gaps
 
 HIGH_RISK = -5.0            # log10 probability of the screening threshold
@@ -34,12 +34,12 @@ def final_values(df: DataFrame, key: str, order: Sequence[Column], columns: Sequ
 
 
 def step_rates(df: DataFrame, key: Sequence[str], order: Sequence[str], time: str, columns: Sequence[str], *,
-               limit: int = ROWS_PER_TASK, rows: int | None = None) -> DataFrame:
+               limit: int = ROWS_PER_TASK, rows: int | None = None, layout: Layout | None = None) -> DataFrame:
     """`rate_<x>`: change per time between neighbouring records; NULL where a side is unknown or time stands still.
 
     Also `gap`: time since the record before.
     """
-    frames = framed(df, key, order, 1, limit=limit, rows=rows)
+    frames = framed(df, key, order, 1, limit=limit, rows=rows, layout=layout)
     w = frames.ordered
     out = frames.df.withColumn("gap", F.col(time) - F.lag(time).over(w))
     moved = F.abs(F.col("gap")) >= _MIN_STEP
@@ -93,9 +93,12 @@ def event_features(messages: DataFrame, *, key: str = "event_id", tie: Sequence[
     near = near.withColumns({"t_det": log10_magnitude("t_position_covariance_det"),
                              "c_det": log10_magnitude("c_position_covariance_det")})
     order = ["_order", *tie]
-    near = fill_gaps(near, [key], order, "c_sigma_r", "c_sigma", **opts)
+    layout = layout_of(near, [key], order, limit, rows)         # one look at the group sizes
+    if not layout.sliced:
+        opts["rows"] = limit
+    near = fill_gaps(near, [key], order, "c_sigma_r", "c_sigma", layout=layout)
     moving = ["miss_distance", "mahalanobis_distance", "t_sigma_r", "c_sigma", "t_det", "c_det", "c_obs_used"]
-    rated = step_rates(near, [key], order, "_order", moving, **opts)
+    rated = step_rates(near, [key], order, "_order", moving, layout=layout)
     last = lambda c: F.max_by(c, "pos")
     t_rms, c_rms = last("t_weighted_rms"), last("c_weighted_rms")
     aggs = {

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.operators.ordering import ROWS_PER_TASK, framed, per_group
+from driftline.operators.ordering import ROWS_PER_TASK, framed, layout_of, per_group
 
 # fixed values
 TRA_WINDOW = 50
@@ -26,17 +26,17 @@ def cruise_mask(df: DataFrame, key: Sequence[str], order: Sequence[str], *, alti
     samples use their overall deviation. With fewer than `least` samples left,
     altitude alone decides, then the whole flight is kept.
     """
-    frames = framed(df, key, order, window - 1, limit=limit, rows=rows)
+    layout = layout_of(df, key, order, limit, rows)             # one look at the group sizes
+    frames = framed(df, key, order, window - 1, layout=layout)
     rolled = frames.df.withColumn("_roll", F.stddev_pop(throttle).over(frames.rows(-(window - 1), 0)))
     rolled = frames.finish(rolled)
     head = F.max(F.when(F.col("pos") == window, F.col("_roll")))
-    rolled = per_group(rolled, key, {"_head": head, "_all": F.stddev_pop(throttle)}, limit=limit, rows=rows)
+    rolled = per_group(rolled, key, {"_head": head, "_all": F.stddev_pop(throttle)}, layout=layout)
     spread = (F.when(F.col("n") <= window, F.col("_all")).when(F.col("pos") < window, F.col("_head"))
               .otherwise(F.col("_roll")))
     marked = rolled.withColumn("_high", F.col(altitude) > alt_min)
     marked = marked.withColumn("_steady", (spread < std_max) & F.col("_high"))
-    marked = per_group(marked, key, {"_n_steady": F.count_if("_steady"), "_n_high": F.count_if("_high")},
-                       limit=limit, rows=rows)
+    marked = per_group(marked, key, {"_n_steady": F.count_if("_steady"), "_n_high": F.count_if("_high")}, layout=layout)
     mask = (F.when(F.col("_n_steady") >= least, F.col("_steady")).when(F.col("_n_high") >= least, F.col("_high"))
             .otherwise(F.lit(True)))
     return marked.withColumn("cruise", mask).drop("_roll", "_head", "_all", "_high", "_steady", "_n_steady", "_n_high")

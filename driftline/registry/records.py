@@ -385,9 +385,8 @@ def _(t: Tables):
 SELECT user_id, count(*) AS n, user_id IN (SELECT user_id FROM events WHERE event_type = 'error' GROUP BY user_id HAVING count(*) > 18) AS held_out FROM events GROUP BY user_id""")
 def _(t: Tables):
     hold = t.events.where("event_type = 'error'").groupBy("user_id").agg(F.count(F.lit(1)).alias("m")).where("m > 18").select("user_id")
-    rest = t.events.join(hold, "user_id", "left_anti").withColumn("held_out", F.lit(False))
-    kept = t.events.join(hold, "user_id", "left_semi").withColumn("held_out", F.lit(True))
-    return rest.unionByName(kept).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.first("held_out").alias("held_out"))
+    marked = t.events.select("user_id").join(hold.withColumn("_held", F.lit(True)), "user_id", "left")
+    return marked.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max("_held"), F.lit(False)).alias("held_out"))
 
 
 # ---- T: set operations and splits ---------------------------------------------
@@ -485,58 +484,14 @@ WITH p(pair, a, b) AS (VALUES ('error+click', 'error', 'click'), ('view+purchase
 s AS (SELECT pair, a, b, avg(value) AS m, stddev_pop(value) AS sd FROM p JOIN events ON event_type IN (a, b) GROUP BY ALL)
 SELECT pair, event_type AS dataset, event_type NOT IN (a, b) AS held_out, count(*) AS n, {R('avg((value - m) / sd)')} AS z_mean FROM s JOIN events ON true GROUP BY ALL""")
 def _(t: Tables):
-    from driftline.models.scale import fit_stats, zscore
-    kinds = [x["event_type"] for x in t.events.select("event_type").distinct().collect()]
-    out = None
-    for pair in _PAIRS:
-        m, s = fit_stats(t.events.where(F.col("event_type").isin(*pair)), ["value"])["value"]
-        name = "+".join(pair)
-        held = F.lit(False)
-        for d, p, h in Rl.cross_folds(kinds, [pair]):
-            held = held | (F.lit(h) & (F.col("event_type") == d))
-        one = t.events.groupBy(F.lit(name).alias("pair"), F.col("event_type").alias("dataset"), held.alias("held_out")).agg(
-            F.count(F.lit(1)).alias("n"), r(F.avg(zscore("value", m, s))).alias("z_mean"))
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-@query("T12_row_accounting", """
-SELECT count(*) AS rows_in, count(*) AS rows_out, true AS balanced FROM events""")
-def _(t: Tables):
-    e = t.events
-    return Rl.row_accounting([e], [e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1")])
-
-
-# ---- O: orders and limits -----------------------------------------------------
-
-
-@query("O1_object_order", f"WITH {LI} SELECT l_suppkey, pos, l_orderkey, l_linenumber, l_partkey FROM li")
-def _(t: Tables):
-    out = O.with_position(t.supply(), ["l_suppkey"], SUPPLY_ORDER, rows=t.rows("lineitem"), size=None)
-    return out.select("l_suppkey", "pos", "l_orderkey", "l_linenumber", "l_partkey")
-
-
-@query("O2_global_order", "SELECT user_id, event_id, round(value, 6) AS v FROM events ORDER BY user_id, ts, event_id")
-def _(t: Tables):
-    return t.events.orderBy("user_id", "ts", "event_id").select("user_id", "event_id", F.round("value", 6).alias("v"))
-
-
-@query("O3_numeric_id_order", "SELECT CAST(s_suppkey AS VARCHAR) AS id FROM supplier ORDER BY s_suppkey")
-def _(t: Tables):
-    return t.supplier.select(F.col("s_suppkey").cast("string").alias("id")).orderBy(F.col("id").cast("int"))
-
-
-@query("O6_first_best", """
-SELECT event_type, arg_min(event_id, (-value, event_id)) AS best, round(max(value), 6) AS v FROM events GROUP BY event_type""")
-def _(t: Tables):
-    return t.events.groupBy("event_type").agg(F.max_by("event_id", F.struct("value", -F.col("event_id"))).alias("best"),
-                                              F.round(F.max("value"), 6).alias("v"))
-
-
-@query("E11_smallest_remaining", """
-SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal, c_custkey LIMIT 5""")
-def _(t: Tables):
-    return t.customer.orderBy("c_acctbal", "c_custkey").limit(5).select("c_custkey", "c_acctbal")
+    # the deviation is linear in the value: one aggregate per data set gives the statistics of every pair and every mean
+    own = t.events.groupBy(F.col("event_type").alias("dataset")).agg(F.count("value").alias("n"), F.avg("value").alias("a"), F.var_pop("value").alias("v"))
+    member = F.explode(F.array(*[F.struct(F.lit("+".join(p)).alias("pair"), F.lit(d).alias("of")) for p in _PAIRS for d in p]))
+    inside = own.withColumn("p", member).where("p.of = dataset").select("p.pair", "dataset", "n", "a", "v")
+    fit = inside.groupBy("pair").agg(F.sum("n").alias("_n"), F.sum(F.col("n") * F.col("a")).alias("_s"), F.sum(F.col("n") * (F.col("v") + F.col("a") * F.col("a"))).alias("_q"))
+    m = F.col("_s") / F.col("_n")
+    both = own.crossJoin(F.broadcast(fit)).join(inside.select("pair", "dataset", F.lit(False).alias("_held")), ["pair", "dataset"], "left")     # one row per pair
+    return both.select("pair", "dataset", F.coalesce("_held", F.lit(True)).alias("held_out"), "n", r((F.col("a") - m) / F.sqrt(F.col("_q") / F.col("_n") - m * m)).alias("z_mean"))
 
 
 # ---- fits per fold: closed form of two features --------------------------------
