@@ -86,3 +86,25 @@ def test_rank_correlation_p(rho, n, p):
 def test_mann_whitney_p_direction():
     assert mann_whitney_p(0, 20, 20) < 1e-6 < 0.5 < mann_whitney_p(400, 20, 20)
     assert mann_whitney_p(200, 20, 20) == pytest.approx(0.5, abs=0.01)
+
+
+# fixed values: rank correlation of distance and time for each of 26 held-out events
+EVENT_RHO = [
+    -0.4, 0.4, 0.8, 0.4, 1.0, 0.8, -0.028571, -0.4, 0.657143, -0.2,
+    0.6, -0.657143, 0.6, 0.9, 0.5, 0.1, 0.3, 0.7, 1.0, 0.1,
+    0.8, 0.6, 0.0, -0.314286, -1.0, 0.8,
+]
+# fixed values: first excursions per year, 2020 to 2025
+ONSETS = [(2020, 4), (2021, 6), (2022, 17), (2023, 23), (2024, 21), (2025, 37)]
+
+
+def test_prefix_walk_summary(spark):
+    df = spark.createDataFrame([(x,) for x in EVENT_RHO], "rho double")
+    row = evaluate.summary_of(df, "rho").first()
+    assert (round(row["mean"], 4), round(row["median"], 2), row["n_positive"], row["n_objects"]) == (0.3099, 0.45, 18, 26)
+    assert round(row["share_positive"], 4) == 0.6923
+
+
+def test_yearly_onset_correlation(spark):
+    row = evaluate.spearman(spark.createDataFrame(ONSETS, "year int, n int"), "year", "n").first()
+    assert (round(row["rho"], 6), row["n"]) == (0.942857, 6)
