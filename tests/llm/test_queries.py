@@ -43,3 +43,50 @@ def test_pipeline_takes_missing_values(spark):
         for name, stage in corpus_pipeline.STAGES[1:]:
             rows = stage(spark, rows, FOLDER)
             assert rows.count() >= 0 and "score" in rows.columns
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Each stage on its own input: SQL for the lines, plain Python for the rest."""
+    import hashlib
+    import re
+
+    import duckdb
+
+    from driftline.llm import lines
+    from tests.llm.test_operators import fingerprint
+
+    docs, kept = spark.read.parquet(f"{FOLDER}/documents.parquet"), []
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, FOLDER).coalesce(1).write.parquet(f"file://{tmp_path}/{k}")
+        docs = spark.read.parquet(f"file://{tmp_path}/{k}")
+        kept.append({r.doc_id: r for r in docs.collect()})
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{FOLDER}/labels.parquet").collect()}
+    right = [(i in kept[0]) == bool(labels[i]) for i in {r.doc_id for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()} if i in labels]
+    assert sum(right) >= 0.95 * len(right)
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/0/*.parquet')")
+    expect = {row[0]: row[4] for row in con.execute(lines.SQL).fetchall()}
+    assert {i: hashlib.sha256((r.text or "").encode()).hexdigest() for i, r in kept[1].items()} == expect
+
+    prints = {i: fingerprint(r.text, 5) for i, r in kept[1].items()}
+    gone = set(kept[1]) - set(kept[2])
+    assert all(any(j != i and bin(prints[i] ^ prints[j]).count("1") <= 12 for j in prints) for i in gone)
+    assert len({r.text for r in kept[2].values()}) == len(kept[2]) == len({prints[i] for i in kept[2]})
+
+    def split(text):
+        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
+
+    windows = set()
+    for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect():
+        w = split(r.text)
+        windows |= {tuple(w[p:p + 10]) for p in range(max(1, len(w) - 9))} if w else set()
+    sizes = {len(w) for w in windows}
+    hit = lambda w: any(tuple(w[p:p + n]) in windows for n in sizes for p in range(len(w) - n + 1))
+    assert set(kept[3]) == {i for i, r in kept[2].items() if not hit(split(r.text))}
+
+    P, tiktoken = pytest.importorskip("public_tokenizers"), pytest.importorskip("tiktoken")
+    from driftline.llm import bpe
+    ranks = {t: k for k, t in enumerate(bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken")))}
+    ref = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    assert all(list(r["ids"]) == ref.encode_ordinary(kept[3][i].text or "") and r.round_trip for i, r in kept[4].items())
