@@ -20,6 +20,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import itertools
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 
 from driftline.llm.common import binary, fresh, map_arrow, pieces, ragged
 
-LONG, CACHE, SLICE, DECODE_TOKENS = 48, 1_500_000, 4_000_000, 1_000_000
+LONG, CACHE, SLICE, DECODE_TOKENS = 48, 300_000, 3_000_000, 500_000
 
 # k orders all rows by word and position; best holds a word's smallest rank and the leftmost position that has it
 STEP = """
@@ -89,7 +91,8 @@ class Codec:
         import regex
 
         self.split = regex.compile(pattern).findall
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+        # beyond the limit DuckDB writes to the task's own temporary folder, and takes that away again
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "temp_directory": f"{tempfile.gettempdir()}/duckdb-{uuid.uuid4().hex}"})
         rank = {t: k for k, t in enumerate(tokens)}
         self.byte = np.array([rank.get(bytes([b]), -1) for b in range(256)], np.int32)
         triples = [(rank[t[:k]], rank[t[k:]], r) for t, r in rank.items() for k in range(1, len(t)) if t[:k] in rank and t[k:] in rank]

@@ -76,7 +76,7 @@ def fit(texts: pa.Array, labels: np.ndarray, bits: int = HASH_BITS, dim: int = D
     rows = []                                                                     # per text: distinct buckets and their shares
     for k in range(n):
         b, e = features(texts[k:k + 1], bits)
-        keys, many = np.unique(np.concatenate(b), return_counts=True)
+        keys, many = np.unique(np.concatenate(b).astype(np.int32), return_counts=True)
         rows.append((keys, (many / max(1, many.sum())).astype(np.float32)))
     rng = np.random.default_rng(seed)
     vectors = ((rng.random((dim, size), np.float32) - 0.5) / dim)
