@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftline.llm.common import LOWER, MISSING_ID, NOT_SPACE, components, find_words, flat, map_arrow, mix, pieces, ragged, row_id, store, union_find
@@ -27,16 +27,15 @@ from driftline.llm.common import LOWER, MISSING_ID, NOT_SPACE, components, find_
 SHINGLE, RADIUS, BLOCKS, SEED = 4, 4, 6, 42
 
 
-def _fingerprints(data: np.ndarray, at: np.ndarray, shingle: int, bands: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """The fingerprint of every text, and `bands` keys of two minimum shingle hashes each."""
+def _shingles(data: np.ndarray, at: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingle hashes of every text in order, and how many each text has."""
     from xxhash import xxh64_intdigest
 
     data = LOWER[data]
     starts, ends, first = find_words(data, at, NOT_SPACE)
-    n_docs, n_words = len(at) - 1, np.diff(first)
-    out, keys = np.zeros(n_docs, np.uint64), np.zeros((n_docs, bands), np.uint64)
+    n_words = np.diff(first)
     if not len(starts):
-        return out, keys
+        return np.zeros(0, np.uint64), np.zeros(len(at) - 1, np.int64)
     lengths = ends - starts
     joined = np.full(int(lengths.sum()) + len(starts), 32, np.uint8)            # words, each followed by one space
     ws = np.cumsum(lengths + 1) - (lengths + 1)
@@ -46,8 +45,25 @@ def _fingerprints(data: np.ndarray, at: np.ndarray, shingle: int, bands: int = 0
     begin = np.repeat(first[:-1], count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
     last = np.minimum(begin + shingle - 1, np.repeat(first[1:], count) - 1)
     buf = joined.tobytes()
-    hashes = np.array([xxh64_intdigest(buf[a:b], SEED) for a, b in zip(ws[begin].tolist(), we[last].tolist())], np.uint64)
+    return np.array([xxh64_intdigest(buf[a:b], SEED) for a, b in zip(ws[begin].tolist(), we[last].tolist())], np.uint64), count
+
+
+def _sets(hashes: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's different shingle hashes, ascending, and how many there are."""
+    doc = np.repeat(np.arange(len(count)), count)
+    order = np.lexsort((hashes, doc))
+    hashes, doc = hashes[order], doc[order]
+    new = np.ones(len(hashes), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])
+    return hashes[new], np.bincount(doc[new], minlength=len(count))
+
+
+def _fingerprints(hashes: np.ndarray, count: np.ndarray, bands: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The fingerprint of every text, and `bands` keys of two minimum shingle hashes each."""
+    out, keys = np.zeros(len(count), np.uint64), np.zeros((len(count), bands), np.uint64)
     have = np.flatnonzero(count)
+    if not len(have):
+        return out, keys
     edge = np.cumsum(count) - count
     for lo in range(0, len(have), 256):                                         # bits of a few texts at a time
         some = have[lo:lo + 256]
@@ -63,18 +79,47 @@ def _fingerprints(data: np.ndarray, at: np.ndarray, shingle: int, bands: int = 0
     return out, keys
 
 
-def fingerprints(docs: DataFrame, keep: list[str], shingle: int = SHINGLE, bands: int = 0) -> DataFrame:
-    """Columns `keep` of docs, the fingerprint `fp` of every text, and `keys` (array of `bands` longs)."""
+def fingerprints(docs: DataFrame, keep: list[str], shingle: int = SHINGLE) -> DataFrame:
+    """Columns `keep` of docs and the fingerprint `fp` of every text."""
     types = dict(docs.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch):
-                fp, keys = _fingerprints(*flat(part.column("text")), shingle, bands)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * bands), pa.array(keys.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(fp.view(np.int64)), lists], [*keep, "fp", "keys"])
+                fp, _ = _fingerprints(*_shingles(*flat(part.column("text")), shingle))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(fp.view(np.int64))], [*keep, "fp"])
+
+    return map_arrow(docs.select(*keep, "text"), run, ", ".join(f"`{c}` {types[c]}" for c in keep) + ", fp long")
+
+
+def _lists(values: np.ndarray, count: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(values.view(np.int64)))
+
+
+def set_prints(docs: DataFrame, shingle: int, bands: int) -> DataFrame:
+    """doc, txt of every text, `cls` (a hash that names its set of shingles), their number `n`, the fingerprint `fp` of the set, and `keys` (array of `bands` longs)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch):
+                hashes, n = _sets(*_shingles(*flat(part.column("text")), shingle))
+                fp, keys = _fingerprints(hashes, n, bands)
+                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(hashes + np.uint64(0x9E3779B97F4A7C15)))])   # modulo 2^64
+                edge = np.concatenate([[0], np.cumsum(n)])
+                cls = mix((total[edge[1:]] - total[edge[:-1]]) ^ n.astype(np.uint64))
+                yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("txt"), pa.array(cls.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(fp.view(np.int64)),
+                                                  _lists(keys.ravel(), np.full(len(n), bands))], ["doc", "txt", "cls", "n", "fp", "keys"])
+
+    return map_arrow(docs.select("doc", "txt", "text"), run, "doc long, txt long, cls long, n long, fp long, keys array<long>")
+
+
+def _shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """cls of docs and the sorted set of its text's shingle hashes."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch):
+                yield pa.RecordBatch.from_arrays([part.column("cls"), _lists(*_sets(*_shingles(*flat(part.column("text")), shingle)))], ["cls", "set"])
 
-    return map_arrow(docs.select(*keep, "text"), run, ", ".join(f"`{c}` {types[c]}" for c in keep) + ", fp long, keys array<long>")
+    return map_arrow(docs.select("cls", "text"), run, "cls long, set array<long>")
 
 
 # ---------------------------------------------------------------- BK-trees (many at once)
@@ -169,16 +214,102 @@ def near_links(rows: DataFrame, n: int, radius: int = RADIUS, tree_rows: int = 1
     """Links (src, dst) between the classes of `rows` (cls, fp, tab, key; about n rows; fp names cls) whose components are those of all
     pairs within the radius that share a shard (tab, key)."""
     spark = rows.sparkSession
-    sizes = rows.groupBy("tab", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    split = F.ceil(F.col("n") / tree_rows).cast("int")
-    shared = rows.join(sizes, ["tab", "key"]).withColumn("nb", split)
-    shared = shared.withColumn("b", F.when(F.col("nb") > 1, F.pmod(F.xxhash64("fp"), F.col("nb")).cast("int")).otherwise(0))
-    pair = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda o: F.struct(F.least(F.col("b"), o).alias("i"), F.greatest(F.col("b"), o).alias("j")))
-    units = shared.withColumn("p", F.explode(pair)).select("tab", "key", "p.i", "p.j", "b", "cls", "fp")
+    units = _units(rows, F.ceil(F.count(F.lit(1)) / tree_rows), "fp").select("tab", "key", "i", "j", "b", "cls", "fp")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // 400_000))
     return map_arrow(units.repartition(parts, "tab", "key", "i", "j"), _link_units(radius), "src long, dst long")
 
 
+def _units(rows: DataFrame, blocks: Column, by: str) -> DataFrame:
+    """`rows` of shards (tab, key) with two rows or more, cut into `blocks` (an aggregate) blocks b by a hash of `by`; one copy for each pair (i, j) of blocks."""
+    sizes = rows.groupBy("tab", "key").agg(F.count(F.lit(1)).alias("_n"), blocks.cast("int").alias("nb")).where("_n > 1")
+    shared = rows.join(sizes, ["tab", "key"])
+    shared = shared.withColumn("b", F.when(F.col("nb") > 1, F.pmod(F.xxhash64(by), F.col("nb")).cast("int")).otherwise(0))
+    pair = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda o: F.struct(F.least(F.col("b"), o).alias("i"), F.greatest(F.col("b"), o).alias("j")))
+    return shared.withColumn("p", F.explode(pair)).select("p.i", "p.j", *shared.columns)
+
+
+# ---------------------------------------------------------------- exact similarity of candidates
+def similar(a: int, b: np.ndarray, both: np.ndarray) -> np.ndarray:
+    """Whether sets of a and b members with `both` in common have Jaccard 4/5 or more, in whole numbers."""
+    return 9 * both >= 4 * (a + b)
+
+
+def _verified(values: np.ndarray, sets: np.ndarray, edge: np.ndarray, b: np.ndarray, i: int, j: int, radius: int) -> np.ndarray:
+    """The component of every item of one unit, by links of pairs (block i, block j) within the radius whose sets are similar.
+
+    A pair already in one component is not compared again, so a group of m near copies takes about m comparisons of sets.
+    """
+    n, label = np.diff(edge), np.arange(len(values))
+    tree = np.flatnonzero(b == i)
+    for q in np.flatnonzero(b == j).tolist():
+        rest = tree[tree < q] if i == j else tree
+        d = np.bitwise_count(values[rest] ^ values[q])
+        near = (d <= radius) & similar(n[q], n[rest], np.minimum(n[rest], n[q])) & (label[rest] != label[q])
+        rest = rest[near]
+        rest = rest[np.argsort(d[near], kind="stable")]                          # nearest first
+        own, some = sets[edge[q]:edge[q + 1]], 0
+        while len(rest):
+            take = np.unique(label[rest], return_index=True)[1] if not some else np.arange(min(some, len(rest)))
+            take, some = take[:256], 64                                          # one of each component, then the others
+            t = rest[take]
+            at = ragged(np.arange(len(sets)), edge[t], n[t])
+            place = np.minimum(np.searchsorted(own, sets[at]), len(own) - 1)
+            both = np.add.reduceat(own[place] == sets[at], np.cumsum(n[t]) - n[t], dtype=np.int64)
+            for x in t[similar(n[q], n[t], both)].tolist():
+                low, high = sorted((label[q], label[x]))
+                label[label == high] = low
+            rest = np.delete(rest, take)
+            rest = rest[label[rest] != label[q]]
+    return label
+
+
+def _verify_units(radius: int):
+    """Rows (tab, key, i, j, b, cls, fp, set) of whole units -> links (src, dst) that join each unit's components of similar sets."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held).combine_chunks()
+        col = {c: table.column(c).to_numpy() for c in ("tab", "key", "i", "j", "b", "cls", "fp")}
+        lists = table.column("set").combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        offsets, flat_sets = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
+        order = np.lexsort((col["cls"], col["j"], col["i"], col["key"], col["tab"]))
+        unit = np.stack([col[c][order] for c in ("tab", "key", "i", "j")])
+        bounds = [0, *(np.flatnonzero((unit[:, 1:] != unit[:, :-1]).any(axis=0)) + 1).tolist(), len(order)]
+        for lo, hi in zip(bounds[:-1], bounds[1:]):
+            rows = order[lo:hi]
+            n = offsets[rows + 1] - offsets[rows]
+            edge = np.concatenate([[0], np.cumsum(n)])
+            label = _verified(col["fp"][rows].view(np.uint64), ragged(flat_sets, offsets[rows], n), edge, col["b"][rows], int(unit[2, lo]), int(unit[3, lo]), radius)
+            linked = np.flatnonzero(label != np.arange(len(rows)))
+            if len(linked):
+                cls = col["cls"][rows]
+                yield pa.RecordBatch.from_arrays([pa.array(cls[linked]), pa.array(cls[label[linked]])], ["src", "dst"])
+    return run
+
+
+def similar_links(named: DataFrame, classes: DataFrame, shards: DataFrame, n: int, shingle: int, radius: int, tree_rows: int, unit_rows: int, unit_hashes: int) -> DataFrame:
+    """Links (src, dst) between classes whose components are those of all pairs with Jaccard 0.8 or more that are candidates: within the
+    radius, and in one shard.
+
+    Candidates are first joined to components. One of up to `unit_rows` classes is a unit and each of its sets is sent once; a larger one is compared
+    shard by shard, in blocks."""
+    spark = classes.sparkSession
+    near = components(near_links(shards, n, radius, tree_rows))
+    near = near.unionByName(near.select(F.col("component").alias("node"), "component")).distinct()
+    sizes = near.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    live = store(near.join(sizes, "component").join(classes, F.col("node") == F.col("cls")).select("cls", "fp", "n", "component", "size", "doc", "txt"), "candidates")
+    small = live.where(F.col("size") <= unit_rows).select(F.lit(-1).alias("tab"), F.col("component").alias("key"), "cls", "fp", "n")
+    large = shards.select("cls", "tab", "key").join(live.where(F.col("size") > unit_rows).select("cls", "fp", "n"), "cls").select("tab", "key", "cls", "fp", "n")
+    units = _units(small.unionByName(large), F.greatest(F.ceil(F.count(F.lit(1)) / unit_rows), F.ceil(F.sum("n") / unit_hashes)), "cls")
+    texts = named.join(live.select("cls", "doc", "txt"), ["doc", "txt"]).dropDuplicates(["cls"])
+    units = units.join(_shingle_sets(texts, shingle), "cls").select("tab", "key", "i", "j", "b", "cls", "fp", "set")
+    total = live.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // 2_000_000))
+    return map_arrow(units.repartition(parts, "tab", "key", "i", "j"), _verify_units(radius), "src long, dst long")
+
+
 def _components(fp: DataFrame, shards: DataFrame, n: int, classes: DataFrame, radius: int, tree_rows: int) -> DataFrame:
     """(f, component) of every fingerprint in fp (doc, fp): component is the smallest doc reachable."""
     # a document id may carry several texts: their fingerprints share the id, and so the component
@@ -191,7 +322,7 @@ def _components(fp: DataFrame, shards: DataFrame, n: int, classes: DataFrame, ra
 def groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, blocks: int = BLOCKS, tree_rows: int = 16_384) -> DataFrame:
     """doc_id, fingerprint (hex), component_id of every document; all fingerprints within the radius are linked."""
     rows = docs.select(F.col("doc_id").cast("long"), "text").withColumn("doc", F.coalesce("doc_id", F.lit(MISSING_ID)))
-    fp = store(fingerprints(rows, ["doc_id", "doc"], shingle).drop("keys"), "fingerprints")
+    fp = store(fingerprints(rows, ["doc_id", "doc"], shingle), "fingerprints")
     classes = store(fp.groupBy("fp").agg(F.min("doc").alias("cls")), "classes")
     tables = math.comb(blocks, blocks - radius)
     named = _components(fp, _sharded(classes, radius, blocks), classes.count() * tables, classes, radius, tree_rows)
@@ -200,17 +331,20 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, blocks
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.when(value != MISSING_ID, value).alias("component_id"))
 
 
-def representatives(docs: DataFrame, shingle: int = 5, radius: int = 12, bands: int = 5, tree_rows: int = 16_384) -> DataFrame:
+def representatives(docs: DataFrame, shingle: int = 5, radius: int = 24, bands: int = 12, tree_rows: int = 16_384, unit_rows: int = 2_048, unit_hashes: int = 4_000_000) -> DataFrame:
     """(doc, txt), as in `row_id`, of one text of each group, the smallest.
 
-    Two texts are linked if their fingerprints agree in 0.8 of 64 bits (radius 12) and they share a shard. So wide a radius leaves
-    bits no use as shard keys; here a shard is a pair of minimum shingle hashes, and each text is in `bands` of them. Texts that have 0.8 of
-    their shingles in common share one with probability 1 - (1 - 0.64) ** 5 = 0.994.
+    Two texts are linked if their sets of shingles have Jaccard 0.8 or more, computed exactly. Only candidates are compared: fingerprints
+    of the sets within `radius`, and a shard in common. So wide a radius leaves bits no use as shard keys; here a shard is a pair of minimum
+    shingle hashes, and each text is in `bands` of them. Sets that have 0.8 of their shingles in common share none with
+    probability (1 - 0.64) ** 12 = 5e-6. Texts that share an id are judged row by row; texts without words are one group. Sets and shingles go by 64-bit hashes.
     """
     doc, txt = row_id()
     named = docs.select(doc.alias("doc"), txt.alias("txt"), "text")
-    fp = store(fingerprints(named, ["doc", "txt"], shingle, bands), "fingerprints")
-    classes = store(fp.groupBy("fp").agg(F.min("doc").alias("cls")), "classes")
-    shards = fp.select("fp", F.posexplode("keys").alias("tab", "key")).distinct().join(classes, "fp").select("cls", "fp", "tab", "key")
-    comp = _components(fp.select("doc", "fp"), shards, fp.count() * bands, classes, radius, tree_rows)
-    return fp.join(comp, F.col("fp") == F.col("f")).groupBy("component").agg(F.min(F.struct("doc", "txt")).alias("first")).select("first.doc", "first.txt")
+    fp = store(set_prints(named, shingle, bands), "fingerprints")
+    first = F.min(F.struct("doc", "txt")).alias("first")
+    classes = store(fp.groupBy("cls").agg(F.min("fp").alias("fp"), F.min("n").alias("n"), first).select("cls", "fp", "n", "first.doc", "first.txt"), "classes")
+    shards = fp.where("n > 0").select("cls", "fp", F.posexplode("keys").alias("tab", "key")).distinct()
+    comp = components(similar_links(named, classes, shards, fp.count() * bands, shingle, radius, tree_rows, unit_rows, unit_hashes))
+    joined = classes.join(comp, F.col("cls") == F.col("node"), "left")
+    return joined.groupBy(F.coalesce("component", "cls").alias("c")).agg(first).select("first.doc", "first.txt")

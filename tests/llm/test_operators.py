@@ -323,6 +323,40 @@ def test_representatives(spark):
     assert keep == {0, 10, 11, 12, 13, 14, 30}
 
 
+def pair_at(rng, similarity, n):
+    """Two texts of different words whose five-word shingles have the next Jaccard index at or above `similarity`, about n shingles each."""
+    tail = max(1, int(n * (1 - similarity) / (1 + similarity)))
+    both = next(k for k in range(1, 9 * n) if k / (k + 2 * tail) >= similarity)
+    new = lambda k: [f"w{rng.getrandbits(48):x}" for _ in range(k)]
+    head = new(both + 4)
+    return " ".join(head + new(tail)), " ".join(head + new(tail))
+
+
+@pytest.mark.parametrize("small", [{}, {"tree_rows": 2, "unit_rows": 1, "unit_hashes": 150}])
+def test_representatives_by_similarity(spark, small):
+    """Every pair at 0.8 to 0.85 is found, none at 0.5 to 0.79 deleted; texts that share an id are judged row by row."""
+    rng = random.Random(14)
+    near = [pair_at(rng, rng.choice([0.8, 0.82, 0.85]), rng.choice([9, 40, 150, 400])) for _ in range(150)]
+    far = [pair_at(rng, rng.choice([0.5, 0.6, 0.7, 0.77]), rng.choice([40, 150, 400])) for _ in range(150)]
+    base = words(rng, 200).split()
+    rows = [(2 * k + m, t) for k, pair in enumerate(near + far) for m, t in enumerate(pair)] + [(7000 + k, " ".join(base + [f"new{k}"])) for k in range(30)]
+    rows += [(9000, "one text of an id"), (9000, "another text"), (None, "no id, first text"), (None, "no id and a second text")]
+    kept = Counter(r.doc for r in simhash.representatives(frame(spark, rows), **small).collect())
+    assert kept == Counter([2 * k for k in range(150)] + list(range(300, 600)) + [7000, 9000, 9000, order(None), order(None)])
+
+
+def test_verified_units_against_brute_force():
+    rng = np.random.default_rng(3)
+    base = [rng.choice(60, 20, replace=False) for _ in range(4)]
+    sets = [np.unique(np.concatenate([rng.choice(base[k // 2 % 4], 19, replace=False), rng.integers(0, 60, k % 3)])).astype(np.uint64) for k in range(80)]
+    edge = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    b = np.arange(80) % 2
+    for i, j in ((0, 0), (0, 1), (1, 1)):
+        got = simhash._verified(np.zeros(80, np.uint64), np.concatenate(sets), edge, b, i, j, 0)
+        links = [(p, q) for p in range(80) for q in range(80) if p != q and b[p] == i and b[q] == j and 5 * len(np.intersect1d(sets[p], sets[q])) >= 4 * len(np.union1d(sets[p], sets[q]))]
+        assert links and (got == common.union_find(80, np.array([x for x, _ in links]), np.array([y for _, y in links]))).all()
+
+
 # ---------------------------------------------------------------- 9: decontamination
 @pytest.mark.parametrize("block", [8_000_000, 200])
 def test_decontamination(spark, texts, block):
