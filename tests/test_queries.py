@@ -21,6 +21,11 @@ def test_every_oracle_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries()) and set(QUERIES) <= set(entry.queries())
 
 
+def test_inventory_orders_and_accounting_are_registered():
+    names = {"E11_smallest_remaining", "O1_object_order", "O2_global_order", "O3_numeric_id_order", "O6_first_best", "T12_row_accounting"}
+    assert names <= set(QUERIES) and names <= set(ORACLE)
+
+
 @needs_data
 def test_entry(spark):
     df = entry.entry(spark)
