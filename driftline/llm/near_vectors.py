@@ -2,7 +2,7 @@
 
 Vectors are compared only under equal labels. Equal vectors are one class. Each table gives a class a key of `bits` signs; classes
 that share a key in some table are compared by cosine in double precision. A pair at the threshold 0.93 has about one chance in
-3,000 to share no key in 24 tables of 10 bits, a closer pair less. A pair that shares several keys is counted in the first
+900,000 to share no key in 42 tables of 10 bits, a closer pair less. A pair that shares several keys is counted in the first
 one only, so the counts need no list of pairs; from a bucket come a count per class and a spanning set of links.
 
 Buckets above `block_rows` classes are cut into blocks, and each pair of blocks is a unit of work for any task.
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from driftline.llm.common import MISSING_ID, components, map_arrow, store, union_find
 
-THRESHOLD, TABLES, BITS = 0.93, 24, 10
+THRESHOLD, TABLES, BITS = 0.93, 42, 10
 
 
 def _keys(tables: int, bits: int, seed: int):

@@ -146,6 +146,22 @@ def test_vectors(spark, block):
     assert {tuple(r) for r in got.collect()} == expect
 
 
+def test_pairs_at_the_threshold_share_a_key():
+    rng = np.random.default_rng(15)
+    a, b = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in rng.standard_normal((2, 20_000, 32)))
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    c = near_vectors.THRESHOLD
+    c = c * a + np.sqrt(1 - c * c) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    keys = []
+    for v in (a, c):
+        ids = pa.array(np.arange(len(v)))
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, v.size + 1, 32, dtype=np.int32)), pa.array(v.ravel()))
+        batch = pa.RecordBatch.from_arrays([ids, ids, lists, ids, ids], ["h", "label", "embedding", "mult", "low"])
+        out, = near_vectors._keys(near_vectors.TABLES, near_vectors.BITS, 5)(iter([batch]))
+        keys.append(out.column("keys").flatten().to_numpy().reshape(len(v), -1))
+    assert (keys[0] == keys[1]).any(axis=1).all()
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(k, k + 1) for k in range(40)] + [(100 + rng.randrange(60), 100 + rng.randrange(60)) for _ in range(50)] + [(200, 201 + k) for k in range(30)]
