@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftline.llm import bpe, bytes_dedup, decontaminate, lines, near_vectors, quality, shards, simhash, substrings, warc
+from driftline.llm import agenda, bpe, bytes_dedup, decontaminate, fim, lines, near_vectors, quality, shards, simhash, substrings, vector_codes, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -75,3 +75,20 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_line_dedup", lines.SQL)
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return lines.report(table(spark, folder, "documents"))
+
+
+@query("op11_fill_in_middle")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return fim.report(table(spark, folder, "documents"))
+
+
+@query("op12_sentencepiece")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    return agenda.round_trip(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op13_vector_codes")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_codes.report(table(spark, folder, "embeddings"))
