@@ -19,10 +19,10 @@ spaces that the model's normaliser changes stay changed after decoding; equal ro
 from __future__ import annotations
 
 import hashlib
-import heapq
 import itertools
 import struct
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from driftline.llm.common import fresh, map_arrow, pieces, ragged
 
-CACHE, CACHE_CHARS, SLICE = 300_000, 8_000_000, 1_000_000
+CACHE, CACHE_CHARS, SLICE = 1_000_000, 16_000_000, 1_000_000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)                      # fixed values: types of pieces in a model file
 MERGE_TYPE = 2                                                                  # fixed value: trainer_spec.model_type of merge-type models
 
@@ -98,13 +98,31 @@ class Vocabulary:
 
 
 class _Numbered(dict):
-    """Numbers its keys in the order they are first asked for."""
+    """Numbers its keys in the order they are first asked for; `new` lists those met since it was emptied."""
+
+    def __init__(self):
+        self.new: list[str] = []
 
     def __missing__(self, key):
         self[key] = n = len(self)
+        self.new.append(key)
         return n
 
 
+class _Growing:
+    """An array that is appended to; `data` may be longer than `size`."""
+
+    def __init__(self, kind: type):
+        self.data, self.size = np.zeros(1 << 16, kind), 0
+
+    def append(self, more: np.ndarray) -> None:
+        size = self.size + len(more)
+        if size > len(self.data):
+            self.data = np.concatenate([self.data[:self.size], np.zeros(size, self.data.dtype)])
+        self.data[self.size:size] = more
+        self.size = size
+
+
 class Encoder:
     """One worker's vocabulary, the library's processor, and the segments met so far."""
 
@@ -113,6 +131,10 @@ class Encoder:
 
         self.library = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.words = Vocabulary(model)
+        better = {score: k for k, score in enumerate(sorted({score for _, score in self.words.merge.values()}, reverse=True))}
+        self.rank = {p: better[score] for p, (_, score) in self.words.merge.items()}
+        self.ids_of = {p: k for p, (k, _) in self.words.merge.items()}
+        self.digits = [str(k) for k in range(self.library.get_piece_size())]
         long = [p for p in self.words.merge if len(p) > 1]
         inner = sorted({c for p in long for c in p})
         self.number = np.zeros(0x110000, np.int32)                              # 0: a character that no longer piece holds
@@ -128,12 +150,12 @@ class Encoder:
 
     def clear(self) -> None:
         self.known, self.chars = _Numbered(), 0
-        self.ids, self.start, self.length = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids, self.start, self.length = _Growing(np.int32), _Growing(np.int64), _Growing(np.int64)
 
     def _start(self, text: str) -> tuple[list[str], list[bool]]:
-        """The first symbols, and which of them never merge."""
+        """The first symbols, and which of them never merge (empty: all may)."""
         if not self.words.user:
-            return list(text), [False] * len(text)
+            return list(text), []
         symbols, fixed, at = [], [], 0
         while at < len(text):
             size = next((k for k in range(min(self.words.longest_user, len(text) - at), 0, -1) if text[at:at + k] in self.words.user), 0)
@@ -143,48 +165,69 @@ class Encoder:
         return symbols, fixed
 
     def merged(self, text: str) -> list[int]:
-        """The ids of a segment, by the agenda."""
+        """The ids of a segment, by the agenda.
+
+        An entry is one number: the rank of the score, the left symbol, and the length of both symbols. The right one is the left one's neighbour;
+        symbols only grow, so an entry is out of date exactly if the length is another."""
         symbols, fixed = self._start(text)
-        n, merge, unused = len(symbols), self.words.merge, self.words.unused
-        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        agenda, made_of = [], {}
-
-        def add(left: int, right: int) -> None:
-            if left < 0 or right < 0 or fixed[left] or fixed[right]:
-                return
-            joined = symbols[left] + symbols[right]
-            found = merge.get(joined)
-            if found is not None:
-                heapq.heappush(agenda, (-found[1], left, right, len(joined)))
-                if joined in unused:
-                    made_of[joined] = (symbols[left], symbols[right])
-
-        for k in range(1, n):
-            add(k - 1, k)
+        n, find, unused, made_of = len(symbols), self.rank.get, self.words.unused, {}
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        width = max(22, len(text).bit_length())
+        mask, agenda, free = (1 << width) - 1, [], not fixed and not unused
+        left = 0
+        for here, there in zip(symbols, symbols[1:]):
+            found = find(here + there)
+            if found is not None and (free or self._allowed(left, left + 1, symbols, fixed, made_of)):
+                agenda.append((found << width | left) << width | len(here) + len(there))
+            left += 1
+        heapify(agenda)
         while agenda:
-            _, left, right, size = heapq.heappop(agenda)
-            if not symbols[left] or not symbols[right] or len(symbols[left]) + len(symbols[right]) != size:
-                continue                                                        # one of them has changed since
-            symbols[left] += symbols[right]
+            entry = heappop(agenda)
+            left = entry >> width & mask
+            here, right = symbols[left], after[left]
+            if not here or right == n or len(here) + len(symbols[right]) != entry & mask:
+                continue
+            symbols[left] = here = here + symbols[right]
             symbols[right] = ""
-            after[left] = after[right]
-            if after[right] >= 0:
-                before[after[right]] = left
-            add(before[left], left)
-            add(left, after[left])
+            after[left] = right = after[right]
+            if right < n:
+                before[right] = left
+                joined = here + symbols[right]
+                found = find(joined)
+                if found is not None and (free or self._allowed(left, right, symbols, fixed, made_of)):
+                    heappush(agenda, (found << width | left) << width | len(joined))
+            right, left = left, before[left]
+            if left >= 0:
+                joined = symbols[left] + here
+                found = find(joined)
+                if found is not None and (free or self._allowed(left, right, symbols, fixed, made_of)):
+                    heappush(agenda, (found << width | left) << width | len(joined))
+        if free:
+            ids = [self.ids_of.get(s) for s in symbols if s]
+            if None not in ids:
+                return ids
         out, todo = [], [s for s in reversed(symbols) if s]
         while todo:
             s = todo.pop()
-            if s in unused and s in made_of:
+            if s in made_of:
                 todo += reversed(made_of[s])
-            elif s in merge:
-                out.append(merge[s][0])
+            elif s in self.ids_of:
+                out.append(self.ids_of[s])
             elif self.words.fallback:
                 out += [self.words.byte[b] for b in s.encode()]
             else:
                 out.append(self.words.unknown)
         return out
 
+    def _allowed(self, left: int, right: int, symbols: list[str], fixed: list[bool], made_of: dict) -> bool:
+        """Whether the pair may merge; what an unused piece is made of is noted."""
+        if fixed and (fixed[left] or fixed[right]):
+            return False
+        joined = symbols[left] + symbols[right]
+        if joined in self.words.unused:
+            made_of[joined] = (symbols[left], symbols[right])
+        return True
+
     def _cut(self, text: str) -> list[str]:
         """The segments of a normalised text."""
         if len(text) < 2:
@@ -198,37 +241,33 @@ class Encoder:
         edge = [0, *(np.flatnonzero(~joined) + 1).tolist(), len(text)]
         return [text[a:b] for a, b in zip(edge[:-1], edge[1:])]
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts end to end, and how many each has; the library's are compared."""
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        """The ids of every text; the library's are compared."""
         split = [self._cut(t) for t in self.library.normalize(texts)] if texts else []
         if len(self.known) > CACHE or self.chars > CACHE_CHARS:
             self.clear()
-        have = len(self.known)
         at = np.fromiter(map(self.known.__getitem__, itertools.chain.from_iterable(split)), np.int64, sum(map(len, split)))
-        if len(self.known) > have:
-            new = list(itertools.islice(self.known, have, None))
+        if self.known.new:
+            new, self.known.new = self.known.new, []
             self.chars += sum(map(len, new))
             found = [self.merged(s) for s in new]
             lengths = np.array([len(x) for x in found], np.int64)
-            self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(lengths) - lengths])
-            self.length = np.concatenate([self.length, lengths])
-            self.ids = np.concatenate([self.ids, np.fromiter(itertools.chain.from_iterable(found), np.int32, int(lengths.sum()))])
-        lengths = self.length[at]
+            self.start.append(self.ids.size + np.cumsum(lengths) - lengths)
+            self.length.append(lengths)
+            self.ids.append(np.fromiter(itertools.chain.from_iterable(found), np.int32, int(lengths.sum())))
+        lengths = self.length.data[at]
         edge = np.append(0, np.cumsum([len(s) for s in split])).astype(np.int64)
-        ids, upto = ragged(self.ids, self.start[at], lengths), np.append(0, np.cumsum(lengths))[edge]
+        ids, upto = ragged(self.ids.data, self.start.data[at], lengths), np.append(0, np.cumsum(lengths))[edge]
         if not self.words.fallback and len(ids):                                # neighbouring unknown symbols are one id
             again = np.zeros(len(ids), bool)
             again[1:] = (ids[1:] == self.words.unknown) & (ids[:-1] == self.words.unknown)
             again[upto[:-1][upto[:-1] < len(ids)]] = False
             ids, upto = ids[~again], upto - np.append(0, np.cumsum(again))[upto]
-        self._compare(texts, ids, upto)
-        return ids, np.diff(upto)
-
-    def _compare(self, texts: list[str], ids: np.ndarray, upto: np.ndarray) -> None:
-        expect = self.library.encode(texts, num_threads=1) if texts else []
-        same = [len(x) for x in expect] == np.diff(upto).tolist() and np.array_equal(np.fromiter(itertools.chain.from_iterable(expect), np.int32, -1), ids)
-        if not same:
+        values, upto = ids.tolist(), upto.tolist()
+        out = [values[a:b] for a, b in zip(upto[:-1], upto[1:])]
+        if texts and self.library.encode(texts, num_threads=1) != out:
             raise ValueError("the agenda's ids differ from the library's")
+        return out
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.library.decode(ids, num_threads=1) if ids else []
@@ -250,10 +289,6 @@ def _texts(part: pa.RecordBatch) -> list[str]:
     return [t or "" for t in part.column("text").to_pylist()]
 
 
-def _lists(ids: np.ndarray, n: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(ids.astype(np.int32)))
-
-
 def encoded(docs: DataFrame, path: str) -> DataFrame:
     """The rows of docs with `ids` (array of ints; with underscores if taken) of each text."""
     shared, own, (name,) = docs.sparkSession.sparkContext.broadcast(read_model(path)), docs.columns, fresh(docs, "ids")
@@ -262,7 +297,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
         mine = encoder(shared.value)
         for batch in batches:
             for part in pieces(batch, size=SLICE):
-                yield pa.RecordBatch.from_arrays([*part.columns, _lists(*mine.encode(_texts(part)))], [*own, name])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(mine.encode(_texts(part)), pa.list_(pa.int32()))], [*own, name])
 
     return map_arrow(docs, run, ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + f", {name} array<int>")
 
@@ -291,12 +326,10 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
         mine = encoder(shared.value)
         for batch in batches:
             for part in pieces(batch, size=SLICE):
-                ids, n = mine.encode(_texts(part))
-                flat_ids, at = ids.tolist(), np.append(0, np.cumsum(n)).tolist()
-                lists = [flat_ids[a:b] for a, b in zip(at[:-1], at[1:])]
+                lists = mine.encode(_texts(part))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(n.astype(np.int64)),
-                     pa.array([hashlib.sha256(",".join(map(str, x)).encode()).hexdigest() for x in lists]),
+                    [part.column("doc_id"), pa.array([len(x) for x in lists], pa.int64()),
+                     pa.array([hashlib.sha256(",".join([mine.digits[k] for k in x]).encode()).hexdigest() for x in lists]),
                      pa.array([hashlib.sha256(t.encode()).hexdigest() for t in mine.decode(lists)])], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -130,8 +130,7 @@ def test_agenda_on_made_vocabularies(fallback):
         own = agenda.Encoder(model(pieces, fallback=fallback, dummy=trial % 2 == 0))
         lots = [["".join(rng.choice(["a", "b", "c", " ", "é日", "z", "<user>", "bca", "ab"]) for _ in range(rng.randrange(0, 60))) for _ in range(30)] for _ in range(3)]
         for lot in lots:
-            ids, n = own.encode(lot)
-            assert n.sum() == len(ids)
+            assert len(own.encode(lot)) == len(lot)
     with pytest.raises(ValueError):
         agenda.Vocabulary(model(pieces, kind=1))
 
@@ -140,7 +139,7 @@ def test_a_difference_stops_the_job():
     pytest.importorskip("sentencepiece")
     own = agenda.Encoder(agenda.read_model(model_path()))
     own.encode(["some words"])
-    own.ids = own.ids + 1
+    own.ids.data += 1
     with pytest.raises(ValueError):
         own.encode(["some words"])
 
