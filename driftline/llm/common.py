@@ -37,13 +37,21 @@ def store(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete what `store` wrote, once nothing reads it any more."""
-    path = getattr(df, "_llm_path", None)
-    if path:
-        spark = df.sparkSession
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete what `store` wrote for these tables, and for those that `needs` names, once nothing reads them any more."""
+    for df in tables:
+        path = getattr(df, "_llm_path", None)
+        if path:
+            spark = df.sparkSession
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        discard(*getattr(df, "_llm_needs", ()))
+
+
+def needs(df: DataFrame, *tables: DataFrame) -> DataFrame:
+    """df, with the note that it reads these stored tables: `discard(df)` deletes them too."""
+    df._llm_needs = (*getattr(df, "_llm_needs", ()), *tables)
+    return df
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -266,7 +274,7 @@ def components(edges: DataFrame) -> DataFrame:
         if now == size:
             break
         size = now
-    return e.select(F.col("v").alias("node"), F.col("u").alias("component"))
+    return needs(e.select(F.col("v").alias("node"), F.col("u").alias("component")), e)
 
 
 def _signature(e: DataFrame) -> tuple:

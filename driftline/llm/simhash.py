@@ -22,7 +22,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import LOWER, MISSING_ID, NOT_SPACE, components, find_words, flat, map_arrow, mix, pieces, ragged, row_id, store, union_find
+from driftline.llm.common import (LOWER, MISSING_ID, NOT_SPACE, components, discard, find_words, flat, fresh, map_arrow, mix, needs, pieces, ragged, row_id,
+                                  store, union_find)
+from driftline.llm.members import FEW, matched
 
 SHINGLE, RADIUS, BLOCKS, SEED = 4, 4, 6, 42
 
@@ -234,10 +236,11 @@ def similar(a: int, b: np.ndarray, both: np.ndarray) -> np.ndarray:
     return 9 * both >= 4 * (a + b)
 
 
-def _verified(values: np.ndarray, sets: np.ndarray, edge: np.ndarray, b: np.ndarray, i: int, j: int, radius: int) -> np.ndarray:
+def _verified(values: np.ndarray, sets: np.ndarray, edge: np.ndarray, b: np.ndarray, i: int, j: int, radius: int, bands: np.ndarray | None = None, tab: int = -1) -> np.ndarray:
     """The component of every item of one unit, by links of pairs (block i, block j) within the radius whose sets are similar.
 
-    A pair already in one component is not compared again, so a group of m near copies takes about m comparisons of sets.
+    A pair already in one component is not compared again, so a group of m near copies takes about m comparisons of sets. With `bands` (the
+    keys of every item) only pairs whose first band in common is `tab` are compared.
     """
     n, label = np.diff(edge), np.arange(len(values))
     tree = np.flatnonzero(b == i)
@@ -245,6 +248,8 @@ def _verified(values: np.ndarray, sets: np.ndarray, edge: np.ndarray, b: np.ndar
         rest = tree[tree < q] if i == j else tree
         d = np.bitwise_count(values[rest] ^ values[q])
         near = (d <= radius) & similar(n[q], n[rest], np.minimum(n[rest], n[q])) & (label[rest] != label[q])
+        if bands is not None:
+            near[near] = (bands[rest[near]] == bands[q]).argmax(axis=1) == tab
         rest = rest[near]
         rest = rest[np.argsort(d[near], kind="stable")]                          # nearest first
         own, some = sets[edge[q]:edge[q + 1]], 0
@@ -264,15 +269,14 @@ def _verified(values: np.ndarray, sets: np.ndarray, edge: np.ndarray, b: np.ndar
 
 
 def _verify_units(radius: int):
-    """Rows (tab, key, i, j, b, cls, fp, set) of whole units -> links (src, dst) that join each unit's components of similar sets."""
+    """Rows (tab, key, i, j, b, cls, fp, set, bands) of whole units -> links (src, dst) that join each unit's components of similar sets."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if not held:
             return
         table = pa.Table.from_batches(held).combine_chunks()
         col = {c: table.column(c).to_numpy() for c in ("tab", "key", "i", "j", "b", "cls", "fp")}
-        lists = table.column("set").combine_chunks()
-        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        lists, bands = (x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in (table.column(c).combine_chunks() for c in ("set", "bands")))
         offsets, flat_sets = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
         order = np.lexsort((col["cls"], col["j"], col["i"], col["key"], col["tab"]))
         unit = np.stack([col[c][order] for c in ("tab", "key", "i", "j")])
@@ -281,7 +285,9 @@ def _verify_units(radius: int):
             rows = order[lo:hi]
             n = offsets[rows + 1] - offsets[rows]
             edge = np.concatenate([[0], np.cumsum(n)])
-            label = _verified(col["fp"][rows].view(np.uint64), ragged(flat_sets, offsets[rows], n), edge, col["b"][rows], int(unit[2, lo]), int(unit[3, lo]), radius)
+            tab = int(unit[0, lo])
+            keys = None if tab < 0 else np.array(bands.take(pa.array(rows)).to_pylist(), np.int64)
+            label = _verified(col["fp"][rows].view(np.uint64), ragged(flat_sets, offsets[rows], n), edge, col["b"][rows], int(unit[2, lo]), int(unit[3, lo]), radius, keys, tab)
             linked = np.flatnonzero(label != np.arange(len(rows)))
             if len(linked):
                 cls = col["cls"][rows]
@@ -289,25 +295,33 @@ def _verify_units(radius: int):
     return run
 
 
-def similar_links(named: DataFrame, classes: DataFrame, shards: DataFrame, n: int, shingle: int, radius: int, tree_rows: int, unit_rows: int, unit_hashes: int) -> DataFrame:
+def similar_links(named: DataFrame, classes: DataFrame, shards: DataFrame, n: int, shingle: int, radius: int, tree_rows: int, unit_rows: int, unit_hashes: int, few: int, copies: int = 2_000_000) -> DataFrame:
     """Links (src, dst) between classes whose components are those of all pairs with Jaccard 0.8 or more that are candidates: within the
-    radius, and in one shard.
+    radius, and in one shard. Written, as are the tables it is made from, which are deleted.
 
     Candidates are first joined to components. One of up to `unit_rows` classes is a unit and each of its sets is sent once; a larger one is compared
-    shard by shard, in blocks."""
+    shard by shard, in blocks, each pair in the first shard it shares. Only texts of candidates leave their place (`members.matched`)."""
     spark = classes.sparkSession
     near = components(near_links(shards, n, radius, tree_rows))
-    near = near.unionByName(near.select(F.col("component").alias("node"), "component")).distinct()
-    sizes = near.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    live = store(near.join(sizes, "component").join(classes, F.col("node") == F.col("cls")).select("cls", "fp", "n", "component", "size", "doc", "txt"), "candidates")
-    small = live.where(F.col("size") <= unit_rows).select(F.lit(-1).alias("tab"), F.col("component").alias("key"), "cls", "fp", "n")
-    large = shards.select("cls", "tab", "key").join(live.where(F.col("size") > unit_rows).select("cls", "fp", "n"), "cls").select("tab", "key", "cls", "fp", "n")
-    units = _units(small.unionByName(large), F.greatest(F.ceil(F.count(F.lit(1)) / unit_rows), F.ceil(F.sum("n") / unit_hashes)), "cls")
-    texts = named.join(live.select("cls", "doc", "txt"), ["doc", "txt"]).dropDuplicates(["cls"])
-    units = units.join(_shingle_sets(texts, shingle), "cls").select("tab", "key", "i", "j", "b", "cls", "fp", "set")
-    total = live.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // 2_000_000))
-    return map_arrow(units.repartition(parts, "tab", "key", "i", "j"), _verify_units(radius), "src long, dst long")
+    both = near.unionByName(near.select(F.col("component").alias("node"), "component")).distinct()
+    sizes = both.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    live = store(both.join(sizes, "component").join(classes, F.col("node") == F.col("cls")).select("cls", "fp", "n", "component", "size", "doc", "txt"), "candidates")
+    discard(near)
+    none = F.lit(None).cast("array<long>").alias("bands")
+    small = live.where(F.col("size") <= unit_rows).select(F.lit(-1).alias("tab"), F.col("component").alias("key"), "cls", "fp", "n", none)
+    wide = shards.select("cls", "tab", "key").join(live.where(F.col("size") > unit_rows).select("cls", "fp", "n"), "cls")
+    wide = wide.groupBy("cls", "fp", "n").agg(F.array_sort(F.collect_list(F.struct("tab", "key"))).alias("t"))           # as many as there are bands
+    large = wide.select("cls", "fp", "n", F.transform("t", lambda x: x["key"]).alias("bands"), F.explode("t").alias("t")).select("t.tab", "t.key", "cls", "fp", "n", "bands")
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / unit_rows), F.ceil(F.sum("n") / unit_hashes))
+    units = store(_units(small.unionByName(large), blocks, "cls").select("tab", "key", "i", "j", "b", "cls", "fp", "n", "bands"), "units")
+    texts = matched(named, live.select("doc", "txt", "cls"), ["doc", "txt"], "inner", few)
+    sets = _shingle_sets(texts, shingle).dropDuplicates(["cls"])
+    sent = units.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]               # shingles, with every copy
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sent // copies))
+    rows = units.join(sets, "cls").select("tab", "key", "i", "j", "b", "cls", "fp", "set", "bands")
+    links = store(map_arrow(rows.repartition(parts, "tab", "key", "i", "j"), _verify_units(radius), "src long, dst long"), "links")
+    discard(live, units)
+    return links
 
 
 def _components(fp: DataFrame, shards: DataFrame, n: int, classes: DataFrame, radius: int, tree_rows: int) -> DataFrame:
@@ -331,10 +345,10 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, blocks
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.when(value != MISSING_ID, value).alias("component_id"))
 
 
-def representatives(docs: DataFrame, shingle: int = 5, radius: int = 24, bands: int = 12, tree_rows: int = 16_384, unit_rows: int = 2_048, unit_hashes: int = 4_000_000) -> DataFrame:
-    """(doc, txt), as in `row_id`, of one text of each group, the smallest.
+def removed(docs: DataFrame, shingle: int = 5, radius: int = 24, bands: int = 12, tree_rows: int = 16_384, unit_rows: int = 2_048, unit_hashes: int = 4_000_000, few: int = FEW) -> tuple[DataFrame, DataFrame]:
+    """Two written tables (doc, txt), as in `row_id`: texts of which a smaller one of their group stays, and texts that stay but are those of several rows.
 
-    Two texts are linked if their sets of shingles have Jaccard 0.8 or more, computed exactly. Only candidates are compared: fingerprints
+    Two texts are linked if their sets of shingles have Jaccard 0.8 or more, computed exactly; links are transitive. Only candidates are compared: fingerprints
     of the sets within `radius`, and a shard in common. So wide a radius leaves bits no use as shard keys; here a shard is a pair of minimum
     shingle hashes, and each text is in `bands` of them. Sets that have 0.8 of their shingles in common share none with
     probability (1 - 0.64) ** 12 = 5e-6. Texts that share an id are judged row by row; texts without words are one group. Sets and shingles go by 64-bit hashes.
@@ -342,9 +356,37 @@ def representatives(docs: DataFrame, shingle: int = 5, radius: int = 24, bands:
     doc, txt = row_id()
     named = docs.select(doc.alias("doc"), txt.alias("txt"), "text")
     fp = store(set_prints(named, shingle, bands), "fingerprints")
+    keys = fp.groupBy("cls", "doc", "txt").agg(F.min("fp").alias("fp"), F.min("n").alias("n"), F.count(F.lit(1)).alias("rows"))
+    named_keys = store(keys, "texts")
     first = F.min(F.struct("doc", "txt")).alias("first")
-    classes = store(fp.groupBy("cls").agg(F.min("fp").alias("fp"), F.min("n").alias("n"), first).select("cls", "fp", "n", "first.doc", "first.txt"), "classes")
+    classes = store(named_keys.groupBy("cls").agg(F.min("fp").alias("fp"), F.min("n").alias("n"), first).select("cls", "fp", "n", "first.doc", "first.txt"), "classes")
     shards = fp.where("n > 0").select("cls", "fp", F.posexplode("keys").alias("tab", "key")).distinct()
-    comp = components(similar_links(named, classes, shards, fp.count() * bands, shingle, radius, tree_rows, unit_rows, unit_hashes))
-    joined = classes.join(comp, F.col("cls") == F.col("node"), "left")
-    return joined.groupBy(F.coalesce("component", "cls").alias("c")).agg(first).select("first.doc", "first.txt")
+    links = similar_links(named, classes, shards, fp.count() * bands, shingle, radius, tree_rows, unit_rows, unit_hashes, few)
+    comp = components(links)
+    joined = classes.join(comp, F.col("cls") == F.col("node"), "left").select(F.coalesce("component", "cls").alias("c"), "doc", "txt")
+    # of each group the first text stays; texts are marked by their own key, as one class may hold most of them
+    stay = joined.groupBy("c").agg(first).select(F.col("first.doc").alias("d"), F.col("first.txt").alias("t"))
+    marked = named_keys.join(stay, (F.col("doc") == F.col("d")) & (F.col("txt") == F.col("t")), "left").withColumn("kept", F.col("d").isNotNull())
+    gone = store(marked.where("NOT kept").select("doc", "txt"), "removed")
+    repeated = store(marked.where("kept AND rows > 1").select("doc", "txt"), "repeated")
+    discard(comp, links, classes, named_keys, fp)
+    return gone, repeated
+
+
+def distinct_texts(docs: DataFrame, few: int = FEW, **settings) -> DataFrame:
+    """The rows of `docs` whose text is the smallest of its near-duplicate group, by (doc_id, text hash).
+
+    Of rows with equal id and text the one whose columns have the smallest hash stays. Only rows that may go, or are repeated, leave their place.
+    """
+    doc, txt = fresh(docs, "doc_key", "text_key")
+    gone, repeated = removed(docs, few=few, **settings)
+    named = lambda keys: keys.select(F.col("doc").alias(doc), F.col("txt").alias(txt))
+    marked = docs.withColumns(dict(zip((doc, txt), row_id())))
+    out = matched(marked, named(gone), [doc, txt], "left_anti", few).select(*docs.columns, doc, txt)
+    if repeated.isEmpty():
+        return needs(out.select(*docs.columns), gone, repeated)
+    rest = matched(out, named(repeated), [doc, txt], "left_anti", few).select(*docs.columns)
+    again = matched(out, named(repeated), [doc, txt], "left_semi", few)
+    row, order = F.struct(*docs.columns), F.xxhash64(*[c for c, t in docs.dtypes if not t.startswith("map")])
+    one = again.groupBy(doc, txt).agg(F.min_by(row, order).alias(doc + "_row")).select(f"{doc}_row.*")
+    return needs(rest.unionByName(one), gone, repeated)

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from driftline.llm import bpe, bytes_dedup, common, decontaminate, lines, near_vectors, quality, sais, shards, simhash, substrings, warc
+from driftline.llm import bpe, bytes_dedup, common, decontaminate, lines, members, near_vectors, quality, sais, shards, simhash, substrings, warc
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, score string, _doc string, shard string, n_removed int"
@@ -335,7 +335,7 @@ def test_representatives(spark):
     rng = random.Random(12)
     base = words(rng, 300).split()
     rows = [(k, " ".join(base[:100 + k] + ["new"] + base[101 + k:])) for k in range(5)] + [(10 + k, words(rng, 100)) for k in range(5)] + [(30, ""), (31, None)]
-    keep = {r.doc for r in simhash.representatives(frame(spark, rows)).collect()}
+    keep = {r.doc_id for r in simhash.distinct_texts(frame(spark, rows)).collect()}
     assert keep == {0, 10, 11, 12, 13, 14, 30}
 
 
@@ -348,7 +348,7 @@ def pair_at(rng, similarity, n):
     return " ".join(head + new(tail)), " ".join(head + new(tail))
 
 
-@pytest.mark.parametrize("small", [{}, {"tree_rows": 2, "unit_rows": 1, "unit_hashes": 150}])
+@pytest.mark.parametrize("small", [{}, {"tree_rows": 2, "unit_rows": 1, "unit_hashes": 150, "few": 5}])
 def test_representatives_by_similarity(spark, small):
     """Every pair at 0.8 to 0.85 is found, none at 0.5 to 0.79 deleted; texts that share an id are judged row by row."""
     rng = random.Random(14)
@@ -357,8 +357,21 @@ def test_representatives_by_similarity(spark, small):
     base = words(rng, 200).split()
     rows = [(2 * k + m, t) for k, pair in enumerate(near + far) for m, t in enumerate(pair)] + [(7000 + k, " ".join(base + [f"new{k}"])) for k in range(30)]
     rows += [(9000, "one text of an id"), (9000, "another text"), (None, "no id, first text"), (None, "no id and a second text")]
-    kept = Counter(r.doc for r in simhash.representatives(frame(spark, rows), **small).collect())
-    assert kept == Counter([2 * k for k in range(150)] + list(range(300, 600)) + [7000, 9000, 9000, order(None), order(None)])
+    rows += [(9001, "of two rows with equal id and text one stays")] * 2 + [(7003, rows[603][1])] * 3
+    docs = frame(spark, rows).withColumn("m", F.create_map(F.lit("a"), F.rand()))
+    kept = Counter(order(r.doc_id) for r in simhash.distinct_texts(docs, **small).collect())
+    assert kept == Counter([2 * k for k in range(150)] + list(range(300, 600)) + [7000, 9000, 9000, 9001, order(None), order(None)])
+
+
+@pytest.mark.parametrize("few,bits", [(1_000, 2 ** 28), (10, 2 ** 28), (10, 2 ** 20)])
+def test_matched_rows(spark, few, bits):
+    """Broadcast keys, a filter, and a full filter give the same rows."""
+    df = spark.range(20_000).select("id", (F.col("id") % 7).alias("k"), F.lit("x").alias("h")).repartition(5)
+    keys = spark.range(0, 40_000, 50).select("id", (F.col("id") % 7).alias("k"), (F.col("id") + 1).alias("next"))
+    for how in ("inner", "left_semi", "left_anti"):
+        expect = df.join(keys if how == "inner" else keys.drop("next"), ["id", "k"], how)
+        got = members.matched(df, keys if how == "inner" else keys.drop("next"), ["id", "k"], how, few, bits)
+        assert Counter(map(tuple, got.collect())) == Counter(map(tuple, expect.collect()))
 
 
 def test_verified_units_against_brute_force():
@@ -406,7 +419,8 @@ def test_decontamination(spark, texts, block):
 
 # ---------------------------------------------------------------- 10: lines
 @pytest.mark.parametrize("least", [1, 2, 3, 5])
-def test_lines(spark, least):
+@pytest.mark.parametrize("hot", [1_000, 3])
+def test_lines(spark, monkeypatch, least, hot):
     rng = random.Random(11)
     rows = [(k, "\n".join(rng.choice(["a", "b", "c", "", " \t", "d d", "é"]) for _ in range(rng.randrange(0, 14)))) for k in range(40)]
     rows += [(50, None), (51, ""), (52, rows[3][1]), (53, "\n".join(["z"] * 9)), (None, rows[4][1]), (54, rows[7][1]), (54, rows[7][1])]
@@ -430,11 +444,20 @@ def test_lines(spark, least):
                 kept.append(x)
         runs = sum(1 for p in range(len(gone)) if gone[p] and (p == 0 or not gone[p - 1]))
         expect[(i, None if t is None else "\n".join(kept), len(gone), sum(gone), runs)] += 1
+    monkeypatch.setattr(lines, "HOT_ROWS", hot)
     got = lines.deduplicated(frame(spark, rows), least)
     assert got.columns[:7] == frame(spark, rows).columns and got.columns[7:] == ["n_lines", "_n_removed", "n_runs"]
     assert Counter((r.doc_id, r.text, r.n_lines, r["_n_removed"], r.n_runs) for r in got.collect()) == expect
 
 
+def test_a_passage_in_one_line(spark):
+    """A line alone between unequal neighbours is a run too."""
+    line = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, line), (2, f"before\n{line}\nafter"), (3, line), (4, "other")]
+    got = {r.doc_id: r.text for r in lines.deduplicated(frame(spark, rows)).collect()}
+    assert got == {1: line, 2: "before\nafter", 3: "", 4: "other"}
+
+
 # ---------------------------------------------------------------- empty tables
 def test_empty_tables(spark, vocabulary):
     docs = frame(spark, [(1, "x")]).where("false")
