@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.llm import bpe, decontaminate, lines, quality, simhash
-from driftline.llm.common import fresh, row_id, store
+from driftline.llm.common import discard, fresh, needs, store
 
 
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,19 +24,19 @@ def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated line runs are deleted from the texts; n_chars follows the text."""
-    out = lines.deduplicated(docs).select(*docs.columns)
-    return out.withColumn("n_chars", F.length("text").cast("long"))
+    """Later copies of repeated lines and line runs are deleted from the texts; n_chars follows the text."""
+    found = lines.deduplicated(docs)
+    out = found.select(*docs.columns)
+    return needs(out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out, found)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays, the one with the smallest id; texts without words are one group.
 
-    Five words a shingle; fingerprints that agree in 0.8 of their bits are linked.
+    Texts are linked if their sets of five-word shingles have Jaccard similarity 0.8 or more; fingerprints find the candidates. Of rows with
+    equal id and text the one whose columns have the smallest hash stays.
     """
-    names = fresh(docs, "doc_key", "text_key")
-    keep = simhash.representatives(docs).select(F.col("doc").alias(names[0]), F.col("txt").alias(names[1]))
-    return docs.withColumns(dict(zip(names, row_id()))).join(keep, names, "left_semi").dropDuplicates(names).select(*docs.columns)
+    return simhash.distinct_texts(docs)
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,5 +66,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = store(stage(spark, docs, sf_dir), name)
+        rows = stage(spark, docs, sf_dir)
+        docs, before = store(rows, name), docs
+        discard(rows, before)                           # scratch tables of the stage, and its input
     return docs
