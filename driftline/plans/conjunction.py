@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftline.catalog.features import CONJUNCTION_FEATURES
+from driftline.catalog.features import CONJUNCTION_CONSISTENT, CONJUNCTION_FEATURES
 from driftline.functions.scalar import is_valid, log10_magnitude
 from driftline.models.evaluate import spearman
-from driftline.operators.ordering import ROWS_PER_TASK, Layout, framed, layout_of
+from driftline.models.lda import Projection
+from driftline.operators.knn import distance_on_line
+from driftline.operators.ordering import ROWS_PER_TASK, Layout, framed, layout_of, per_group, running
+from driftline.operators.prefix_ranks import prefix_correlation
 from driftline.operators.windows import fill_gaps
+from driftline.session import materialise
 
 HIGH_RISK = -5.0            # log10 probability of the screening threshold
 EVENT_HORIZON_DAYS = 2.0
@@ -138,13 +142,66 @@ def event_features(messages: DataFrame, *, key: str = "event_id", tie: Sequence[
                       final.alias("final_risk"), F.when(F.col("n_cdms") < 2, 1).otherwise(0).alias("single_cdm"))
 
 
-def prefix_distances(messages: DataFrame, score: Column, key: str, order: Sequence[str], columns: Sequence[str], *,
-                     at_least: int = 5, limit: int = ROWS_PER_TASK, rows: int | None = None) -> DataFrame:
-    """Score of every growing prefix (2 to n records) of the events with enough records.
+def _first_halves(df: DataFrame, key: Sequence[str], sums: Sequence[str]) -> DataFrame:
+    """`early_<x>`: the running value `x` at the last record of the earlier half of the prefix that ends here.
 
-    `score` may use the prefix columns `<x>_mean`, `<x>_min`, `<x>_max` and the
-    current record's own columns (its value is the prefix's last value).
+    The value at place j belongs to the prefixes that end at 2j + 1 and 2j + 2: rows are sent there, and stay within their object's shuffle."""
+    pos = F.col("pos")
+    places = F.array(F.struct(pos.alias("to"), F.lit(True).alias("own")), *[F.struct((2 * pos + k).alias("to"), F.lit(False).alias("own")) for k in (1, 2)])
+    sent = df.withColumn("_at", F.explode(places)).where(F.col("_at.own") | (F.col("_at.to") < F.col("n")))
+    w = Window.partitionBy(*key, F.col("_at.to"))
+    out = sent.withColumns({f"early_{c}": F.max(F.when(~F.col("_at.own"), F.col(c))).over(w) for c in sums})
+    return out.where("_at.own").drop("_at")
+
+
+def prefix_features(messages: DataFrame, *, key: str = "event_id", tie: Sequence[str] = (), days: float = EVENT_HORIZON_DAYS, at_least: int = 5,
+                    limit: int = ROWS_PER_TASK, rows: int | None = None) -> DataFrame:
+    """The 15 consistent features of every growing prefix (2 to n messages) of the events with `at_least` messages.
+
+    One row per message from the second on: key, step (messages in the prefix), n, time_to_tca of the last one, and the features as
+    `event_features` has them for whole events. Rates, gaps and halves come from running sums, the rank correlation from
+    `prefix_correlation`; no prefix is gathered.
     """
-    from driftline.operators.windows import prefix_stats
-    steps = prefix_stats(messages, [key], order, columns, limit=limit, rows=rows)
-    return steps.where((F.col("n") >= at_least) & (F.col("step") >= 2)).withColumn("proj", score)
+    near = near_event(messages, days).withColumn("_order", -F.col("time_to_tca"))
+    near = near.withColumns({"t_det": log10_magnitude("t_position_covariance_det"), "c_det": log10_magnitude("c_position_covariance_det")})
+    order = ["_order", *tie]
+    layout = layout_of(near, [key], order, limit, rows)
+    moving = ["miss_distance", "t_sigma_r", "t_det", "c_obs_used"]
+    used = [key, *order, "time_to_tca", *moving, "c_det", "t_obs_used", "t_time_lastob_end"]
+    rated = step_rates(near.select(*dict.fromkeys(used)), [key], order, "_order", moving, layout=layout).where(F.col("n") >= at_least)
+    rated = per_group(rated, [key], {"_mean_gap": F.avg("gap")}, layout=layout)
+    if layout.sliced:
+        rated = materialise(rated)
+    coupled = prefix_correlation(rated, [key], "pos", "miss_distance", "c_det", "_rho", rows=rows)
+    coupled = coupled.withColumnsRenamed({key: "_event", "pos": "_pos"})
+    rated = rated.join(coupled, F.col(key).eqNullSafe(F.col("_event")) & (F.col("pos") == F.col("_pos")), "left").drop("_event", "_pos")
+    known, off = F.when(is_valid("t_det"), F.col("t_det")), F.col("gap") - F.col("_mean_gap")
+    measures = {f"_{k}_{c}": ("sum", e) for c in moving for k, e in (("sum", F.col(f"rate_{c}")), ("n", F.col(f"rate_{c}").isNotNull().cast("int")))}
+    measures |= {"_last_rate": ("last", F.col("rate_miss_distance")), "_last_rho": ("last", F.col("_rho")), "_det": ("sum", known), "_n_det": ("sum", known.isNotNull().cast("int")),
+                 "_gap": ("sum", off), "_gap2": ("sum", off * off), "_n_gap": ("sum", F.col("gap").isNotNull().cast("int"))}
+    run = running(rated, [key], order if not layout.sliced else ["pos"], measures, layout=layout)
+    run = _first_halves(run.withColumn("_det", F.coalesce("_det", F.lit(0.0))), [key], ["_det", "_n_det"])
+    mean = lambda c: F.coalesce(F.try_divide(F.col(f"_sum_{c}"), F.col(f"_n_{c}")), F.lit(0.0))
+    early = F.try_divide(F.col("early__det"), F.col("early__n_det"))
+    late = F.try_divide(F.col("_det") - F.col("early__det"), F.col("_n_det") - F.col("early__n_det"))
+    shift = F.try_divide(F.col("_gap"), F.col("_n_gap"))
+    zero = F.lit(0.0)
+    features = {
+        "d_miss_dist_dt_mean": mean("miss_distance"), "d_miss_dist_dt_last": F.coalesce("_last_rate", zero), "t_sigma_r_final": F.col("t_sigma_r"), "d_t_sigma_r_dt": mean("t_sigma_r"),
+        "t_cov_det_final": F.col("t_det"), "d_t_cov_det_dt": mean("t_det"), "t_cov_late_early_ratio": F.coalesce(late / (F.abs(early) + F.lit(1e-10)), F.lit(1.0)),
+        "t_obs_used_final": F.col("t_obs_used"), "d_c_obs_used_dt": mean("c_obs_used"), "t_time_lastob_end_final": F.col("t_time_lastob_end"),
+        "inter_cdm_dt_mean": F.coalesce(F.col("_mean_gap") + shift, zero),
+        "inter_cdm_dt_std": F.coalesce(F.sqrt(F.greatest(F.try_divide(F.col("_gap2"), F.col("_n_gap")) - shift * shift, zero)), zero),
+        "inter_cdm_dt_last": F.coalesce("gap", zero), "n_cdms": (F.col("pos") + 1).cast("double"), "corr_miss_c_cov_det": F.coalesce("_last_rho", zero),
+    }
+    return run.where("pos >= 1").select(key, (F.col("pos") + 1).alias("step"), "n", "time_to_tca", *[features[c].alias(c) for c in CONJUNCTION_CONSISTENT])
+
+
+def prefix_approach(prefixes: DataFrame, model: Projection, basin: DataFrame, *, key: str = "event_id", k: int = 5, digits: int | None = None, rows: int | None = None) -> DataFrame:
+    """Rank correlation of the time left with the distance to the basin, over the prefixes of every event (three or more): positive where it is approached.
+
+    The frozen model only transforms. `digits` rounds distances before they are ranked. The prefixes are written once: a projection
+    names every feature several times, and the window plan below it would be planned with each."""
+    near = distance_on_line(model.score(materialise(prefixes)), basin, "proj", k=k, kth=None)
+    d = F.round("d_mean", digits) if digits is not None else F.col("d_mean")
+    return spearman(near.select(key, "time_to_tca", d.alias("d")), "time_to_tca", "d", [key], rows=rows).where("n >= 3")

@@ -11,7 +11,9 @@ from driftline.plans.monitoring import frozen
 from driftline.registry.base import EV, R, Tables, query, r
 from driftline.registry.records import MESSAGE_TIE, MSG, messages
 from driftline.registry.scoring import (COEF, FIRED, MATCH, P5, SD, WEIGHTS, fired, flow, predictions, scored)
+from driftline.registry.windowed import EVENT_SQL, MSG_RATES
 from driftline.operators import detect
+from driftline.plans import conjunction
 from driftline.operators.windows import prefix_stats
 from driftline.session import materialise
 
@@ -96,6 +98,63 @@ def _(t: Tables):
     return out.select(r("mean").alias("mean"), r("median").alias("median"), "n_positive", r("share_positive").alias("share_positive"), "n_objects")
 
 
+CONSISTENT_COEF = {"d_miss_dist_dt_mean": 0.6, "d_miss_dist_dt_last": 0.3, "t_sigma_r_final": -0.5, "d_t_sigma_r_dt": 0.4, "t_cov_det_final": 0.7, "d_t_cov_det_dt": -0.2, "t_cov_late_early_ratio": 0.35,
+                   "t_obs_used_final": -0.3, "d_c_obs_used_dt": 0.25, "t_time_lastob_end_final": 0.1, "inter_cdm_dt_mean": 0.45, "inter_cdm_dt_std": -0.15, "inter_cdm_dt_last": 0.2,
+                   "n_cdms": 0.8, "corr_miss_c_cov_det": -0.55}
+PREFIX_SQL = f"""{MSG_RATES}, big AS (SELECT * FROM rt WHERE n >= 5),
+px AS (SELECT p.event_id, p.pos AS last, p.n, p.time_to_tca, i.pos, i.gap, i.t_det, i.miss_distance AS a, i.c_det AS b, i.rate_miss_distance, i.rate_t_sigma_r, i.rate_t_det, i.rate_c_obs_used
+  FROM big p JOIN big i ON i.event_id = p.event_id AND i.pos <= p.pos WHERE p.pos >= 1),
+pr AS (SELECT event_id, last, rank() OVER (PARTITION BY event_id, last ORDER BY a) + (count(*) OVER (PARTITION BY event_id, last, a) - 1) / 2.0 AS ra,
+  rank() OVER (PARTITION BY event_id, last ORDER BY b) + (count(*) OVER (PARTITION BY event_id, last, b) - 1) / 2.0 AS rb FROM px WHERE a IS NOT NULL AND b IS NOT NULL),
+pc AS (SELECT event_id, last, CASE WHEN count(*) < 3 THEN 0 ELSE coalesce(covar_pop(ra, rb) / nullif(stddev_pop(ra) * stddev_pop(rb), 0), 0) END AS rho FROM pr GROUP BY ALL),
+ps AS (SELECT event_id, last, coalesce(avg(rate_miss_distance), 0) AS d_miss_dist_dt_mean, coalesce(arg_max(rate_miss_distance, pos) FILTER (rate_miss_distance IS NOT NULL), 0) AS d_miss_dist_dt_last,
+  coalesce(avg(rate_t_sigma_r), 0) AS d_t_sigma_r_dt, coalesce(avg(rate_t_det), 0) AS d_t_cov_det_dt, coalesce(avg(rate_c_obs_used), 0) AS d_c_obs_used_dt,
+  coalesce(avg(t_det) FILTER (pos >= (last + 1) // 2) / (abs(avg(t_det) FILTER (pos < (last + 1) // 2)) + 1e-10), 1) AS t_cov_late_early_ratio,
+  coalesce(avg(gap), 0) AS inter_cdm_dt_mean, coalesce(stddev_pop(gap), 0) AS inter_cdm_dt_std FROM px GROUP BY ALL),
+pf AS (SELECT big.event_id, pos + 1 AS step, n, time_to_tca, ps.* EXCLUDE (event_id, last), t_sigma_r AS t_sigma_r_final, t_det AS t_cov_det_final, t_obs_used AS t_obs_used_final,
+  t_time_lastob_end AS t_time_lastob_end_final, coalesce(gap, 0) AS inter_cdm_dt_last, CAST(pos + 1 AS DOUBLE) AS n_cdms, coalesce(rho, 0) AS corr_miss_c_cov_det
+  FROM big JOIN ps ON ps.event_id = big.event_id AND ps.last = pos LEFT JOIN pc ON pc.event_id = big.event_id AND pc.last = pos)"""
+
+
+@query("W4_prefix_features", f"WITH {PREFIX_SQL} SELECT event_id, step, n, {', '.join(f'{R(c, EVENT_SQL[c][1])} AS {c}' for c in CONSISTENT_COEF)} FROM pf")
+def _(t: Tables):
+    out = conjunction.prefix_features(messages(t), tie=MESSAGE_TIE, rows=t.rows("lineitem"))
+    return out.select("event_id", "step", "n", *[r(c, EVENT_SQL[c][1]).alias(c) for c in CONSISTENT_COEF])
+
+
+_z = lambda f: f"coalesce(({f} - m_{f}) / (CASE WHEN s_{f} = 0 THEN 1 ELSE s_{f} END), 0)"
+_proj = " + ".join(f"CAST({w!r} AS DOUBLE) * {_z(f)}" for f, w in CONSISTENT_COEF.items())
+APPROACH_SQL = f"""{PREFIX_SQL}, ef AS (SELECT event_id, {', '.join(f'{EVENT_SQL[f][0]} AS {f}' for f in CONSISTENT_COEF)}, arg_max(risk, pos) >= -5 AS due FROM rt LEFT JOIN sp USING (event_id) WHERE event_id % 2 = 0 GROUP BY event_id),
+es AS (SELECT {', '.join(f'avg({f}) AS m_{f}, stddev_pop({f}) AS s_{f}' for f in CONSISTENT_COEF)} FROM ef),
+ba AS (SELECT list(p ORDER BY p) AS ps FROM (SELECT {_proj} AS p FROM ef, es WHERE due)),
+pp AS (SELECT event_id, time_to_tca, {_proj} AS p FROM pf, es WHERE event_id % 2 = 1),
+pd AS (SELECT event_id, time_to_tca, round(list_avg(list_sort(list_transform(ps, lambda x: abs(x - p)))[1:5]), 6) AS d FROM pp, ba),
+pk AS (SELECT event_id, rank() OVER (PARTITION BY event_id ORDER BY time_to_tca) + (count(*) OVER (PARTITION BY event_id, time_to_tca) - 1) / 2.0 AS a,
+  rank() OVER (PARTITION BY event_id ORDER BY d) + (count(*) OVER (PARTITION BY event_id, d) - 1) / 2.0 AS b FROM pd),
+ph AS (SELECT event_id, round(coalesce(covar_pop(a, b) / nullif(stddev_pop(a) * stddev_pop(b), 0), 0), 9) AS rho, count(*) AS n FROM pk GROUP BY event_id HAVING count(*) >= 3)"""
+
+
+def _approach(t: Tables):
+    """A model frozen on the events with even ids; prefixes of the others are walked."""
+    train = materialise(conjunction.event_features(messages(t).where("event_id % 2 = 0"), tie=MESSAGE_TIE, rows=t.rows("lineitem")).select(*CONSISTENT_COEF, "label"))
+    model = frozen(train, CONSISTENT_COEF)
+    basin = model.score(train.where("label = 1")).select("proj")
+    prefixes = conjunction.prefix_features(messages(t).where("event_id % 2 = 1"), tie=MESSAGE_TIE, rows=t.rows("lineitem"))
+    return conjunction.prefix_approach(prefixes, model, basin, digits=6, rows=t.rows("lineitem")).withColumn("rho", F.round("rho", 9))
+
+
+@query("A5_model_prefix_approach", f"WITH {APPROACH_SQL} SELECT event_id, {R('rho')} AS rho, n FROM ph")
+def _(t: Tables):
+    return _approach(t).select("event_id", r("rho").alias("rho"), "n")
+
+
+@query("A5_model_prefix_summary", f"""
+WITH {APPROACH_SQL} SELECT {R('avg(rho)')} AS mean, {R('median(rho)')} AS median, count(*) FILTER (rho > 0) AS n_positive, {R('avg(CASE WHEN rho > 0 THEN 1 ELSE 0 END)')} AS share_positive, count(*) AS n_objects FROM ph""")
+def _(t: Tables):
+    out = Ev.summary_of(_approach(t), "rho", rows=t.rows("lineitem"))
+    return out.select(r("mean").alias("mean"), r("median").alias("median"), "n_positive", r("share_positive").alias("share_positive"), "n_objects")
+
+
 def _ablated(drop: list[str]) -> str:
     terms = " + ".join(f"CAST({COEF[f] * WEIGHTS.get(f, 1.0)!r} AS DOUBLE) * ({f} - m_{f}) / s_{f}" for f in COEF if f not in drop)
     return f"""(SELECT avg(d) FROM (SELECT s.obj, s.win, abs(s.p - b.p) AS d, row_number() OVER (PARTITION BY s.obj, s.win ORDER BY abs(s.p - b.p)) AS rk
