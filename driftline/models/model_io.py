@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from driftline.functions.scalar import row_digest
 from driftline.models.lda import Projection
+from driftline.operators.relations import dedupe
+from driftline.session import materialise
 
 
 def table_digest(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -43,6 +45,33 @@ def write_records(df: DataFrame, path: str, key: str, buckets: int = 64, mode: s
     out.repartition(buckets * spread, "id_bucket", "_spread").drop("_spread").write.mode(mode).partitionBy("id_bucket").parquet(path)
 
 
+def merge_records(new: DataFrame, path: str, key: str, time: str, tie: Sequence[str] = (), *, buckets: int = 64, rows_per_file: int = 5_000_000) -> list[int]:
+    """Merge a load into the record cache: one record per (key, time), the existing one wins, of a load the first by `tie`; records without
+    key or time are dropped. Returns the buckets that were rewritten.
+
+    Only buckets with new records are read and rewritten; the others keep their files. Files are ordered by key and time and cut by ranges of them, so a
+    large object fills several. The merged buckets are written next to the cache first and replace the old ones at the commit of the second write.
+    """
+    spark = new.sparkSession
+    columns = new.columns
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+    load = materialise(new.dropna(subset=[key, time]).withColumn("id_bucket", bucket))
+    touched = sorted(r[0] for r in load.select("id_bucket").distinct().collect())          # at most `buckets`
+    if not touched:
+        return []
+    both = load.withColumn("_load", F.lit(1))
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+        old = spark.read.schema(load.schema).parquet(path).where(F.col("id_bucket").isin(touched))
+        both = both.unionByName(old.withColumn("_load", F.lit(0)))
+    merged = dedupe(both, [key, time], "_load", tie).drop("_load").select(*columns, "id_bucket")
+    merged = materialise(merged)
+    files = max(len(touched), -(-merged.count() // rows_per_file))
+    ordered = merged.repartitionByRange(files, "id_bucket", key, time).sortWithinPartitions("id_bucket", key, time)
+    ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("id_bucket").parquet(path)
+    return touched
+
+
 def write_ordered(df: DataFrame, path: str, key: str, time: str) -> None:
     """Records by numeric id, then by falling time, as CSV with a header."""
     df.orderBy(F.col(key).cast("int"), F.col(time).desc()).write.mode("overwrite").option("header", True).csv(path)

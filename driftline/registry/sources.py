@@ -32,6 +32,26 @@ def _(t: Tables):
     return out.select(big(F.col("pos") + 1).alias("unit_id"), big(F.floor("s_acctbal")).alias("true_rul"))
 
 
+@query("S2_life_truth_text", """
+SELECT row_number() OVER (ORDER BY s_suppkey) AS unit_id, CAST(trunc(s_acctbal) AS BIGINT) AS true_rul FROM supplier""")
+def _(t: Tables):
+    path = shared_path(t.spark, "truth")
+    t.supplier.orderBy("s_suppkey").select(F.col("s_acctbal").cast("string").alias("value")).write.text(path)
+    return S.read_life_truth_lines(t.spark, path)
+
+
+@query("S4_snapshot_files", f"""
+SELECT file_no, snapshot_no, count(*) AS n, {R('sum(horiz)', 4)} AS horiz FROM (
+  SELECT dense_rank() OVER (ORDER BY p_size * 3) - 1 AS file_no, p_size * 3 AS snapshot_no, p_retailprice AS horiz FROM part) GROUP BY ALL""")
+def _(t: Tables):
+    path = shared_path(t.spark, "snapshots")
+    rows = t.part.select((F.col("p_size") * 3).alias("acc"), F.concat_ws(",", F.lit("9"), F.lit("1"), F.lit("0"), F.lit("0"), F.col("p_retailprice").cast("string"), F.lit("0")).alias("value"))
+    rows.repartition("acc").write.partitionBy("acc").text(path)
+    lines = t.spark.read.text(path, recursiveFileLookup=True).select("value", F.col("_metadata.file_path").alias("file"))
+    out = S.snapshot_fields(S.in_file_order(lines, "file", r"/acc=(\d+)/").withColumn("snapshot_no", F.regexp_extract("file", r"/acc=(\d+)/", 1).cast("int")))
+    return out.groupBy("file_no", "snapshot_no").agg(F.count(F.lit(1)).alias("n"), r(F.sum("horiz"), 4).alias("horiz"))
+
+
 @query("S3_two_delimiters", f"""
 SELECT event_id, {R('value')} AS horiz, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS vert FROM events""")
 def _(t: Tables):
@@ -343,6 +363,19 @@ def _(t: Tables):
     return out.select("user_id", "event_id", "load_no", F.round("value", 6).alias("v"))
 
 
+@query("K1_merged_cache", """
+WITH u AS (SELECT *, 1 AS load_no FROM events WHERE event_id % 3 = 0 UNION ALL SELECT event_id, ts, user_id, event_type, value + 1, props, 2 FROM events WHERE user_id % 5 <> 0)
+SELECT user_id, event_id, load_no, round(value, 6) AS v FROM u QUALIFY row_number() OVER (PARTITION BY user_id, ts ORDER BY load_no, event_id) = 1""")
+def _(t: Tables):
+    path = shared_path(t.spark, "merged")
+    first = t.events.where("event_id % 3 = 0").withColumn("load_no", F.lit(1))
+    second = t.events.where("user_id % 5 != 0").withColumn("value", F.col("value") + 1).withColumn("load_no", F.lit(2))
+    for load in (first, second):
+        model_io.merge_records(load, path, "user_id", "ts", ["event_id"])
+    # read as it stands: no record is there twice
+    return t.spark.read.parquet(path).select("user_id", "event_id", "load_no", F.round("value", 6).alias("v"))
+
+
 @query("K4_result_tables", f"""
 WITH s AS (SELECT l_suppkey, count(*) AS n, {R('sum(l_quantity)', 3)} AS total FROM lineitem GROUP BY l_suppkey)
 SELECT 'csv' AS form, * FROM s UNION ALL SELECT 'json', * FROM s UNION ALL SELECT 'parquet', * FROM s""")

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftline.functions.scalar import (clean_double, implied_decimal, orbit_from_mean_motion, pseudo_exponent,
                                         strip_line_end, two_digit_year_epoch)
+from driftline.session import materialise
 
 # fixed values: column order of the headerless turbofan text
 TURBOFAN_COLUMNS = (["unit_id", "cycle"] + [f"setting_{i}" for i in range(1, 4)] + [f"sensor_{i}" for i in range(1, 22)])
@@ -49,6 +50,34 @@ def read_life_truth(spark: SparkSession, path: str) -> DataFrame:
                        F.trim("col").try_cast("double").cast("int").alias("true_rul"))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line_no, value): every line of a file, or of a folder's files in name order, with its 0-based number; files are read in splits.
+
+    A split's lines stand together in one task, in order, so a line's number is its place in the split plus the lines of earlier splits: one
+    small row per split carries them. The lines are written once, as both readers have to see the same splits.
+    """
+    split = ["_file", "_start"]
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"))
+    lines = materialise(lines.withColumn("_id", F.monotonically_increasing_id()))
+    sizes = lines.groupBy(*split).agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    earlier = Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)           # one row per split of 128 MB
+    carried = sizes.select(*split, "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    return lines.join(carried, split).select((F.col("_before") + F.col("_id") - F.col("_first")).alias("line_no"), "value")
+
+
+def read_life_truth_lines(spark: SparkSession, path: str) -> DataFrame:
+    """As `read_life_truth`, for truth files of any size, or folders of files in name order."""
+    return numbered_lines(spark, path).select((F.col("line_no") + 1).alias("unit_id"), F.trim("value").try_cast("double").cast("long").alias("true_rul"))
+
+
+def in_file_order(df: DataFrame, file: str, pattern: str, out: str = "file_no") -> DataFrame:
+    """Add `out`: the 0-based place of the row's file by the number in its name (`pattern`'s group), not by the name's text."""
+    number = F.regexp_extract(file, pattern, 1).cast("long")
+    files = df.select(number.alias("_number")).distinct()
+    places = files.withColumn(out, (F.row_number().over(Window.orderBy("_number")) - 1).cast("long"))     # one row per file
+    return df.withColumn("_number", number).join(places, "_number").drop("_number")
+
+
 def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
     """Vibration files acc_NNNNN.csv under <bearing>/: comma or semicolon, six fields, the last two are signals."""
     raw = spark.read.text(path, recursiveFileLookup=True, pathGlobFilter="acc_*.csv").select("value", "_metadata.file_path")

@@ -152,3 +152,41 @@ def test_record_store_and_ordered_output(spark, tmp_path):
     assert [r["event_id"] + ":" + r["time"] for r in spark.read.option("header", True).csv(str(tmp_path / "o")).collect()] == ["9:3.0", "9:2.0", "10:1.0"]
     model_io.write_results(df, str(tmp_path / "j"))
     assert spark.read.json(str(tmp_path / "j")).count() == 3
+
+
+def test_numbered_lines_in_splits(spark, tmp_path):
+    """Numbers do not depend on how files are split; files go by name, blank lines count."""
+    from driftline.sources import text as S
+
+    names = {"a.txt": [f"line {k}" for k in range(300)], "b.txt": ["", "x", ""], "c.txt": [str(k) for k in range(100)]}
+    for name, lines in names.items():
+        (tmp_path / name).write_text("\n".join(lines) + "\n")
+    expect = list(enumerate(x for name in sorted(names) for x in names[name]))
+    for size in ("128m", "333", "64"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            got = sorted((r.line_no, r.value) for r in S.numbered_lines(spark, f"file://{tmp_path}").collect())
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert got == expect
+
+
+def test_merge_touches_only_its_buckets(spark, tmp_path):
+    from driftline.models import model_io
+
+    path, kind = str(tmp_path / "cache"), "obj long, t long, no long, v double"
+    files = lambda: {str(f.relative_to(path)) for f in (tmp_path / "cache").rglob("*.parquet")}
+    load = lambda rows: model_io.merge_records(spark.createDataFrame(rows, kind), path, "obj", "t", ["no"], buckets=8, rows_per_file=50)
+    load([(o, k, 1, 0.0) for o in range(40) for k in range(10)] + [(1, 3, 0, 9.0), (None, 1, 1, 0.0), (2, None, 1, 0.0)])
+    before = files()
+    touched = load([(7, k, 5, 1.0) for k in range(5, 200)])
+    after = files()
+    assert len(touched) == 1 and before - after and {f for f in before if f"id_bucket={touched[0]}/" not in f} <= after
+    rows = {(r.obj, r.t): r.v for r in spark.read.parquet(path).collect()}
+    assert spark.read.parquet(path).count() == len(rows) == 39 * 10 + 200 and rows[1, 3] == 9.0 and rows[7, 9] == 0.0 and rows[7, 10] == 1.0
+    mine = sorted(f for f in after if f"id_bucket={touched[0]}/" in f)
+    assert len(mine) > 1                                        # a large object fills several files, each in order
+    for f in mine:
+        order = [(r.obj, r.t) for r in spark.read.parquet(f"{path}/{f}").collect()]
+        assert order == sorted(order)
+    assert load([]) == [] and files() == after
