@@ -80,6 +80,24 @@ def _(t: Tables):
     return out.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_windows"), F.count_if("late").alias("n_late"), F.max("dropped").alias("dropped"))
 
 
+@query("Z6_event_time", f"""
+WITH e AS (SELECT user_id, epoch_us(ts) AS us, value AS v, event_id % 10 = 0 AS second FROM events),
+w AS (SELECT max(us) FILTER (NOT second) // 1000 - 172800000 AS w1, max(us) // 1000 - 172800000 AS w2 FROM e),
+s AS (SELECT user_id, us, v, row_number() OVER o - 1 AS pos, avg(v) OVER f AS m, stddev_pop(v) OVER f AS d, min(v) OVER f AS low FROM e, w
+  WHERE (NOT second OR us > w1 * 1000) AND us <= w2 * 1000 WINDOW o AS (PARTITION BY user_id ORDER BY us, v), f AS (PARTITION BY user_id ORDER BY us, v ROWS 29 PRECEDING))
+SELECT user_id, pos - 29 AS win, us AS t_end, {R('m')} AS v_mean, {R('d')} AS v_std, {R('low')} AS v_min FROM s WHERE pos >= 29""")
+def _(t: Tables):
+    # as above, by event time, in two runs: what the watermark has passed is dropped, the rest takes its place
+    folder, base = shared_path(t.spark, "event-time"), shared_path(t.spark, "event-time-run")
+    second = F.col("event_id") % 10 == 0
+    for part in (~second, second):
+        t.events.where(part).coalesce(1).write.mode("append").parquet(folder)
+        raw = M.new_files(M.stateful_session(t.spark), folder, t.events.schema, per_trigger=1)
+        s = raw.select("user_id", F.col("ts").cast("timestamp").alias("epoch"), F.col("value").alias("v"))
+        out = M.run_available(M.settled_windows(s, "user_id", "epoch", ["v"], 30, delay="2 days", idle_seconds=3_650 * 86_400), "event-time", base)
+    return out.select("user_id", "win", "t_end", *[r(c).alias(c) for c in ("v_mean", "v_std", "v_min")])
+
+
 @query("Z5_new_files", "SELECT count(*) AS n, count(DISTINCT event_id) AS n_events FROM events")
 def _(t: Tables):
     out = M.run_available(stream_of(t), "files")

@@ -14,6 +14,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -110,6 +111,81 @@ def windowed(stream: DataFrame, key: str, time: str, channels: Sequence[str], wi
         _Windows(key, time, channels, width, names), outputStructType=schema, outputMode="Append", timeMode="None")
 
 
+class _Settled(StatefulProcessor):
+    """Records wait until the watermark has passed them; then they are final, in order, and windows end with them."""
+
+    def __init__(self, channels: Sequence[str], width: int, idle_ms: int, names: Sequence[str]):
+        self._channels, self._width, self._idle, self._names = list(channels), width, idle_ms, list(names)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        fields = [T.StructField("us", T.LongType())] + [T.StructField(c, T.DoubleType()) for c in self._channels]
+        self._handle = handle
+        self._waiting, self._held = handle.getListState("waiting", T.StructType(fields)), handle.getListState("held", T.StructType(fields))
+        self._settled = handle.getValueState("settled", T.StructType([T.StructField("n", T.LongType()), T.StructField("last", T.LongType())]))
+
+    @staticmethod
+    def _rows(state) -> list[tuple]:
+        return [tuple(r) for r in state.get()] if state.exists() else []
+
+    def _settle(self, key, waiting: list[tuple], watermark: int) -> Iterator[pd.DataFrame]:
+        waiting.sort(key=lambda r: (r[0], *[(v is None, v or 0.0) for v in r[1:]]))
+        ready = [r for r in waiting if r[0] <= watermark * 1000]
+        waiting = waiting[len(ready):]
+        held = self._rows(self._held)
+        n, last = self._settled.get() if self._settled.exists() else (0, 0)
+        rows = held + ready
+        if ready and len(rows) >= self._width:
+            block = np.array([[np.nan if v is None else v for v in r[1:]] for r in rows], dtype=float)
+            views = np.lib.stride_tricks.sliding_window_view(block, self._width, axis=0)          # (windows, channels, width)
+            ends = rows[self._width - 1:]
+            first = n + len(ready) - len(ends) - self._width + 1
+            out = {"key": [key[0]] * len(ends), "win": np.arange(first, first + len(ends)), "end": [r[0] for r in ends]}
+            for j, c in enumerate(self._channels):
+                out |= {f"{c}_{k}": f(views[:, j], axis=1) for k, f in (("mean", np.mean), ("std", np.std), ("min", np.min), ("max", np.max))}
+            yield pd.DataFrame(out).set_axis(self._names, axis=1)
+        n, last = n + len(ready), ready[-1][0] if ready else last
+        for t in list(self._handle.listTimers()):
+            if t > watermark:
+                self._handle.deleteTimer(t)
+        expiry = last // 1000 + self._idle
+        if not waiting and expiry <= watermark:                             # the object has ended
+            self._waiting.clear()
+            self._held.clear()
+            self._settled.clear()
+            return
+        self._waiting.put(waiting) if waiting else self._waiting.clear()
+        kept = rows[-(self._width - 1):] if self._width > 1 else []
+        self._held.put(kept) if kept else self._held.clear()
+        self._settled.update((n, last))
+        self._handle.registerTimer(-(-waiting[0][0] // 1000) if waiting else expiry)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        # by place: key, time, microseconds, channels (a computed column does not keep its name on the way here)
+        new = [tuple(r) for pdf in rows for r in pdf.iloc[:, 2:].astype(object).where(lambda d: d.notna(), None).itertuples(index=False, name=None)]
+        yield from self._settle(key, self._rows(self._waiting) + new, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._settle(key, self._rows(self._waiting), timerValues.getCurrentWatermarkInMs())
+
+    def close(self) -> None:
+        pass
+
+
+def settled_windows(stream: DataFrame, key: str, time: str, channels: Sequence[str], width: int = 30, *, delay: str = "1 day", idle_seconds: int = 30 * 86_400) -> DataFrame:
+    """A row (key, win, t_end in microseconds, mean, std, min, max of each channel) per record and its `width - 1` predecessors, by event time.
+
+    `time` is a timestamp. Records up to `delay` late take their place: a record counts once the watermark (newest time seen by any object, less `delay`) has
+    passed it, and the window that ends with it is final. Later records are dropped by Spark and counted in the query's progress
+    (`numRowsDroppedByWatermark`); it drops by the watermark of the batch before, so one that comes before its place was settled is still used. State is `width - 1` records and those not yet passed; an object without records for `idle_seconds` of event time leaves none, and
+    counts its windows from 0 if it comes back. A window over an unknown value is unknown.
+    """
+    names = [key, "win", "t_end", *[f"{c}_{k}" for c in channels for k in ("mean", "std", "min", "max")]]
+    kinds = [stream.schema[key].dataType.simpleString(), "bigint", "bigint", *["double"] * (len(names) - 3)]
+    ready = stream.withWatermark(time, delay).select(key, time, F.unix_micros(time).alias("_us"), *[F.col(c).cast("double").alias(c) for c in channels])
+    return ready.groupBy(key).transformWithStateInPandas(
+        _Settled(channels, width, idle_seconds * 1000, names), outputStructType=", ".join(f"`{n}` {k}" for n, k in zip(names, kinds)), outputMode="Append", timeMode="EventTime")
+
+
 class _Sustained(StatefulProcessor):
     """Consecutive alerts per object; a quiet record starts the count again."""
 
@@ -143,10 +219,10 @@ def sustained(stream: DataFrame, key: str, order: str, fired: str, value: str, k
         _Sustained(order, fired, value, k, [key, order, value]), outputStructType=schema, outputMode="Append", timeMode="None")
 
 
-def run_available(stream: DataFrame, name: str) -> DataFrame:
-    """Run a stream over everything that is there and return what it wrote to the shared folder."""
+def run_available(stream: DataFrame, name: str, base: str | None = None) -> DataFrame:
+    """Run a stream over everything that is there and return what it wrote to the shared folder. With the `base` of an earlier run it goes on from there."""
     spark = stream.sparkSession
-    base = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    base = base or f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     q = (stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state")
          .outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
