@@ -79,6 +79,11 @@ def leave_one_out_fits(moments: DataFrame, fold: str, d: int) -> DataFrame:
     return _fits(sides.select(F.col(f"t.{fold}").alias(fold), F.col("t.label").alias("label"), (F.col("_tn") - F.coalesce("o.n", F.lit(0))).alias("n"), less.alias("m"), F.col("_tc").alias("centre")), fold, d)
 
 
+def own_fits(moments: DataFrame, fold: str, d: int) -> DataFrame:
+    """(fold, w, cut) of the fit on each fold alone."""
+    return _fits(moments, fold, d)
+
+
 def group_fits(moments: DataFrame, fold: str, groups: Mapping[str, Sequence], d: int) -> DataFrame:
     """(fit, w, cut) of the fits on the folds that each group names."""
     pairs = F.explode(F.array(*[F.struct(F.lit(g).alias("fit"), F.lit(f).alias("of")) for g, fs in groups.items() for f in fs]))

@@ -40,8 +40,6 @@ BATTERY = Setting(15, 1, 5, 100.0, 15.0, 30.0)
 BEARING = Setting(20, 1, 3, 275.0, 30.0, 30.0)
 ASTEROID = Setting(30, 7, 5, warning=90.0)
 REENTRY = Setting(30, 5, 5, warning=30.0)
-NOMINAL_MARGIN = {"turbofan": 30.0, "battery": 20.0, "bearing": 20.0}
-TURBOFAN_FIT_PAIRS = [("FD002", "FD004"), ("FD001", "FD003")]
 
 
 def monitoring_windows(df: DataFrame, key: Sequence[str], order: Sequence[str], channels: Sequence[str], setting: Setting,
@@ -154,17 +152,6 @@ def held_out_sweep(fitted: Fitted, test: DataFrame, key: str, order: str, truth:
     return calibrate.best_row(calibrate.precision_recall_sweep(joined, "d_final", F.col("true_rul") <= warning))
 
 
-def leave_one_out(windows: DataFrame, features: Sequence[str], setting: Setting, key: str, rul: str = "rul", **kw) -> DataFrame:
-    """Battery study: fit without each object, count its windows. Meant for a handful of objects (one fit each)."""
-    out = None
-    for (obj,) in windows.select(key).distinct().orderBy(key).collect():
-        fitted = fit_life_monitor(windows.where(F.col(key) != obj), features, setting, rul, **kw)
-        held = fitted.distances(windows.where(F.col(key) == obj))
-        one = evaluate.confusion(held, detect.fire("d_mean", fitted.epsilon), F.col(rul) <= setting.warning, [key])
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
 def validate_sustained(fitted: Fitted, windows: DataFrame, key: str, order: Sequence[str], lead: str, has_event: Column,
                        k: int = 3, **kw) -> DataFrame:
     """Reentry study: objects with `k` alerts in a row against objects with an event."""
