@@ -219,3 +219,42 @@ def test_pruning_gives_the_nearest():
         index, d, done = vector_codes.nearest(x, vector_codes.pivot_distances(x, piv).astype(np.float32).astype(float), book, vector_codes.pivot_distances(book, piv))
         every = ((x[:, None] - book[None]) ** 2).sum(axis=2)
         assert index.tolist() == every.argmin(axis=1).tolist() and d.tolist() == every.min(axis=1).tolist() and done < every.size
+
+
+@pytest.mark.parametrize("tables,bits,block", [(12, 2, 2), (12, 2, 8), (40, 6, 4_096)])
+def test_near_vectors_by_bucket_and_by_block(spark, tables, bits, block):
+    """A label beyond `tables` blocks is sent by bucket, smaller ones by pairs of blocks; both give the links of brute force."""
+    from driftline.llm import near_vectors
+
+    rng = np.random.default_rng(9)
+    base = rng.standard_normal((15, 12))
+    x = (base[np.arange(120) % 15] + 0.12 * rng.standard_normal((120, 12))).astype(np.float32)
+    label = [1 if i % 4 else 2 for i in range(120)]
+    rows = [(i, x[i].tolist(), label[i]) for i in range(120)] + [(500 + i, x[3].tolist(), label[3]) for i in range(5)]
+    v = np.array([r[1] for r in rows], np.float64)
+    unit = v / np.sqrt((v * v).sum(axis=1))[:, None]
+    y = np.array([r[2] for r in rows])
+    near = (unit @ unit.T >= 0.93) & (y[:, None] == y)
+    np.fill_diagonal(near, False)
+    part = np.arange(len(rows))
+    while True:
+        low = np.array([min(part[i], part[near[i]].min() if near[i].any() else part[i]) for i in range(len(rows))])
+        if (low == part).all():
+            break
+        part = low
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_vectors.near_duplicates(df, tables=tables, bits=bits, block_rows=block).collect()}
+    assert got == {r[0]: (int(near[i].sum()), rows[part[i]][0], part[i] == i) for i, r in enumerate(rows)}
+
+
+def test_tables_for_any_label_size():
+    """The bits keep a bucket's size, the tables keep the miss rate of a pair at the threshold."""
+    import math
+
+    from driftline.llm import near_vectors
+
+    assert near_vectors.tables_for(100) == (42, 10)
+    for n in (0, 1, 5_000, 10 ** 5, 10 ** 7):
+        tables, bits = near_vectors.tables_for(n)
+        assert n / 2 ** bits <= near_vectors.BUCKET
+        assert (1 - (1 - math.acos(0.93) / math.pi) ** bits) ** tables <= near_vectors.MISS
