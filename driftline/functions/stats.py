@@ -48,6 +48,66 @@ def f1_interval_from_recall(tp: Column, fn: Column, z: float = Z95) -> tuple[Col
     return 2 * low / (1 + low), 2 * high / (1 + high)
 
 
+# ---- p-values as columns ------------------------------------------------------
+
+def _backward(steps: Column | int, build, start: Column | None = None) -> Column:
+    """Fold over k = steps, ..., 1 from 1.0: the innermost term of a continued fraction or of a Horner form comes first."""
+    ks = F.sequence(F.lit(steps) if isinstance(steps, int) else steps, F.lit(1), F.lit(-1))
+    return F.aggregate(ks, F.lit(1.0) if start is None else start, lambda acc, k: build(acc, k.cast("double")))
+
+
+def normal_tail_of(z: Column) -> Column:
+    """P(Z > z) of the standard normal: a series below 3, a continued fraction beyond."""
+    a = F.abs(z)
+    density = F.exp(-a * a / 2) / F.lit(math.sqrt(2 * math.pi))
+    inner = F.lit(0.5) - density * a * _backward(60, lambda acc, k: 1 + acc * a * a / (2 * k + 1))
+    outer = density / _backward(90, lambda acc, k: a + k / acc, a)
+    upper = F.when(a < 3, inner).otherwise(outer)
+    return F.when(z < 0, 1 - upper).otherwise(upper)
+
+
+def log_gamma_of(x: Column) -> Column:
+    """ln Γ(x) for x > 0: Stirling's series at x + 8, less the eight factors between."""
+    y = x + 8
+    r = 1 / (y * y)
+    series = (F.lit(1 / 12) - r * (F.lit(1 / 360) - r * (F.lit(1 / 1260) - r * (F.lit(1 / 1680) - r * F.lit(1 / 1188))))) / y
+    factors = x
+    for k in range(1, 8):
+        factors = factors * (x + k)
+    return (y - 0.5) * F.ln(y) - y + F.lit(0.5 * math.log(2 * math.pi)) + series - F.ln(factors)
+
+
+def _beta_side(a: Column, b: Column, x: Column, steps: Column) -> Column:
+    """The continued fraction of the incomplete beta function, divided by a; it converges within about sqrt(a + b) pairs of steps."""
+    def term(acc: Column, k: Column) -> Column:
+        m = F.floor(k / 2).cast("double")
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        return 1 + F.when(k % 2 == 0, even).otherwise(odd) / acc
+    return 1 / (a * (1 - (a + b) * x / (a + 1) / _backward(steps, lambda acc, k: term(acc, k + 1))))
+
+
+def spearman_p_of(rho: Column, n: Column) -> Column:
+    """Two-sided p from Student's t with n − 2 degrees of freedom, as `spearman_p`."""
+    a, b = (n.cast("double") - 2) / 2, F.lit(0.5)
+    y = rho * rho
+    x = 1 - y
+    steps = (F.lit(60) + 6 * F.sqrt(n.cast("double"))).cast("int")
+    front = F.exp(log_gamma_of(a + b) - log_gamma_of(a) - F.lit(0.5 * math.log(math.pi)) + a * F.ln(x) + b * F.ln(y))
+    low = x < (a + 1) / (a + b + 2)
+    p = F.when(low, front * _beta_side(a, b, x, steps)).otherwise(1 - front * _beta_side(b, a, y, steps))
+    return F.when(n < 3, 1.0).when(F.abs(rho) >= 1, 0.0).when(rho == 0, 1.0).otherwise(p)
+
+
+def mann_whitney_p_of(u: Column, n1: Column, n2: Column, ties: Column, *, less: bool = True) -> Column:
+    """One-sided normal approximation with tie and continuity correction, as `mann_whitney_p`."""
+    a, b = n1.cast("double"), n2.cast("double")
+    n = a + b
+    var = a * b / 12 * ((n + 1) - F.coalesce(F.try_divide(ties.cast("double"), n * (n - 1)), F.lit(0.0)))
+    big = a * b - u if less else u
+    return F.when(var <= 0, 1.0).otherwise(normal_tail_of((big - a * b / 2 - 0.5) / F.sqrt(var)))
+
+
 # ---- p-values of single result rows (plain numbers) ---------------------------
 
 def normal_tail(z: float) -> float:

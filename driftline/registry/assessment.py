@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from driftline.functions.stats import mann_whitney_p, spearman_p, wilson
+from driftline.functions.stats import mann_whitney_p_of, spearman_p_of, wilson
 from driftline.models import evaluate as Ev
 from driftline.operators import matching
 from driftline.plans.monitoring import frozen
@@ -35,14 +35,36 @@ def _(t: Tables):
     return out.select(r("u", 2).alias("u"), "n1", "n2")
 
 
-@query("A2_mann_whitney_p")
+# numeric integration (Simpson, 2,000 steps) of the normal density above z, and of the t density as cos^(n - 3) above asin|rho|
+_NORMAL_TAIL = """(SELECT sum(CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-pow(z + i * 0.006, 2) / 2)) * 0.006 / 3 / sqrt(2 * pi()) FROM range(2001) t(i))"""
+_COS_PART = "(SELECT sum(CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * pow(cos({low} + i * (pi() / 2 - {low}) / 2000), n - 3)) * (pi() / 2 - {low}) / 6000 FROM range(2001) t(i))"
+_T_TAILS = f"CASE WHEN n < 3 THEN 1 WHEN abs(rho) >= 1 THEN 0 ELSE {_COS_PART.format(low='asin(least(abs(rho), 1))')} / {_COS_PART.format(low='0')} END"
+
+
+def _u_sql(by: str) -> str:
+    """u, n1, n2, z of the one-sided test per group `by` (a column list with a comma at its end, or nothing)."""
+    part = f"PARTITION BY {by[:-2]} " if by else ""
+    same = f"PARTITION BY {by}round(d_mean, 9)"
+    group = f" GROUP BY {by[:-2]}" if by else ""
+    return f"""k AS (SELECT {by}label, d_mean, rank() OVER ({part}ORDER BY round(d_mean, 9)) + (count(*) OVER ({same}) - 1) / 2.0 AS rk, count(*) OVER ({same}) AS c FROM sd),
+m AS (SELECT {by}CAST(coalesce(sum(rk) FILTER (label = 1), 0) - count(*) FILTER (label = 1) * (count(*) FILTER (label = 1) + 1) / 2.0 AS DOUBLE) AS u, count(*) FILTER (label = 1) AS n1, count(*) FILTER (label <> 1) AS n2, CAST(sum(c * c - 1) AS DOUBLE) AS ties FROM k{group}),
+v AS (SELECT *, n1 * n2 / CAST(12 AS DOUBLE) * ((n1 + n2 + 1) - coalesce(ties / nullif(CAST(n1 + n2 AS DOUBLE) * (n1 + n2 - 1), 0), 0)) AS var FROM m), y AS (SELECT *, CASE WHEN var > 0 THEN (n1 * n2 - u - n1 * n2 / 2.0 - 0.5) / sqrt(var) END AS z FROM v)"""
+
+
+@query("A2_mann_whitney_p", f"""
+WITH {SD}, {_u_sql('')} SELECT {R('u', 2)} AS u, n1, n2, {R(f'CASE WHEN z IS NULL THEN 1 ELSE {_NORMAL_TAIL} END', 8)} AS p FROM y""")
 def _(t: Tables):
     s = scored(t).withColumn("d", F.round("d_mean", 9))
-    row = Ev.mann_whitney(s, "d", F.col("label") == 1, rows=t.rows("events")).first()
-    p = mann_whitney_p(row["u"], row["n1"], row["n2"], row["ties"], less=True)
-    return t.spark.createDataFrame([(row["u"], row["n1"], row["n2"], p)], "u double, n1 long, n2 long, p double")
+    out = Ev.mann_whitney(s, "d", F.col("label") == 1, rows=t.rows("events"))
+    return out.select(r("u", 2).alias("u"), "n1", "n2", r(mann_whitney_p_of(F.col("u"), F.col("n1"), F.col("n2"), F.col("ties")), 8).alias("p"))
 
 
+@query("A2_mann_whitney_p_per_object", f"""
+WITH {SD}, {_u_sql('obj, ')} SELECT obj, {R('u', 2)} AS u, n1, n2, {R(f'CASE WHEN z IS NULL THEN 1 ELSE {_NORMAL_TAIL} END', 8)} AS p FROM y""")
+def _(t: Tables):
+    s = scored(t).withColumn("d", F.round("d_mean", 9))
+    out = Ev.mann_whitney(s, "d", F.col("label") == 1, ["obj"], rows=t.rows("events"))
+    return out.select("obj", r("u", 2).alias("u"), "n1", "n2", r(mann_whitney_p_of(F.col("u"), F.col("n1"), F.col("n2"), F.col("ties")), 8).alias("p"))
 
 
 @query("A3_spearman", f"""
@@ -53,11 +75,28 @@ def _(t: Tables):
     return Ev.spearman(s, "rul", "d", rows=t.rows("events")).select(r("rho").alias("rho"), "n")
 
 
-@query("A3_spearman_p")
+def _rho_sql(by: str) -> str:
+    part = f"PARTITION BY {by[:-2]} " if by else ""
+    pair = lambda c: f"rank() OVER ({part}ORDER BY {c}) + (count(*) OVER (PARTITION BY {by}{c}) - 1) / 2.0"
+    group = f" GROUP BY {by[:-2]}" if by else ""
+    return f"""k AS (SELECT {by}{pair('rul')} AS a, {pair('round(d_mean, 9)')} AS b FROM sd WHERE rul < 20),
+y AS (SELECT {by}CASE WHEN count(*) < 3 OR stddev_pop(a) * stddev_pop(b) = 0 THEN 0 ELSE covar_pop(a, b) / (stddev_pop(a) * stddev_pop(b)) END AS rho, count(*) AS n FROM k{group})"""
+
+
+@query("A3_spearman_p", f"""
+WITH {SD}, {_rho_sql('')} SELECT {R('rho')} AS rho, n, {R(_T_TAILS, 8)} AS p FROM y""")
+def _(t: Tables):
+    s = scored(t).where("rul < 20").withColumn("d", F.round("d_mean", 9))
+    out = Ev.spearman(s, "rul", "d", rows=t.rows("events"))
+    return out.select(r("rho").alias("rho"), "n", r(spearman_p_of(F.col("rho"), F.col("n")), 8).alias("p"))
+
+
+@query("A3_spearman_p_per_object", f"""
+WITH {SD}, {_rho_sql('obj, ')} SELECT obj, {R('rho')} AS rho, n, {R(_T_TAILS, 6)} AS p FROM y""")
 def _(t: Tables):
     s = scored(t).where("rul < 20").withColumn("d", F.round("d_mean", 9))
-    row = Ev.spearman(s, "rul", "d", rows=t.rows("events")).first()
-    return t.spark.createDataFrame([(row["rho"], row["n"], spearman_p(row["rho"], row["n"]))], "rho double, n long, p double")
+    out = Ev.spearman(s, "rul", "d", ["obj"], rows=t.rows("events"))
+    return out.select("obj", r("rho").alias("rho"), "n", r(spearman_p_of(F.col("rho"), F.col("n")), 6).alias("p"))
 
 
 @query("A4_per_object_spearman", f"""

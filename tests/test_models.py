@@ -226,3 +226,18 @@ def test_fits_without_one_fold(spark):
         w /= np.linalg.norm(w)
         np.testing.assert_allclose(got[f]["w"], w, atol=1e-8)
         assert abs(got[f]["cut"] - w @ (a.mean(axis=0) + b.mean(axis=0)) / 2) < 1e-6
+
+
+def test_p_values_as_columns(spark):
+    """The column forms equal the plain numbers, in the middle and far out."""
+    from driftline.functions import stats
+
+    rhos = [(r, n) for r in (-1.0, -0.999, -0.6, -0.05, 0.0, 1e-6, 0.3, 0.81, 0.9999, 1.0) for n in (2, 3, 4, 5, 12, 80, 1_500, 200_000)]
+    df = spark.createDataFrame(rhos, "rho double, n long")
+    for row in df.withColumn("p", stats.spearman_p_of(F.col("rho"), F.col("n"))).collect():
+        assert row["p"] == pytest.approx(stats.spearman_p(row["rho"], row["n"]), rel=1e-7, abs=1e-9), row
+    tests = [(float(u), n1, n2, t) for n1, n2, t in ((1, 1, 0.0), (5, 9, 0.0), (40, 60, 120.0), (3_000, 7_000, 0.0), (0, 4, 0.0), (3, 3, 210.0)) for u in (0, n1 * n2 // 3, n1 * n2 / 2, n1 * n2)]
+    df = spark.createDataFrame(tests, "u double, n1 long, n2 long, ties double")
+    for less in (True, False):
+        for row in df.withColumn("p", stats.mann_whitney_p_of(*(F.col(c) for c in ("u", "n1", "n2", "ties")), less=less)).collect():
+            assert row["p"] == pytest.approx(stats.mann_whitney_p(row["u"], row["n1"], row["n2"], row["ties"], less=less), rel=1e-9, abs=1e-12), row
