@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftline.session import materialise
+
 Stats = dict[str, tuple[float, float]]
 
 
@@ -30,6 +32,14 @@ def scale(df: DataFrame, stats: Stats, suffix: str = "") -> DataFrame:
     return df.withColumns({f"{c}{suffix}": zscore(c, m, s) for c, (m, s) in stats.items()})
 
 
+def weighted_score(df: DataFrame, stats: Stats, weights: Mapping[str, float], out: str = "score") -> DataFrame:
+    """`out`: the sum of the standardised features of `stats`, each times its weight by name; a missing feature adds nothing."""
+    total = F.lit(0.0)
+    for c, (m, s) in stats.items():
+        total = total + F.lit(float(weights[c])) * F.coalesce(F.nanvl(zscore(c, m, s), F.lit(0.0)), F.lit(0.0))
+    return df.withColumn(out, total)
+
+
 def varying(df: DataFrame, columns: Sequence[str], threshold: float = 1e-8) -> list[str]:
     """Columns that still vary after standardising (constant ones are left out)."""
     stats = fit_stats(df, columns)
@@ -110,3 +120,52 @@ def dominant_regime_scaled(windows: DataFrame, stats: DataFrame, regime: str, ch
         fixed[f"m_{c}"] = F.coalesce(F.col(f"m_{c}"), F.col(f"{c}_mean"))
         fixed[f"s_{c}"] = F.coalesce(F.col(f"s_{c}"), F.col(f"{c}_std") + F.lit(own_pad))
     return rescale_windows(joined.withColumns(fixed), channels).drop(*[f"{p}_{c}" for c in channels for p in "ms"])
+
+
+# ---- set points -----------------------------------------------------------------
+
+def _nearest(settings: Sequence[str], centres: Sequence[Sequence[float]]) -> Column:
+    """(distance², index) of the nearest centre, the first of equals."""
+    def distance(c: Sequence[float]) -> Column:
+        total = F.lit(0.0)
+        for name, v in zip(settings, c):
+            total = total + (F.col(name) - F.lit(float(v))) * (F.col(name) - F.lit(float(v)))
+        return total
+    return F.array_min(F.array(*[F.struct(distance(c).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(centres)]))
+
+
+def fit_set_points(df: DataFrame, settings: Sequence[str], k: int = 6, digits: int = 3, rounds: int = 50, tolerance: float = 1e-9) -> list[tuple[float, ...]]:
+    """At most `k` set points of the operating settings, in ascending order: Lloyd's iterations on distinct rounded settings, by weight.
+
+    The start is fixed: the smallest setting, then always the one farthest from all before it. Rows with a missing setting
+    take no part. A round is one aggregate; only its `k` sums reach the driver.
+    """
+    rounded = df.select(*[F.round(F.col(c).cast("double"), digits).alias(c) for c in settings]).dropna()
+    points = materialise(rounded.groupBy(*settings).agg(F.count(F.lit(1)).cast("double").alias("_w")))
+    here = F.struct(*settings)
+    first = points.agg(F.min(here)).first()[0]
+    centres = [] if first is None else [tuple(first)]
+    while centres and len(centres) < k:
+        far = points.agg(F.max(F.struct(_nearest(settings, centres)["d"].alias("d"), here.alias("p")))).first()[0]
+        if not far["d"] > 0:
+            break
+        centres.append(tuple(far["p"]))
+    for _ in range(rounds if centres else 0):
+        means = [(F.sum(F.col("_w") * F.col(c)) / F.sum("_w")).alias(c) for c in settings]
+        moved = {row["_i"]: tuple(row[c] for c in settings) for row in points.groupBy(_nearest(settings, centres)["i"].alias("_i")).agg(*means).collect()}
+        new = [moved.get(i, c) for i, c in enumerate(centres)]
+        still = all(abs(a - b) <= tolerance for x, y in zip(new, centres) for a, b in zip(x, y))
+        centres = new
+        if still:
+            break
+    return sorted(centres)
+
+
+def assign_set_points(df: DataFrame, centres: Sequence[Sequence[float]], settings: Sequence[str], digits: int = 3, out: str = "regime") -> DataFrame:
+    """`out`: the number of the nearest set point in their order; NULL where a setting is missing or NaN."""
+    rounded = [f"_s_{c}" for c in settings]
+    placed = df.withColumns({s: F.round(F.col(c).cast("double"), digits) for s, c in zip(rounded, settings)})
+    known = F.lit(bool(centres))
+    for s in rounded:
+        known = known & F.col(s).isNotNull() & ~F.isnan(s)
+    return placed.withColumn(out, F.when(known, _nearest(rounded, centres)["i"]) if centres else F.lit(None).cast("int")).drop(*rounded)

@@ -75,6 +75,19 @@ def _(t: Tables):
     return scale.assign_regimes(p, model, ["s1", "s2"]).select("p_partkey", "regime")
 
 
+@query("M2_set_points", f"""
+WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey, l_linenumber % 6 AS regime, l_linenumber % 6 * 10 + l_tax AS s1, l_linenumber * l_linenumber % 6 * 0.5 + l_discount AS s2 FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, CAST(regime AS INTEGER) AS regime, {R('avg(round(s1, 3)) OVER w')} AS centre_s1, {R('avg(round(s2, 3)) OVER w')} AS centre_s2 FROM x WINDOW w AS (PARTITION BY regime)""")
+def _(t: Tables):
+    g = F.col("l_linenumber") % 6
+    x = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", (g * 10 + F.col("l_tax")).alias("s1"),
+                          (F.col("l_linenumber") * F.col("l_linenumber") % 6 * F.lit(0.5) + F.col("l_discount")).alias("s2"))
+    centres = scale.fit_set_points(x, ["s1", "s2"], 6)
+    at = lambda j: F.get(F.array(*[F.lit(c[j]) for c in centres]), F.col("regime"))
+    out = scale.assign_set_points(x, centres, ["s1", "s2"])
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", "regime", r(at(0)).alias("centre_s1"), r(at(1)).alias("centre_s2"))
+
+
 REGIME = "CAST(l_tax * 100 AS INTEGER) // 3 + CASE WHEN l_suppkey % 50 = 0 THEN 100 ELSE 0 END"
 
 
@@ -117,6 +130,37 @@ def _(t: Tables):
                            F.count(F.lit(1)).alias("n"))
 
 
+# lineitem columns as the channels of decaying orbits
+_DECAY = {"periapsis": "l_quantity", "mean_motion": "l_extendedprice / 1000", "mean_motion_dot": "l_discount", "bstar": "l_tax",
+          "eccentricity": "CAST(l_linenumber AS DOUBLE)", "apoapsis": "CAST(l_partkey % 100 AS DOUBLE)"}
+_DECAY_CHANNEL_SQL = {"periapsis": 2.0, "mean_motion": 1.5, "mean_motion_dot": 3.0, "bstar": 1.5, "eccentricity": 0.8, "apoapsis": 1.0}
+_CC = lambda a, b: f"coalesce(covar_pop({a}, {b}) / nullif(stddev_pop({a}) * stddev_pop({b}), 0), 0)"
+_PAIRED = [(a, b) for i, a in enumerate(_DECAY) for b in list(_DECAY)[i + 1:]]
+# feature: (aggregate, weight = channel x class; pairs of channels 1.2)
+_DECAY_SQL = ({f"{c}_{n}": (f"{fn}({c})", w) for c, w in _DECAY_CHANNEL_SQL.items() for n, fn in (("mean", "avg"), ("std", "stddev_pop"), ("min", "min"), ("max", "max"))}
+              | {f"{c}_r1_mean": (f"avg(d_{c} / dt)", 2.0 * w) for c, w in _DECAY_CHANNEL_SQL.items()}
+              | {f"{c}_ratio": (f"avg({c}) FILTER (off >= 15) / (abs(avg({c}) FILTER (off < 15)) + 1e-10)", 2.5 * w) for c, w in _DECAY_CHANNEL_SQL.items()}
+              | {f"corr_{a}_{b}": (_CC(a, b), 1.2) for a, b in _PAIRED})
+
+
+@query("M5_channel_class_scores", f"""
+WITH {LI}, u AS (SELECT *, {', '.join(f'{e} AS {c}' for c, e in _DECAY.items())} FROM li), {windows_sql('u', 'l_suppkey', 30, 5)},
+a AS (SELECT *, greatest(day - lag(day) OVER w, 1e-6) AS dt, {', '.join(f'{c} - lag({c}) OVER w AS d_{c}' for c in _DECAY)} FROM wr WINDOW w AS (PARTITION BY obj, win ORDER BY off)),
+f AS (SELECT obj, win, {', '.join(f'{e} AS {n}' for n, (e, _) in _DECAY_SQL.items())} FROM a GROUP BY obj, win),
+s AS (SELECT {', '.join(f'avg({n}) AS m_{n}, stddev_pop({n}) AS s_{n}' for n in _DECAY_SQL)} FROM f)
+SELECT obj, win, {R(' + '.join(f'{w} * coalesce(({n} - m_{n}) / CASE WHEN s_{n} = 0 THEN 1 ELSE s_{n} END, 0)' for n, (_, w) in _DECAY_SQL.items()), 5)} AS score FROM f, s""")
+def _(t: Tables):
+    from driftline.plans import orbits
+
+    s = t.lineitem.withColumn("day", F.unix_micros(F.col("l_shipdate").cast("timestamp")) / F.lit(86400000000.0))
+    s = s.select("l_suppkey", *[c for c in SUPPLY_ORDER], *[F.expr(e).cast("double").alias(c) for c, e in _DECAY.items()])
+    w = orbits.decay_windows(s, "l_suppkey", SUPPLY_ORDER, time="day", channels=list(_DECAY), rows=t.rows("lineitem"))
+    weights = C.decay_weights()
+    names = [f for f, cls, _ in C.decay_catalogue() if cls != "rate" or f.endswith("r1_mean")]
+    w = materialise(w.select(F.col("l_suppkey").alias("obj"), "win", *names))
+    return scale.weighted_score(w, scale.fit_stats(w, names), weights).select("obj", "win", r("score", 5).alias("score"))
+
+
 CH4 = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 CH_GROUP = {"l_quantity": "high", "l_extendedprice": "medium_high", "l_discount": "medium", "l_tax": "low"}
 

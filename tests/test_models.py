@@ -241,3 +241,21 @@ def test_p_values_as_columns(spark):
     for less in (True, False):
         for row in df.withColumn("p", stats.mann_whitney_p_of(*(F.col(c) for c in ("u", "n1", "n2", "ties")), less=less)).collect():
             assert row["p"] == pytest.approx(stats.mann_whitney_p(row["u"], row["n1"], row["n2"], row["ties"], less=less), rel=1e-9, abs=1e-12), row
+
+
+def test_set_points(spark):
+    """Six noisy set points are found in order, whatever the order of rows; missing settings and few settings are defined."""
+    rng = np.random.default_rng(6)
+    true = [(0.0, 5.0), (0.0, 9.0), (4.0, 1.0), (10.0, 1.0), (10.0, 6.0), (20.0, 0.0)]
+    rows = [(i % 6, float(true[i % 6][0] + rng.uniform(0, 0.2)), float(true[i % 6][1] + rng.uniform(0, 0.2))) for i in range(600)]
+    df = spark.createDataFrame([rows[i] for i in rng.permutation(600)] + [(9, None, 1.0)], "g int, a double, b double")
+    centres = scale.fit_set_points(df, ["a", "b"], 6)
+    want = sorted(tuple(np.mean([[round(x[1], 3), round(x[2], 3)] for x in rows if x[0] == g], axis=0)) for g in range(6))
+    np.testing.assert_allclose(centres, want, atol=1e-9)
+    got = {(r["g"], r["regime"]) for r in scale.assign_set_points(df, centres, ["a", "b"]).collect()}
+    order = sorted(range(6), key=lambda g: tuple(np.mean([[x[1], x[2]] for x in rows if x[0] == g], axis=0)))
+    assert got == {(g, i) for i, g in enumerate(order)} | {(9, None)}
+    assert scale.fit_set_points(df.where("g = 9"), ["a", "b"], 6) == []
+    assert len(scale.fit_set_points(df.where("g < 2").withColumn("a", F.lit(1.0)).withColumn("b", F.col("g") * 1.0), ["a", "b"], 6)) == 2
+    empty = scale.assign_set_points(df, [], ["a", "b"])
+    assert empty.where("regime IS NOT NULL").count() == 0
