@@ -180,6 +180,23 @@ def _(t: Tables):
     return out.select("obj", "win", *[r(F.col("eig")[i]).alias(f"eig{i + 1}") for i in range(5)])
 
 
+_CH6 = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
+_C6 = {(i, j): f"c{min(i, j)}{max(i, j)}" for i in range(4) for j in range(4)}
+
+
+@query("F6_eigenvalue_sums", f"""
+WITH {LI}, {windows_sql('li', 'l_suppkey', 30, 30)}, c AS (SELECT obj, win, {', '.join(f"covar_samp({_CH6[i]}, {_CH6[j]}) AS {n}" for (i, j), n in _C6.items() if i <= j)} FROM wr {GROUPED})
+SELECT obj, win, {R(' + '.join(_C6[i, i] for i in range(4)), 5)} AS trace, {R(' + '.join(f'{n} * {n}' for n in _C6.values()), 4)} AS squares,
+  {R(' + '.join(f'{_C6[i, j]} * {_C6[j, k]} * {_C6[k, i]}' for i in range(4) for j in range(4) for k in range(4)), 2)} AS cubes FROM c""")
+def _(t: Tables):
+    # all four eigenvalues are among the top five: their power sums are the traces of the matrix and its powers
+    out = supply_windows(t, lambda s: Ft.covariances(s, _CH6), stride=30)
+    cells = [f"cov_{a}_{b}" for i, a in enumerate(_CH6) for b in _CH6[i:]]
+    out = out.withColumn("eig", top_eigenvalues(cells, len(_CH6)))
+    power = lambda p: F.aggregate("eig", F.lit(0.0), lambda acc, x: acc + F.pow(x, F.lit(float(p))))
+    return out.select("obj", "win", r(power(1), 5).alias("trace"), r(power(2), 4).alias("squares"), r(power(3), 2).alias("cubes"))
+
+
 @query("F6_two_channel_eigenvalues", f"""
 WITH {EV_WIN}, c AS (SELECT obj, win, var_samp(v) AS a, var_samp(k) AS b, covar_samp(v, k) AS c FROM wr {GROUPED})
 SELECT obj, win, {R('(a + b) / 2 + sqrt(pow((a - b) / 2, 2) + c * c)', 4)} AS eig1, {R('(a + b) / 2 - sqrt(pow((a - b) / 2, 2) + c * c)', 4)} AS eig2, CAST(0 AS DOUBLE) AS eig3 FROM c""")
@@ -198,6 +215,30 @@ def _(t: Tables):
     return out.select("*", *[F.col("_eig")[i].alias(f"eig{i + 1}") for i in range(5)]).drop("_eig")
 
 
+_CH7 = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+def _vector_sql() -> dict[str, str]:
+    """Every feature of the monitoring vector but the eigenvalues, over windows with in-window differences d1_, d2_."""
+    out = {}
+    for c in _CH7:
+        out.update({f"{c}_mean": f"avg({c})", f"{c}_std": f"stddev_pop({c})", f"{c}_min": f"min({c})", f"{c}_max": f"max({c})", f"{c}_d1_mean": f"avg(d1_{c})",
+                    f"{c}_d1_std": f"stddev_pop(d1_{c})", f"{c}_d2_mean": f"avg(d2_{c})"} | {f"{c}_fft{k}": _dft(c, k) for k in range(1, 6)})
+    return out | {f"corr_{a}_{b}": f"coalesce(covar_pop({a}, {b}) / nullif(stddev_pop({a}) * stddev_pop({b}), 0), 0)" for a, b in combinations(_CH7, 2)}
+
+
+_digits = lambda name: 3 if name.startswith("l_extendedprice") else 6
+
+
+@query("F7_monitoring_features", f"""
+WITH {LI}, {windows_sql('li', 'l_suppkey', 30, 10)}, f1 AS (SELECT *, {', '.join(f'{c} - lag({c}) OVER w AS d1_{c}' for c in _CH7)} FROM wr WINDOW w AS (PARTITION BY obj, win ORDER BY off)),
+f2 AS (SELECT *, {', '.join(f'd1_{c} - lag(d1_{c}) OVER w AS d2_{c}' for c in _CH7)} FROM f1 WINDOW w AS (PARTITION BY obj, win ORDER BY off))
+SELECT obj, win, {', '.join(f'{R(e, _digits(n))} AS {n}' for n, e in _vector_sql().items())} FROM f2 {GROUPED}""")
+def _(t: Tables):
+    out = supply_windows(t, lambda s: Ft.monitoring_vector(s, _CH7), Ft.difference_stages(_CH7), stride=10)
+    return out.select("obj", "win", *[r(n, _digits(n)).alias(n) for n in out.columns if n not in ("obj", "win") and not n.startswith("cov_")])
+
+
 def _catalogue_sql(channels: list[str]) -> str:
     rows = C.monitoring_catalogue(channels)
     return ", ".join(f"('{f}', '{c}', {'NULL' if ch is None else repr(ch)})" for f, c, ch in rows)
