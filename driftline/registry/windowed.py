@@ -254,6 +254,25 @@ def _(t: Tables):
     return cat.groupBy("class", "channel").agg(F.count(F.lit(1)).alias("n")).withColumn("_one", F.lit(1)).join(n, "_one").drop("_one")
 
 
+_NAMED = f"""{LI}, {windows_sql('li', 'l_suppkey', 30, 30)}, f1 AS (SELECT *, {', '.join(f'{c} - lag({c}) OVER w AS d1_{c}' for c in _CH7)} FROM wr WINDOW w AS (PARTITION BY obj, win ORDER BY off)),
+f2 AS (SELECT *, {', '.join(f'd1_{c} - lag(d1_{c}) OVER w AS d2_{c}' for c in _CH7)} FROM f1 WINDOW w AS (PARTITION BY obj, win ORDER BY off)),
+f3 AS (SELECT obj, win, {', '.join(f'CAST({e} AS DOUBLE) AS {n}' for n, e in _vector_sql().items())} FROM f2 {GROUPED}), f4 AS (UNPIVOT f3 ON COLUMNS(* EXCLUDE (obj, win)) INTO NAME feature VALUE x)"""
+
+
+@query("F8_feature_values", f"""
+WITH {_NAMED} SELECT CASE WHEN feature LIKE 'corr%' THEN 'covariance' WHEN feature LIKE '%fft_' THEN 'frequency' WHEN regexp_matches(feature, '_d[12]_') THEN 'rate' ELSE 'time_domain' END AS class,
+  CASE WHEN feature NOT LIKE 'corr%' THEN regexp_extract(feature, '^(l_[a-z]+)_', 1) END AS channel, count(DISTINCT feature) AS n_features, count(*) AS n_values, {R('avg(x)', 3)} AS mean_value FROM f4 GROUP BY 1, 2""")
+def _(t: Tables):
+    channels = [c for c, kind in t.lineitem.dtypes if kind == "double"]
+    names = C.monitoring_catalogue(channels, eigenvalues=0)
+    out = supply_windows(t, lambda s: Ft.monitoring_vector(s, channels), Ft.difference_stages(channels), stride=30)
+    values = out.select("obj", "win", *[F.col(f).cast("double").alias(f) for f, _, _ in names]).unpivot(["obj", "win"], [f for f, _, _ in names], "feature", "x")
+    # one row per feature before the names are joined
+    sums = values.groupBy("feature").agg(F.count("x").alias("n"), F.sum("x").alias("s"))
+    named = sums.join(C.catalogue_table(t.spark, names), "feature")
+    return named.groupBy("class", "channel").agg(F.count(F.lit(1)).alias("n_features"), F.sum("n").alias("n_values"), r(F.sum("s") / F.sum("n"), 3).alias("mean_value"))
+
+
 ORBIT = f"""{LI}, el AS (SELECT *, day AS jd, l_extendedprice / 50000 AS q, l_quantity AS a, l_discount AS e, l_tax AS i, l_linenumber AS nm,
   day + l_quantity AS tp, abs(l_extendedprice / 50000 - 1) AS gap FROM li), {windows_sql('el', 'l_suppkey', 30, 7)},
 d1 AS (SELECT *, q - lag(q) OVER w AS dq, a - lag(a) OVER w AS da, e - lag(e) OVER w AS de, gap - lag(gap) OVER w AS dg FROM wr WINDOW w AS (PARTITION BY obj, win ORDER BY off)),
