@@ -248,7 +248,7 @@ def test_set_points(spark):
     rng = np.random.default_rng(6)
     true = [(0.0, 5.0), (0.0, 9.0), (4.0, 1.0), (10.0, 1.0), (10.0, 6.0), (20.0, 0.0)]
     rows = [(i % 6, float(true[i % 6][0] + rng.uniform(0, 0.2)), float(true[i % 6][1] + rng.uniform(0, 0.2))) for i in range(600)]
-    df = spark.createDataFrame([rows[i] for i in rng.permutation(600)] + [(9, None, 1.0)], "g int, a double, b double")
+    df = spark.createDataFrame([rows[i] for i in rng.permutation(600)] + [(9, None, 1.0), (9, float("nan"), 1.0)], "g int, a double, b double")
     centres = scale.fit_set_points(df, ["a", "b"], 6)
     want = sorted(tuple(np.mean([[round(x[1], 3), round(x[2], 3)] for x in rows if x[0] == g], axis=0)) for g in range(6))
     np.testing.assert_allclose(centres, want, atol=1e-9)
