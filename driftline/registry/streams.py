@@ -8,6 +8,7 @@ from driftline.models.scale import fit_stats, zscore
 from driftline.registry.base import EV, R, Tables, query, r, windows_sql
 from driftline.session import shared_path
 from driftline.streaming import monitor as M
+from driftline.streaming.split import SplitMonitor
 
 
 def stream_of(t: Tables):
@@ -98,6 +99,45 @@ def _(t: Tables):
     return out.select("user_id", "win", "t_end", *[r(c).alias(c) for c in ("v_mean", "v_std", "v_min")])
 
 
+# one object with a third of all records, in three micro-batches, cut above a thirtieth of them
+HOT = f"""{EV.replace('FROM events', 'FROM (SELECT * REPLACE (CASE WHEN event_id % 3 = 0 THEN 0 ELSE user_id END AS user_id) FROM events)')},
+ed AS (SELECT *, v - lag(v) OVER (PARTITION BY user_id ORDER BY pos) AS d1v FROM ev),
+wf AS (SELECT user_id AS obj, pos - 29 AS win, t AS t_end, avg(v) OVER f AS v_mean, stddev_pop(v) OVER f AS v_std, stddev_pop(d1v) OVER d AS v_d1_std, regr_slope(v, pos) OVER f AS v_slope,
+  avg(k) OVER l / (abs(avg(k) OVER e) + 1e-10) AS k_ratio FROM ed
+  WINDOW f AS (PARTITION BY user_id ORDER BY pos ROWS 29 PRECEDING), d AS (PARTITION BY user_id ORDER BY pos ROWS 28 PRECEDING), l AS (PARTITION BY user_id ORDER BY pos ROWS 14 PRECEDING),
+         e AS (PARTITION BY user_id ORDER BY pos ROWS BETWEEN 29 PRECEDING AND 15 PRECEDING) QUALIFY pos >= 29)"""
+
+
+def _hot_run(t: Tables, fired=None) -> tuple[SplitMonitor, str]:
+    folder = shared_path(t.spark, "hot")
+    low, high = t.events.agg(F.unix_micros(F.min("ts").cast("timestamp")), F.unix_micros(F.max("ts").cast("timestamp"))).first()
+    third = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - low) * 3 / F.lit(max(high - low, 1) + 1))
+    for part in range(3):
+        t.events.where(third == part).coalesce(1).write.mode("append").parquet(folder)
+    raw = M.new_files(t.spark, folder, t.events.schema, per_trigger=1)
+    s = raw.select(F.when(F.col("event_id") % 3 == 0, F.lit(0)).otherwise(F.col("user_id")).alias("user_id"), "event_id",
+                   (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(86400000000.0)).alias("t"), F.col("value").alias("v"), F.get_json_object("props", "$.k").cast("double").alias("k"))
+    monitor = SplitMonitor("user_id", ["t", "event_id"], ["v", "k"], 30, fired=fired, limit=t.rows("events") // 30 + 1)
+    return monitor, monitor.run(s)
+
+
+@query("Z1_hot_object", f"WITH {HOT} SELECT obj, win, {', '.join(f'{R(c)} AS {c}' for c in ('t_end', 'v_mean', 'v_std', 'v_d1_std', 'v_slope', 'k_ratio'))} FROM wf")
+def _(t: Tables):
+    monitor, base = _hot_run(t)
+    out = monitor.windows(t.spark, base)
+    return out.select(F.col("user_id").cast("long").alias("obj"), "win", *[r(c).alias(c) for c in ("t_end", "v_mean", "v_std", "v_d1_std", "v_slope", "k_ratio")])
+
+
+@query("Z3_hot_object", f"""
+WITH {HOT}, ss AS (SELECT avg(v) AS m, stddev_pop(v) AS s FROM ev), f AS (SELECT obj, win, t_end, (v_mean - m) / s + 0.1 * (k_ratio - 1) > CAST(0.15 AS DOUBLE) AS fired FROM wf, ss),
+g AS (SELECT *, sum(CASE WHEN fired THEN 0 ELSE 1 END) OVER (PARTITION BY obj ORDER BY win) AS isl FROM f), h AS (SELECT *, count(*) FILTER (fired) OVER (PARTITION BY obj, isl ORDER BY win) AS run FROM g)
+SELECT obj, win, {R('t_end')} AS t_end FROM h WHERE fired AND run = 3""")
+def _(t: Tables):
+    m, s = fit_stats(t.history(), ["v"])["v"]
+    monitor, base = _hot_run(t, zscore("v_mean", m, s) + F.lit(0.1) * (F.col("k_ratio") - 1) > 0.15)
+    return monitor.sustained(t.spark, base).select(F.col("user_id").cast("long").alias("obj"), "win", r("t_end").alias("t_end"))
+
+
 @query("Z5_new_files", "SELECT count(*) AS n, count(DISTINCT event_id) AS n_events FROM events")
 def _(t: Tables):
     out = M.run_available(stream_of(t), "files")
