@@ -3,56 +3,130 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from driftline.operators.knn import BROADCAST_VALUES, neighbours
+from driftline.operators.knn import BROADCAST_VALUES
 from driftline.operators.ordering import ROWS_PER_TASK
-from driftline.operators.windows import assign_windows, smooth
+from driftline.operators.windows import smooth
 
 
-def _flatten(rows: Column, channels: Sequence[str]) -> Column:
-    ordered = F.array_sort(rows)
-    return F.flatten(F.transform(ordered, lambda r: F.array(*[r[f"{c}_smooth"] for c in channels])))
+PIECE, TAILS = 16_384, 256              # segment starts of a history, and tails, that one task compares at a time
 
 
-def _vectors(df: DataFrame, key: Sequence[str], by: Sequence[str], channels: Sequence[str],
-             extra: Sequence[Column] = ()) -> DataFrame:
-    rows = F.collect_list(F.struct("off", *[f"{c}_smooth" for c in channels]))     # at most `window` rows
-    return df.groupBy(*key, *by).agg(_flatten(rows, channels).alias("vec"), *extra)
+def _packed(rows: Column, channels: Sequence[str], extra: str | None = None) -> Column:
+    """The smoothed records of a group in order, as arrays: `v` (records x channels) and the `extra` column."""
+    ordered = F.array_sort(rows)
+    values = F.flatten(F.transform(ordered, lambda r: F.array(*[r[f"{c}_smooth"].cast("double") for c in channels])))
+    parts = [F.element_at(ordered, 1)["pos"].cast("long").alias("first"), values.alias("v")]
+    if extra:
+        parts.append(F.transform(ordered, lambda r: r[extra].cast("double")).alias("life"))
+    return F.struct(*parts)
+
+
+def _numbers(values: Sequence[float | None], width: int) -> np.ndarray:
+    return np.array([np.nan if v is None else v for v in values], dtype=float).reshape(-1, width)
+
+
+class _Slide:
+    """Distances of tails to all segments of one piece of a history: sliding products by FFT, squares by running sums."""
+
+    def __init__(self, x: np.ndarray):
+        self._x, self._bad = x, ~np.isfinite(x).all(axis=1)
+        self._shift = x[~self._bad].mean(axis=0) if not self._bad.all() else np.zeros(x.shape[1])
+        y = np.where(self._bad[:, None], 0.0, x - self._shift)
+        self._size = 1 << (2 * len(x) - 1).bit_length()
+        self._spectrum = np.fft.rfft(y, self._size, axis=0)
+        self._squares = np.concatenate([[0.0], np.cumsum((y * y).sum(axis=1))])
+        self._unknown = np.concatenate([[0], np.cumsum(self._bad)])
+
+    def nearest(self, q: np.ndarray, starts: int, top: int, names: Callable[[int], str]) -> list[tuple[float, int]]:
+        """(squared distance, start) of the `top` nearest of the first `starts` segments, equal ones in the order of their names.
+
+        Running sums and transforms are rounded, so every segment that could be among the nearest within that error is measured exactly.
+        """
+        m, n = len(q), min(starts, len(self._x) - len(q) + 1)
+        if n <= 0 or not np.isfinite(q).all():
+            return []
+        known = self._unknown[m:m + n] == self._unknown[:n]
+        if not known.any():
+            return []
+        shifted = q - self._shift
+        turned = np.fft.rfft(shifted[::-1], self._size, axis=0)
+        products = np.fft.irfft((self._spectrum * turned).sum(axis=1), self._size)[m - 1:m - 1 + n]
+        own = float((shifted * shifted).sum())
+        rough = np.where(known, own + self._squares[m:m + n] - self._squares[:n] - 2.0 * products, np.inf)
+        margin = 1e-12 * math.log2(self._size) * (own + self._squares[-1] + 2.0 * math.sqrt(own * self._squares[-1]))
+        place = min(top, int(known.sum())) - 1
+        near = np.flatnonzero(rough <= np.partition(rough, place)[place] + 2.0 * margin)
+        # in blocks: of equal segments there may be as many as the piece has
+        exact = np.concatenate([((self._x[near[i:i + 4096, None] + np.arange(m)] - q) ** 2).sum(axis=(1, 2)) for i in range(0, len(near), 4096)])
+        last = np.partition(exact, place)[place]
+        few = [(float(d), int(s)) for d, s in zip(exact[exact <= last], near[exact <= last])]
+        return sorted(few, key=lambda h: (h[0], names(h[1])))[:top]
+
+
+def _compare(width: int, top: int, size: int, kind: pa.DataType):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                key, piece, tails = batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), batch.column(2)[i].as_py()
+                slide, life, out = _Slide(_numbers(piece["v"], width)), piece["life"], []
+                for tail in tails:
+                    q = _numbers(tail["v"], width)
+                    for d, s in slide.nearest(q, size, top, lambda s: f"{key}:{piece['first'] + s}"):
+                        out.append((tail["id"], key, piece["first"] + s, len(q), math.sqrt(d / q.size), life[s + len(q) - 1]))
+                cols = list(zip(*out)) if out else [[]] * 6
+                kinds = [kind, kind, pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], ["_tail", "match_id", "win", "m", "distance", "rul_at_match"])
+    return run
 
 
 def segment_matches(test: DataFrame, train: DataFrame, key: str, order: Sequence[str], channels: Sequence[str], rul: str, *,
                     window: int = 30, top: int = 5, smoothing: int = 5, limit: int = ROWS_PER_TASK,
                     rows: int | None = None, bound: int = BROADCAST_VALUES) -> DataFrame:
-    """The `top` nearest training segments of each test object's smoothed tail.
+    """The `top` nearest training segments of each test object's smoothed tail, `rank` from 1.
+
+    A segment is any run of `window` smoothed training records; distance is the root mean square over records and channels. Objects
+    shorter than the window match segments of their own length. Segments and tails with an unknown value match nothing. Of equal
+    distances the one whose `object:start` comes first as text is nearer.
 
-    A segment is any run of `window` smoothed training records; distance is the
-    root mean square over records and channels. Objects shorter than the window
-    match segments of their own length. Exact, through the neighbour search.
+    Histories are cut into pieces of at most 16,384 starts (each with the `window - 1` records behind it) and sent once per block of
+    256 tails; a task compares a piece with all tails of a block by FFT, whatever their lengths, and measures the nearest exactly. The
+    tails are broadcast while their values stay within `bound`; else both sides are sent by block, blocks spread over many tasks.
     """
-    opts = {"limit": limit, "rows": rows}
-    library = smooth(train, [key], order, channels, smoothing, **opts)
+    opts, width, size = {"limit": limit, "rows": rows}, len(channels), PIECE
     tails = smooth(test, [key], order, channels, smoothing, **opts).withColumn("m", F.least(F.col("n"), F.lit(window)))
-    tails = tails.withColumn("off", F.col("pos") - (F.col("n") - F.col("m"))).where("off >= 0")
-    probes = _vectors(tails, [key], ["m"], channels)
-    found = None
-    lengths = [r["m"] for r in probes.select("m").distinct().collect()]      # at most `window` values
-    for m in sorted(lengths):
-        spread = assign_windows(library, m, 1)
-        ends = F.max(F.when(F.col("off") == m - 1, F.col(rul))).alias("rul_at_match")
-        segments = _vectors(spread, [key], ["win"], channels, [ends]).withColumn("segment", F.concat_ws(":", F.col(key).cast("string"), "win"))
-        queries = probes.where(F.col("m") == m).select(F.col(key).alias("id"), "vec")
-        near = neighbours(queries, segments.select(F.col("segment").alias("id"), "vec"), top, bound=bound)
-        lookup = segments.select(F.col("segment").alias("neighbour"), F.col(key).alias("match_id"),
-                                 (F.col("win") + m - 1).alias("position"), "rul_at_match")
-        near = near.join(lookup, "neighbour").select(
-            F.col("id").alias(key), "rank", "match_id", "position",
-            (F.col("distance") / math.sqrt(m * len(channels))).alias("distance"), "rul_at_match")
-        found = near if found is None else found.unionByName(near)
-    return found
+    record = [F.col("pos"), *[F.col(f"{c}_smooth") for c in channels]]
+    tails = tails.where(F.col("pos") >= F.col("n") - F.col("m")).groupBy(key).agg(_packed(F.collect_list(F.struct(*record)), channels).alias("t"))   # at most `window` records
+    count = test.select(key).distinct().count()
+    blocks = -(-count // TAILS) or 1
+    block = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
+    tails = tails.select(block.alias("_block"), F.struct(F.col(key).alias("id"), F.col("t.v").alias("v")).alias("t")).groupBy("_block").agg(F.collect_list("t").alias("tails"))
+
+    library = smooth(train, [key], order, channels, smoothing, **opts)
+    pieces = F.sequence(F.floor(F.greatest(F.col("pos") - (window - 1), F.lit(0)) / size), F.floor(F.col("pos") / size))
+    library = library.select(key, F.explode(pieces).alias("_piece"), *record, F.col(rul).alias("_life"))
+    packed = library.groupBy(key, "_piece").agg(_packed(F.collect_list(F.struct(*record, "_life")), channels, "_life").alias("piece"))
+    sent = packed.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    if count * window * width <= bound:
+        pairs = sent.join(F.broadcast(tails), "_block")
+    else:
+        spread = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        pairs = sent.withColumn("_salt", F.pmod(F.xxhash64(key, "_piece"), F.lit(spread))).join(
+            tails.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(spread - 1).cast("long")))), ["_block", "_salt"])
+    kind = test.select(key).schema[0].dataType
+    name = kind.simpleString()
+    near = pairs.select(key, "piece", "tails").mapInArrow(
+        _compare(width, top, size, to_arrow_type(kind)), f"_tail {name}, match_id {name}, win long, m long, distance double, rul_at_match double")
+    by = Window.partitionBy("_tail").orderBy("distance", F.concat_ws(":", F.col("match_id").cast("string"), F.col("win")))
+    ranked = near.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= top)
+    return ranked.select(F.col("_tail").alias(key), "rank", "match_id", (F.col("win") + F.col("m") - 1).alias("position"), "distance", "rul_at_match")
 
 
 def match_remaining_life(test: DataFrame, train: DataFrame, key: str, order: Sequence[str], channels: Sequence[str],
