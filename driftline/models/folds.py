@@ -14,20 +14,26 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MOST_FEATURES = 40                    # d (d + 3) / 2 sums per fold and class
+from driftline.models.moments import add_arrays, packed_sums
+
+MOST_FEATURES = 40                    # up to here the d (d + 3) / 2 sums per fold and class are columns, beyond that packed slices
 
 
 def fold_moments(df: DataFrame, fold: str, label: Column, features: Sequence[str], centre: Mapping[str, float] | None = None) -> DataFrame:
     """(fold, label, n, m): m holds the sums and products of the centred features. Rows with a missing value are left out."""
-    if len(features) > MOST_FEATURES:
-        raise ValueError("too many features for moments as columns")
     whole = df.select(fold, label.cast("int").alias("label"), *[F.col(f).cast("double").alias(f) for f in features]).dropna(subset=["label", *features])
     if centre is None:
         centre = whole.agg(*[F.avg(f).alias(f) for f in features]).first().asDict()
     x = [F.col(f) - F.lit(float(centre[f] or 0.0)) for f in features]
+    middle = F.array(*[F.lit(float(centre[f] or 0.0)) for f in features])
+    if len(features) > MOST_FEATURES:
+        shifted = whole.select(fold, "label", *[v.alias(f) for v, f in zip(x, features)])
+        slices = packed_sums(shifted, [fold, "label"], features)
+        joined = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_part", "_s"))), lambda s: s["_s"]))
+        return slices.groupBy(fold, "label").agg(F.max("_n").alias("n"), joined.alias("m")).withColumn("centre", middle)
     sums = [F.sum(v) for v in x] + [F.sum(x[i] * x[j]) for i in range(len(x)) for j in range(i, len(x))]
     out = whole.groupBy(fold, "label").agg(F.count(F.lit(1)).alias("n"), F.array(*sums).alias("m"))
-    return out.withColumn("centre", F.array(*[F.lit(float(centre[f] or 0.0)) for f in features]))
+    return out.withColumn("centre", middle)
 
 
 def _solve(d: int):
@@ -59,8 +65,11 @@ def _plus(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: x + y)
 
 
-def _total(df: DataFrame, by: Sequence[str], d: int) -> DataFrame:
+def _total(df: DataFrame, by: Sequence[str], d: int, fold: str) -> DataFrame:
     size = d + d * (d + 1) // 2
+    if d > MOST_FEATURES:
+        whole = add_arrays(df.select(*by, fold, F.col("n").alias("_n"), F.col("m").alias("_s")), by, fold).withColumnsRenamed({"_n": "n", "_s": "m"})
+        return whole.join(F.broadcast(df.select("centre").limit(1)))                  # one row: all rows share it
     return df.groupBy(*by).agg(F.sum("n").alias("n"), F.array(*[F.sum(F.get("m", F.lit(i))) for i in range(size)]).alias("m"), F.first("centre").alias("centre"))
 
 
@@ -72,7 +81,7 @@ def _fits(sides: DataFrame, by: str, d: int) -> DataFrame:
 
 def leave_one_out_fits(moments: DataFrame, fold: str, d: int) -> DataFrame:
     """(fold, w, cut) of the fit on all other folds; NULL where they hold one class only."""
-    total = _total(moments, ["label"], d).select(F.col("label"), F.col("n").alias("_tn"), F.col("m").alias("_tm"), F.col("centre").alias("_tc"))    # one row per class
+    total = _total(moments, ["label"], d, fold).select(F.col("label"), F.col("n").alias("_tn"), F.col("m").alias("_tm"), F.col("centre").alias("_tc"))    # one row per class
     sides = moments.select(fold).distinct().crossJoin(F.broadcast(total)).alias("t").join(
         moments.alias("o"), F.col(f"t.{fold}").eqNullSafe(F.col(f"o.{fold}")) & (F.col("t.label") == F.col("o.label")), "left")
     less = F.when(F.col("o.n").isNull(), F.col("_tm")).otherwise(F.zip_with("_tm", "o.m", lambda x, y: x - y))
@@ -87,8 +96,8 @@ def own_fits(moments: DataFrame, fold: str, d: int) -> DataFrame:
 def group_fits(moments: DataFrame, fold: str, groups: Mapping[str, Sequence], d: int) -> DataFrame:
     """(fit, w, cut) of the fits on the folds that each group names."""
     pairs = F.explode(F.array(*[F.struct(F.lit(g).alias("fit"), F.lit(f).alias("of")) for g, fs in groups.items() for f in fs]))
-    chosen = moments.withColumn("p", pairs).where(F.col("p.of") == F.col(fold)).select(F.col("p.fit").alias("fit"), "label", "n", "m", "centre")
-    return _fits(_total(chosen, ["fit", "label"], d), "fit", d)
+    chosen = moments.withColumn("p", pairs).where(F.col("p.of") == F.col(fold)).select(F.col("p.fit").alias("fit"), F.col(fold).alias("_of"), "label", "n", "m", "centre")
+    return _fits(_total(chosen, ["fit", "label"], d, "_of"), "fit", d)
 
 
 def fired(features: Sequence[str]) -> Column:

@@ -15,6 +15,7 @@ from pyspark.ml.feature import PCA, PCAModel, VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftline.models.moments import packed_sums
 from driftline.models.scale import Stats, fit_stats, zscore
 
 
@@ -51,9 +52,6 @@ class Projection:
         return spark.createDataFrame(rows, "idx int, feature string, mean double, std double, weight double, coef double")
 
 
-_FAN = 64
-
-
 def _vectors(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(columns), outputCol="v").transform(df).select("v")
 
@@ -67,59 +65,25 @@ class Moments:
     cov: np.ndarray
 
 
-def _add(total: dict, label: int, n: int, sums: np.ndarray, gram: np.ndarray) -> None:
-    if label in total:
-        m, s, g = total[label]
-        total[label] = (m + n, s + sums, g + gram)
-    else:
-        total[label] = (n, sums, gram)
-
-
-def _batch(total: dict) -> pa.RecordBatch:
-    rows = [(int(c), int(n), s.tolist(), g.ravel().tolist()) for c, (n, s, g) in total.items()]
-    cols = list(zip(*rows)) if rows else [[], [], [], []]
-    kinds = [pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64())]
-    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=["label", "n", "s", "g"])
-
-
 def class_moments(z: DataFrame, features: Sequence[str], label: str) -> dict[int, Moments]:
-    """Moments of every class in one pass.
+    """Moments of every class in one pass; the driver receives one triangle of products per class.
 
-    Each task reduces its rows to one d × d matrix per class, a second round adds
-    those up in a few tasks, and the driver receives at most `_FAN` of them.
     Columns should be standardised, which keeps the sums well conditioned.
     """
     d = len(features)
-
-    def reduce_rows(batches):
-        total: dict = {}
-        for b in batches:
-            x = np.column_stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(d)])
-            y = b.column(d).to_numpy(zero_copy_only=False)
-            for c in np.unique(y):
-                part = x[y == c]
-                _add(total, int(c), len(part), part.sum(axis=0), part.T @ part)
-        yield _batch(total)
-
-    def add_up(batches):
-        total: dict = {}
-        for b in batches:
-            for c, n, s, g in zip(*[b.column(i).to_pylist() for i in range(4)]):
-                _add(total, c, n, np.array(s), np.array(g))
-        yield _batch(total)
-
-    schema = "label int, n bigint, s array<double>, g array<double>"
     rows = z.select(*features, F.col(label).cast("int").alias("_label")).where("_label IS NOT NULL")
-    fan = min(_FAN, z.sparkSession.sparkContext.defaultParallelism)
-    parts = rows.mapInArrow(reduce_rows, schema).repartition(fan).mapInArrow(add_up, schema).collect()
-    total: dict = {}
-    for r in parts:
-        _add(total, r["label"], r["n"], np.array(r["s"]), np.array(r["g"]))
+    table = packed_sums(rows, ["_label"], features).toArrow()
+    labels, parts, counts, slices = (table.column(c).combine_chunks() for c in ("_label", "_part", "_n", "_s"))
+    at = sorted(range(len(labels)), key=lambda i: (labels[i].as_py(), parts[i].as_py()))
+    found: dict[int, tuple[int, list]] = {}
+    for i in at:
+        found.setdefault(labels[i].as_py(), (counts[i].as_py(), []))[1].append(slices[i].values.to_numpy())
     out = {}
-    for c in sorted(total):
-        n, s, g = total[c]
-        mean = s / n
-        out[c] = Moments(n, mean, g.reshape(d, d) / n - np.outer(mean, mean))
+    for c, (n, arrays) in found.items():
+        whole = np.concatenate(arrays)
+        mean, g = whole[:d] / n, np.zeros((d, d))
+        g[np.triu_indices(d)] = whole[d:]
+        out[c] = Moments(n, mean, (g + np.triu(g, 1).T) / n - np.outer(mean, mean))
     return out
 
 
