@@ -225,6 +225,34 @@ def _(t: Tables):
     return model.score(windows).select("user_id", "win", "rul", "proj")
 
 
+# two classes of two features: shrunk covariances (unit diagonal, correlation less by the intensity) in closed form
+@query("M9_two_class_scores", f"""
+WITH {SD}, z AS (SELECT obj, win, label, (v_mean - m_v_mean) / s_v_mean AS a, (k_mean - m_k_mean) / s_k_mean AS b FROM lf, st),
+g AS (SELECT label, count(*) AS n, avg(a) AS ma, avg(b) AS mb, stddev_pop(a) AS sa, stddev_pop(b) AS sb, corr(a, b) AS r FROM z GROUP BY label),
+q AS (SELECT g.*, f FROM g JOIN (SELECT label, avg(pow(pow((a - ma) / sa, 2) + pow((b - mb) / sb, 2), 2)) AS f FROM z JOIN g USING (label) GROUP BY label) USING (label)),
+i AS (SELECT *, greatest(least((f - 2 - 2 * r * r) / (2 * n), r * r), 0) / (r * r) AS s FROM q),
+w AS (SELECT sum(n * sa * sa) / sum(n) AS waa, sum(n * (1 - s) * r * sa * sb) / sum(n) AS wab, sum(n * sb * sb) / sum(n) AS wbb, sum(n * ma) / sum(n) AS ga, sum(n * mb) / sum(n) AS gb,
+  max(ma) FILTER (label = 0) - max(ma) FILTER (label = 1) AS da, max(mb) FILTER (label = 0) - max(mb) FILTER (label = 1) AS db FROM i),
+x AS (SELECT *, (wbb * da - wab * db) / (waa * wbb - wab * wab) AS xa, (waa * db - wab * da) / (waa * wbb - wab * wab) AS xb FROM w)
+SELECT obj, win, label, {R('((a - ga) * xa + (b - gb) * xb) / sqrt(xa * da + xb * db)', 5)} AS proj FROM z, x""")
+def _(t: Tables):
+    windows = materialise(flow(t).windows(t.history()).select("user_id", "win", "label", "v_mean", "k_mean"))
+    model = lda.fit_buckets(windows, ["v_mean", "k_mean"], "label")
+    return model.score(windows).select(F.col("user_id").alias("obj"), "win", "label", r("proj", 5).alias("proj"))
+
+
+@query("M10_two_components", f"""
+WITH {SD}, m AS (SELECT avg(v_mean) AS ma, avg(k_mean) AS mb, 0.5 * atan2(2 * covar_pop(v_mean, k_mean), var_pop(v_mean) - var_pop(k_mean)) AS turn FROM lf)
+SELECT obj, win, {R('abs((v_mean - ma) * cos(turn) + (k_mean - mb) * sin(turn))', 5)} AS first, {R('abs((k_mean - mb) * cos(turn) - (v_mean - ma) * sin(turn))', 5)} AS second,
+  {R('pow(v_mean - ma, 2) + pow(k_mean - mb, 2)', 4)} AS norm FROM lf, m""")
+def _(t: Tables):
+    windows = materialise(flow(t).windows(t.history()).select("user_id", "win", "v_mean", "k_mean"))
+    model, means = lda.fit_pca(windows, ["v_mean", "k_mean"], 2)
+    e = lda.project_pca(windows, model, means)
+    at = [F.col("embedding")[i] for i in (0, 1)]
+    return e.select(F.col("user_id").alias("obj"), "win", r(F.abs(at[0]), 5).alias("first"), r(F.abs(at[1]), 5).alias("second"), r(at[0] * at[0] + at[1] * at[1], 4).alias("norm"))
+
+
 @query("M10_principal_components")
 def _(t: Tables):
     f = flow(t)
