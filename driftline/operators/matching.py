@@ -16,7 +16,8 @@ from driftline.operators.ordering import ROWS_PER_TASK
 from driftline.operators.windows import smooth
 
 
-PIECE, TAILS = 16_384, 256              # segment starts of a history, and tails, that one task compares at a time
+PIECE, TAILS = 16_384, 256              # segment starts of a history, and least tails of a block
+RECORDS, DIRECT = 4_096, 1_024          # records compared at a time; values of a tail above which an FFT is cheaper
 
 
 def _packed(rows: Column, channels: Sequence[str], extra: str | None = None) -> Column:
@@ -29,10 +30,6 @@ def _packed(rows: Column, channels: Sequence[str], extra: str | None = None) ->
     return F.struct(*parts)
 
 
-def _numbers(values: Sequence[float | None], width: int) -> np.ndarray:
-    return np.array([np.nan if v is None else v for v in values], dtype=float).reshape(-1, width)
-
-
 class _Slide:
     """Distances of tails to all segments of one piece of a history: sliding products by FFT, squares by running sums."""
 
@@ -71,20 +68,113 @@ class _Slide:
         return sorted(few, key=lambda h: (h[0], names(h[1])))[:top]
 
 
-def _compare(width: int, top: int, size: int, kind: pa.DataType):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                key, piece, tails = batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), batch.column(2)[i].as_py()
-                slide, life, out = _Slide(_numbers(piece["v"], width)), piece["life"], []
-                for tail in tails:
-                    q = _numbers(tail["v"], width)
-                    for d, s in slide.nearest(q, size, top, lambda s: f"{key}:{piece['first'] + s}"):
-                        out.append((tail["id"], key, piece["first"] + s, len(q), math.sqrt(d / q.size), life[s + len(q) - 1]))
-                cols = list(zip(*out)) if out else [[]] * 6
-                kinds = [kind, kind, pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], ["_tail", "match_id", "win", "m", "distance", "rul_at_match"])
-    return run
+class _Nearest:
+    """The `top` nearest segments of many tails, over all pieces of histories that come by.
+
+    Segments of pieces are compared with all tails of a length by one matrix product, tails with more than `DIRECT` values by FFT. A
+    product is rounded, so every segment that could be among the nearest within its error is measured exactly.
+    """
+
+    def __init__(self, ids: Sequence, tails: Sequence[np.ndarray], top: int, size: int):
+        self._ids, self._tails, self._top, self._size = ids, tails, top, size
+        self._best: list[list] = [[] for _ in tails]                                # (squared distance, name, key, start, life) in order
+        self._bound = np.full(len(tails), np.inf)                                  # squared distance of the last of them
+        lengths: dict[int, list[int]] = {}
+        for i, q in enumerate(tails):
+            if len(q) and np.isfinite(q).all():
+                lengths.setdefault(len(q), []).append(i)
+        self._long = [i for n, at in lengths.items() for i in at if tails[i].size > DIRECT]
+        self._short = [(n, np.array(at), np.stack([tails[i] for i in at])) for n, at in sorted(lengths.items()) if tails[at[0]].size <= DIRECT]
+        self._shift = np.concatenate([q.reshape(-1, q.shape[2]) for *_, q in self._short]).mean(axis=0) if self._short else 0.0
+
+    def add(self, batch: pa.RecordBatch, width: int) -> None:
+        """Compare with the pieces of a batch (key, piece)."""
+        keys, piece = batch.column(0), batch.column(1)
+        first, values, life = piece.field("first").to_numpy(), piece.field("v"), piece.field("life")
+        x = np.asarray(values.values.to_numpy(zero_copy_only=False), float).reshape(-1, width)
+        lives, edge = life.values, values.offsets.to_numpy().astype(np.int64) // width
+        lives_at = life.offsets.to_numpy().astype(np.int64)
+        lo = 0
+        while lo < len(keys):
+            hi = max(lo + 1, int(np.searchsorted(edge, edge[lo] + RECORDS, "right")) - 1)
+            named = lambda i: (keys[i].as_py(), int(first[i]) - int(edge[i]), lambda r, i=i: lives[int(lives_at[i] + r - edge[i])].as_py())
+            for n, at, q in self._short:
+                for some in range(0, len(at), 4096):
+                    self._direct(n, at[some:some + 4096], q[some:some + 4096], x, edge[lo:hi + 1], lambda k, lo=lo: named(lo + k))
+            for i in range(lo, hi) if self._long else ():
+                key, base, alive = named(i)
+                slide = _Slide(x[edge[i]:edge[i + 1]])
+                for t in self._long:
+                    q, start = self._tails[t], int(edge[i])
+                    found = slide.nearest(q, self._size, self._top, lambda s: f"{key}:{base + start + s}")
+                    self._merge(t, [(d, f"{key}:{base + start + s}", key, base + start + s, alive(start + s + len(q) - 1)) for d, s in found])
+            lo = hi
+
+    def _merge(self, t: int, found: list) -> None:
+        self._best[t] = sorted(self._best[t] + found, key=lambda h: h[:2])[:self._top]
+        if len(self._best[t]) == self._top:
+            self._bound[t] = self._best[t][-1][0]
+
+    def _direct(self, n: int, at: np.ndarray, q: np.ndarray, x: np.ndarray, edge: np.ndarray, named: Callable) -> None:
+        counts = np.clip(np.minimum(np.diff(edge) - n + 1, self._size), 0, None)
+        begins = np.cumsum(counts) - counts
+        starts = np.repeat(edge[:-1] - begins, counts) + np.arange(counts.sum())
+        segments = (x[starts[:, None] + np.arange(n)] - self._shift).reshape(len(starts), n * x.shape[1])
+        known = np.isfinite(segments).all(axis=1)
+        starts, segments = starts[known], segments[known]
+        if not len(starts):
+            return
+        turned = (q - self._shift).reshape(len(q), -1)
+        squares, own = np.einsum("ij,ij->i", segments, segments), np.einsum("ij,ij->i", turned, turned)
+        # a row times a column is q s - s s / 2: half the square of q less half the squared distance
+        columns = np.hstack([segments, -0.5 * squares[:, None]]).T
+        rows = np.hstack([turned, np.ones((len(q), 1))])
+        margin = 8.0 * (turned.shape[1] + 8) * 2.0 ** -53 * (own + squares.max())
+        for lo in range(0, len(q), 256):
+            some = slice(lo, lo + 256)
+            near, last = rows[some] @ columns, (own[some] - self._bound[at[some]]) / 2 - margin[some]
+            new = np.flatnonzero(np.isinf(last))
+            if len(new):
+                place = max(len(starts) - self._top, 0)
+                last[new] = np.partition(near[new], place, axis=1)[:, place] - 2.0 * margin[some][new]
+            qi, si = np.divmod(np.flatnonzero(near >= last[:, None]), len(starts))
+            if not len(qi):
+                continue
+            qi += lo
+            # in blocks: of equal segments there may be many
+            exact = np.concatenate([((x[starts[si[i:i + 8192], None] + np.arange(n)] - q[qi[i:i + 8192]]) ** 2).sum(axis=(1, 2)) for i in range(0, len(qi), 8192)])
+            by = np.lexsort((exact, qi))
+            qi, si, exact = qi[by], si[by], exact[by]
+            ends = np.append(np.flatnonzero(qi[1:] != qi[:-1]) + 1, len(qi))
+            for a, b in zip(np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist()):
+                t = int(at[qi[a]])
+                worst = min(self._bound[t], exact[a + self._top - 1] if b - a >= self._top else np.inf)
+                found = []
+                for k in range(a, a + int(np.searchsorted(exact[a:b], worst, "right"))):
+                    r = int(starts[si[k]])
+                    key, base, alive = named(int(np.searchsorted(edge, r, "right")) - 1)
+                    found.append((float(exact[k]), f"{key}:{base + r}", key, base + r, alive(r + n - 1)))
+                if found:
+                    self._merge(t, found)
+
+    def rows(self) -> Iterator[tuple]:
+        """(tail, key, start, length, distance, life) of the nearest."""
+        for key, q, best in zip(self._ids, self._tails, self._best):
+            for d, _, match, start, life in best:
+                yield key, match, start, len(q), math.sqrt(d / q.size), life
+
+
+def _unpacked(tails: pa.Table, width: int) -> tuple[list, list[np.ndarray]]:
+    """Ids and values (records x channels) of the tails."""
+    table = tails.combine_chunks()
+    values = [v for chunk in table.column("_v").chunks for v in chunk]
+    return table.column("_tail").to_pylist(), [np.asarray(v.values.to_numpy(zero_copy_only=False), float).reshape(-1, width) for v in values]
+
+
+def _batch(rows: Iterator[tuple], kind: pa.DataType) -> pa.Table:
+    cols = list(zip(*rows)) or [[]] * 6
+    kinds = [kind, kind, pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+    return pa.table([pa.array(list(c), k) for c, k in zip(cols, kinds)], ["_tail", "match_id", "win", "m", "distance", "rul_at_match"])
 
 
 def segment_matches(test: DataFrame, train: DataFrame, key: str, order: Sequence[str], channels: Sequence[str], rul: str, *,
@@ -96,34 +186,51 @@ def segment_matches(test: DataFrame, train: DataFrame, key: str, order: Sequence
     shorter than the window match segments of their own length. Segments and tails with an unknown value match nothing. Of equal
     distances the one whose `object:start` comes first as text is nearer.
 
-    Histories are cut into pieces of at most 16,384 starts (each with the `window - 1` records behind it) and sent once per block of
-    256 tails; a task compares a piece with all tails of a block by FFT, whatever their lengths, and measures the nearest exactly. The
-    tails are broadcast while their values stay within `bound`; else both sides are sent by block, blocks spread over many tasks.
+    Histories are cut into pieces of at most 16,384 starts (each with the `window - 1` records behind it), and a task compares its pieces
+    with all tails by matrix products and keeps the nearest. The tails are broadcast while their values stay within `bound`; else blocks
+    of tails of that size meet parts of the pieces, and the pieces are sent once per block.
     """
-    opts, width, size = {"limit": limit, "rows": rows}, len(channels), PIECE
+    opts, width, size, spark = {"limit": limit, "rows": rows}, len(channels), PIECE, train.sparkSession
     tails = smooth(test, [key], order, channels, smoothing, **opts).withColumn("m", F.least(F.col("n"), F.lit(window)))
     record = [F.col("pos"), *[F.col(f"{c}_smooth") for c in channels]]
     tails = tails.where(F.col("pos") >= F.col("n") - F.col("m")).groupBy(key).agg(_packed(F.collect_list(F.struct(*record)), channels).alias("t"))   # at most `window` records
+    tails = tails.select(F.col(key).alias("_tail"), F.col("t.v").alias("_v"))
     count = test.select(key).distinct().count()
-    blocks = -(-count // TAILS) or 1
-    block = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
-    tails = tails.select(block.alias("_block"), F.struct(F.col(key).alias("id"), F.col("t.v").alias("v")).alias("t")).groupBy("_block").agg(F.collect_list("t").alias("tails"))
 
     library = smooth(train, [key], order, channels, smoothing, **opts)
     pieces = F.sequence(F.floor(F.greatest(F.col("pos") - (window - 1), F.lit(0)) / size), F.floor(F.col("pos") / size))
     library = library.select(key, F.explode(pieces).alias("_piece"), *record, F.col(rul).alias("_life"))
     packed = library.groupBy(key, "_piece").agg(_packed(F.collect_list(F.struct(*record, "_life")), channels, "_life").alias("piece"))
-    sent = packed.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    kind = test.select(key).schema[0].dataType
+    name, arrow = kind.simpleString(), to_arrow_type(kind)
+    schema = f"_tail {name}, match_id {name}, win long, m long, distance double, rul_at_match double"
+    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
     if count * window * width <= bound:
-        pairs = sent.join(F.broadcast(tails), "_block")
+        shared = spark.sparkContext.broadcast(_unpacked(tails.toArrow(), width))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            search = _Nearest(*shared.value, top, size)
+            for batch in batches:
+                search.add(batch, width)
+            yield from _batch(search.rows(), arrow).to_batches()
+
+        # few tasks: each returns `top` rows a tail
+        parts = max(1, min(spread, 3 * spark.sparkContext.defaultParallelism))
+        near = packed.repartition(parts, key, "_piece").select(key, "piece").mapInArrow(run, schema)
     else:
-        spread = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        pairs = sent.withColumn("_salt", F.pmod(F.xxhash64(key, "_piece"), F.lit(spread))).join(
-            tails.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(spread - 1).cast("long")))), ["_block", "_salt"])
-    kind = test.select(key).schema[0].dataType
-    name = kind.simpleString()
-    near = pairs.select(key, "piece", "tails").mapInArrow(
-        _compare(width, top, size, to_arrow_type(kind)), f"_tail {name}, match_id {name}, win long, m long, distance double, rul_at_match double")
+        blocks = -(-count // max(TAILS, bound // (window * width)))
+        parts = max(spread, -(-(rows or train.count()) * width // BROADCAST_VALUES))
+        block, part = F.pmod(F.xxhash64("_tail"), F.lit(blocks)).cast("int"), F.pmod(F.xxhash64(key, "_piece"), F.lit(parts)).cast("int")
+        left = tails.select(block.alias("_block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_part"), "_tail", "_v")
+        right = packed.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"), part.alias("_part"), F.col(key).alias("_key"), "piece")
+
+        def compare(some: pa.Table, histories: pa.Table) -> pa.Table:
+            search = _Nearest(*_unpacked(some, width), top, size)
+            for batch in histories.select(["_key", "piece"]).to_batches() if some.num_rows else ():
+                search.add(batch, width)
+            return _batch(search.rows(), arrow)
+
+        near = left.groupBy("_block", "_part").cogroup(right.groupBy("_block", "_part")).applyInArrow(compare, schema)
     by = Window.partitionBy("_tail").orderBy("distance", F.concat_ws(":", F.col("match_id").cast("string"), F.col("win")))
     ranked = near.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= top)
     return ranked.select(F.col("_tail").alias(key), "rank", "match_id", (F.col("win") + F.col("m") - 1).alias("position"), "distance", "rul_at_match")

@@ -1,6 +1,7 @@
 """Segment distances by FFT against the plain formula: unknown values, ties, equal records, pieces and blocks of tails."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from driftline.operators import matching
@@ -61,3 +62,31 @@ def test_margin_keeps_near_ties(spark):
         want = sorted((float(((x[i:i + 30] - q) ** 2).sum()), i) for i in range(len(x) - 29))[:5]
         got = slide.nearest(q, len(x), 5, str)
         assert [i for _, i in got] == [i for _, i in want]
+
+
+def test_many_short_histories_by_one_product(monkeypatch):
+    """Pieces of many objects are compared with all tails at once, long tails by FFT, and nothing is compared piece by tail in Python."""
+    rng = np.random.default_rng(5)
+    histories = [rng.normal(size=(int(n), 2)) for n in rng.integers(8, 40, 60)]
+    histories[7] = histories[3].copy()
+    histories[9][4, 0] = np.nan
+    tails = [histories[3][2:14], *[rng.normal(size=(12, 2)) for _ in range(6)], rng.normal(size=(9, 2)), np.full((12, 2), np.nan)]
+    piece = [{"first": 5, "v": h.ravel().tolist(), "life": list(range(len(h)))} for h in histories]
+    batch = pa.RecordBatch.from_arrays([pa.array([f"u{i}" for i in range(60)]), pa.array(piece, pa.struct({"first": pa.int64(), "v": pa.list_(pa.float64()), "life": pa.list_(pa.float64())}))], ["key", "piece"])
+    want = []
+    for i, q in enumerate(tails):
+        cand = [(float(((h[s:s + len(q)] - q) ** 2).sum()), f"u{u}:{5 + s}", float(s + len(q) - 1)) for u, h in enumerate(histories) for s in range(len(h) - len(q) + 1)]
+        want += [(i, n, life, d) for d, n, life in sorted(c for c in cand if c[0] == c[0])[:5]]
+    for records, direct in ((4_096, 1_024), (50, 1_024), (50, 1)):
+        monkeypatch.setattr(matching, "RECORDS", records)
+        monkeypatch.setattr(matching, "DIRECT", direct)
+        calls, slide = [], matching._Slide
+        monkeypatch.setattr(matching, "_Slide", lambda x: calls.append(1) or slide(x))
+        search = matching._Nearest(list(range(len(tails))), tails, 5, 16_384)
+        for some in (batch.slice(0, 25), batch.slice(25)):
+            search.add(some, 2)
+        got = [(t, f"{k}:{w}", life, d) for t, k, w, m, d, life in search.rows()]
+        assert [g[:3] for g in got] == [w[:3] for w in want]
+        assert [g[3] for g in got] == pytest.approx([np.sqrt(w[3] / tails[w[0]].size) for w in want], abs=1e-9)
+        assert bool(calls) == (direct == 1)
+        monkeypatch.setattr(matching, "_Slide", slide)
