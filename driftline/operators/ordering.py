@@ -7,9 +7,10 @@ at the group sizes first (one narrow pre-aggregated count):
 
 * no group above `limit` rows: plain window functions, one shuffle by key;
 * otherwise: the table is range-partitioned by key, all order columns and, last, a
-  hash of the row, so that equal order values are divided too. The pieces are
-  written once, every piece is ordered on its own, and a small table of totals
-  per piece carries running values from one to the next.
+  hash of the row, so that equal order values are divided too. Every range is
+  cut into pieces by row count and written once, every piece is ordered on its
+  own, and a small table of totals per piece carries running values from one to
+  the next.
 
 Both ways give the same rows: NULL keys are a group, NULL and NaN are ordered as
 Spark orders them (NULL first, NaN last), any order type will do, and the number of pieces
@@ -59,16 +60,23 @@ def layout_of(df: DataFrame, key: Sequence[str], order: Sequence[str] = (),
 
 
 def with_slice(df: DataFrame, layout: Layout, order: Sequence[str]) -> DataFrame:
-    """Add `_slice`: the piece of the range partitioning by key and order that a row falls into.
+    """Add `_slice`: the piece in key and order that a row falls into, of at most half a `limit` of rows.
 
-    The pieces are written to the shared folder: their borders come from a sample, and every reader has to see the same ones.
+    Tasks take ranges of `ROWS_PER_TASK` rows at most (about: the borders come from a sample) and number the pieces inside, so the tasks do not
+    grow with the pieces. They are written to the shared folder: every reader has to see the same ones.
     """
     if not layout.sliced:
         return df.withColumn("_slice", F.lit(0))
     hashable = [c for c, t in df.dtypes if not t.startswith("map")]
-    ranged = df.withColumn("_tie", F.xxhash64(*hashable)).repartitionByRange(
-        layout.pieces, *[F.col(c).asc() for c in [*layout.key, *order]], F.col("_tie").asc())
-    return materialise(ranged.withColumn("_slice", F.spark_partition_id()))
+    by = [F.col(c).asc() for c in [*layout.key, *order, "_tie"]]
+    size = max(1, layout.limit // 2)
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = min(layout.pieces, max(least, math.ceil(layout.pieces * size / ROWS_PER_TASK)))
+    ranged = df.withColumn("_tie", F.xxhash64(*hashable)).repartitionByRange(parts, *by).sortWithinPartitions(*by)
+    # the id is the range and, below 33 bits, the place in it: pieces rise with both
+    place = F.monotonically_increasing_id()
+    inside = F.floor(place.bitwiseAND(F.lit((1 << 33) - 1)) / size)
+    return materialise(ranged.withColumn("_slice", F.shiftleft(F.shiftright(place, 33), 33).bitwiseOR(inside)))
 
 
 def same_key(left: DataFrame, right: DataFrame, key: Sequence[str], how: str = "inner") -> DataFrame:

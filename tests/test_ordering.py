@@ -163,3 +163,17 @@ def test_ks_both_ways(skewed):
     want = np.abs(np.searchsorted(a, grid, "right") / len(a) - np.searchsorted(b, grid, "right") / len(b)).max()
     for kw in ({}, SMALL):
         assert evaluate.two_sample_ks(skewed, ["x"], F.col("obj") == 0, **kw).first()["ks"] == pytest.approx(want)
+
+
+def test_tasks_do_not_grow_with_the_pieces(spark):
+    """Many small pieces come from few ranges, rise in order, and hold at most half the limit."""
+    rows = spark.range(6_000).select((F.col("id") % 2).alias("obj"), F.floor(F.col("id") / 7).alias("t"), F.col("id").alias("x"))
+    layout = O.layout_of(rows, ["obj"], ["t"], limit=20)
+    cut = O.with_slice(rows, layout, ["t"])
+    assert layout.pieces == 600 and len(cut.inputFiles()) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    got = sorted(map(tuple, cut.select("obj", "t", "_tie", "_slice").collect()))
+    assert [g[3] for g in got] == sorted(g[3] for g in got)
+    assert max(cut.groupBy("_slice").count().toPandas()["count"]) <= 10
+    placed = O.with_position(rows, ["obj"], ["t", "x"], limit=20).collect()
+    want = {r.x: i for o in (0, 1) for i, r in enumerate(sorted((p for p in placed if p.obj == o), key=lambda p: (p.t, p.x)))}
+    assert all(p.pos == want[p.x] and p.n == 3_000 for p in placed)
