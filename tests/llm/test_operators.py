@@ -458,6 +458,32 @@ def test_a_passage_in_one_line(spark):
     assert got == {1: line, 2: "before\nafter", 3: "", 4: "other"}
 
 
+@pytest.mark.parametrize("hot", [1_000, 3])
+def test_lengths_of_line_copies(spark, monkeypatch, hot):
+    """Runs of every length that also start earlier, by brute force; the lengths of those that no other holds are reported."""
+    rng = random.Random(5)
+    rows = [(k, "\n".join(rng.choice("aabc") for _ in range(rng.randrange(0, 12)))) for k in range(30)]
+    long = [f"line {k}" for k in range(23)]
+    rows += [(40, "\n".join(long)), (41, "\n".join(["x", *long[2:21], "y", "", *long[:7]])), (42, "\n".join(["z"] * 9)), (43, "\n".join([*long, *long]))]
+    text = {i: [x for x in t.split("\n") if x] for i, t in rows}
+    runs, lengths = {}, {}
+    for i in sorted(text):
+        for p in range(len(text[i])):
+            for n in range(1, len(text[i]) - p + 1):
+                if runs.setdefault(tuple(text[i][p:p + n]), (i, p)) != (i, p):
+                    lengths[i, p] = n
+    expect = {}
+    for i in text:
+        ends = [(p + lengths[i, p], lengths[i, p]) for p in range(len(text[i])) if (i, p) in lengths]
+        expect[i] = [n for k, (e, n) in enumerate(ends) if all(e > x for x, _ in ends[:k])]
+    monkeypatch.setattr(lines, "HOT_ROWS", hot)
+    docs = frame(spark, rows)
+    assert {(r["_doc"], r["_pos"]): r.lines for r in lines.later_runs(docs).collect()} == lengths
+    got = {r.doc_id: r for r in lines.report(docs).collect()}
+    assert {i: [int(n) for n in r.copy_lengths.split(",") if n] for i, r in got.items()} == expect
+    assert max(expect[43]) == 23 and expect[42] == [8] and expect[41] == [19, 7]
+
+
 # ---------------------------------------------------------------- empty tables
 def test_empty_tables(spark, vocabulary):
     docs = frame(spark, [(1, "x")]).where("false")
