@@ -42,17 +42,18 @@ def deduplicated(stream: DataFrame, key: Sequence[str], time: str, delay: str =
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(list(key))
 
 
-def _window_values(x: np.ndarray) -> list[float]:
-    """Mean, deviation, extremes, first and second step, slope and late/early ratio of one channel."""
-    d1 = np.diff(x)
-    d2 = np.diff(d1)
-    i = np.arange(len(x)) - (len(x) - 1) / 2.0
-    mid = len(x) // 2
-    return [x.mean(), x.std(), x.min(), x.max(), d1.mean(), d1.std(), d2.mean() if len(d2) else 0.0,
-            float(i @ x / (i @ i)), x[mid:].mean() / (abs(x[:mid].mean()) + 1e-10)]
+def _window_values(x: np.ndarray) -> np.ndarray:
+    """Mean, deviation, extremes, first and second step, slope and late/early ratio of one channel in every row of windows."""
+    d1 = np.diff(x, axis=1)
+    d2 = np.diff(d1, axis=1)
+    i = np.arange(x.shape[1]) - (x.shape[1] - 1) / 2.0
+    mid = x.shape[1] // 2
+    return np.column_stack([x.mean(1), x.std(1), x.min(1), x.max(1), d1.mean(1), d1.std(1), d2.mean(1) if d2.shape[1] else np.zeros(len(x)),
+                            x @ i / (i @ i), x[:, mid:].mean(1) / (np.abs(x[:, :mid].mean(1)) + 1e-10)])
 
 
 WINDOW_NAMES = ["mean", "std", "min", "max", "d1_mean", "d1_std", "d2_mean", "slope", "ratio"]
+_SLAB = 8_192                       # windows whose values are worked out at a time
 
 
 class _Windows(StatefulProcessor):
@@ -62,36 +63,46 @@ class _Windows(StatefulProcessor):
         self._key, self._time, self._channels, self._width, self._names = key, time, list(channels), width, list(names)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        fields = [T.StructField("t", T.DoubleType())] + [T.StructField(c, T.DoubleType()) for c in self._channels]
-        self._buffer = handle.getListState("buffer", T.StructType(fields))
-        self._counts = handle.getValueState("counts", T.StructType([
-            T.StructField("seen", T.LongType()), T.StructField("dropped", T.LongType())]))
+        # one value, so that an object costs one read and one write: counts, and the held records as packed doubles
+        self._state = handle.getValueState("state", T.StructType([
+            T.StructField("seen", T.LongType()), T.StructField("dropped", T.LongType()), T.StructField("held", T.BinaryType())]))
+
+    def _frame(self, key, win: np.ndarray, late: bool, dropped: np.ndarray, views: np.ndarray) -> pd.DataFrame:
+        """Features of windows (windows, columns, width)."""
+        out = {"key": np.full(len(views), key[0]), "win": win, "end": views[:, 0, -1], "late": np.full(len(views), late), "dropped": dropped}
+        values = np.hstack([_window_values(np.ascontiguousarray(views[:, j])) for j in range(1, views.shape[1])])
+        return pd.DataFrame(out | dict(enumerate(values.T))).set_axis(self._names, axis=1)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = [tuple(r) for r in self._buffer.get()] if self._buffer.exists() else []
-        seen, dropped = self._counts.get() if self._counts.exists() else (0, 0)
-        out = []
+        seen, dropped, packed = self._state.get() or (0, 0, b"")
+        held = np.frombuffer(packed, float).reshape(-1, len(self._channels) + 1)
         # an object's rows of one micro-batch come in several Arrow batches, in no order
-        new = pd.concat([pdf[[self._time, *self._channels]] for pdf in rows], ignore_index=True).sort_values(self._time, kind="stable")
-        for rec in new.itertuples(index=False, name=None):
-            late = bool(held) and rec[0] < held[-1][0]
-            if late and len(held) >= self._width and rec[0] < held[0][0]:
+        new = np.concatenate([pdf[[self._time, *self._channels]].to_numpy(dtype=float, na_value=np.nan) for pdf in rows])
+        new = new[np.argsort(new[:, 0], kind="stable")]
+        n_late = int((new[:, 0] < held[-1, 0]).sum()) if len(held) else 0                       # they come first
+        inserted = []
+        for rec in new[:n_late]:
+            if len(held) >= self._width and rec[0] < held[0, 0]:
                 dropped += 1                           # older than everything still held
                 continue
             seen += 1
-            held.append(tuple(float(v) for v in rec))
-            if late:
-                held.sort(key=lambda h: h[0])
-            held = held[-self._width:]
-            if len(held) < self._width:
-                continue
-            block = np.array(held)
-            values = [v for j in range(len(self._channels)) for v in _window_values(block[:, j + 1])]
-            out.append((key[0], seen - self._width, block[-1, 0], late, dropped, *values))
-        self._buffer.put(held)
-        self._counts.update((seen, dropped))
-        if out:
-            yield pd.DataFrame(out, columns=self._names)
+            held = np.vstack([held, rec])
+            held = held[np.argsort(held[:, 0], kind="stable")][-self._width:]
+            if len(held) == self._width:
+                inserted.append((seen - self._width, dropped, held.T))
+        if inserted:
+            win, lost, views = (np.array(x) for x in zip(*inserted))
+            yield self._frame(key, win, True, lost, views)
+        # the others in order: windows end with each of them
+        new = new[n_late:]
+        if len(new):
+            held = held[-(self._width - 1):] if self._width > 1 else held[:0]
+            before, whole = len(held), np.vstack([held, new])
+            for at in range(0, len(whole) - self._width + 1, _SLAB):
+                views = np.lib.stride_tricks.sliding_window_view(whole[at:at + _SLAB + self._width - 1], self._width, axis=0)
+                yield self._frame(key, seen - before + at + np.arange(len(views)), False, np.full(len(views), dropped), views)
+            seen, held = seen + len(new), whole[-self._width:]
+        self._state.update((seen, dropped, np.ascontiguousarray(held).tobytes()))
 
     def close(self) -> None:
         pass
@@ -196,16 +207,15 @@ class _Sustained(StatefulProcessor):
         self._run = handle.getValueState("run", T.StructType([T.StructField("n", T.LongType())]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        run = self._run.get()[0] if self._run.exists() else 0
-        out = []
+        run = (self._run.get() or (0,))[0]
         new = pd.concat([pdf[[self._order, self._fired, self._lead]] for pdf in rows], ignore_index=True).sort_values(self._order, kind="stable")
-        for order, fired, lead in new.itertuples(index=False, name=None):
-            run = run + 1 if fired else 0
-            if run == self._k:
-                out.append((key[0], order, lead))
-        self._run.update((run,))
-        if out:
-            yield pd.DataFrame(out, columns=self._names)
+        fired, at = new[self._fired].to_numpy(dtype=bool, na_value=False), np.arange(len(new))
+        quiet = np.maximum.accumulate(np.where(fired, -1 - run, at))                            # place of the last quiet record
+        self._run.update((int(at[-1] - quiet[-1]),))
+        hit = new.iloc[fired & (at - quiet == self._k), [0, 2]]
+        if len(hit):
+            hit.insert(0, "_key", key[0])
+            yield hit.set_axis(self._names, axis=1)
 
     def close(self) -> None:
         pass
