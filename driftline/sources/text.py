@@ -137,12 +137,11 @@ def read_orbit_pairs(spark: SparkSession, path: str) -> DataFrame:
 
 def pair_blocks(blocks: DataFrame, value: str = "value") -> DataFrame:
     """Blocks that start with a first line and go on with a second line right after it."""
-    body = F.regexp_replace(F.col(value), r"^1 ", "")
-    parts = F.split(body, "\n")
-    rest = [F.col(c) for c in blocks.columns if c != value]
-    out = blocks.select(*rest, F.concat(F.lit("1 "), F.get(parts, F.lit(0))).alias("line1"),
-                        F.get(parts, F.lit(1)).alias("line2"))
-    return out.where(F.col("line2").startswith("2 "))
+    rest = [c for c in blocks.columns if c != value]
+    # the block is often a long expression: without this it would be worked out for each line and again for the filter
+    once = _once(blocks, rest, {"_parts": F.split(F.regexp_replace(F.col(value), r"^1 ", ""), "\n", 3)})
+    out = once.where(F.get("_parts", F.lit(1)).startswith("2 "))
+    return out.select(*rest, F.concat(F.lit("1 "), F.get("_parts", F.lit(0))).alias("line1"), F.get("_parts", F.lit(1)).alias("line2"))
 
 
 def strict_double(text: Column) -> Column:

@@ -190,3 +190,12 @@ def test_merge_touches_only_its_buckets(spark, tmp_path):
         order = [(r.obj, r.t) for r in spark.read.parquet(f"{path}/{f}").collect()]
         assert order == sorted(order)
     assert load([]) == [] and files() == after
+
+
+def test_a_block_is_worked_out_once(spark):
+    """Both lines and the filter share one evaluation of the block's expression."""
+    rows = spark.createDataFrame([(1, "2 b\n1 a"), (2, "1 a"), (3, "x\n2 b\n1 a"), (4, "3 c\n1 a")], "k int, v string")
+    parts = F.split("v", "\n")
+    out = S.pair_blocks(rows.select("k", F.array_join(F.reverse(parts), "\n").alias("value")))
+    assert [(r.k, r.line1, r.line2) for r in out.orderBy("k").collect()] == [(1, "1 a", "2 b"), (3, "1 a", "2 b")]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("reverse(") == 1
