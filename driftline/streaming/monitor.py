@@ -59,28 +59,27 @@ _SLAB = 8_192                       # windows whose values are worked out at a t
 class _Windows(StatefulProcessor):
     """Last `width` records per object, in time order."""
 
-    def __init__(self, key: str, time: str, channels: Sequence[str], width: int, names: Sequence[str]):
-        self._key, self._time, self._channels, self._width, self._names = key, time, list(channels), width, list(names)
+    def __init__(self, key: str, time: str, channels: Sequence[str], width: int):
+        self._key, self._time, self._channels, self._width = key, time, list(channels), width
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         # one value, so that an object costs one read and one write: counts, and the held records as packed doubles
         self._state = handle.getValueState("state", T.StructType([
             T.StructField("seen", T.LongType()), T.StructField("dropped", T.LongType()), T.StructField("held", T.BinaryType())]))
 
-    def _frame(self, key, win: np.ndarray, late: bool, dropped: np.ndarray, views: np.ndarray) -> pd.DataFrame:
-        """Features of windows (windows, columns, width)."""
-        out = {"key": np.full(len(views), key[0]), "win": win, "end": views[:, 0, -1], "late": np.full(len(views), late), "dropped": dropped}
+    def _frame(self, key, win: np.ndarray, late: np.ndarray, dropped: np.ndarray, views: np.ndarray) -> pd.DataFrame:
+        """Features of windows (windows, columns, width), one array a window: a column costs as much as a few dozen rows."""
         values = np.hstack([_window_values(np.ascontiguousarray(views[:, j])) for j in range(1, views.shape[1])])
-        return pd.DataFrame(out | dict(enumerate(values.T))).set_axis(self._names, axis=1)
+        return pd.DataFrame({self._key: np.full(len(views), key[0]), "win": win, "t_end": views[:, 0, -1], "late": late, "dropped": dropped, "_values": list(values)}, copy=False)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         seen, dropped, packed = self._state.get() or (0, 0, b"")
         held = np.frombuffer(packed, float).reshape(-1, len(self._channels) + 1)
         # an object's rows of one micro-batch come in several Arrow batches, in no order
-        new = np.concatenate([pdf[[self._time, *self._channels]].to_numpy(dtype=float, na_value=np.nan) for pdf in rows])
+        new = np.concatenate([np.column_stack([pdf[c].to_numpy(dtype=float, na_value=np.nan) for c in (self._time, *self._channels)]) for pdf in rows])
         new = new[np.argsort(new[:, 0], kind="stable")]
         n_late = int((new[:, 0] < held[-1, 0]).sum()) if len(held) else 0                       # they come first
-        inserted = []
+        ended = []                                      # win, dropped, window of each late record that is used
         for rec in new[:n_late]:
             if len(held) >= self._width and rec[0] < held[0, 0]:
                 dropped += 1                           # older than everything still held
@@ -89,18 +88,23 @@ class _Windows(StatefulProcessor):
             held = np.vstack([held, rec])
             held = held[np.argsort(held[:, 0], kind="stable")][-self._width:]
             if len(held) == self._width:
-                inserted.append((seen - self._width, dropped, held.T))
-        if inserted:
-            win, lost, views = (np.array(x) for x in zip(*inserted))
-            yield self._frame(key, win, True, lost, views)
+                ended.append((seen - self._width, dropped, held.T))
+        n_ended = len(ended)
+        win, lost, views = (np.array(x) for x in zip(*ended)) if ended else (np.zeros(0, int), np.zeros(0, int), np.zeros((0, new.shape[1], self._width)))
         # the others in order: windows end with each of them
         new = new[n_late:]
+        before = held[-(self._width - 1):] if self._width > 1 else held[:0]
+        whole = np.vstack([before, new])
+        if len(new) and len(whole) >= self._width:
+            first = seen - len(before)
+            views = np.concatenate([views, np.lib.stride_tricks.sliding_window_view(whole, self._width, axis=0)]) if n_ended else np.lib.stride_tricks.sliding_window_view(whole, self._width, axis=0)
+            win = np.concatenate([win, np.arange(first, first + len(whole) - self._width + 1)])
+            lost = np.concatenate([lost, np.full(len(win) - n_ended, dropped)])
+        late = np.arange(len(win)) < n_ended
+        for at in range(0, len(win), _SLAB):
+            part = slice(at, at + _SLAB)
+            yield self._frame(key, win[part], late[part], lost[part], views[part])
         if len(new):
-            held = held[-(self._width - 1):] if self._width > 1 else held[:0]
-            before, whole = len(held), np.vstack([held, new])
-            for at in range(0, len(whole) - self._width + 1, _SLAB):
-                views = np.lib.stride_tricks.sliding_window_view(whole[at:at + _SLAB + self._width - 1], self._width, axis=0)
-                yield self._frame(key, seen - before + at + np.arange(len(views)), False, np.full(len(views), dropped), views)
             seen, held = seen + len(new), whole[-self._width:]
         self._state.update((seen, dropped, np.ascontiguousarray(held).tobytes()))
 
@@ -114,12 +118,11 @@ def windowed(stream: DataFrame, key: str, time: str, channels: Sequence[str], wi
     `time` is a number. Records out of order are inserted while they fall inside
     the held window, else dropped and counted in `dropped`.
     """
-    names = [key, "win", "t_end", "late", "dropped", *[f"{c}_{n}" for c in channels for n in WINDOW_NAMES]]
-    kinds = [stream.schema[key].dataType.simpleString(), "bigint", "double", "boolean", "bigint"]
-    kinds += ["double"] * (len(names) - len(kinds))
-    schema = ", ".join(f"`{n}` {k}" for n, k in zip(names, kinds))
-    return stream.groupBy(key).transformWithStateInPandas(
-        _Windows(key, time, channels, width, names), outputStructType=schema, outputMode="Append", timeMode="None")
+    schema = f"`{key}` {stream.schema[key].dataType.simpleString()}, win bigint, t_end double, late boolean, dropped bigint, _values array<double>"
+    found = stream.select(*dict.fromkeys([key, time, *channels])).groupBy(key).transformWithStateInPandas(
+        _Windows(key, time, channels, width), outputStructType=schema, outputMode="Append", timeMode="None")
+    names = [f"{c}_{n}" for c in channels for n in WINDOW_NAMES]
+    return found.select(key, "win", "t_end", "late", "dropped", *[F.col("_values")[i].alias(n) for i, n in enumerate(names)])
 
 
 class _Settled(StatefulProcessor):

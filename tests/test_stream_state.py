@@ -33,8 +33,8 @@ def test_one_read_and_one_write_of_state_per_object(monkeypatch):
     """Windows of a micro-batch are worked out in slabs, late records one by one; state is read and written once per object and micro-batch."""
     monkeypatch.setattr(M, "_SLAB", 7)
     rng = np.random.default_rng(3)
-    names = ["o", "win", "t_end", "late", "dropped", *[f"{c}_{n}" for c in "ab" for n in M.WINDOW_NAMES]]
-    task, handle = M._Windows("o", "t", ["a", "b"], 5, names), _Handle()
+    names = [f"{c}_{n}" for c in "ab" for n in M.WINDOW_NAMES]
+    task, handle = M._Windows("o", "t", ["a", "b"], 5), _Handle()
     task.init(handle)
     first = pd.DataFrame({"t": np.arange(40.0), "a": rng.normal(size=40), "b": rng.normal(size=40)})
     second = pd.DataFrame({"t": [37.5, 1.0, 41.0, 40.0], "a": rng.normal(size=4), "b": rng.normal(size=4)})
@@ -44,6 +44,8 @@ def test_one_read_and_one_write_of_state_per_object(monkeypatch):
     late = every[every.t < 40].tail(5)
     ends = [*[first[k:k + 5] for k in range(36)], late, every[every.t <= 40].tail(5), every.tail(5)]
     got = pd.concat(out, ignore_index=True)
+    got[names] = np.stack(got["_values"])
+    got = got.drop(columns="_values")
     assert got.win.tolist() == list(range(39)) and got.late.tolist() == [False] * 36 + [True, False, False] and got.dropped.tolist() == [0] * 36 + [1] * 3
     for row, w in zip(got.itertuples(), ends):
         assert row.t_end == w.t.iloc[-1]
