@@ -6,10 +6,11 @@ covariance; the driver only sees d × d matrices.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.ml.feature import PCA, PCAModel, VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +18,19 @@ from pyspark.sql import functions as F
 
 from driftline.models.moments import packed_sums
 from driftline.models.scale import Stats, fit_stats, zscore
+from driftline.session import materialise
+
+
+def _unit(stats: tuple[float, float]) -> tuple[float, float]:
+    """Mean and divisor of a column; a constant one is only centred."""
+    return float(stats[0]), float(stats[1]) if stats[1] else 1.0
+
+
+def _standard(x: np.ndarray, mean: float | np.ndarray, std: float | np.ndarray) -> np.ndarray:
+    """(x - mean) / std with undefined values set to 0."""
+    with np.errstate(all="ignore"):
+        z = (x - mean) / std
+    return np.where(np.isfinite(z), z, 0.0)
 
 
 @dataclass
@@ -31,21 +45,32 @@ class Projection:
     condition: float | None = None
 
     def column(self, dropped: Sequence[str] = ()) -> Column:
-        """The projection as one expression; `dropped` features get weight 0. Undefined values count as 0."""
-        terms = []
-        for f in self.features:
-            if f in dropped:
-                continue
-            z = zscore(f, *self.stats[f])
-            z = F.when(F.isnan(z) | (F.abs(z) == float("inf")) | z.isNull(), 0.0).otherwise(z)
-            terms.append(z * F.lit(float(self.weights.get(f, 1.0) * self.coef[f])))
-        if not terms:
+        """The projection as one expression; `dropped` features get weight 0. Undefined values count as 0.
+
+        Columns are added up as arrays: one built-in expression of dozens of features is too long a method for the JVM to compile.
+        """
+        used = [f for f in self.features if f not in dropped]
+        if not used:
             return F.lit(-self.offset)
-        return F.aggregate(F.array(*terms), F.lit(-self.offset), lambda a, b: a + b)
+        units = [_unit(self.stats[f]) for f in used]
+        factors, start = [float(self.weights.get(f, 1.0) * self.coef[f]) for f in used], -self.offset
+
+        @F.pandas_udf("double")
+        def project(*columns: pd.Series) -> pd.Series:
+            out = np.full(len(columns[0]), start)
+            for c, unit, factor in zip(columns, units, factors):
+                out += _standard(c.to_numpy(dtype=float, na_value=np.nan), *unit) * factor
+            return pd.Series(out)
+
+        return project(*[F.col(f).cast("double") for f in used])
 
     def score(self, df: DataFrame, name: str = "proj") -> DataFrame:
         return df.withColumn(name, self.column())
 
+    def written(self, df: DataFrame, name: str = "proj") -> DataFrame:
+        """`score` without the features, written once: a search reads the projections many times."""
+        return materialise(self.score(df, name).drop(*self.features))
+
     def table(self, spark: SparkSession) -> DataFrame:
         rows = [(i, f, *map(float, self.stats[f]), float(self.weights.get(f, 1.0)), float(self.coef[f]))
                 for i, f in enumerate(self.features)]
@@ -65,14 +90,17 @@ class Moments:
     cov: np.ndarray
 
 
-def class_moments(z: DataFrame, features: Sequence[str], label: str) -> dict[int, Moments]:
+Change = Callable[[np.ndarray], np.ndarray]
+
+
+def class_moments(z: DataFrame, features: Sequence[str], label: str, change: Change | None = None) -> dict[int, Moments]:
     """Moments of every class in one pass; the driver receives one triangle of products per class.
 
-    Columns should be standardised, which keeps the sums well conditioned.
+    Columns should be standardised, which keeps the sums well conditioned, or `change` does it (see `preparing`).
     """
     d = len(features)
     rows = z.select(*features, F.col(label).cast("int").alias("_label")).where("_label IS NOT NULL")
-    table = packed_sums(rows, ["_label"], features).toArrow()
+    table = packed_sums(rows, ["_label"], features, change).toArrow()
     labels, parts, counts, slices = (table.column(c).combine_chunks() for c in ("_label", "_part", "_n", "_s"))
     at = sorted(range(len(labels)), key=lambda i: (labels[i].as_py(), parts[i].as_py()))
     found: dict[int, tuple[int, list]] = {}
@@ -87,7 +115,7 @@ def class_moments(z: DataFrame, features: Sequence[str], label: str) -> dict[int
     return out
 
 
-def _fourth_moments(z: DataFrame, features: Sequence[str], label: str, of: dict[int, Moments]) -> dict[int, float]:
+def _fourth_moments(z: DataFrame, features: Sequence[str], label: str, of: dict[int, Moments], change: Change) -> dict[int, float]:
     """Mean squared squared norm of the rows, each standardised within its class."""
     d = len(features)
     shift = {c: m.mean for c, m in of.items()}
@@ -96,7 +124,7 @@ def _fourth_moments(z: DataFrame, features: Sequence[str], label: str, of: dict[
     def norms(batches):
         total: dict = {}
         for b in batches:
-            x = np.column_stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(d)])
+            x = change(np.column_stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(d)]))
             y = b.column(d).to_numpy(zero_copy_only=False)
             for c in np.unique(y):
                 u = (x[y == c] - shift[int(c)]) / stretch[int(c)]
@@ -104,7 +132,7 @@ def _fourth_moments(z: DataFrame, features: Sequence[str], label: str, of: dict[
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(list(total.values()), pa.float64())],
                                          names=["label", "q"])
 
-    rows = z.select(*features, F.col(label).cast("int").alias("_label")).where("_label IS NOT NULL")
+    rows = z.select(*[F.col(f).cast("double") for f in features], F.col(label).cast("int").alias("_label")).where("_label IS NOT NULL")
     sums = rows.mapInArrow(norms, "label int, q double").groupBy("label").agg(F.sum("q").alias("q")).collect()
     return {r["label"]: r["q"] / of[r["label"]].n for r in sums}
 
@@ -135,6 +163,13 @@ def prepare(df: DataFrame, features: Sequence[str], stats: Stats, weights: Mappi
     return df.withColumns(out)
 
 
+def preparing(features: Sequence[str], stats: Stats, weights: Mapping[str, float]) -> Change:
+    """`prepare` for a matrix of the features' columns inside a task."""
+    mean, std = (np.array(c) for c in zip(*[_unit(stats[f]) for f in features]))
+    factor = np.array([float(weights.get(f, 1.0)) for f in features])
+    return lambda x: _standard(x, mean, std) * factor
+
+
 def fit_two_class(df: DataFrame, features: Sequence[str], label: str, weights: Mapping[str, float] | None = None,
                   stats: Stats | None = None) -> Projection:
     """Two-class discriminant: pseudo-inverse of the within-class scatter times the mean difference.
@@ -144,7 +179,7 @@ def fit_two_class(df: DataFrame, features: Sequence[str], label: str, weights: M
     """
     weights = dict(weights or {})
     stats = stats or fit_stats(df, features)
-    of = class_moments(prepare(df, features, stats, weights), features, label)
+    of = class_moments(df, features, label, preparing(features, stats, weights))
     n = of[0].n + of[1].n
     within = (of[0].n * of[0].cov + of[1].n * of[1].cov) / (n - 2)
     diff = of[1].mean - of[0].mean
@@ -165,9 +200,9 @@ def fit_buckets(df: DataFrame, features: Sequence[str], label: str, weights: Map
     """
     weights = dict(weights or {})
     stats = stats or fit_stats(df, features)
-    z = prepare(df, features, stats, weights)
-    of = class_moments(z, features, label)
-    fourth = _fourth_moments(z, features, label, of)
+    change = preparing(features, stats, weights)
+    of = class_moments(df, features, label, change)
+    fourth = _fourth_moments(df, features, label, of, change)
     d, n = len(features), sum(m.n for m in of.values())
     grand = sum(m.n * m.mean for m in of.values()) / n
     within, between = np.zeros((d, d)), np.zeros((d, d))

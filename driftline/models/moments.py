@@ -7,7 +7,7 @@ number of features, and what is left is one triangle per group.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -38,10 +38,11 @@ def _adder(by: Sequence[str], schema: pa.Schema):
     return add
 
 
-def packed_sums(rows: DataFrame, by: Sequence[str], features: Sequence[str]) -> DataFrame:
+def packed_sums(rows: DataFrame, by: Sequence[str], features: Sequence[str], change: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """(by..., _part, _n, _s): slice `_part` of a group's sums of the features, then of their products (upper triangle by rows), over `_n` rows.
 
     Features hold no unknown values. Values should be near zero (standardised or centred), which keeps the sums well conditioned.
+    Inside the tasks `change` turns the features' columns (unknown: NaN) into such ones.
     """
     by, d, k = list(by), len(features), len(by)
     rows = rows.select(*by, *[F.col(f).cast("double").alias(f"_f{i}") for i, f in enumerate(features)])
@@ -66,6 +67,8 @@ def packed_sums(rows: DataFrame, by: Sequence[str], features: Sequence[str]) ->
             if not batch.num_rows:
                 continue
             x = np.column_stack([batch.column(k + i).to_numpy(zero_copy_only=False) for i in range(d)]) if d else np.zeros((batch.num_rows, 0))
+            if change and d:
+                x = change(x)
             names, of = _groups(batch, k)
             order = np.argsort(of, kind="stable")
             ends = np.cumsum(np.bincount(of, minlength=len(names)))

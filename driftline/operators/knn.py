@@ -71,7 +71,7 @@ def distance_on_line(queries: DataFrame, points: DataFrame, x: str, px: str | No
     px = px or x
     skip = 1 if exclude_self else 0
     ref = points.select(F.col(px).cast("double").alias("_p")).where("_p IS NOT NULL AND NOT isnan(_p)")
-    local = ref.limit(bound + 1).toPandas()["_p"].to_numpy()
+    local = ref.limit(bound + 1).toArrow()["_p"].to_numpy()
     if len(local) <= bound:
         values = queries.sparkSession.sparkContext.broadcast(np.sort(local))
 

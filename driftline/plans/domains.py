@@ -72,7 +72,7 @@ def second_level_windows(df: DataFrame, key: Sequence[str], order: Sequence[str]
 
 @dataclass
 class Fitted:
-    """A fitted domain model and its training distances."""
+    """A fitted domain model and its training distances; tables of distances leave the features out."""
 
     model: Projection
     basin: DataFrame
@@ -81,12 +81,12 @@ class Fitted:
     train: DataFrame
 
     def distances(self, windows: DataFrame) -> DataFrame:
-        return distance_on_line(self.model.score(windows), self.basin, "proj", k=self.k, kth=None)
+        return distance_on_line(self.model.written(windows), self.basin, "proj", k=self.k, kth=None)
 
 
 def _fitted(windows: DataFrame, model: Projection, basin: Callable[[DataFrame], DataFrame], k: int,
             threshold: Callable[[DataFrame], float]) -> Fitted:
-    scored = model.score(windows)
+    scored = model.written(windows)
     ref = basin(scored).select("proj")
     near = materialise(distance_on_line(scored, ref, "proj", k=k, kth=None))
     return Fitted(model, ref, threshold(near), k, near)
