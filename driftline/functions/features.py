@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from itertools import combinations
 
@@ -62,12 +61,7 @@ def spectrum(s: Span, c: str, bins: int = 5) -> dict[str, Column]:
     """Magnitudes of the lowest Fourier bins (without the constant one), zero beyond the half width."""
     out = {}
     for k in range(1, bins + 1):
-        angle = F.lit(2.0 * math.pi * k) * s.phase / s.rows
-        re = s.agg(F.sum, F.col(c) * F.cos(angle))
-        im = s.agg(F.sum, F.col(c) * F.sin(angle))
-        size = F.sqrt(re * re + im * im)
-        known = F.max(s.rows) if s._frames is None else s.rows
-        out[f"{c}_fft{k}"] = F.when(F.lit(k) <= F.floor(known / 2), size).otherwise(F.lit(0.0))
+        out[f"{c}_fft{k}"] = F.when(F.lit(k) <= F.floor(s.size / 2), s.fourier(c, k)).otherwise(F.lit(0.0))
     return out
 
 

@@ -1,17 +1,21 @@
 """Fixed-count windows over ordered histories.
 
 A window is named by its start position `win`. Window values are computed in
-one of two equal ways:
+one of three equal ways:
 
 * frames: a moving row frame per aggregate, best when nearly every row ends a
   window (stride below `_FRAME_STRIDE`);
 * groups: each row is copied into the windows it belongs to (width / stride
   copies) and aggregated by (object, win). After the ordering shuffle this needs
-  no further exchange, and it also covers windows that shrink for short objects.
+  no further exchange, and it also covers windows that shrink for short objects;
+* arrays: as groups, but the windows are cut out as matrices inside the tasks
+  (`window_arrays`). It takes the place of groups for `_WIDE` aggregates and more,
+  where no object is cut into pieces.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -19,8 +23,10 @@ from pyspark.sql import functions as F
 
 from driftline.operators.ordering import (ROWS_PER_TASK, Frames, Layout, framed, layout_of, running,
                                           same_key, with_position)
+from driftline.operators.window_arrays import Asked, Unsupported, window_arrays
 
 _FRAME_STRIDE = 2
+_WIDE = 32
 
 Stage = Mapping[str, Callable[[WindowSpec], Column]]
 
@@ -28,9 +34,10 @@ Stage = Mapping[str, Callable[[WindowSpec], Column]]
 class Span:
     """Builds aggregates over the rows of one window, in either form."""
 
-    def __init__(self, width: int, frames: Frames | None = None):
+    def __init__(self, width: int, frames: Frames | None = None, asked: Asked | None = None):
         self._width = width
         self._frames = frames
+        self._asked = asked
         self.rows: Column = F.lit(width) if frames is not None else F.col("width")
         self.mid: Column = F.floor(self.rows / 2)
         # position modulo the width: window sums of x·exp(i·phase) only differ
@@ -39,6 +46,8 @@ class Span:
 
     def agg(self, fn: Callable[..., Column], *cols: str | Column, skip: int = 0, half: str = "") -> Column:
         """`fn` over the window's rows, minus `skip` leading ones, or over one half."""
+        if self._asked is not None:
+            return self._asked.agg(fn, cols, skip, half)
         items = [F.col(c) if isinstance(c, str) else c for c in cols]
         if self._frames is not None:
             w, mid = self._width, self._width // 2
@@ -54,6 +63,22 @@ class Span:
             items = [F.when(inside, c) for c in items]
         return fn(*items)
 
+    @property
+    def size(self) -> Column:
+        """The window's rows, as a value of the window."""
+        if self._asked is not None:
+            return F.col("_width")
+        return self.rows if self._frames is not None else F.max(self.rows)
+
+    def fourier(self, c: str, k: int) -> Column:
+        """Magnitude of Fourier bin `k`."""
+        if self._asked is not None:
+            return self._asked.fourier(c, k)
+        angle = F.lit(2.0 * math.pi * k) * self.phase / self.rows
+        re = self.agg(F.sum, F.col(c) * F.cos(angle))
+        im = self.agg(F.sum, F.col(c) * F.sin(angle))
+        return F.sqrt(re * re + im * im)
+
 
 Features = Callable[[Span], Mapping[str, Column]]
 
@@ -87,6 +112,7 @@ def window_features(df: DataFrame, key: Sequence[str], order: Sequence[str], wid
                     rows: int | None = None, form: str | None = None) -> DataFrame:
     """One row per complete window: key, `win`, the `last` columns of its final row, features."""
     key = list(key)
+    wide = _WIDE if form is None else 0 if form == "arrays" else math.inf
     form = form or ("groups" if shrink or stride >= _FRAME_STRIDE else "frames")
     keep = list(dict.fromkeys([*last]))
     if form == "frames":
@@ -100,6 +126,15 @@ def window_features(df: DataFrame, key: Sequence[str], order: Sequence[str], wid
         return out.select(*key, "win", *keep, *values)
     frames = framed(df, key, order, max(len(stages), 1), limit=limit, rows=rows)
     base = frames.finish(_derive(frames.df, frames, stages))
+    if frames.own is None and wide < math.inf:
+        asked = Asked()
+        try:
+            values = features(Span(width, asked=asked))
+            if len(asked.wanted) >= wide:
+                out = window_arrays(base, key, keep, asked, width, stride, shrink, min_rows)
+                return out.select(*key, "win", *keep, *[v.alias(n) for n, v in values.items()])
+        except Unsupported:
+            pass                                            # built-in aggregates can do more
     spread = assign_windows(base, width, stride, shrink=shrink, min_rows=min_rows)
     values = features(Span(width))
     ends = F.col("off") == F.col("width") - 1
