@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
@@ -34,10 +36,20 @@ def scale(df: DataFrame, stats: Stats, suffix: str = "") -> DataFrame:
 
 def weighted_score(df: DataFrame, stats: Stats, weights: Mapping[str, float], out: str = "score") -> DataFrame:
     """`out`: the sum of the standardised features of `stats`, each times its weight by name; a missing feature adds nothing."""
-    total = F.lit(0.0)
-    for c, (m, s) in stats.items():
-        total = total + F.lit(float(weights[c])) * F.coalesce(F.nanvl(zscore(c, m, s), F.lit(0.0)), F.lit(0.0))
-    return df.withColumn(out, total)
+    units = [(float(m), float(s) if s else 1.0, float(weights[c])) for c, (m, s) in stats.items()]
+    if not units:
+        return df.withColumn(out, F.lit(0.0))
+
+    @F.pandas_udf("double")
+    def total(*columns: pd.Series) -> pd.Series:
+        # as arrays: one built-in expression of dozens of features is too long a method for the JVM to compile
+        found = np.zeros(len(columns[0]))
+        for c, (mean, std, weight) in zip(columns, units):
+            z = (c.to_numpy(dtype=float, na_value=np.nan) - mean) / std
+            found += weight * np.where(np.isnan(z), 0.0, z)
+        return pd.Series(found)
+
+    return df.withColumn(out, total(*[F.col(c).cast("double") for c in stats]))
 
 
 def varying(df: DataFrame, columns: Sequence[str], threshold: float = 1e-8) -> list[str]:
