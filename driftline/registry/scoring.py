@@ -36,6 +36,12 @@ def scored(t: Tables, width: int = 30, warning: float = 7.0, k: int = 5, corpus:
     return out.withColumnRenamed("user_id", "obj")
 
 
+def projected(t: Tables, width: int) -> DataFrame:
+    """Windows of a width with remaining time and projection, which depend on the width alone; written once."""
+    windows = materialise(flow(t, width).windows(t.history()).select("user_id", "win", "rul", *COEF))
+    return frozen(windows, COEF, WEIGHTS).written(windows).withColumnRenamed("user_id", "obj")
+
+
 def scored_sql(width: int = 30, warning: float = 7, k: int = 5, corpus: bool = False) -> str:
     """The same as a chain of common table expressions ending in `sd`."""
     half = width // 2
@@ -500,9 +506,11 @@ SWEEP = [(w, b, k) for w in (20, 30) for b in (5.0, 9.0) for k in (3, 5)]
     f"SELECT * FROM (WITH {sweep_sql(scored_sql(w, b, k))} SELECT {w} AS width, CAST({b} AS DOUBLE) AS basin, {k} AS k, {R('f1')} AS best_f1, {R('eps', 5)} AS best_eps FROM sw ORDER BY round(f1, 9) DESC, idx LIMIT 1)"
     for w, b, k in SWEEP))
 def _(t: Tables):
+    of_width = {w: projected(t, w) for w in sorted({w for w, _, _ in SWEEP})}
     out = None
     for w, b, k in SWEEP:
-        f = detect.distance_profile(scored(t, w, b, k), ["obj"], "win", "d_mean").select(F.col("d_final").alias("d"), (F.col("obj") % 3 == 0).alias("due"))
+        near = knn.distance_on_line(of_width[w], of_width[w].where(F.col("rul") <= b), "proj", k=k, kth=None)
+        f = detect.distance_profile(near, ["obj"], "win", "d_mean").select(F.col("d_final").alias("d"), (F.col("obj") % 3 == 0).alias("due"))
         sweep = calibrate.precision_recall_sweep(materialise(f), "d", F.col("due")).withColumn("f1", F.round("f1", 9))
         best = calibrate.best_row(sweep).select(F.lit(w).alias("width"), F.lit(b).alias("basin"), F.lit(k).alias("k"), r("f1").alias("best_f1"), r("eps", 5).alias("best_eps"))
         out = best if out is None else out.unionByName(best)
