@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from itertools import combinations
 
+import numpy as np
 from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
 
+from driftline.functions.spectral import eigenvalues
 from driftline.operators.windows import Span, Stage
 
 
@@ -118,6 +120,26 @@ def monitoring_vector(s: Span, channels: Sequence[str], bins: int = 5) -> dict[s
     return out
 
 
+def monitoring_matrix(channels: Sequence[str], width: int, bins: int = 5, top: int = 5) -> Callable[[Callable], np.ndarray]:
+    """`monitoring_vector`, with the eigenvalues in place of the covariances, as a matrix for `window_vectors`: columns as in the catalogue, unknown ones NaN."""
+    def of(value: Callable) -> np.ndarray:
+        def known(kind: str, *names: str, skip: int = 0, default: float = np.nan) -> np.ndarray:
+            found, null = value(kind, names, skip, "")
+            return np.where(null, default, found)
+
+        out = [known(kind, c) for c in channels for kind in ("avg", "std", "min", "max")]
+        for c in channels:
+            out += [known("avg", f"d1_{c}", skip=1), known("std", f"d1_{c}", skip=1), known("avg", f"d2_{c}", skip=2, default=0.0)]
+        for c in channels:
+            out += [known(f"fft{k}", c) if k <= width // 2 else np.zeros(len(out[0])) for k in range(1, bins + 1)]
+        for a, b in combinations(channels, 2):
+            (cov, none), (one, _), (two, _) = (value(*what, 0, "") for what in (("cov", (a, b)), ("std", (a,)), ("std", (b,))))
+            out.append(np.where(none | (one * two == 0), 0.0, cov / (one * two)))
+        cells = [known("cov1", a, b, default=0.0) for i, a in enumerate(channels) for b in channels[i:]]
+        return np.column_stack([*out, eigenvalues(np.column_stack(cells), len(channels), top)])
+    return of
+
+
 def decay_vector(s: Span, channels: Sequence[str]) -> dict[str, Column]:
     """Time domain, time-normalised rate, late/early ratio, cross-channel correlation."""
     out: dict[str, Column] = {}

@@ -12,20 +12,24 @@ from pyspark.sql import functions as F
 BANDS = 8
 
 
-def top_eigenvalues(cells: Sequence[Column | str], size: int, top: int = 5) -> Column:
-    """Largest eigenvalues, descending, zero-padded, of a matrix given by its upper triangle row by row."""
+def eigenvalues(triangles: np.ndarray, size: int, top: int = 5) -> np.ndarray:
+    """`top_eigenvalues` of matrices given by a row of cells each."""
     upper = np.triu_indices(size)
+    tri = np.nan_to_num(triangles)
+    m = np.zeros((len(tri), size, size))
+    m[:, upper[0], upper[1]] = tri
+    m[:, upper[1], upper[0]] = tri
+    eig = np.linalg.eigvalsh(m)[:, ::-1][:, :top]
+    return np.pad(eig, ((0, 0), (0, max(0, top - size))))
+
 
+def top_eigenvalues(cells: Sequence[Column | str], size: int, top: int = 5) -> Column:
+    """Largest eigenvalues, descending, zero-padded, of a matrix given by its upper triangle row by row."""
     @F.pandas_udf("array<double>")
     def values(flat: pd.Series) -> pd.Series:
         if not len(flat):
             return pd.Series([], dtype=object)
-        tri = np.nan_to_num(np.stack([np.asarray(v, dtype=float) for v in flat]))
-        m = np.zeros((len(tri), size, size))
-        m[:, upper[0], upper[1]] = tri
-        m[:, upper[1], upper[0]] = tri
-        eig = np.linalg.eigvalsh(m)[:, ::-1][:, :top]
-        return pd.Series(list(np.pad(eig, ((0, 0), (0, max(0, top - size))))))
+        return pd.Series(list(eigenvalues(np.stack([np.asarray(v, dtype=float) for v in flat]), size, top)))
 
     return values(F.array(*[F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(0.0)) for c in cells]))
 

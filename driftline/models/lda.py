@@ -16,7 +16,7 @@ from pyspark.ml.feature import PCA, PCAModel, VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.models.moments import packed_sums
+from driftline.models.moments import Packed, feature_columns, feature_matrix, packed_sums
 from driftline.models.scale import Stats, fit_stats, zscore
 from driftline.session import materialise
 
@@ -43,6 +43,7 @@ class Projection:
     coef: dict[str, float]
     offset: float = 0.0
     condition: float | None = None
+    packed: Packed | None = None
 
     def column(self, dropped: Sequence[str] = ()) -> Column:
         """The projection as one expression; `dropped` features get weight 0. Undefined values count as 0.
@@ -55,12 +56,24 @@ class Projection:
         units = [_unit(self.stats[f]) for f in used]
         factors, start = [float(self.weights.get(f, 1.0) * self.coef[f]) for f in used], -self.offset
 
+        def added(columns, count: int) -> np.ndarray:
+            out = np.full(count, start)
+            for c, unit, factor in zip(columns, units, factors):
+                out += _standard(c, *unit) * factor
+            return out
+
+        if self.packed:
+            matrix = feature_matrix(used, self.packed)
+
+            @F.arrow_udf("double")
+            def project_packed(rows: pa.Array) -> pa.Array:
+                return pa.array(added(matrix([rows]).T, len(rows)))
+
+            return project_packed(*feature_columns(used, self.packed))
+
         @F.pandas_udf("double")
         def project(*columns: pd.Series) -> pd.Series:
-            out = np.full(len(columns[0]), start)
-            for c, unit, factor in zip(columns, units, factors):
-                out += _standard(c.to_numpy(dtype=float, na_value=np.nan), *unit) * factor
-            return pd.Series(out)
+            return pd.Series(added((c.to_numpy(dtype=float, na_value=np.nan) for c in columns), len(columns[0])))
 
         return project(*[F.col(f).cast("double") for f in used])
 
@@ -69,7 +82,7 @@ class Projection:
 
     def written(self, df: DataFrame, name: str = "proj") -> DataFrame:
         """`score` without the features, written once: a search reads the projections many times."""
-        return materialise(self.score(df, name).drop(*self.features))
+        return materialise(self.score(df, name).drop(*([self.packed.column] if self.packed else self.features)))
 
     def table(self, spark: SparkSession) -> DataFrame:
         rows = [(i, f, *map(float, self.stats[f]), float(self.weights.get(f, 1.0)), float(self.coef[f]))
@@ -93,14 +106,14 @@ class Moments:
 Change = Callable[[np.ndarray], np.ndarray]
 
 
-def class_moments(z: DataFrame, features: Sequence[str], label: str, change: Change | None = None) -> dict[int, Moments]:
+def class_moments(z: DataFrame, features: Sequence[str], label: str, change: Change | None = None, packed: Packed | None = None) -> dict[int, Moments]:
     """Moments of every class in one pass; the driver receives one triangle of products per class.
 
     Columns should be standardised, which keeps the sums well conditioned, or `change` does it (see `preparing`).
     """
     d = len(features)
-    rows = z.select(*features, F.col(label).cast("int").alias("_label")).where("_label IS NOT NULL")
-    table = packed_sums(rows, ["_label"], features, change).toArrow()
+    rows = z.select(*([packed.column] if packed else features), F.col(label).cast("int").alias("_label")).where("_label IS NOT NULL")
+    table = packed_sums(rows, ["_label"], features, change, packed).toArrow()
     labels, parts, counts, slices = (table.column(c).combine_chunks() for c in ("_label", "_part", "_n", "_s"))
     at = sorted(range(len(labels)), key=lambda i: (labels[i].as_py(), parts[i].as_py()))
     found: dict[int, tuple[int, list]] = {}
@@ -115,24 +128,26 @@ def class_moments(z: DataFrame, features: Sequence[str], label: str, change: Cha
     return out
 
 
-def _fourth_moments(z: DataFrame, features: Sequence[str], label: str, of: dict[int, Moments], change: Change) -> dict[int, float]:
+def _fourth_moments(z: DataFrame, features: Sequence[str], label: str, of: dict[int, Moments], change: Change, packed: Packed | None = None) -> dict[int, float]:
     """Mean squared squared norm of the rows, each standardised within its class."""
-    d = len(features)
+    matrix = feature_matrix(features, packed)
     shift = {c: m.mean for c, m in of.items()}
     stretch = {c: _deviations(m) for c, m in of.items()}
 
     def norms(batches):
         total: dict = {}
         for b in batches:
-            x = change(np.column_stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(d)]))
-            y = b.column(d).to_numpy(zero_copy_only=False)
+            if not b.num_rows:
+                continue
+            x = change(matrix(b.columns[:-1]))
+            y = b.columns[-1].to_numpy(zero_copy_only=False)
             for c in np.unique(y):
                 u = (x[y == c] - shift[int(c)]) / stretch[int(c)]
                 total[int(c)] = total.get(int(c), 0.0) + float(((u * u).sum(axis=1) ** 2).sum())
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(list(total.values()), pa.float64())],
                                          names=["label", "q"])
 
-    rows = z.select(*[F.col(f).cast("double") for f in features], F.col(label).cast("int").alias("_label")).where("_label IS NOT NULL")
+    rows = z.select(*feature_columns(features, packed), F.col(label).cast("int").alias("_label")).where("_label IS NOT NULL")
     sums = rows.mapInArrow(norms, "label int, q double").groupBy("label").agg(F.sum("q").alias("q")).collect()
     return {r["label"]: r["q"] / of[r["label"]].n for r in sums}
 
@@ -193,16 +208,16 @@ def fit_two_class(df: DataFrame, features: Sequence[str], label: str, weights: M
 
 
 def fit_buckets(df: DataFrame, features: Sequence[str], label: str, weights: Mapping[str, float] | None = None,
-                stats: Stats | None = None, basin_class: int = 0) -> Projection:
+                stats: Stats | None = None, basin_class: int = 0, packed: Packed | None = None) -> Projection:
     """First discriminant of several ordered classes, with shrunk class covariances.
 
-    The sign puts `basin_class` above the mean of the others.
+    The sign puts `basin_class` above the mean of the others. Features in one array column (`packed`) need their `stats`.
     """
     weights = dict(weights or {})
     stats = stats or fit_stats(df, features)
     change = preparing(features, stats, weights)
-    of = class_moments(df, features, label, change)
-    fourth = _fourth_moments(df, features, label, of, change)
+    of = class_moments(df, features, label, change, packed)
+    fourth = _fourth_moments(df, features, label, of, change, packed)
     d, n = len(features), sum(m.n for m in of.values())
     grand = sum(m.n * m.mean for m in of.values()) / n
     within, between = np.zeros((d, d)), np.zeros((d, d))
@@ -221,7 +236,7 @@ def fit_buckets(df: DataFrame, features: Sequence[str], label: str, weights: Map
     at = basin_class if basin_class in of else min(of)
     if (of[at].mean - grand) @ vec < 0:
         vec = -vec
-    return Projection(list(features), stats, weights, dict(zip(features, map(float, vec))), float(grand @ vec))
+    return Projection(list(features), stats, weights, dict(zip(features, map(float, vec))), float(grand @ vec), packed=packed)
 
 
 def loadings(model: Projection, spark: SparkSession) -> DataFrame:

@@ -113,6 +113,77 @@ class _Windows:
         return both / two[1], (n < 2) | (two[1] == 0)
 
 
+def _complete(batches: Iterator[pa.RecordBatch], names: Sequence[str], width: int, stride: int, shrink: bool = False,
+              min_rows: int = 0) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray, dict]]:
+    """(rows, `_pos`, first and last rows of the windows that are complete in them, values of `names` with their known places)."""
+    held: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        table = (table if held is None else pa.concat_tables([held, table])).combine_chunks()
+        pos, size = (table.column(c).to_numpy() for c in ("_pos", "_n"))
+        w = np.minimum(width, size) if shrink else np.full(len(size), width)
+        starts = np.flatnonzero((pos % stride == 0) & (pos + w <= size) & (size >= (min_rows if shrink else width)))
+        ends = starts + w[starts] - 1
+        ready = int(np.searchsorted(ends, len(pos)))
+        held = table.slice(starts[ready]) if ready < len(starts) else None
+        starts, ends = starts[:ready], ends[:ready]
+        if not ready:
+            continue
+        if (pos[ends] != pos[starts] + w[starts] - 1).any():
+            raise RuntimeError("the rows of an object are not in the order of their positions")
+        columns = {}
+        for c in names:
+            array = table.column(c).chunk(0)
+            columns[c] = array.to_numpy(zero_copy_only=False), (array.is_valid().to_numpy(zero_copy_only=False) if array.null_count else None)
+        yield table, pos, starts, ends, columns
+    if held is not None:
+        raise RuntimeError("the rows of an object are not in the order of their positions")
+
+
+def _places(key: list[str], keep: list[str]) -> list[Column]:
+    return [*[F.col(c).alias(f"_k{i}") for i, c in enumerate(key)], *[F.col(c).alias(f"_l{i}") for i, c in enumerate(keep)],
+            F.col("pos").cast("long").alias("_pos"), F.col("n").cast("long").alias("_n")]
+
+
+def _steps(column: tuple[np.ndarray, np.ndarray | None]) -> tuple[np.ndarray, np.ndarray | None]:
+    """Differences to the row before; the first one of a window reaches out of it and must be skipped."""
+    x, known = column
+    return np.diff(x, prepend=np.nan), None if known is None else known & np.concatenate([[False], known[:-1]])
+
+
+def window_vectors(base: DataFrame, key: Sequence[str], keep: Sequence[str], channels: Sequence[str], width: int, stride: int,
+                   matrix: Callable[[Callable], np.ndarray], out: str) -> DataFrame:
+    """key, `win`, `keep` and the array `out` (unknown: NaN) per complete window of `base`, which is as for `window_arrays`.
+
+    `matrix(value)` has a row per window; `value(kind, names, skip, half)` is an aggregate of every window and where it is NULL, over channels `c` and
+    their steps `d1_c` and `d2_c` (which have 1 and 2 rows to skip). The vectors leave the tasks as one column: dozens of columns are too long a method for
+    the JVM to compile, here and in every pass that reads them.
+    """
+    key, keep, channels = list(key), list(keep), list(channels)
+    rows = base.select(*_places(key, keep), *[F.col(c).cast("double").alias(f"_c{i}") for i, c in enumerate(channels)])
+    types, names = dict(rows.dtypes), [f"_c{i}" for i in range(len(channels))]
+    fields = [f"`{c}` {types[f'_k{i}']}" for i, c in enumerate(key)] + ["`win` bigint"] + [f"`{c}` {types[f'_l{i}']}" for i, c in enumerate(keep)] + [f"`{out}` array<double>"]
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, pos, starts, ends, columns in _complete(batches, names, width, stride):
+            of: dict = {}
+            for c, name in zip(channels, names):
+                of[c] = columns[name]
+                of[f"d1_{c}"] = _steps(of[c])
+                of[f"d2_{c}"] = _steps(of[f"d1_{c}"])
+            with np.errstate(all="ignore"):
+                x = matrix(_Windows(starts, width, of).value)
+            first, last = pa.array(starts), pa.array(ends)
+            made = [table.column(f"_k{i}").take(first).combine_chunks() for i in range(len(key))] + [pa.array(pos[starts])]
+            made += [table.column(f"_l{i}").take(last).combine_chunks() for i in range(len(keep))]
+            made.append(pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1], pa.int32()), pa.array(np.ascontiguousarray(x).ravel())))
+            yield pa.RecordBatch.from_arrays(made, [*key, "win", *keep, out])
+
+    return rows.mapInArrow(windows, ", ".join(fields))
+
+
 def window_arrays(base: DataFrame, key: Sequence[str], keep: Sequence[str], asked: Asked, width: int, stride: int, shrink: bool, min_rows: int) -> DataFrame:
     """key, `win`, `keep`, `_width` and the aggregates of `asked` per complete window of `base`.
 
@@ -125,37 +196,17 @@ def window_arrays(base: DataFrame, key: Sequence[str], keep: Sequence[str], aske
         allowed = ("double",) if kind in ("min", "max") else ("double", "float", "int", "bigint", "smallint", "tinyint")
         if any(kinds[c] not in allowed for c in names):
             raise Unsupported(kind)
-    rows = base.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(key)], *[F.col(c).alias(f"_l{i}") for i, c in enumerate(keep)],
-                       F.col("pos").cast("long").alias("_pos"), F.col("n").cast("long").alias("_n"), *[c.cast("double").alias(name) for name, c in asked.inputs.values()])
+    rows = base.select(*_places(key, keep), *[c.cast("double").alias(name) for name, c in asked.inputs.values()])
     types = dict(rows.dtypes)
     fields = ([f"`{c}` {types[f'_k{i}']}" for i, c in enumerate(key)] + ["`win` bigint"] + [f"`{c}` {types[f'_l{i}']}" for i, c in enumerate(keep)]
               + ["`_width` bigint"] + [f"`{a}` double" for a in asked.wanted.values()])
     names, n_key, n_keep, wanted, made = [name for name, _ in asked.inputs.values()], len(key), len(keep), list(asked.wanted), list(asked.wanted.values())
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch])
-            table = (table if held is None else pa.concat_tables([held, table])).combine_chunks()
-            pos, size = (table.column(c).to_numpy() for c in ("_pos", "_n"))
-            w = np.minimum(width, size) if shrink else np.full(len(size), width)
-            starts = np.flatnonzero((pos % stride == 0) & (pos + w <= size) & (size >= (min_rows if shrink else width)))
-            ends = starts + w[starts] - 1
-            ready = int(np.searchsorted(ends, len(pos)))
-            held = table.slice(starts[ready]) if ready < len(starts) else None
-            starts, ends = starts[:ready], ends[:ready]
-            if not ready:
-                continue
-            if (pos[ends] != pos[starts] + w[starts] - 1).any():
-                raise RuntimeError("the rows of an object are not in the order of their positions")
-            columns = {}
-            for c in names:
-                array = table.column(c).chunk(0)
-                columns[c] = array.to_numpy(zero_copy_only=False), (array.is_valid().to_numpy(zero_copy_only=False) if array.null_count else None)
-            for some in np.unique(w[starts]):
-                mine = w[starts] == some
+        for table, pos, starts, ends, columns in _complete(batches, names, width, stride, shrink, min_rows):
+            w = ends - starts + 1
+            for some in np.unique(w):
+                mine = w == some
                 at = pa.array(starts[mine]), pa.array(ends[mine])
                 of = _Windows(starts[mine], int(some), columns)
                 with np.errstate(all="ignore"):
@@ -164,7 +215,5 @@ def window_arrays(base: DataFrame, key: Sequence[str], keep: Sequence[str], aske
                 out += [pa.array(pos[starts[mine]])] + [table.column(f"_l{i}").take(at[1]).combine_chunks() for i in range(n_keep)]
                 out += [pa.array(np.full(int(mine.sum()), some, np.int64))] + [pa.array(v, pa.float64(), mask=null) for v, null in found]
                 yield pa.RecordBatch.from_arrays(out, [*key, "win", *keep, "_width", *made])
-        if held is not None:
-            raise RuntimeError("the rows of an object are not in the order of their positions")
 
     return rows.mapInArrow(windows, ", ".join(fields))

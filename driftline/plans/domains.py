@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
@@ -12,10 +13,13 @@ from driftline.catalog import features as C
 from driftline.functions import features as Ft
 from driftline.functions.scalar import width_bucket_clipped
 from driftline.functions.spectral import top_eigenvalues
-from driftline.models import calibrate, evaluate, scale
+from driftline.models import calibrate, evaluate
 from driftline.models.lda import Projection, fit_buckets, fit_two_class
+from driftline.models.moments import Packed, packed_stats
 from driftline.operators import detect
 from driftline.operators.knn import distance_on_line
+from driftline.operators.ordering import ROWS_PER_TASK, layout_of, with_position
+from driftline.operators.window_arrays import window_vectors
 from driftline.operators.windows import window_features
 from driftline.plans.orbits import tightened_basin
 from driftline.session import materialise
@@ -54,6 +58,20 @@ def monitoring_windows(df: DataFrame, key: Sequence[str], order: Sequence[str],
     return out.select("*", *eig).drop("_eig"), names
 
 
+def monitoring_vectors(df: DataFrame, key: Sequence[str], order: Sequence[str], channels: Sequence[str], setting: Setting,
+                       last: Mapping[str, Column], *, limit: int = ROWS_PER_TASK, rows: int | None = None,
+                       out: str = "features") -> tuple[DataFrame, list[str]]:
+    """`monitoring_windows` with the features in one array column, unknown ones NaN. `last` may use `pos` and `n`."""
+    layout = layout_of(df, key, order, limit, rows)
+    base = with_position(df, key, order, layout=layout).withColumns(dict(last))
+    if layout.sliced:
+        windows, names = monitoring_windows(base.drop("pos", "n"), key, order, channels, setting, list(last), limit=limit, rows=rows)
+        values = F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(math.nan)) for f in names])
+        return windows.select(*key, "win", *last, values.alias(out)), names
+    names = [f for f, _, _ in C.monitoring_catalogue(channels)]
+    return window_vectors(base, key, list(last), channels, setting.window, setting.stride, Ft.monitoring_matrix(channels, setting.window), out), names
+
+
 def second_level_windows(df: DataFrame, key: Sequence[str], order: Sequence[str], columns: Sequence[str], setting: Setting,
                          last: Sequence[str] = ("rul",), capacity: str | None = None, **kw) -> tuple[DataFrame, list[str]]:
     """Windows over per-cycle or per-snapshot features; with `capacity` also its trend."""
@@ -81,7 +99,11 @@ class Fitted:
     train: DataFrame
 
     def distances(self, windows: DataFrame) -> DataFrame:
-        return distance_on_line(self.model.written(windows), self.basin, "proj", k=self.k, kth=None)
+        return self.near(self.model.written(windows))
+
+    def near(self, scored: DataFrame) -> DataFrame:
+        """`distances` of windows that `model.written` has scored."""
+        return distance_on_line(scored, self.basin, "proj", k=self.k, kth=None)
 
 
 def _fitted(windows: DataFrame, model: Projection, basin: Callable[[DataFrame], DataFrame], k: int,
@@ -92,15 +114,17 @@ def _fitted(windows: DataFrame, model: Projection, basin: Callable[[DataFrame],
     return Fitted(model, ref, threshold(near), k, near)
 
 
-def fit_life_monitor(windows: DataFrame, features: Sequence[str], setting: Setting, rul: str = "rul", **kw) -> Fitted:
+def fit_life_monitor(windows: DataFrame, features: Sequence[str], setting: Setting, rul: str = "rul", column: str = "features", **kw) -> Fitted:
     """Turbofan, battery and bearing: life buckets, shrunk discriminant, basin of low remaining life.
 
-    `windows` is read several times and should be a written table. The threshold
-    is the approach-zone order statistic.
+    `windows` holds the features in the array `column` (`monitoring_vectors`); it is read several times and should be
+    a written table. Constant features are left out. The threshold is the approach-zone order statistic.
     """
     clipped = windows.withColumn("_bucket", width_bucket_clipped(F.least(F.col(rul), F.lit(setting.clip)), setting.clip, setting.buckets))
-    kept = scale.varying(clipped, list(features))
-    model = fit_buckets(clipped, kept, "_bucket")
+    packed = Packed(column, list(features))
+    stats = packed_stats(clipped, packed)
+    kept = [f for f in features if 0 < stats[f][1] < math.inf]
+    model = fit_buckets(clipped, kept, "_bucket", stats=stats, packed=packed)
     return _fitted(clipped.drop("_bucket"), model, lambda s: s.where(F.col(rul) <= setting.basin), setting.k,
                    lambda near: calibrate.approach_zone(near, "d_mean", rul, setting.basin, **kw).first()["eps"])
 
@@ -146,8 +170,8 @@ def life_report(fitted: Fitted, setting: Setting, margin: float, rul: str = "rul
 
 
 def held_out_sweep(fitted: Fitted, test: DataFrame, key: str, order: str, truth: DataFrame, warning: float) -> DataFrame:
-    """Final distance per test object, joined with the true remaining life, swept over thresholds; the best row."""
-    final = detect.distance_profile(fitted.distances(test), [key], order, "d_mean").select(key, "d_final")
+    """Final distance per test object of the scored windows `test`, joined with the true remaining life, swept over thresholds; the best row."""
+    final = detect.distance_profile(fitted.near(test), [key], order, "d_mean").select(key, "d_final")
     joined = materialise(final.join(truth, key))
     return calibrate.best_row(calibrate.precision_recall_sweep(joined, "d_final", F.col("true_rul") <= warning))
 

@@ -17,10 +17,9 @@ LIFE = D.Setting(30, 5, 5, 300.0, 60.0, 120.0)
 
 
 def life_windows(t: Tables):
-    n = t.rows("lineitem")
-    s = with_position(t.supply(), ["l_suppkey"], SUPPLY_ORDER, rows=n)
-    s = s.withColumn("rul", F.least(F.col("n") - 1 - F.col("pos"), F.lit(300)).cast("double")).drop("pos", "n")
-    w, names = D.monitoring_windows(s, ["l_suppkey"], SUPPLY_ORDER, ["l_quantity", "l_discount", "l_tax"], LIFE, rows=n)
+    rul = F.least(F.col("n") - 1 - F.col("pos"), F.lit(300)).cast("double")
+    w, names = D.monitoring_vectors(t.supply(), ["l_suppkey"], SUPPLY_ORDER, ["l_quantity", "l_discount", "l_tax"], LIFE,
+                                    {"rul": rul}, rows=t.rows("lineitem"))
     return materialise(w), names
 
 
@@ -30,8 +29,9 @@ def _(t: Tables):
     w, names = life_windows(t)
     fitted = D.fit_life_monitor(w.where("l_suppkey % 5 <> 0"), names, LIFE, rows=n)
     # test histories end early, each at its own share of its length
-    ends = w.where("l_suppkey % 5 = 0").groupBy("l_suppkey").agg(F.max("win").alias("_end"))
-    test = w.join(ends, "l_suppkey").where("win <= _end * (0.5 + (l_suppkey % 7) * 0.07)").drop("_end")
+    scored = fitted.model.written(w.where("l_suppkey % 5 = 0"))
+    ends = scored.groupBy("l_suppkey").agg(F.max("win").alias("_end"))
+    test = scored.join(ends, "l_suppkey").where("win <= _end * (0.5 + (l_suppkey % 7) * 0.07)").drop("_end")
     truth = test.groupBy("l_suppkey").agg(F.min("rul").alias("true_rul"))
     best = D.held_out_sweep(fitted, test, "l_suppkey", "win", truth, LIFE.warning)
     report = D.life_report(fitted, LIFE, 60.0, rows=n)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from driftline.functions import features as Ft
 from driftline.operators import windows as W
+from driftline.plans import domains as D
 
 CHANNELS = ["x", "y", "z"]
 
@@ -48,3 +49,23 @@ def test_wide_vectors_do_not_copy_rows(spark):
     assert "Generate" in plan(limit=20)
     wide = lambda s: {**vector(s), "at": s.agg(F.max_by, F.col("x"), F.col("pos"))}
     assert "Generate" in W.window_features(df, ["a", "b"], ["t"], 12, 5, wide, stages=Ft.difference_stages(CHANNELS))._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("width,stride,limit", [(12, 5, 10_000), (8, 1, 10_000), (3, 2, 10_000), (12, 5, 20)])
+def test_vectors_equal_columns(spark, width, stride, limit):
+    """The monitoring vector as one array: unknown values, NULL keys, small batches, cut objects."""
+    df, key, setting = histories(spark, width + stride), ["a", "b"], D.Setting(width, stride, 5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got, names = D.monitoring_vectors(df, key, ["t"], CHANNELS, setting, {"i": F.col("i"), "left": F.col("n") - 1 - F.col("pos")}, limit=limit)
+        want, same = D.monitoring_windows(df, key, ["t"], CHANNELS, setting, ["i"])
+        found, plain = ({(r.a, r.b, r.win): r for r in x.collect()} for x in (got, want))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    sizes = {(r.a, r.b): r["count"] for r in df.groupBy(*key).count().collect()}
+    assert names == same and got.columns == ["a", "b", "win", "i", "left", "features"] and found.keys() == plain.keys() and len(found) > 10
+    for k, row in plain.items():
+        assert found[k].i == row.i and found[k].left == sizes[k[:2]] - width - k[2] and len(found[k].features) == len(names)
+        for name, v in zip(names, found[k].features):
+            assert v == pytest.approx(np.nan if row[name] is None else row[name], rel=1e-8, abs=1e-7, nan_ok=True), (k, name)
+    assert any(np.isnan(r.features).any() for r in found.values())
