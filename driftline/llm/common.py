@@ -118,6 +118,20 @@ def binary(values: list[bytes]) -> pa.Array:
     return pa.array(values, pa.binary())
 
 
+def pack(arrays: list[np.ndarray]) -> bytes:
+    """Arrays of numbers end to end, the first bytes of an array's numbers before their second bytes: upper bytes are mostly equal, and compress."""
+    return b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T.tobytes() for a in arrays)
+
+
+def unpack(value: pa.Scalar, types: list[type]) -> list[np.ndarray]:
+    """The arrays (of one length) of a value that `pack` made."""
+    width = [np.dtype(t).itemsize for t in types]
+    data = np.frombuffer(value.as_buffer(), np.uint8)
+    n = len(data) // sum(width)
+    edge = np.cumsum([0, *width]) * n
+    return [np.ascontiguousarray(data[a:b].reshape(w, n).T).view(t).reshape(n) for a, b, w, t in zip(edge, edge[1:], width, types)]
+
+
 # ---------------------------------------------------------------- words and hashes
 def byte_class(drop: list[tuple[int, int]]) -> np.ndarray:
     table = np.ones(256, bool)

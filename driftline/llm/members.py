@@ -61,7 +61,7 @@ def filter_of(keys: DataFrame, n: int, max_bits: int = MAX_BITS):
     return keys.sparkSession.sparkContext.broadcast(Members(bits, table))
 
 
-def _kept(df: DataFrame, on: list[str], shared, inside: bool) -> DataFrame:
+def screened(df: DataFrame, on: list[str], shared, inside: bool) -> DataFrame:
     """The rows of df that the filter lets through, or those that it excludes."""
     (h,), own = fresh(df, "h"), df.columns
 
@@ -79,5 +79,5 @@ def matched(df: DataFrame, keys: DataFrame, on: list[str], how: str, few: int =
     if n <= few:
         return df.join(F.broadcast(keys), on, how)
     shared = filter_of(keys.select(F.xxhash64(*on).alias("h")), n, max_bits)
-    likely = _kept(df, on, shared, True).join(keys, on, how)
-    return likely.unionByName(_kept(df, on, shared, False)) if how == "left_anti" else likely
+    likely = screened(df, on, shared, True).join(keys, on, how)
+    return likely.unionByName(screened(df, on, shared, False)) if how == "left_anti" else likely
