@@ -367,7 +367,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, max_bits: int = 2 ** 29,
     n = wanted.agg(F.coalesce(F.sum(F.size("wanted")), F.lit(0))).first()[0]
     # an anchor is hot for `hot_segments` different segments and more: few are
     hot = spark.sparkContext.broadcast(np.array([r[0] for r in wanted.select(F.explode("hot")).collect()], np.int64))
-    places = filter_of(wanted.select(F.explode("wanted")), n)
+    places = filter_of(wanted.select(F.explode("wanted")), n, max_bits)
     segments = map_arrow(rows, _wanted(shared, places, hot, width, buckets), ROW)
     arrays = store(map_arrow(segments.repartition(parts, "bucket"), _arrays(width), FOUND).select("_doc", "_txt", "spans"), "arrays")
     return needs(classes.where("spans IS NOT NULL").select("_doc", "_txt", "spans").unionByName(arrays), classes, arrays)
